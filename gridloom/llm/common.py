@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text hashed at once; bounds the temporary arrays of a worker (about 40 bytes each).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -8,9 +8,9 @@ needs are skipped, and what survives is verified on the whole sets.
 Distribution. Equal sets are collapsed first (a hash aggregate). A point meets only points with which it shares a
 token of its prefix: the n - ceil(t n) + 1 tokens that come first in one global order (rare first, by a count sketch
 of fixed size; any order is lossless, since a pair at the threshold has to share a prefix token). So the trees are
-built per token and no pair is lost. Lists longer than STAR tokens are joined as a star about one centre; afterwards
-only members that still lie in another component are compared with the rest, so a group of many near copies costs
-links in proportion to its size.
+built per token and no pair is lost. A token's list is first joined as a star about one centre; afterwards, among the
+members of a centre's stars, only those in different components are compared, by a tree over their points. So a group
+of many near copies costs pairs in proportion to its size, and no link that would join two components is missed.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ from .common import materialize, mix, row_shingles
 GROUPS = 16
 #: A node of the tree holds so many points; shorter lists are one leaf.
 LEAF = 16
-#: Lists longer than this are joined as a star first.
-STAR = 64
 #: Counters of the token sketch, and the pieces in which it is merged. Its size does not depend on the data.
 SKETCH, PIECES = 1 << 20, 64
 
@@ -146,7 +144,7 @@ def _routes(batches: Iterator[pa.RecordBatch], shingle: int, per_cent: int, sket
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), kind) for x, kind in ((token, pa.int64()), (doc, pa.int64()), (n, pa.int32()), (v1, pa.int64()), (v2, pa.int64()))], names=["token", "doc", "n", "v1", "v2"])
 
 
-_FOUND = "a long, b long, token long, centre long, doc long, n int, v1 long, v2 long"
+_FOUND = "a long, b long, may boolean, many boolean, n int, v1 long, v2 long"
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
@@ -157,91 +155,68 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
     return {k: np.concatenate(v) for k, v in columns.items()} if columns else None
 
 
-def _pairs_out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    rows = len(a)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(rows, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["a", "b", "token", "centre", "doc", "n", "v1", "v2"])
-
-
-def _unique_pairs(a: list, b: list) -> tuple[np.ndarray, np.ndarray]:
-    x = np.concatenate(a) if a else np.zeros(0, np.int64)
-    y = np.concatenate(b) if b else np.zeros(0, np.int64)
-    both = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-    both = both[both[:, 0] != both[:, 1]]
-    return both[:, 0], both[:, 1]
+def _first_of_pairs(*columns: np.ndarray) -> np.ndarray:
+    """Positions of the first row of each value of the first two columns, in order of the others."""
+    order = np.lexsort(columns[::-1])
+    x, y = columns[0][order], columns[1][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return order[new]
 
 
 def _lists(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of a partition's token lists, and the rows of long lists with their centre."""
+    """A partition's token lists as stars: each member with the list's centre, and whether the bounds allow a link."""
     got = _gather(batches)
     if got is None:
         return
     order = np.lexsort((got["doc"], got["token"]))
-    token, doc = got["token"][order], got["doc"][order]
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    token = got["token"][order]
+    first = np.ones(len(token), bool)
+    first[1:] = token[1:] != token[:-1]
+    start = np.flatnonzero(first)
     length = np.diff(np.append(start, len(token)))
+    del token
     start, length = start[length > 1], length[length > 1]
-    at = order[np.repeat(start, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)]
-    del token, order
-    doc, n = got["doc"][at], got["n"][at].astype(np.int64)
-    token, v1, v2 = got["token"][at], got["v1"][at], got["v2"][at]
-    del got, at
-    points = _unpack(n, v1, v2)
-    start = np.cumsum(length) - length
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
-    for size in range(2, LEAF + 1):  # one leaf: all lists of a length at once
-        lists = start[length == size]
-        for i in range(size if len(lists) else 0):
-            for j in range(i + 1, size):
-                x, y = lists + i, lists + j
-                ok = may_reach(n[x], points[x], n[y], points[y], per_cent)
-                a.append(doc[x[ok]])
-                b.append(doc[y[ok]])
-    hot = []
-    for s, size in zip(start[length > LEAF], length[length > LEAF], strict=True):
-        own = slice(s, s + size)
-        tree = CountTree(n[own], points[own])
-        if size > STAR:
-            hot.append((s, size))
-            near = tree.query(n[s], points[s], per_cent)
-            a.append(np.full(len(near), doc[s]))
-            b.append(doc[s + near])
-            continue
-        for i in range(size):
-            near = tree.query(n[s + i], points[s + i], per_cent)
-            near = near[near > i]
-            a.append(np.full(len(near), doc[s + i]))
-            b.append(doc[s + near])
-    yield _pairs_out(*_unique_pairs(a, b))
-    for s, size in hot:
-        own = slice(s, s + size)
-        yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array(token[own]), pa.array(np.full(size, doc[s])), pa.array(doc[own]), pa.array(n[own].astype(np.int32)), pa.array(v1[own]), pa.array(v2[own])], names=["a", "b", "token", "centre", "doc", "n", "v1", "v2"])
+    centre = order[np.repeat(start, length - 1)]
+    member = order[np.repeat(start, length - 1) + 1 + np.arange((length - 1).sum()) - np.repeat(np.cumsum(length - 1) - (length - 1), length - 1)]
+    many = np.repeat(length > 2, length - 1)
+    own = _first_of_pairs(got["doc"][centre], got["doc"][member], ~many)
+    centre, member, many = centre[own], member[own], many[own]
+    for k in range(0, len(centre), 1 << 16):
+        c, m, x = centre[k : k + (1 << 16)], member[k : k + (1 << 16)], many[k : k + (1 << 16)]
+        size = got["n"].astype(np.int64)
+        points = [_unpack(size[at], got["v1"][at], got["v2"][at]) for at in (c, m)]
+        may = may_reach(size[c], points[0], size[m], points[1], per_cent)
+        keep = (may | x) & (got["doc"][c] != got["doc"][m])
+        c, m, x, may = c[keep], m[keep], x[keep], may[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(got["doc"][c]), pa.array(got["doc"][m]), pa.array(may), pa.array(x), pa.array(got["n"][m]), pa.array(got["v1"][m]), pa.array(got["v2"][m])], names=["a", "b", "may", "many", "n", "v1", "v2"])
 
 
 def _leftovers(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
-    """Of long lists: pairs between components, where neither bounds nor the distance to the centre rule a link out."""
+    """Pairs between components among the members of a centre's stars, where neither the bounds of a tree over their
+    count vectors nor their distances to the centre rule a link out."""
     got = _gather(batches)
     if got is None:
         return
-    order = np.lexsort((got["doc"], got["token"]))
+    order = np.lexsort((got["doc"], got["centre"]))
     got = {k: v[order] for k, v in got.items()}
     n = got["n"].astype(np.int64)
     points, far, limit = _unpack(n, got["v1"], got["v2"]), got["far"], 1 - per_cent / 100 + 1e-9
-    edges = np.flatnonzero(np.diff(got["token"])) + 1
-    a, b = [], []
+    edges = np.flatnonzero(np.diff(got["centre"])) + 1
     for s, e in zip(np.append(0, edges), np.append(edges, len(n)), strict=True):
-        rest, part = np.arange(s, e), got["part"][s:e]
-        names, counts = np.unique(part, return_counts=True)
+        names, counts = np.unique(got["part"][s:e], return_counts=True)
         if len(names) < 2:
             continue
         large = names[counts.argmax()]
         tree = CountTree(n[s:e], points[s:e])
-        for u in rest[part != large]:
+        a, b = [], []
+        for u in np.arange(s, e)[got["part"][s:e] != large]:
             near = tree.query(n[u], points[u], per_cent) + s
             near = near[(got["part"][near] != got["part"][u]) & ~(np.abs(far[near] - far[u]) > limit)]
+            near = near[(got["part"][near] == large) | (near > u)]
             a.append(np.full(len(near), got["doc"][u]))
             b.append(got["doc"][near])
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unique_pairs(a, b)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -325,8 +300,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def jaccard_links(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75) -> tuple[DataFrame, DataFrame]:
     """(documents, links): documents (doc_id, n_shingles, class_id) with the smallest id of equal sets, and the
-    verified links (a, b, overlap, na, nb) that join classes - every link of short lists, and of long lists enough
-    of them that no component is split."""
+    verified links (a, b, overlap, na, nb) between classes: enough of them that no component is split."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = materialize(docs.mapInArrow(lambda b: _sets(b, shingle), _SETS), "sets")
@@ -343,26 +317,31 @@ def jaccard_links(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75) -> t
 
     def classes(pairs: DataFrame) -> DataFrame:
         by = pairs.join(ids.withColumnsRenamed({"doc_id": "a", "class_id": "ca"}), "a").join(ids.withColumnsRenamed({"doc_id": "b", "class_id": "cb"}), "b")
-        return materialize(by.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "pairs")
+        return by.where("ca <> cb").drop("a", "b").withColumnsRenamed({"ca": "a", "cb": "b"})
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     union = F.expr(f"100 * overlap >= {per_cent} * (na + nb - overlap)")
-    tested = materialize(verified(docs, classes(found.where("a is not null").select("a", "b").distinct()), shingle, per_cent), "tested")
+    stars = materialize(classes(found), "stars")
+    tested = materialize(verified(docs, materialize(ordered(stars.where("may")), "pairs"), shingle, per_cent), "tested")
     links = tested.where(union)
-    hot = found.where("token is not null").select("token", "centre", "doc", "n", "v1", "v2")
-    if hot.isEmpty():
-        return known.withColumnRenamed("n", "n_shingles"), links
+    # Members of a list that the star left in different components may still be linked with each other.
     parts = components(links.select("a", "b"))
+    rows = stars.where("many").groupBy(F.col("a").alias("centre"), F.col("b").alias("doc")).agg(*(F.first(x).alias(x) for x in ("n", "v1", "v2")))
+    rows = materialize(rows.join(parts.withColumnsRenamed({"id": "doc", "component": "part"}), "doc", "left").withColumn("part", F.coalesce("part", "doc")), "members")
+    mixed = rows.groupBy("centre").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("centre")
     far = tested.select("a", "b", (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("far"))
-    far = far.unionAll(far.select("b", "a", "far")).withColumnsRenamed({"a": "cc", "b": "cd"})
-    rows = hot.join(ids.withColumnsRenamed({"doc_id": "doc", "class_id": "cd"}), "doc").join(ids.withColumnsRenamed({"doc_id": "centre", "class_id": "cc"}), "centre")
-    rows = rows.join(parts.withColumnsRenamed({"id": "cd", "component": "part"}), "cd", "left").withColumn("part", F.coalesce("part", "cd"))
-    mixed = rows.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("token")
-    rows = rows.join(mixed, "token", "left_semi").join(far, ["cc", "cd"], "left")
-    rows = rows.select("token", F.col("cd").alias("doc"), "n", "v1", "v2", "part", F.when(F.col("cc") == F.col("cd"), 0.0).otherwise(F.coalesce("far", F.lit(float("nan")))).alias("far"))
-    more = materialize(rows.repartition("token").mapInArrow(lambda b: _leftovers(b, per_cent), "a long, b long").distinct(), "more")
-    more = classes(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    far = far.unionAll(far.select("b", "a", "far")).withColumnsRenamed({"a": "centre", "b": "doc"})
+    rows = rows.join(mixed, "centre", "left_semi").join(far, ["centre", "doc"], "left")
+    rows = rows.select("centre", "doc", "n", "v1", "v2", "part", F.coalesce("far", F.lit(float("nan"))).alias("far"))
+    more = ordered(rows.repartition("centre").mapInArrow(lambda b: _leftovers(b, per_cent), "a long, b long"))
+    more = materialize(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more")
+    known = known.withColumnRenamed("n", "n_shingles")
+    if more.isEmpty():
+        return known, links
     again = materialize(verified(docs, more, shingle, per_cent), "again")
-    return known.withColumnRenamed("n", "n_shingles"), links.unionAll(again.where(union))
+    return known, links.unionAll(again.where(union))
 
 
 def jaccard_components(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75) -> DataFrame:

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_id, quality_classifier
-from .common import table
+from . import language_id, quality_classifier, token_store
+from .byte_bpe import encode_decode
+from .common import new_path, table
 from .decontamination import benchmark_matches
 from .html_extraction import extract_main_text
 from .line_dedup import line_dedup
 from .ngram_jaccard import jaccard_components
 from .quality_rules import quality_rules
+from .token_counts import section_tokens
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +33,20 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    token_store.write_store(table(spark, sf_dir, "documents"), path := new_path(spark, "store"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_store.read_digests(spark, path)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, streams=False)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules(table(spark, sf_dir, "documents")).select(*columns)
@@ -55,6 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
+    "op4_token_store": op4_token_store,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
