@@ -208,9 +208,9 @@ def _narrowed(batches: Iterator[pa.RecordBatch], drop: list[str]) -> Iterator[pa
         yield batch.drop_columns(drop)
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, streams: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, streams: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """docs (text, any others) with, in place of text: ids (the tokens as little-endian unsigned 32-bit words), decoded
-    (the bytes that they stand for; both left out with streams=False), n_tokens, ids_sha256 and decoded_sha256.
+    (the bytes that they stand for; only those named in streams), n_tokens, ids_sha256 and decoded_sha256.
 
     Each match of pattern is encoded by itself, as the rank file's own library does, without special tokens. A null text
     is empty: no tokens and no bytes. Columns by the names of the results are replaced. A word of many thousand bytes is
@@ -227,6 +227,6 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, streams: bo
     split = docs.mapInArrow(lambda b: _split(b, pattern, names), f"{kinds}, words__ array<array<int>>")
     coded = split.withColumn("ids__", F.transform("words__", word_encoder(ranks_path)))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    drop = [] if streams else ["ids", "decoded"]
-    schema = (out + ", " if out else "") + ("ids binary, decoded binary, " if streams else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    drop = [x for x in ("ids", "decoded") if x not in streams]
+    schema = (out + ", " if out else "") + "".join(f"{x} binary, " for x in ("ids", "decoded") if x in streams) + "n_tokens long, ids_sha256 string, decoded_sha256 string"
     return coded.mapInArrow(lambda b: _narrowed(_assemble(b, pattern, names, pieces), drop), schema)
