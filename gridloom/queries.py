@@ -1,6 +1,865 @@
-"""The engine's queries and their SQL."""
+"""The engine's queries over the bridge views, and their SQL. Each query applies one operator to a whole view."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from .functions import metrics as M
+from .operators import grid, selection, spatial, tiles, zonal
+from .sources.bridge import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+RECT = ("x0", "y0", "x1", "y1")
+POINT = ("cx", "cy", "cx", "cy")
+
+
+def query(sql: str | None, *views: str):
+    """Register a function of the views (or of the session and folder without views) under its name, with its SQL."""
+
+    def keep(f):
+        name = f.__name__
+        QUERIES[name] = (lambda spark, d: f(*[view(spark, d, v) for v in views])) if views else f
+        if sql:
+            from .sources.bridge import VIEWS
+
+            ORACLES[name] = with_views(sql, *[v for v in views if v in VIEWS])
+        return f
+
+    return keep
+
+
+def r9(x, digits: int = 9):
+    return F.round(x, digits)
+
+
+def long(x):
+    return (F.col(x) if isinstance(x, str) else x).cast("bigint")
+
+
+# ---- evaluation: metrics per patch, year and run ---------------------------------------------------------------------
+
+_PATCH = """p as (select patch_id, yr, avg(case when p=t then 1.0e0 else 0.0e0 end) as acc,
+ case when sum(p+t)-sum(p*t)=0 then 1.0e0 else cast(sum(p*t) as double)/nullif(sum(p+t)-sum(p*t),0) end as iou,
+ case when sum(p+t)=0 then 1.0e0 else 2.0e0*sum(p*t)/nullif(sum(p+t),0) end as dice,
+ abs(avg(p)-avg(t)) as rmse_cov from px group by 1,2)"""
+
+
+def patch_scores(px: DataFrame) -> DataFrame:
+    return px.groupBy("patch_id", "yr").agg(M.accuracy().alias("acc"), M.iou().alias("iou"), M.dice().alias("dice"), M.cover_error().alias("rmse_cov"))
+
+
+@query(f"with {_PATCH} select patch_id, yr, round(acc,9) acc, round(iou,9) iou, round(dice,9) dice, round(rmse_cov,9) rmse_cov from p", "px")
+def patch_metrics(px):
+    return patch_scores(px).select("patch_id", "yr", *[r9(c).alias(c) for c in ("acc", "iou", "dice", "rmse_cov")])
+
+
+@query(f"with {_PATCH} select round(avg(acc),9) acc, round(avg(iou),9) iou, round(avg(dice),9) dice, round(avg(rmse_cov),9) rmse_cov from p", "px")
+def mean_scores(px):
+    return patch_scores(px).agg(*[r9(F.avg(c)).alias(c) for c in ("acc", "iou", "dice", "rmse_cov")])
+
+
+_YEAR = f"{_PATCH}, y as (select yr, count(*) as n, avg(acc) acc, avg(iou) iou, avg(dice) dice, avg(rmse_cov) rmse_cov from p where iou <> 1.0e0 group by yr)"
+
+
+def by_year(px: DataFrame) -> DataFrame:
+    scored = patch_scores(px).where("iou <> 1.0")
+    return scored.groupBy("yr").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("acc", "iou", "dice", "rmse_cov")])
+
+
+@query(f"with {_YEAR} select yr, n, round(acc,9) acc, round(iou,9) iou, round(dice,9) dice, round(rmse_cov,9) rmse_cov from y", "px")
+def year_scores(px):
+    return by_year(px).select("yr", "n", *[r9(c).alias(c) for c in ("acc", "iou", "dice", "rmse_cov")])
+
+
+@query(f"with {_YEAR} select " + ", ".join(f"round(sum({c}*n)/sum(n),9) {c}" for c in ("acc", "iou", "dice", "rmse_cov")) + " from y", "px")
+def weighted_total(px):
+    return by_year(px).agg(*[r9(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in ("acc", "iou", "dice", "rmse_cov")])
+
+
+@query(f"with {_YEAR}, f as (select *, 1.0e0 + yr % 3 as r from y), g as (select *, (n/(sum(n) over ()) + r/(sum(r) over ()))/2 as w from f) select round(sum(iou*w),9) iou, round(sum(dice*w),9) dice from g", "px")
+def weighted_total_resampling(px):
+    every = Window.partitionBy(F.lit(0))  # a row a year
+    years = by_year(px).withColumn("r", 1.0 + F.col("yr") % 3)
+    w = (F.col("n") / F.sum("n").over(every) + F.col("r") / F.sum("r").over(every)) / 2
+    return years.withColumn("w", w).agg(*[r9(F.sum(F.col(c) * F.col("w"))).alias(c) for c in ("iou", "dice")])
+
+
+@query(f"with {_PATCH} select patch_id, yr, round(iou,9) iou from p where iou <> 1.0e0", "px")
+def filter_true_empty(px):
+    return patch_scores(px).where("iou <> 1.0").select("patch_id", "yr", r9("iou").alias("iou"))
+
+
+@query("with b as (select yr as epoch, patch_id as batch, count(*) as n, avg(prob) as loss from px group by 1,2) select epoch, round(sum(loss*n)/sum(n),9) as loss from b group by epoch", "px")
+def epoch_score(px):
+    batches = px.groupBy(F.col("yr").alias("epoch"), F.col("patch_id").alias("batch")).agg(F.count("*").alias("n"), F.avg("prob").alias("loss"))
+    return batches.groupBy("epoch").agg(r9(F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"))
+
+
+@query("with b as (select yr as epoch, patch_id as batch, count(*) as n, avg(prob) as loss from px group by 1,2) select epoch, round(sum(loss*150)/sum(n),9) as loss from b group by epoch", "px")
+def epoch_score_nominal(px):
+    batches = px.groupBy(F.col("yr").alias("epoch"), F.col("patch_id").alias("batch")).agg(F.count("*").alias("n"), F.avg("prob").alias("loss"))
+    return batches.groupBy("epoch").agg(r9(F.sum(F.col("loss") * 150) / F.sum("n")).alias("loss"))
+
+
+@query("with b as (select patch_id, avg(prob) m, avg(prob*prob) q from px group by 1) select round(avg(m),9) mean, round(sqrt(avg(q)-avg(m)*avg(m)),9) std from b", "px")
+def batch_mean_std(px):
+    batches = px.groupBy("patch_id").agg(F.avg("prob").alias("m"), F.avg(F.col("prob") * F.col("prob")).alias("q"))
+    return batches.agg(r9(F.avg("m")).alias("mean"), r9(F.sqrt(F.avg("q") - F.avg("m") * F.avg("m"))).alias("std"))
+
+
+@query("select yr, cast(sum(case when prob>=0.5e0 and t=1 then 1 else 0 end) as bigint) tp, round(sum(case when prob>=0.5e0 and t=1 then 1.0e0 else 0 end)/sum(t),9) sensitivity, round(sum(case when prob<0.5e0 and t=0 then 1.0e0 else 0 end)/sum(1-t),9) specificity from px group by yr", "px")
+def confusion_rates(px):
+    hit = F.when((F.col("prob") >= 0.5) & (F.col("t") == 1), 1.0).otherwise(0.0)
+    cold = F.when((F.col("prob") < 0.5) & (F.col("t") == 0), 1.0).otherwise(0.0)
+    return px.groupBy("yr").agg(long(F.sum(hit)).alias("tp"), r9(M.ratio(F.sum(hit), F.sum("t").cast("double"), 0.0)).alias("sensitivity"), r9(M.ratio(F.sum(cold), F.sum(1 - F.col("t")).cast("double"), 0.0)).alias("specificity"))
+
+
+@query("""with b as (select patch_id, count(*) n, sum(t) n1, 2.0e0*sum(p*t)/nullif(sum(p+t),0) f1, 2.0e0*sum((1-p)*(1-t))/nullif(sum(2-p-t),0) f0, avg(case when p=t then 1.0e0 else 0 end) acc from px group by 1)
+select round(avg((coalesce(f1,0)*n1+coalesce(f0,0)*(n-n1))/n),9) f1, round(sum(acc*n)/sum(n),9) acc from b""", "px")
+def weighted_f1(px):
+    one, zero = (lambda c: F.col(c) == 1), (lambda c: F.col(c) == 0)
+    batches = px.groupBy("patch_id").agg(F.count("*").alias("n"), F.sum("t").alias("n1"), M.class_f1(one("p"), one("t")).alias("f1"), M.class_f1(zero("p"), zero("t")).alias("f0"), M.accuracy().alias("acc"))
+    return batches.agg(r9(F.avg((F.col("f1") * F.col("n1") + F.col("f0") * (F.col("n") - F.col("n1"))) / F.col("n"))).alias("f1"), r9(F.sum(F.col("acc") * F.col("n")) / F.sum("n")).alias("acc"))
+
+
+@query("select round(cast(sum(p*t) as double)/nullif(sum(p+t)-sum(p*t),0),9) iou, round(2.0e0*sum(p*t)/nullif(sum(p+t),0),9) dice, round(avg(case when p=t then 1.0e0 else 0 end),9) acc from px", "px")
+def pooled_metrics(px):
+    return px.agg(r9(M.iou(absent=0.0)).alias("iou"), r9(M.dice(absent=0.0)).alias("dice"), r9(M.accuracy()).alias("acc"))
+
+
+@query(f"with {_PATCH} select 'demo' as model, (select round(avg(iou),9) from p) iou, (select round(avg(dice),9) from p) dice, (select round(avg(case when p=t then 1.0e0 else 0 end),9) from px) acc", "px")
+def model_score_row(px):
+    means = patch_scores(px).agg(r9(F.avg("iou")).alias("iou"), r9(F.avg("dice")).alias("dice"))
+    return means.crossJoin(px.agg(r9(M.accuracy()).alias("acc"))).select(F.lit("demo").alias("model"), "iou", "dice", "acc")  # a row each
+
+
+@query("select t, count(*) as n, round(1.0e0 - count(*)/cast(sum(count(*)) over () as double),9) as weight from px group by t", "px")
+def class_weights(px):
+    counts = px.groupBy("t").agg(F.count("*").alias("n"))
+    return counts.withColumn("weight", r9(1.0 - F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))))
+
+
+# ---- losses ----------------------------------------------------------------------------------------------------------
+
+
+def _mean_loss(px: DataFrame, loss) -> DataFrame:
+    return px.groupBy("patch_id").agg(loss.alias("l")).agg(r9(F.avg("l")).alias("loss"))
+
+
+@query("with s as (select patch_id, 1 - 2*sum(prob*(t+1e-6)+(1-prob)*(1-t+1e-6))/(sum(2.0e0+2e-6)+1e-6) l from px group by 1) select round(avg(l),9) loss from s", "px")
+def loss_dice(px):
+    return _mean_loss(px, M.dice_loss())
+
+
+@query("""with s as (select patch_id, sum(prob*(t+1e-6)+(1-prob)*(1-t+1e-6)) i, sum(prob*(1-t-1e-6)+(1-prob)*(t-1e-6)) fp, sum((1-prob)*(t+1e-6)+prob*(1-t+1e-6)) fn from px group by 1)
+select round(avg(1-i/(i+0.5e0*fp+0.5e0*fn+1e-6)),9) loss from s""", "px")
+def loss_tversky(px):
+    return _mean_loss(px, M.tversky_loss(0.5, 0.5))
+
+
+@query("with s as (select sum(prob*t) tp, sum((1-t)*prob) fp, sum(t*(1-prob)) fn from px) select round(pow(1-(tp+1)/(tp+0.7e0*fp+0.3e0*fn+1), 4.0e0/3), 9) loss from s", "px")
+def loss_focal_tversky(px):
+    return px.agg(r9(M.focal_tversky_loss()).alias("loss"))
+
+
+@query("""with s as (select patch_id, sum(prob*t) a, sum(prob*(1-t)) b, sum((1-prob)*t) c, sum((1-prob)*(1-t)) d from px group by 1)
+select round(avg(-((a+1)/(a+b+c+1) + (d+1)/(d+b+c+1))/2),9) loss from s""", "px")
+def loss_soft_iou(px):
+    return _mean_loss(px, M.soft_iou_loss())
+
+
+@query("""with s as (select case when t=1 then (1-1e-5)*prob+1e-5*(1-prob) else 1e-5*prob+(1-1e-5)*(1-prob) end + 1e-5 as pt from px) select round(avg(-pow(1-pt,2.0e0)*ln(pt)),9) loss from s""", "px")
+def loss_focal(px):
+    return px.agg(r9(M.focal_loss()).alias("loss"))
+
+
+_CE = "-case when t=1 then ln(greatest(prob,1e-7)) else ln(greatest(1-prob,1e-7)) end"
+
+
+@query(f"select round(avg((case when t=1 then 1.3e0 else 1.0e0 end)*({_CE})),9) loss from px", "px")
+def loss_weighted_ce(px):
+    return px.agg(r9(M.weighted_cross_entropy(0.3)).alias("loss"))
+
+
+@query("with s as (select patch_id, sum((1+t)*prob*t) i, sum((1+t)*prob*(1-t)) fp, sum((1+t)*(1-prob)*t) fn from px group by 1) select round(avg(1-(i+1e-6)/(i+0.6e0*fp+0.4e0*fn+1e-6)),9) loss from s", "px")
+def loss_pixel_weighted_tversky(px):
+    return _mean_loss(px, M.pixel_weighted_tversky(0.6, 0.4, 1.0 + F.col("t")))
+
+
+@query("with s as (select t, least(greatest(prob,1e-7),1-1e-7) x from px) select round(avg(-(t*ln(x)+(1-t)*ln(1-x))),9) loss from s", "px")
+def loss_bce(px):
+    return px.agg(r9(M.bce()).alias("loss"))
+
+
+@query(f"with s as (select patch_id, avg({_CE}) + 1 - 2*sum(prob*(t+1e-6)+(1-prob)*(1-t+1e-6))/(sum(2.0e0+2e-6)+1e-6) l from px group by 1) select round(avg(l),9) loss from s", "px")
+def loss_ce_plus_dice(px):
+    return _mean_loss(px, M.LOSSES["ce_plus_dice"]())
+
+
+# ---- filters and projections -----------------------------------------------------------------------------------------
+
+
+@query("select patch_id, yr, prob from px where cast(yr as string) = '1995'", "px")
+def filter_year(px):
+    return px.where(F.col("yr") == F.lit("1995").cast("bigint")).select("patch_id", "yr", "prob")
+
+
+@query("select crown_id, area, case when area < 3 then 0 when area < 15 then 1 when area < 50 then 2 when area < 200 then 3 else 4 end as cls from crowns", "crowns")
+def area_class(crowns):
+    return crowns.select("crown_id", "area", F.when(F.col("area") < 3, 0).when(F.col("area") < 15, 1).when(F.col("area") < 50, 2).when(F.col("area") < 200, 3).otherwise(4).alias("cls"))
+
+
+@query("select * from rects where x0 <= 500 and x1 >= 200 and y0 <= 600 and y1 >= 300", "rects")
+def bbox_filter(rects):
+    return rects.where(spatial.in_box(RECT, 200.0, 300.0, 500.0, 600.0))
+
+
+@query("select y // 8 as ty, x // 8 as tx, count(*) as n from ras group by 1,2 having max(v) <> 0 or min(v) <> 0", "ras")
+def drop_empty_tiles(ras):
+    by = ras.groupBy(F.expr("y div 8").alias("ty"), F.expr("x div 8").alias("tx"))
+    return by.agg(F.count("*").alias("n"), F.max("v").alias("hi"), F.min("v").alias("lo")).where("hi <> 0 or lo <> 0").select("ty", "tx", "n")
+
+
+@query("select y // 2 as raster, cast(min(v) as integer) lo, cast(max(v) as integer) hi from ras group by 1 having not (min(v) = max(v) and max(v) in (0, 255))", "ras")
+def drop_nodata_rasters(ras):
+    return ras.groupBy(F.expr("y div 2").alias("raster")).agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("not (lo = hi and hi in (0, 255))")
+
+
+@query("select patch_id as label, count(*) as n from px where p = 1 group by 1 having count(*) >= 40", "px")
+def min_size_objects(px):
+    return px.where("p = 1").groupBy(F.col("patch_id").alias("label")).agg(F.count("*").alias("n")).where("n >= 40")
+
+
+@query("select patch_id, yr, prob, case when prob >= 0.5e0 then 1 else 0 end as ensemble, case when prob > 0.5e0 then 1 else 0 end as sigmoid, case when prob > 1 - prob then 1 else 0 end as argmax from px", "px")
+def threshold_modes(px):
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    return px.select("patch_id", "yr", "prob", flag(F.col("prob") >= 0.5).alias("ensemble"), flag(F.col("prob") > 0.5).alias("sigmoid"), flag(F.col("prob") > 1 - F.col("prob")).alias("argmax"))
+
+
+@query("select l_orderkey, l_linenumber, l_quantity, case when l_quantity in (0.0e0, 1.0e0, 50.0e0) then 0.0e0 else l_quantity end * 0.01e0 as scaled from lineitem", "lineitem")
+def mask_scale_values(lineitem):
+    return lineitem.select("l_orderkey", "l_linenumber", "l_quantity", (F.when(F.col("l_quantity").isin(0.0, 1.0, 50.0), 0.0).otherwise(F.col("l_quantity")) * 0.01).alias("scaled"))
+
+
+@query("select vec_id, list_transform(embedding[1:48], lambda x: cast(x as double)) as rgb, cast(list_sum(list_transform(embedding[49:64], lambda x: cast(round(x*1000) as bigint))) as bigint) as extra from tiles", "tiles")
+def band_select(t):
+    extra = F.aggregate(F.transform(tiles.band(F.col("embedding"), 3, 16), lambda x: F.round(x.cast("double") * 1000).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return t.select("vec_id", F.transform(F.slice("embedding", 1, 48), lambda x: x.cast("double")).alias("rgb"), extra.alias("extra"))
+
+
+@query("select o.o_orderkey as id, coalesce('a' || cast(c.c_custkey as varchar), 'b' || cast(s.s_suppkey as varchar), 'none') as source from orders o left join customer c on c.c_custkey = o.o_custkey and c.c_acctbal > 5000 left join supplier s on s.s_suppkey = o.o_custkey", "orders", "customer", "supplier")
+def source_fallback(orders, customer, supplier):
+    first = customer.where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("a"))
+    second = supplier.select(F.col("s_suppkey").alias("o_custkey"), F.concat(F.lit("b"), F.col("s_suppkey").cast("string")).alias("b"))
+    return orders.join(first, "o_custkey", "left").join(second, "o_custkey", "left").select(F.col("o_orderkey").alias("id"), F.coalesce("a", "b", F.lit("none")).alias("source"))
+
+
+@query("select id, run_name from queue where id not in (select l_orderkey from lineitem where l_quantity > 40)", "queue", "lineitem")
+def pending_work(queue, lineitem):
+    return queue.join(lineitem.where("l_quantity > 40").select(F.col("l_orderkey").alias("id")), "id", "left_anti").select("id", "run_name")
+
+
+@query("select patch_id, yr, max(t) > 0 as has_object from px group by 1,2", "px")
+def patch_has_object(px):
+    return px.groupBy("patch_id", "yr").agg((F.max("t") > 0).alias("has_object"))
+
+
+# ---- joins -----------------------------------------------------------------------------------------------------------
+
+_MEET = "c.cx between r.x0 and r.x1 and c.cy between r.y0 and r.y1"
+
+
+@query(f"select r.rect_id, c.crown_id from rects r join crowns c on {_MEET}", "rects", "crowns")
+def sjoin_intersects(rects, crowns):
+    return spatial.box_join(crowns, rects, POINT, RECT).select("rect_id", "crown_id")
+
+
+@query(f"select c.crown_id from crowns c where exists (select 1 from rects r where {_MEET})", "rects", "crowns")
+def patch_semi_join(rects, crowns):
+    return spatial.box_join(crowns, rects, POINT, RECT, how="left_semi").select("crown_id")
+
+
+@query("select a.rect_id, list_sort(list(b.rect_id)) as areas from rects a join rects b on a.rect_id <> b.rect_id and a.x0<=b.x1 and b.x0<=a.x1 and a.y0<=b.y1 and b.y0<=a.y1 where a.rect_id % 2 = 0 and b.rect_id % 2 = 1 group by 1", "rects")
+def image_area_lists(rects):
+    images, areas = rects.where("rect_id % 2 = 0"), spatial.prefixed(rects.where("rect_id % 2 = 1"), "b_")
+    pairs = spatial.box_join(images, areas, RECT, ("b_x0", "b_y0", "b_x1", "b_y1"))
+    return pairs.groupBy("rect_id").agg(F.sort_array(F.collect_list("b_rect_id")).alias("areas"))
+
+
+@query("select b.box_id, r.rect_id from boxes b join rects r on b.x0>=r.x0 and b.x1<=r.x1 and b.y0>=r.y0 and b.y1<=r.y1", "boxes", "rects")
+def sjoin_within(boxes, rects):
+    return spatial.box_join(spatial.prefixed(boxes, "b_"), rects, ("b_x0", "b_y0", "b_x1", "b_y1"), RECT, predicate="within").select(F.col("b_box_id").alias("box_id"), "rect_id")
+
+
+@query("""with m as (select c.crown_id, r.rect_id, row_number() over (partition by c.crown_id order by r.rect_id) rn, count(*) over (partition by c.crown_id) n, c.area from crowns c join rects r on c.cx between r.x0 and r.x1 and c.cy between r.y0 and r.y1)
+select crown_id, rect_id from m where rn = case when area > 250 and n > 1 then 2 else 1 end""", "crowns", "rects")
+def cover_first_match(crowns, rects):
+    w = Window.partitionBy("crown_id")
+    hits = spatial.box_join(crowns, rects, POINT, RECT).withColumn("rn", F.row_number().over(w.orderBy("rect_id"))).withColumn("n", F.count("*").over(w))
+    return hits.where(F.col("rn") == F.when((F.col("area") > 250) & (F.col("n") > 1), 2).otherwise(1)).select("crown_id", "rect_id")
+
+
+@query(f"select r.rect_id, count(*) as n from rects r join crowns c on {_MEET} group by 1 having max(c.area) > 0", "rects", "crowns")
+def regions_with_data(rects, crowns):
+    return spatial.box_join(crowns, rects, POINT, RECT).groupBy("rect_id").agg(F.count("*").alias("n"), F.max("area").alias("most")).where("most > 0").select("rect_id", "n")
+
+
+@query("select a.rect_id as a, b.rect_id as b, greatest(a.x0,b.x0) ix0, greatest(a.y0,b.y0) iy0, least(a.x1,b.x1) ix1, least(a.y1,b.y1) iy1 from rects a join rects b on a.rect_id<>b.rect_id and a.x0<=b.x1 and b.x0<=a.x1 and a.y0<=b.y1 and b.y0<=a.y1", "rects")
+def boundary_overlaps(rects):
+    other = ("b_x0", "b_y0", "b_x1", "b_y1")
+    pairs = spatial.box_join(rects, spatial.prefixed(rects, "b_"), RECT, other).where("rect_id <> b_rect_id")
+    return pairs.select(F.col("rect_id").alias("a"), F.col("b_rect_id").alias("b"), *[c.alias(n) for n, c in spatial.intersection(RECT, other).items()])
+
+
+@query("with k as (select c_custkey, cast(regexp_extract(c_name, '([0-9]+)', 1) as bigint) as key from customer) select c_custkey, min(s_suppkey) as match from k left join supplier on s_suppkey = key group by 1", "customer", "supplier")
+def regex_key_join(customer, supplier):
+    keyed = customer.select("c_custkey", F.regexp_extract("c_name", "([0-9]+)", 1).try_cast("bigint").alias("s_suppkey"))
+    return keyed.join(supplier.select("s_suppkey", F.col("s_suppkey").alias("m")), "s_suppkey", "left").groupBy("c_custkey").agg(F.min("m").alias("match"))
+
+
+@query("with a as (select patch_id, yr, sum(p) sp from px group by 1,2), b as (select patch_id, yr, sum(t) st from px group by 1,2) select patch_id, yr, cast(sp as bigint) sp, cast(st as bigint) st from a join b using (patch_id, yr)", "px")
+def patch_mask_join(px):
+    images, masks = px.groupBy("patch_id", "yr").agg(F.sum("p").alias("sp")), px.groupBy("patch_id", "yr").agg(F.sum("t").alias("st"))
+    return images.join(masks, ["patch_id", "yr"])
+
+
+@query("with e as (select y // 2 as ey, x // 2 as ex, max(v) as extra from ras where y % 2 = 0 and x % 2 = 0 group by 1,2) select y, x, v, extra from ras left join e on ey = y // 2 and ex = x // 2", "ras")
+def add_band(ras):
+    coarse = ras.where("y % 2 = 0 and x % 2 = 0").groupBy(F.expr("y div 2").alias("ey"), F.expr("x div 2").alias("ex")).agg(F.max("v").alias("extra"))
+    return ras.withColumns({"ey": F.expr("y div 2"), "ex": F.expr("x div 2")}).join(coarse, ["ey", "ex"], "left").select("y", "x", "v", "extra")
+
+
+@query("select b.rect_id from rects a join rects b on a.rect_id = 1 and b.rect_id <> 1 and a.x0<=b.x1 and b.x0<=a.x1 and a.y0<=b.y1 and b.y0<=a.y1", "rects")
+def overlapping_tiles(rects):
+    one = spatial.prefixed(rects.where("rect_id = 1"), "a_")
+    return spatial.box_join(one, rects.where("rect_id <> 1"), ("a_x0", "a_y0", "a_x1", "a_y1"), RECT).select("rect_id")
+
+
+@query("""with q as (select vec_id, embedding from tiles where vec_id % 20 = 0), d as (select q.vec_id as query_id, t.vec_id as neighbour, list_sum(list_transform(list_zip(q.embedding, t.embedding), lambda z: (cast(z[1] as double)-cast(z[2] as double))*(cast(z[1] as double)-cast(z[2] as double)))) as d2 from q, tiles t where t.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by round(d2,6), neighbour) rn from d) select query_id, neighbour, rn from r where rn <= 5""", "tiles")
+def knn_top5(t):
+    from .operators.neighbours import nearest
+
+    return nearest(t.where("vec_id % 20 = 0"), t, "vec_id", "embedding", 5)
+
+
+@query("select a.generate_series as row_off, b.generate_series as col_off from generate_series(cast(0 as bigint), cast(1000 as bigint), cast(128 as bigint)) a, generate_series(cast(0 as bigint), cast(800 as bigint), cast(128 as bigint)) b")
+def patch_offsets(spark, d):
+    one = spark.range(1)
+    return one.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(1000).cast("bigint"), F.lit(128).cast("bigint"))).alias("row_off")).select("row_off", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(800).cast("bigint"), F.lit(128).cast("bigint"))).alias("col_off"))
+
+
+@query("select a.rect_id from rects a where a.rect_id % 2 = 1 and not exists (select 1 from rects b where b.rect_id % 10 = 0 and a.x0<=b.x1 and b.x0<=a.x1 and a.y0<=b.y1 and b.y0<=a.y1)", "rects")
+def anti_overlap(rects):
+    earlier = spatial.prefixed(rects.where("rect_id % 10 = 0"), "b_")
+    return spatial.box_join(rects.where("rect_id % 2 = 1"), earlier, RECT, ("b_x0", "b_y0", "b_x1", "b_y1"), how="left_anti").select("rect_id")
+
+
+# ---- zonal aggregates ------------------------------------------------------------------------------------------------
+
+
+@query("select patch_id, round(avg(nullif(l,1.0e0)),9) mean, round(stddev_pop(nullif(l,1.0e0)),9) std from (select patch_id, prob*50 as l from px) group by 1", "px")
+def band_stats(px):
+    return zonal.band_stats(px.withColumn("l", F.col("prob") * 50), "patch_id", "l", 1.0).select("patch_id", r9("mean").alias("mean"), r9("std").alias("std"))
+
+
+@query("select patch_id as label, count(*) as n from px group by 1", "px")
+def label_histogram(px):
+    return px.groupBy(F.col("patch_id").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("""select cast(floor(cx/100) as bigint) gx, cast(floor(cy/100) as bigint) gy, cast(count(*) as double) band1, cast(sum(case when area>=3 and area<15 then 1 else 0 end) as double) band2, cast(sum(case when area>=15 and area<50 then 1 else 0 end) as double) band3,
+cast(sum(case when area>=50 and area<200 then 1 else 0 end) as double) band4, cast(sum(case when area>=200 then 1 else 0 end) as double) band5 from crowns group by 1,2""", "crowns")
+def density_bands(crowns):
+    return zonal.density_bands(crowns, 100.0, [3, 15, 50, 200])
+
+
+@query("select cast(floor(x/10) as bigint) gx, cast(floor(y/10) as bigint) gy, round(100*avg(v),9) cover from ras group by 1,2", "ras")
+def canopy_cover(ras):
+    return zonal.canopy_cover(ras, 10).withColumn("cover", r9("cover"))
+
+
+_SEQ = "s as (select l_orderkey % 97 as y, l_partkey % 89 as x, l_quantity/50.0e0 as v, l_orderkey*100000000 + l_partkey*1000 + l_linenumber*100 + cast(l_quantity as bigint) as seq from lineitem)"
+
+
+def _overlays(lineitem: DataFrame) -> DataFrame:
+    return lineitem.select((F.col("l_orderkey") % 97).alias("y"), (F.col("l_partkey") % 89).alias("x"), (F.col("l_quantity") / 50.0).alias("v"), (F.col("l_orderkey") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_linenumber") * 100 + long("l_quantity")).alias("seq"))
+
+
+@query(f"with {_SEQ} select y, x, max(v) as v from s group by 1,2", "lineitem")
+def overlay_max(lineitem):
+    return zonal.overlay(_overlays(lineitem), ["y", "x"], "MAX")
+
+
+@query(f"with {_SEQ} select y, x, min(v) as v from s group by 1,2", "lineitem")
+def overlay_min(lineitem):
+    return zonal.overlay(_overlays(lineitem), ["y", "x"], "MIN")
+
+
+@query(f"with {_SEQ} select y, x, arg_max(v, seq) as v from s group by 1,2", "lineitem")
+def overlay_replace(lineitem):
+    return zonal.overlay(_overlays(lineitem), ["y", "x"], "REPLACE")
+
+
+@query(f"with {_SEQ}, n as (select *, row_number() over (partition by y, x order by seq, v) k, count(*) over (partition by y, x) c from s) select y, x, round(sum(v * pow(0.5e0, c - k + 1)),9) as v from n group by 1,2", "lineitem")
+def overlay_fold_mean(lineitem):
+    return zonal.overlay(_overlays(lineitem), ["y", "x"], "MEAN").withColumn("v", r9("v"))
+
+
+@query("select patch_id, yr, prob, greatest(case when prob>=0.5e0 then 1 else 0 end, case when t=1 then 1 else 0 end) hi, least(case when prob>=0.5e0 then 1 else 0 end, t) lo from px", "px")
+def ensemble_merge(px):
+    first = F.when(F.col("prob") >= 0.5, 1).otherwise(0)
+    return px.select("patch_id", "yr", "prob", F.greatest(first, F.col("t")).alias("hi"), F.least(first, F.col("t")).alias("lo"))
+
+
+@query("select cast(floor(cx/10) as bigint) gx, cast(floor(cy/10) as bigint) gy, max(case when area*1000000000 > 3e11 then 1 else 2 end) as cls from crowns group by 1,2", "crowns")
+def size_class_mask(crowns):
+    return crowns.groupBy(zonal.cell_of("cx", 10).alias("gx"), zonal.cell_of("cy", 10).alias("gy")).agg(F.max(F.when(F.col("area") * 1000000000 > 3e11, 1).otherwise(2)).alias("cls"))
+
+
+@query("with s as (select patch_id, yr, cast(sum(t) as bigint) n from px group by 1,2), g as (select avg(case when n > 0 then 1.0e0 else 0 end) w from s) select patch_id, yr, n, round(case when n > 0 then 1 - w else w end, 9) as weight from s, g", "px")
+def patch_weights(px):
+    sums = px.groupBy("patch_id", "yr").agg(F.sum("t").alias("n"))
+    share = sums.agg(F.avg((F.col("n") > 0).cast("double")).alias("w"))  # one row
+    return sums.crossJoin(F.broadcast(share)).select("patch_id", "yr", "n", r9(F.when(F.col("n") > 0, 1 - F.col("w")).otherwise(F.col("w"))).alias("weight"))
+
+
+@query("with s as (select patch_id, count(*) area, avg(t) cover from px group by 1) select patch_id, round(area/cast(sum(area) over () as double),9) share, round(cover,9) cover from s", "px")
+def frame_weights(px):
+    frames = px.groupBy("patch_id").agg(F.count("*").alias("area"), F.avg("t").alias("cover"))
+    total = frames.agg(F.sum("area").alias("total"))  # one row
+    return frames.crossJoin(F.broadcast(total)).select("patch_id", r9(F.col("area") / F.col("total")).alias("share"), r9("cover").alias("cover"))
+
+
+@query("select yr, round(avg(prob),9) mean, max(prob) hi, min(prob) lo from px group by 1", "px")
+def resolution_stats(px):
+    return px.groupBy("yr").agg(r9(F.avg("prob")).alias("mean"), F.max("prob").alias("hi"), F.min("prob").alias("lo"))
+
+
+@query("with recursive l as (select generate_series as level from generate_series(1,3)) select cast(level as bigint) as level, y // cast(pow(2,level) as bigint) as oy, x // cast(pow(2,level) as bigint) as ox, arg_min(v, y*1000+x) as v from ras, l group by 1,2,3", "ras")
+def overview_pyramid(ras):
+    return zonal.pyramid(ras, 3)
+
+
+@query("with u as (select y, x, v, 1 as o from ras where x < 60 union all select y, x, 1 - v, 2 from ras where x >= 40) select y, x, arg_max(v, o) as v from u group by 1,2", "ras")
+def mosaic_last_wins(ras):
+    both = ras.where("x < 60").withColumn("o", F.lit(1)).unionByName(ras.where("x >= 40").select("y", "x", (1 - F.col("v")).alias("v"), F.lit(2).alias("o")))
+    return zonal.overlay(both, ["y", "x"], "REPLACE", order="o")
+
+
+@query("select patch_id, yr, prob, greatest(0.0e0, least(254.0e0, round(prob*100/100.0e0*254))) as b from px", "px")
+def rescale_byte(px):
+    scaled = zonal.rescale(px.withColumn("v", F.col("prob") * 100), 0.0, 100.0, 0.0, 254.0)
+    return px.withColumn("v", F.col("prob") * 100).select("patch_id", "yr", "prob", scaled.alias("b"))
+
+
+@query("select y, x, patch, round((v - avg(v) over (partition by patch))/(stddev_pop(v) over (partition by patch)+1e-8),6) as z from (select y, x, y // 16 as patch, cast(v as double) v from ras)", "ras")
+def zscore_bands(ras):
+    own = ras.select("y", "x", F.expr("y div 16").alias("patch"), F.col("v").cast("double").alias("v"))
+    return own.select("y", "x", "patch", r9(zonal.zscore(own, ["patch"], "v"), 6).alias("z"))
+
+
+@query("select y - 20 as y, x - 10 as x, v from ras where y >= 20 and y < 70 and x >= 10 and x < 60", "ras")
+def clip_to_rect(ras):
+    return ras.where("y >= 20 and y < 70 and x >= 10 and x < 60").select((F.col("y") - 20).alias("y"), (F.col("x") - 10).alias("x"), "v")
+
+
+# ---- windows, ranks, sets, samples -----------------------------------------------------------------------------------
+
+
+@query("with n as (select patch_id, count(*) as n from px group by 1) select patch_id, n, cast(sum(n) over (order by patch_id) - n as bigint) as start_idx from n", "px")
+def prefix_offsets(px):
+    return grid.prefix_offsets(px.groupBy("patch_id").agg(F.count("*").alias("n")), "n", ["patch_id"])
+
+
+@query("with n as (select yr, count(*) as n from px group by 1) select yr, cast(sum(n) over (order by yr) - n as bigint) as start_idx, cast(sum(n) over (order by yr) as bigint) as end_idx from n", "px")
+def index_ranges(px):
+    return grid.prefix_offsets(px.groupBy("yr").agg(F.count("*").alias("n")), "n", ["yr"]).select("yr", "start_idx", (F.col("start_idx") + F.col("n")).alias("end_idx"))
+
+
+@query("select src_row, yr, row_number() over (partition by yr order by src_row) as y_idx from foot", "foot")
+def year_ordinal(foot):
+    return foot.select("src_row", "yr", long(F.row_number().over(Window.partitionBy("yr").orderBy("src_row"))).alias("y_idx"))
+
+
+@query("select id, yr, src_row from foot qualify row_number() over (partition by id order by src_row desc) = 1", "foot")
+def keep_last(foot):
+    return selection.keep_last(foot, "id", "src_row").select("id", "yr", "src_row")
+
+
+@query("select crown_id, cast(ntile(7) over (order by crown_id) - 1 as bigint) as rank from crowns", "crowns")
+def balanced_split(crowns):
+    return grid.balanced_split(crowns, 7, ["crown_id"]).select("crown_id", "rank")
+
+
+@query("select src_row, yr, round(avg(id) over (partition by yr order by src_row rows between 99 preceding and current row),6) as mean from foot", "foot")
+def trailing_mean(foot):
+    return foot.select("src_row", "yr", r9(F.avg("id").over(Window.partitionBy("yr").orderBy("src_row").rowsBetween(-99, 0)), 6).alias("mean"))
+
+
+@query("""with l as (select patch_id, yr, round(avg(prob),9) loss from px group by 1,2), w as (select patch_id, avg(loss) m, count(*) n from l group by 1), q as (select w.patch_id, pow(m,2)*n as i from w)
+select patch_id, round(i/sum(i) over (),9) as importance from q""", "px")
+def frame_importance(px):
+    losses = px.groupBy("patch_id", "yr").agg(r9(F.avg("prob")).alias("loss"))
+    recent = losses.withColumn("k", F.row_number().over(Window.partitionBy("patch_id").orderBy(F.desc("yr")))).where("k <= 100")
+    raw = recent.groupBy("patch_id").agg((F.pow(F.avg("loss"), F.lit(2)) * F.count("*")).alias("i"))
+    return raw.crossJoin(F.broadcast(raw.agg(F.sum("i").alias("s")))).select("patch_id", r9(F.col("i") / F.col("s")).alias("importance"))  # one row
+
+
+@query("""with l as (select patch_id as run, yr as epoch, round(avg(prob),9) m from px group by 1,2), b as (select *, max(m) over (partition by run order by epoch) best, max(m) over (partition by run order by epoch rows between unbounded preceding and 1 preceding) old, row_number() over (partition by run order by epoch) n from l),
+c as (select *, old is null or m > old as improved from b) select run, epoch, best, improved, n - max(case when improved then n end) over (partition by run order by epoch) as stale from c""", "px")
+def early_stop(px):
+    log = px.groupBy(F.col("patch_id").alias("run"), F.col("yr").alias("epoch")).agg(r9(F.avg("prob")).alias("m"))
+    return selection.early_stop(log, "run", "epoch", "m").select("run", "epoch", "best", "improved", "stale")
+
+
+@query("select crown_id, (row_number() over (order by crown_id) - 1) // 150 as batch from crowns", "crowns")
+def batch_ids(crowns):
+    return grid.numbered(crowns, ["crown_id"]).select("crown_id", F.expr("row_idx div 150").cast("bigint").alias("batch"))
+
+
+@query("select id, priority from queue where run_name = 'r1' and status = 'queued' order by priority desc, id limit 1", "queue")
+def queue_pop(queue):
+    return selection.queue_pop(queue, "r1").select("id", "priority")
+
+
+@query("with e as (select id, status, id * 10 as seq from queue union all select id, 'completed', id * 10 + 1 from queue where id % 3 = 0 union all select id, 'error', id * 10 + 2 from queue where id % 9 = 0) select id, arg_max(status, seq) as status from e group by 1", "queue")
+def queue_latest_status(queue):
+    more = lambda by, status, k: queue.where(f"id % {by} = 0").select("id", F.lit(status).alias("status"), (F.col("id") * 10 + k).alias("seq"))
+    events = queue.select("id", "status", (F.col("id") * 10).alias("seq")).unionByName(more(3, "completed", 1)).unionByName(more(9, "error", 2))
+    return selection.latest_status(events)
+
+
+@query(f"with {_PATCH} select patch_id, yr, round(iou,9) iou from p order by round(iou,9) desc, patch_id, yr limit 10", "px")
+def top_patches(px):
+    return patch_scores(px).select("patch_id", "yr", r9("iou").alias("iou")).orderBy(F.desc("iou"), "patch_id", "yr").limit(10)
+
+
+@query(f"with {_PATCH} select patch_id, yr, round(iou,9) iou from p order by round(iou,9), patch_id, yr limit 10", "px")
+def worst_patches(px):
+    return patch_scores(px).select("patch_id", "yr", r9("iou").alias("iou")).orderBy("iou", "patch_id", "yr").limit(10)
+
+
+@query(f"with {_PATCH} select patch_id, yr, round(iou,9) iou, round(dice,9) dice from p order by iou desc, patch_id, yr", "px")
+def sorted_scores(px):
+    return patch_scores(px).select("patch_id", "yr", r9("iou").alias("iou"), r9("dice").alias("dice")).orderBy(F.desc("iou"), "patch_id", "yr")
+
+
+@query("select run_name, arg_max(status, id) as status, max(id) as id from queue group by 1", "queue")
+def latest_run(queue):
+    return queue.groupBy("run_name").agg(F.max_by("status", "id").alias("status"), F.max("id").alias("id"))
+
+
+@query("select c_custkey from customer order by md5(concat(cast(c_custkey as varchar), '-42')), c_custkey limit 100", "customer")
+def sample_n(customer):
+    return customer.select("c_custkey").orderBy(selection.hash_order("c_custkey", 42), "c_custkey").limit(100)
+
+
+@query("select 0 as dataset, o_orderkey as id from orders union all select 1, c_custkey from customer", "orders", "customer")
+def concat_datasets(orders, customer):
+    return orders.select(F.lit(0).alias("dataset"), F.col("o_orderkey").alias("id")).unionByName(customer.select(F.lit(1).alias("dataset"), F.col("c_custkey").alias("id")))
+
+
+@query("select o_orderkey as id from orders where o_orderstatus = 'P' except select l_orderkey from lineitem", "orders", "lineitem")
+def missing_tiles(orders, lineitem):
+    return orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id")).subtract(lineitem.select(F.col("l_orderkey").alias("id")))
+
+
+@query("select id, count(*) as n from foot group by 1 having count(*) > 1", "foot")
+def duplicate_tiles(foot):
+    return foot.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("select o_custkey as id from orders intersect select l_suppkey from lineitem", "orders", "lineitem")
+def index_intersect(orders, lineitem):
+    return orders.select(F.col("o_custkey").alias("id")).intersect(lineitem.select(F.col("l_suppkey").alias("id")))
+
+
+@query("select distinct x0, y0, x1, y1 from rects", "rects")
+def distinct_geometry(rects):
+    return rects.select(*RECT).dropDuplicates()
+
+
+@query("""select a.rect_id as a, b.rect_id as b, greatest(a.x0,b.x0) ix0, greatest(a.y0,b.y0) iy0, least(a.x1,b.x1) ix1, least(a.y1,b.y1) iy1 from rects a join rects b on a.rect_id % 2 = 0 and b.rect_id % 2 = 1 and a.x0<b.x1 and b.x0<a.x1 and a.y0<b.y1 and b.y0<a.y1""", "rects")
+def mask_intersection(rects):
+    other = ("b_x0", "b_y0", "b_x1", "b_y1")
+    pairs = spatial.box_join(rects.where("rect_id % 2 = 0"), spatial.prefixed(rects.where("rect_id % 2 = 1"), "b_"), RECT, other)
+    cut = pairs.select(F.col("rect_id").alias("a"), F.col("b_rect_id").alias("b"), *[c.alias(n) for n, c in spatial.intersection(RECT, other).items()])
+    return cut.where("ix0 < ix1 and iy0 < iy1")
+
+
+@query("select y, x from ras where v = 1 and not exists (select 1 from (select y as py, x as px_ from ras where y % 3 = 0) q where q.py = y and q.px_ = x)", "ras")
+def overlay_difference(ras):
+    return ras.where("v = 1").select("y", "x").join(ras.where("y % 3 = 0").select("y", "x"), ["y", "x"], "left_anti")
+
+
+_HASH = "md5(concat(cast({} as varchar), '-{}'))"
+
+
+@query(f"with r as (select c_custkey, row_number() over (order by {_HASH.format('c_custkey', 42)}, c_custkey) - 1 as k, count(*) over () as n from customer) select c_custkey, case when k < floor(n*0.2e0) then 'test' else 'train' end as part from r", "customer")
+def train_test_split(customer):
+    return selection.split_share(customer.select("c_custkey"), "c_custkey", 0.2, 42)
+
+
+@query(f"select c_custkey, (row_number() over (order by {_HASH.format('c_custkey', 1117)}, c_custkey) - 1) % 10 as fold from customer", "customer")
+def kfold(customer):
+    return selection.kfold(customer.select("c_custkey"), "c_custkey", 10, 1117)
+
+
+@query("""with w as (select crown_id, cast(round(area*1000) as bigint) w from crowns where cast(round(area*1000) as bigint) > 0), s as (select crown_id, w, sum(w) over (order by crown_id) - w as start_idx from w), t as (select sum(w) t from w),
+d as (select generate_series as draw, cast(floor(cast(('0x' || substr(md5(concat('7-', cast(generate_series as varchar))),1,8)) as bigint)/4294967296.0e0*(select t from t)) as bigint) as pos from generate_series(cast(0 as bigint),cast(499 as bigint)))
+select draw, crown_id from d join s on pos >= start_idx and pos < start_idx + w""", "crowns")
+def weighted_sample(crowns):
+    return selection.weighted_sample(crowns, "crown_id", "area", 500, 7)
+
+
+@query(f"with r as (select yr, src_row, row_number() over (partition by yr order by {_HASH.format('src_row', 42)}, src_row) k, count(*) over (partition by yr) n from foot) select yr, src_row from r where k <= ceil(0.01e0*n)", "foot")
+def sample_grid_cells(foot):
+    w = Window.partitionBy("yr").orderBy(selection.hash_order("src_row", 42), "src_row")
+    sizes = foot.groupBy("yr").agg(F.count("*").alias("n"))
+    return foot.select("yr", "src_row", F.row_number().over(w).alias("k")).join(sizes, "yr").where(F.col("k") <= F.ceil(0.01 * F.col("n"))).select("yr", "src_row")
+
+
+@query(f"select c_custkey, case when cast(('0x' || substr({_HASH.format('c_nationkey', 3)},1,8)) as bigint)/4294967296.0e0 > 0.2e0 then 'train' else 'val' end as part from customer", "customer")
+def file_split(customer):
+    u = F.conv(F.substring(selection.hash_order("c_nationkey", 3), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return customer.select("c_custkey", F.when(u > 0.2, "train").otherwise("val").alias("part"))
+
+
+@query(f"with r as (select c_custkey, c_nationkey, row_number() over (partition by c_nationkey order by {_HASH.format('c_custkey', 5)}, c_custkey) k, count(*) over (partition by c_nationkey) n from customer) select c_custkey, c_nationkey, case when k <= floor(n*0.1e0) then 'val' else 'train' end as part from r", "customer")
+def stratified_split(customer):
+    w = Window.partitionBy("c_nationkey")
+    k = F.row_number().over(w.orderBy(selection.hash_order("c_custkey", 5), "c_custkey"))
+    return customer.select("c_custkey", "c_nationkey", F.when(k <= F.floor(F.count("*").over(w) * 0.1), "val").otherwise("train").alias("part"))
+
+
+# ---- grids -----------------------------------------------------------------------------------------------------------
+
+_REG = "g as (select rect_id, cast(y0 as bigint) y0, cast(x0 as bigint) x0, 300 + (rect_id % 5) * 77 as h, 40 + (rect_id % 7) * 111 as w from rects)"
+
+
+def _regions(rects: DataFrame) -> DataFrame:
+    return rects.select("rect_id", long("y0").alias("y0"), long("x0").alias("x0"), (300 + (F.col("rect_id") % 5) * 77).alias("h"), (40 + (F.col("rect_id") % 7) * 111).alias("w"))
+
+
+def _gen(y: str, x: str) -> str:
+    return f"cross join lateral (select unnest({y}) as row_off) yy cross join lateral (select unnest({x}) as col_off) xx"
+
+
+@query(f"with {_REG} select rect_id, row_off, col_off, row_number() over (partition by rect_id order by row_off, col_off) - 1 as patch_idx from g {_gen('generate_series(y0-64, y0+h-128+64, 128)', 'generate_series(x0-64, x0+w-128+64, 128)')}", "rects")
+def patch_grid(rects):
+    return grid.patch_grid(_regions(rects), 256, 128, 64).select("rect_id", "row_off", "col_off", "patch_idx")
+
+
+@query(f"with {_REG} select rect_id, row_off, col_off from g {_gen('generate_series(0, h-256, 64)', 'generate_series(0, w-256, 64)')}", "rects")
+def patchify(rects):
+    return grid.patchify(_regions(rects), 256, 64).select("rect_id", "row_off", "col_off")
+
+
+@query(f"with {_REG} select rect_id, row_off, col_off, least(h-row_off,256) h_patch, least(w-col_off,256) w_patch from g {_gen('generate_series(0, h, 128)', 'generate_series(0, w, 128)')}", "rects")
+def window_index(rects):
+    return grid.window_index(_regions(rects), 256, 128).select("rect_id", "row_off", "col_off", "h_patch", "w_patch")
+
+
+@query(f"with {_REG}, a as (select rect_id, row_off, col_off, row_number() over (partition by rect_id order by row_off, col_off) - 1 as patch_idx from g {_gen('generate_series(0, h-64, 32)', 'generate_series(0, w-64, 32)')}) select * from a where patch_idx >= 5 and patch_idx < 17", "rects")
+def window_range(rects):
+    return grid.window_range(_regions(rects), 64, 32, 5, 17).where("w >= 64").select("rect_id", "row_off", "col_off", "patch_idx")
+
+
+@query(f"with {_REG} select rect_id, row_off, col_off, least(row_off+200,h) row_end, least(col_off+150,w) col_end from g {_gen('generate_series(0, h-1, 200)', 'generate_series(0, w-1, 150)')}", "rects")
+def raster_blocks(rects):
+    return grid.raster_blocks(_regions(rects), 200, 150).select("rect_id", "row_off", "col_off", "row_end", "col_end")
+
+
+@query(f"with {_REG} select rect_id, 128-(h-256)%128 as pad_h, 128-(w-256)%128 as pad_w, (128-(h-256)%128)//2 as h_top, (128-(w-256)%128)//2 as w_top from g", "rects")
+def pad_even(rects):
+    return grid.pad_even(_regions(rects), 256, 128).select("rect_id", "pad_h", "pad_w", "h_top", "w_top")
+
+
+@query("select b.box_id, yy.y, xx.x from boxes b cross join lateral (select unnest(generate_series(cast(ceil(y0-0.5e0) as bigint), cast(ceil(y1-0.5e0) as bigint)-1)) as y) yy cross join lateral (select unnest(generate_series(cast(ceil(x0-0.5e0) as bigint), cast(ceil(x1-0.5e0) as bigint)-1)) as x) xx", "boxes")
+def rasterize_boxes(boxes):
+    centre = lambda a, b: F.sequence(F.ceil(F.col(a) - 0.5), F.ceil(F.col(b) - 0.5) - 1)
+    return boxes.select("box_id", F.explode(centre("y0", "y1")).alias("y"), "x0", "x1").select("box_id", "y", F.explode(centre("x0", "x1")).alias("x"))
+
+
+@query("""with p as (select vec_id // 4 as gy, vec_id % 4 as gx, unnest(range(64)) as i, unnest(embedding) as v from tiles where vec_id < 16), q as (select gy*4 + i//8 - 2 as y, gx*4 + i%8 - 2 as x, i//8 as iy, i%8 as ix, cast(v as double) v from p)
+select y, x, v from q where iy between 2 and 5 and ix between 2 and 5 and y < 15 and x < 14""", "tiles")
+def unpatchify(t):
+    from .operators.mosaic import stitch
+
+    patches = t.where("vec_id < 16").select(F.expr("vec_id div 4").alias("gy"), (F.col("vec_id") % 4).alias("gx"), F.col("embedding").alias("tile"))
+    return stitch(patches, 8, 2, 15, 14)
+
+
+def _maps(name: str, expr: Callable, sql: str) -> None:
+    def run(t):
+        return t.select("vec_id", F.transform(expr(F.col("embedding")), lambda x: x.cast("double")).alias("tile"))
+
+    run.__name__ = name
+    query(f"select vec_id, list_transform({sql}, lambda i: cast(embedding[i+1] as double)) as tile from tiles", "tiles")(run)
+
+
+_maps("flip_h", lambda e: tiles.flip_h(e, 8, 8), "range(64)".replace("range(64)", "list_transform(range(64), lambda k: k//8*8 + 7 - k%8)"))
+_maps("flip_v", lambda e: tiles.flip_v(e, 8, 8), "list_transform(range(64), lambda k: (7 - k//8)*8 + k%8)")
+_maps("center_crop", lambda e: tiles.center_crop(e, 8, 8, 4, 4), "list_transform(range(16), lambda k: (k//4+2)*8 + k%4+2)")
+_maps("reflect_pad", lambda e: tiles.reflect_pad(e, 8, 8, 2, 2, 2, 2), "list_transform(range(144), lambda k: (7-abs(7-abs(k//12-2)))*8 + 7-abs(7-abs(k%12-2)))")
+_maps("resample_nearest", lambda e: tiles.resample_nearest(e, 8, 8, 12, 12), "list_transform(range(144), lambda k: (k//12*8//12)*8 + (k%12*8//12))")
+
+
+@query("select vec_id, list_transform(embedding, lambda x: round((cast(x as double)-0.1e0)/0.2e0,6)) as tile from tiles", "tiles")
+def normalize_fixed(t):
+    return t.select("vec_id", F.transform(tiles.normalize(F.col("embedding"), 0.1, 0.2), lambda x: F.round(x, 6)).alias("tile"))
+
+
+@query("select y, x, case when y between 20 and 79 and x between 15 and 69 then v else 0 end as v from ras", "ras")
+def unmask_edges(ras):
+    return ras.select("y", "x", F.when(F.col("y").between(20, 79) & F.col("x").between(15, 69), F.col("v")).otherwise(0).alias("v"))
+
+
+@query("""with h as (select patch_id, cast(floor(prob*50) as bigint) q, count(*) n from px group by 1,2), c as (select *, sum(n) over (partition by patch_id order by q) as cdf, sum(n) over (partition by patch_id) as total, first_value(n) over (partition by patch_id order by q) as low from h)
+select patch_id, q, case when total = low then cast(q as double) else round((cdf-low)/cast(total-low as double)*50) end as v from c""", "px")
+def hist_equalize(px):
+    from .operators.mosaic import equalized_levels
+
+    return equalized_levels(px.withColumn("q", F.floor(F.col("prob") * 50)), "patch_id", "q", 50)
+
+
+@query("""select vec_id, list_transform(range(1,17), lambda i: round((2*cast(embedding[i+16] as double)-cast(embedding[i] as double)-cast(embedding[i+32] as double))*255,4)) as exg, list_transform(range(1,17), lambda i: round((3*cast(embedding[i+16] as double)-2.4e0*cast(embedding[i] as double)-cast(embedding[i+32] as double))*255,4)) as exgr from tiles""", "tiles")
+def veg_indices(t):
+    e = F.col("embedding")
+    index = lambda f: F.transform(tiles.veg_index(e, 16, f), lambda x: F.round(x, 4))
+    return t.select("vec_id", index(tiles.exg).alias("exg"), index(tiles.exgr).alias("exgr"))
+
+
+@query("""with r as (select c_custkey as id, cast(1 + c_custkey % 97 as double) w, cast(1 + c_custkey % 53 as double) h, radians(cast(c_custkey % 180 as double)) a from customer), s as (select *, abs(sin(a)) sa, abs(cos(a)) ca, greatest(w,h) l, least(w,h) m from r)
+select id, round(case when m <= 2*sa*ca*l or abs(sa-ca) < 1e-10 then case when w >= h then 0.5e0*m/sa else 0.5e0*m/ca end else (w*ca-h*sa)/(ca*ca-sa*sa) end,6) as wr, round(case when m <= 2*sa*ca*l or abs(sa-ca) < 1e-10 then case when w >= h then 0.5e0*m/ca else 0.5e0*m/sa end else (h*ca-w*sa)/(ca*ca-sa*sa) end,6) as hr from s""", "customer")
+def rotated_rect(customer):
+    from .functions.geometry import rotated_rect as inner
+
+    own = customer.select(F.col("c_custkey").alias("id"), (1 + F.col("c_custkey") % 97).cast("double").alias("w"), (1 + F.col("c_custkey") % 53).cast("double").alias("h"), F.radians((F.col("c_custkey") % 180).cast("double")).alias("a"))
+    wr, hr = inner(F.col("w"), F.col("h"), F.col("a"))
+    return own.select("id", r9(wr, 6).alias("wr"), r9(hr, 6).alias("hr"))
+
+
+_CC = "m as (select y, x, y // 12 as ty, x // 12 as tx, (y % 12)*12 + x % 12 + 1 as pos from ras where v = 1), cc(ty, tx, y, x, label) as (select ty, tx, y, x, pos from m union select m.ty, m.tx, m.y, m.x, cc.label from cc join m on m.ty = cc.ty and m.tx = cc.tx and abs(m.y-cc.y)+abs(m.x-cc.x) = 1 and cc.label < m.pos)"
+
+
+@query(f"with recursive {_CC} select y, x, min(label) as label from cc group by 1,2", "ras")
+def components(ras):
+    from .operators.mosaic import tile_components
+
+    return tile_components(ras, 12).select("y", "x", "label")
+
+
+@query(f"with recursive {_CC}, l as (select ty, tx, y, x, min(label) as label from cc group by 1,2,3,4) select ty, tx, label, count(*) as n from l group by 1,2,3", "ras")
+def component_sizes(ras):
+    from .operators.mosaic import tile_components
+
+    return tile_components(ras, 12).groupBy("ty", "tx", "label").agg(F.count("*").alias("n"))
+
+
+@query(f"with recursive {_CC}, l as (select ty, tx, y, x, min(label) as label from cc group by 1,2,3,4) select ty, tx, label, round(avg(x+0.5e0),6) cx, round(avg(y+0.5e0),6) cy, round(count(*)*0.04e0,6) area from l group by 1,2,3", "ras")
+def crown_centroids(ras):
+    from .operators.mosaic import tile_components
+
+    by = tile_components(ras, 12).groupBy("ty", "tx", "label")
+    return by.agg(r9(F.avg(F.col("x") + 0.5), 6).alias("cx"), r9(F.avg(F.col("y") + 0.5), 6).alias("cy"), r9(F.count("*") * 0.04, 6).alias("area"))
+
+
+@query("select rect_id, (x1-x0)*(y1-y0) as area_m2, round(sqrt((x1-x0)*(y1-y0)/pi()),9) as radius, (x1-x0)*(y1-y0)/0.04e0 as area_px, (x0+x1)/2 as cx, (y0+y1)/2 as cy from rects", "rects")
+def crown_attributes(rects):
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    return rects.select("rect_id", area.alias("area_m2"), r9(F.sqrt(area / F.pi())).alias("radius"), (area / 0.04).alias("area_px"), ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+
+
+@query("""with g as (select box_id, x0-2 as gx0, y0-2 as gy0, x1+2 as gx1, y1+2 as gy1 from boxes), c as (select g.box_id, yy.y, xx.x from g cross join lateral (select unnest(generate_series(cast(gy0 as bigint), cast(gy1 as bigint)-1)) as y) yy cross join lateral (select unnest(generate_series(cast(gx0 as bigint), cast(gx1 as bigint)-1)) as x) xx),
+n as (select y, x from c group by 1,2 having count(distinct box_id) > 1), o as (select distinct yy.y, xx.x from boxes b cross join lateral (select unnest(generate_series(cast(y0 as bigint), cast(y1 as bigint)-1)) as y) yy cross join lateral (select unnest(generate_series(cast(x0 as bigint), cast(x1 as bigint)-1)) as x) xx)
+select y, x from n except select y, x from o""", "boxes")
+def boundary_weights(boxes):
+    from .operators.mosaic import boundary_cells
+
+    return boundary_cells(boxes, 2)
+
+
+# ---- scalar functions ------------------------------------------------------------------------------------------------
+
+
+@query("select rect_id, 10.0e0 + x0*0.2e0 as left_, 50.0e0 - y0*0.2e0 as top, 10.0e0 + x1*0.2e0 as right_, 50.0e0 - y1*0.2e0 as bottom from rects", "rects")
+def georef_window(rects):
+    from .functions.geometry import apply_affine
+
+    gt = (0.2, 0.0, 10.0, 0.0, -0.2, 50.0)
+    left, top = apply_affine(gt, F.col("x0"), F.col("y0"))
+    right, bottom = apply_affine(gt, F.col("x1"), F.col("y1"))
+    return rects.select("rect_id", left.alias("left_"), top.alias("top"), right.alias("right_"), bottom.alias("bottom"))
+
+
+@query("select c_custkey, round(100/(111320.0e0*cos(radians(abs(cast(c_custkey % 120 - 60 as double))))),12) as dx, round(100/110540.0e0,12) as dy from customer", "customer")
+def metres_to_degrees(customer):
+    from .functions.geometry import metres_to_degrees as convert
+
+    dx, dy = convert(F.lit(100.0), F.lit(100.0), (F.col("c_custkey") % 120 - 60).cast("double"))
+    return customer.select("c_custkey", r9(dx, 12).alias("dx"), r9(dy, 12).alias("dy"))
+
+
+@query("with n as (select o_orderkey, concat('tile_', cast(year(o_orderdate) as varchar), '_', cast(o_custkey as varchar), '.tif') as name from orders) select o_orderkey, cast(regexp_extract(name, '_([0-9]{4})_', 1) as bigint) yr, cast(regexp_extract(name, '_([0-9]+)\\.tif', 1) as bigint) id, replace(name, '.tif', '.gpkg') as target from n", "orders")
+def parse_tile_name(orders):
+    own = orders.select("o_orderkey", F.concat(F.lit("tile_"), F.year("o_orderdate").cast("string"), F.lit("_"), F.col("o_custkey").cast("string"), F.lit(".tif")).alias("name"))
+    return own.select("o_orderkey", long(F.regexp_extract("name", "_([0-9]{4})_", 1)).alias("yr"), long(F.regexp_extract("name", r"_([0-9]+)\.tif", 1)).alias("id"), F.replace("name", F.lit(".tif"), F.lit(".gpkg")).alias("target"))
+
+
+@query("with e as (select event_id, hour(ts)*3600 + minute(ts)*60 + cast(floor(second(ts)) as bigint) as s from events) select event_id, cast(case when s >= 72000 or s < 21600 then 0 else 72000 - s end as bigint) as wait from e", "events")
+def seconds_until_window(events):
+    from .functions.geometry import seconds_until
+
+    return events.select("event_id", seconds_until(F.col("ts"), 20, 6).alias("wait"))
+
+
+# ---- kernels and loops without SQL -----------------------------------------------------------------------------------
+
+
+@query("""with b as (select rect_id as id, 2000 + rect_id % 3 as yr, cast(x0 as bigint) ix0, cast(y0 as bigint) iy0, cast(x1 as bigint) ix1, cast(y1 as bigint) iy1 from rects), a as (select *, 1 as keep from b where yr = 2002),
+p as (select b.*, yy.y, xx.x from b cross join lateral (select unnest(generate_series(iy0, iy1-1)) as y) yy cross join lateral (select unnest(generate_series(ix0, ix1-1)) as x) xx),
+c2 as (select distinct y, x from p where yr = 2002), k1 as (select p.id from p left join c2 on c2.y=p.y and c2.x=p.x where p.yr = 2001 group by 1 having count(c2.y) < 0.95e0*count(*)),
+c1 as (select y, x from c2 union select y, x from p where id in (select id from k1)), k0 as (select p.id from p left join c1 on c1.y=p.y and c1.x=p.x where p.yr = 2000 group by 1 having count(c1.y) < 0.95e0*count(*))
+select id, yr from b where yr = 2002 or id in (select id from k1) or id in (select id from k0)""", "rects")
+def coverage_select(rects):
+    own = rects.select(F.col("rect_id").alias("id"), (2000 + F.col("rect_id") % 3).alias("yr"), long("x0").alias("ix0"), long("y0").alias("iy0"), long("x1").alias("ix1"), long("y1").alias("iy1"))
+    return selection.coverage_select(own).select("id", "yr")
+
+
+@query(None, "tiles")
+def resample_bilinear(t):
+    return tiles.map_tiles(t.select("vec_id", "embedding"), lambda a: tiles.bilinear(a, 12, 12), 8, 8).select("vec_id", "tile")
+
+
+@query(None, "tiles")
+def crown_segmentation(t):
+    return tiles.map_tiles(t.select("vec_id", "embedding"), lambda a: tiles.watershed(a > 0, 1, 2), 8, 8).select("vec_id", "tile")
+
+
+@query(None, "tiles")
+def rotate_tiles(t):
+    return tiles.map_tiles(t.select("vec_id", "embedding"), lambda a: tiles.rotate(a, 30), 8, 8).select("vec_id", "tile")
+
+
+@query(None, "tiles")
+def clahe_tiles(t):
+    return tiles.map_tiles(t.select("vec_id", "embedding"), lambda a: tiles.equalize(abs(a) % 1.0, 64, 2.0), 8, 8).select("vec_id", "tile")
+
+
+@query(None, "tiles")
+def color_jitter(t):
+    return tiles.map_tiles(t.select("vec_id", "embedding"), lambda a: tiles.jitter(abs(a) % 1.0, 1.2, 0.8), 8, 8).select("vec_id", "tile")
+
+
+@query(None, "rects")
+def rasterize_polygons(rects):
+    from .operators.mosaic import polygon_pixels
+
+    rings = rects.select("rect_id", F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((1.0, 1.0), (9.0, 2.0), (5.0, 9.5))]).alias("ring"))
+    return polygon_pixels(rings, "rect_id", "ring", 12, 12)
