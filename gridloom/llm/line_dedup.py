@@ -172,17 +172,13 @@ def line_dedup(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_
     empty line and stays null; empty keys never go; each row counts as a document, and rows with the same doc_id lose the same lines.
     Columns of docs by the names of the results are replaced. texts=False leaves the text column out.
     """
-    from .ngram_jaccard import ID_BITS, _id_bloom
+    from .ngram_jaccard import id_filter
 
-    spark = docs.sparkSession
     gone = repeated_lines(docs, min_docs=min_docs, min_chars=min_chars)
     if keep_first:
         gone = gone.where("doc_id <> first_doc")
     gone = materialize(gone.select("doc_id", "k1", "k2").distinct(), "gone")
-    bits = np.zeros(ID_BITS // 8, np.uint8)
-    for row in gone.select(F.coalesce("doc_id", F.lit(-1)).alias("id")).coalesce(4).mapInArrow(_id_bloom, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row["bits"], np.uint8)
-    held = spark.sparkContext.broadcast(bits)
+    held = id_filter(gone.select(F.coalesce("doc_id", F.lit(-1)).alias("id")))
     docs = docs.drop("n_lines", "n_dropped", "kept_sha256", "gone", "affected")
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     if not texts:

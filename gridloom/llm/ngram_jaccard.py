@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize, mix, row_shingles
 
-GROUPS = 16
+#: Groups of the points that go with every token, and of the finer points that the trees hold.
+GROUPS, FINE = 16, 1024
 #: A node of the tree holds so many points; shorter lists are one leaf.
 LEAF = 16
 #: Counters of the token sketch, and the pieces in which it is merged. Its size does not depend on the data.
@@ -44,7 +45,7 @@ class CountTree:
 
     def query(self, n: int, vector: np.ndarray, per_cent: int) -> np.ndarray:
         """Positions whose summed coordinate minima do not rule out the threshold."""
-        bound = np.minimum(self.high, vector).sum(1)
+        bound = np.minimum(self.high, vector).sum(1, dtype=np.int64)
         node = (100 * self.most >= per_cent * n) & (100 * n >= per_cent * self.least)
         node &= (100 + per_cent) * bound >= per_cent * (n + self.least)
         if not node.any():
@@ -56,28 +57,32 @@ class CountTree:
 
 def may_reach(n, vector, sizes, points, per_cent: int) -> np.ndarray:
     """Whether sizes and summed minima allow 100 * overlap >= per_cent * union."""
-    bound = np.minimum(vector, points).sum(-1)
+    bound = np.minimum(vector, points).sum(-1, dtype=np.int64)
     fits = (100 * np.minimum(n, sizes) >= per_cent * np.maximum(n, sizes))
     return fits & ((100 + per_cent) * bound >= per_cent * (n + sizes))
 
 
-def _scale(n):
+def _scale(n, groups: int):
     """Counts are stored in a byte each, in steps that fit the set's size, rounded up so that bounds stay bounds."""
-    return np.asarray(n) // (GROUPS * 32) + 1
+    return np.asarray(n) // (groups * 32) + 1
 
 
-def _vector(tokens: np.ndarray) -> np.ndarray:
-    counts = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-    return np.minimum(-(-counts // _scale(len(tokens))), 255).astype(np.uint8)
+def _vector(tokens: np.ndarray, groups: int) -> np.ndarray:
+    counts = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
+    return np.minimum(-(-counts // _scale(len(tokens), groups)), 255).astype(np.uint8)
 
 
-def _unpack(n: np.ndarray, v1: np.ndarray, v2: np.ndarray) -> np.ndarray:
-    packed = np.column_stack([v1, v2]).astype(np.int64).view(np.uint8).reshape(len(n), GROUPS).astype(np.int64)
-    out = packed * _scale(n)[:, None]
-    out[packed == 255] = 1 << 40  # a full byte bounds nothing
+def _counts(n: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Upper bounds of the group counts of points stored in bytes."""
+    out = np.minimum(packed.astype(np.int64) * _scale(n, packed.shape[1])[:, None], 65535).astype(np.uint16)
+    out[packed == 255] = 65535  # a full byte bounds nothing
     return out
 
 
+def _unpack(n: np.ndarray, v1: np.ndarray, v2: np.ndarray) -> np.ndarray:
+    return _counts(n, np.column_stack([v1, v2]).astype(np.int64).view(np.uint8).reshape(len(n), GROUPS))
+
+
 def _print(tokens: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set."""
     if not len(tokens):
@@ -121,11 +126,12 @@ def _add_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _ROUTES = "token long, doc long, n int, v1 long, v2 long"
 
 
-def _routes(batches: Iterator[pa.RecordBatch], shingle: int, per_cent: int, sketch) -> Iterator[pa.RecordBatch]:
-    """A row for each prefix token of each set, the rarest tokens first; equal sets of a task go once."""
+def _routes(batches: Iterator[pa.RecordBatch], shingle: int, per_cent: int, sketch, held) -> Iterator[pa.RecordBatch]:
+    """A row for each prefix token of each set, the rarest tokens first; only of the documents that stand for their set."""
     counts, seen = sketch.value, set()
     for batch in batches:
         token, doc, n, v1, v2 = [], [], [], [], []
+        batch = next(_needed(iter([batch]), held))
         ids = batch.column("doc_id").to_pylist()
         for k, tokens in enumerate(row_shingles(batch.column("text"), shingle)):
             size = len(tokens)
@@ -135,7 +141,7 @@ def _routes(batches: Iterator[pa.RecordBatch], shingle: int, per_cent: int, sket
             keep = size - -(-per_cent * size // 100) + 1
             often = counts[(tokens % np.uint64(SKETCH)).astype(np.int64)]
             token.append(tokens[np.argsort(often, kind="stable")[:keep]].view(np.int64))
-            one, two = _vector(tokens).view(np.int64)
+            one, two = _vector(tokens, GROUPS).view(np.int64)
             doc.append(np.full(keep, ids[k]))
             n.append(np.full(keep, size, np.int32))
             v1.append(np.full(keep, one))
@@ -144,7 +150,7 @@ def _routes(batches: Iterator[pa.RecordBatch], shingle: int, per_cent: int, sket
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), kind) for x, kind in ((token, pa.int64()), (doc, pa.int64()), (n, pa.int32()), (v1, pa.int64()), (v2, pa.int64()))], names=["token", "doc", "n", "v1", "v2"])
 
 
-_FOUND = "a long, b long, may boolean, many boolean, n int, v1 long, v2 long"
+_FOUND = "a long, b long, may boolean, many boolean"
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
@@ -169,14 +175,18 @@ def _lists(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.Reco
     got = _gather(batches)
     if got is None:
         return
-    order = np.lexsort((got["doc"], got["token"]))
-    token = got["token"][order]
-    first = np.ones(len(token), bool)
-    first[1:] = token[1:] != token[:-1]
+    _, list_of, sizes = np.unique(got["token"], return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(sizes[list_of] > 1)
+    got, list_of = {k: v[shared] for k, v in got.items()}, list_of[shared]
+    # A list's centre is the member that meets the most others in all lists, so that lists of one group share it.
+    _, own = np.unique(got["doc"], return_inverse=True)
+    weight = np.bincount(own, sizes[list_of])[own] if len(own) else np.zeros(0)
+    order = np.lexsort((got["doc"], -weight, list_of))
+    first = np.ones(len(order), bool)
+    first[1:] = list_of[order][1:] != list_of[order][:-1]
     start = np.flatnonzero(first)
-    length = np.diff(np.append(start, len(token)))
-    del token
-    start, length = start[length > 1], length[length > 1]
+    length = np.diff(np.append(start, len(order)))
+    del own, weight, list_of
     centre = order[np.repeat(start, length - 1)]
     member = order[np.repeat(start, length - 1) + 1 + np.arange((length - 1).sum()) - np.repeat(np.cumsum(length - 1) - (length - 1), length - 1)]
     many = np.repeat(length > 2, length - 1)
@@ -189,7 +199,7 @@ def _lists(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.Reco
         may = may_reach(size[c], points[0], size[m], points[1], per_cent)
         keep = (may | x) & (got["doc"][c] != got["doc"][m])
         c, m, x, may = c[keep], m[keep], x[keep], may[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(got["doc"][c]), pa.array(got["doc"][m]), pa.array(may), pa.array(x), pa.array(got["n"][m]), pa.array(got["v1"][m]), pa.array(got["v2"][m])], names=["a", "b", "may", "many", "n", "v1", "v2"])
+        yield pa.RecordBatch.from_arrays([pa.array(got["doc"][c]), pa.array(got["doc"][m]), pa.array(may), pa.array(x)], names=["a", "b", "may", "many"])
 
 
 def _leftovers(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
@@ -200,18 +210,18 @@ def _leftovers(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.
         return
     order = np.lexsort((got["doc"], got["centre"]))
     got = {k: v[order] for k, v in got.items()}
-    n = got["n"].astype(np.int64)
-    points, far, limit = _unpack(n, got["v1"], got["v2"]), got["far"], 1 - per_cent / 100 + 1e-9
+    n, far, limit = got["n"].astype(np.int64), got["far"], 1 - per_cent / 100 + 1e-9
     edges = np.flatnonzero(np.diff(got["centre"])) + 1
     for s, e in zip(np.append(0, edges), np.append(edges, len(n)), strict=True):
         names, counts = np.unique(got["part"][s:e], return_counts=True)
         if len(names) < 2:
             continue
         large = names[counts.argmax()]
-        tree = CountTree(n[s:e], points[s:e])
+        points = _counts(n[s:e], np.frombuffer(b"".join(got["vector"][s:e]), np.uint8).reshape(e - s, FINE))
+        tree = CountTree(n[s:e], points)
         a, b = [], []
         for u in np.arange(s, e)[got["part"][s:e] != large]:
-            near = tree.query(n[u], points[u], per_cent) + s
+            near = tree.query(n[u], points[u - s], per_cent) + s
             near = near[(got["part"][near] != got["part"][u]) & ~(np.abs(far[near] - far[u]) > limit)]
             near = near[(got["part"][near] == large) | (near > u)]
             a.append(np.full(len(near), got["doc"][u]))
@@ -219,6 +229,16 @@ def _leftovers(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
 
 
+def _points(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """The finer point of each document."""
+    for batch in batches:
+        n, vectors = [], []
+        for tokens in row_shingles(batch.column("text"), shingle):
+            n.append(len(tokens))
+            vectors.append(_vector(tokens, FINE).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(vectors, pa.binary())], names=["doc", "n", "vector"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """The exact overlap and sizes of each pair, from both whole texts."""
     last, one = None, None
@@ -242,8 +262,8 @@ def _needed(batches: Iterator[pa.RecordBatch], bloom) -> Iterator[pa.RecordBatch
         yield batch.filter(pa.array(_may_hold(bits, ids)) if len(ids) else pa.array([], pa.bool_()))
 
 
-#: Bits of the filter over the ids in pairs; fixed, and a full filter only costs shuffled text.
-ID_BITS = 1 << 24
+#: Bits of a filter over ids, which bounds its broadcast at 4 MB; a fuller filter only means more work, never less.
+ID_BITS = 1 << 25
 
 
 def _id_slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,21 +284,25 @@ def _id_bloom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, shingle: int, per_cent: int) -> DataFrame:
-    """pairs (a, b) with overlap, na, nb from the whole texts of docs. One filter of fixed size decides which texts move."""
-    spark = docs.sparkSession
+def id_filter(ids: DataFrame):
+    """A broadcast Bloom filter of fixed size over the column id."""
     bits = np.zeros(ID_BITS // 8, np.uint8)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).coalesce(4)
-    for row in ids.mapInArrow(_id_bloom, "bits binary").toLocalIterator():
+    for row in ids.coalesce(4).mapInArrow(_id_bloom, "bits binary").toLocalIterator():
         bits |= np.frombuffer(row["bits"], np.uint8)
-    held = spark.sparkContext.broadcast(bits)
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, shingle: int, per_cent: int) -> DataFrame:
+    """pairs (a, b) with overlap, na, nb from the whole texts of docs. One filter of fixed size decides which texts move."""
+    held = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")))
     texts = docs.select("doc_id", "text").mapInArrow(lambda b: _needed(b, held), "doc_id long, text string")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _verify(b, shingle), "a long, b long, overlap long, na long, nb long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of the ids in edges (a, b): the smallest id that links reach.
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, component) of the ids in edges (a, b): the smallest id that links reach; after a given number of rounds at
+    most, an id that links reach, so that ids of one component may still have several.
 
     Large and small stars by turns until nothing changes; each step is two aggregates and joins on its keys and is
     written to the shared folder. No step needs the edges of a node in one task.
@@ -288,13 +312,15 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         now = materialize(small, "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        rounds = None if rounds is None else rounds - 1
+        if state == before or rounds == 0:
+            least = now if state == before else now.groupBy("u").agg(F.min("v").alias("v"))
+            return least.select(F.col("u").alias("id"), F.col("v").alias("component"))
         before = state
 
 
@@ -311,7 +337,8 @@ def jaccard_links(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75) -> t
     sets = first.where("piece is null").select("doc_id", "n", "fp1", "fp2")
     named = sets.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("class_id"))
     known = materialize(sets.where("n > 0").join(named, ["fp1", "fp2", "n"]).select("doc_id", "n", "class_id").unionAll(sets.where("n = 0").select("doc_id", "n", "doc_id")), "classes")
-    routes = docs.mapInArrow(lambda b: _routes(b, shingle, per_cent, sketch), _ROUTES)
+    stands = id_filter(known.where("n > 0").select(F.col("class_id").alias("id")).where("id is not null").distinct())
+    routes = docs.mapInArrow(lambda b: _routes(b, shingle, per_cent, sketch, stands), _ROUTES)
     found = materialize(routes.repartition("token").mapInArrow(lambda b: _lists(b, per_cent), _FOUND), "lists")
     ids = known.select("doc_id", "class_id").where("doc_id is not null").distinct()
 
@@ -327,14 +354,17 @@ def jaccard_links(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75) -> t
     tested = materialize(verified(docs, materialize(ordered(stars.where("may")), "pairs"), shingle, per_cent), "tested")
     links = tested.where(union)
     # Members of a list that the star left in different components may still be linked with each other.
-    parts = components(links.select("a", "b"))
-    rows = stars.where("many").groupBy(F.col("a").alias("centre"), F.col("b").alias("doc")).agg(*(F.first(x).alias(x) for x in ("n", "v1", "v2")))
+    parts = components(links.select("a", "b"), rounds=2)
+    rows = stars.where("many").select(F.col("a").alias("centre"), F.col("b").alias("doc")).distinct()
     rows = materialize(rows.join(parts.withColumnsRenamed({"id": "doc", "component": "part"}), "doc", "left").withColumn("part", F.coalesce("part", "doc")), "members")
     mixed = rows.groupBy("centre").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("centre")
     far = tested.select("a", "b", (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("far"))
     far = far.unionAll(far.select("b", "a", "far")).withColumnsRenamed({"a": "centre", "b": "doc"})
     rows = rows.join(mixed, "centre", "left_semi").join(far, ["centre", "doc"], "left")
-    rows = rows.select("centre", "doc", "n", "v1", "v2", "part", F.coalesce("far", F.lit(float("nan"))).alias("far"))
+    rows = materialize(rows.select("centre", "doc", "part", F.coalesce("far", F.lit(float("nan"))).alias("far")), "mixed")
+    held = id_filter(rows.select(F.col("doc").alias("id")))
+    points = docs.select("doc_id", "text").mapInArrow(lambda b: _points(_needed(b, held), shingle), "doc long, n long, vector binary").dropDuplicates(["doc"])
+    rows = rows.join(points, "doc").select("centre", "doc", "n", "vector", "part", "far")
     more = ordered(rows.repartition("centre").mapInArrow(lambda b: _leftovers(b, per_cent), "a long, b long"))
     more = materialize(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more")
     known = known.withColumnRenamed("n", "n_shingles")
