@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.llm import byte_bpe, decontamination, language_id, line_dedup, ngram_jaccard
-from gridloom.llm.common import materialize, table
+from gridloom.llm.common import keeping_columns, materialize, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the lines that ten documents or more hold; n_chars follows the text."""
-    return line_dedup.line_dedup(docs, min_docs=10).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = keeping_columns(docs, ("n_lines", "n_dropped", "kept_sha256"), lambda d: line_dedup.line_dedup(d, min_docs=10))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -168,3 +168,10 @@ def row_shingles(column: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
     for a, b in slices(ends):
         words, bounds = hashed_words(data, ends[a : b + 1])
         yield from shingles(words, bounds, size)
+
+
+def keeping_columns(docs: DataFrame, names: tuple[str, ...], stage) -> DataFrame:
+    """stage(docs) with docs's own columns of the given names set aside meanwhile; only docs's columns are returned."""
+    clash = {x: f"{x}__own" for x in docs.columns if x in names}
+    out = stage(docs.withColumnsRenamed(clash))
+    return out.drop(*clash).withColumnsRenamed({v: k for k, v in clash.items()}).select(*[f"`{c}`" for c in docs.columns])

@@ -127,14 +127,14 @@ def _split(batches: Iterator[pa.RecordBatch], ids) -> Iterator[pa.RecordBatch]:
     bits = ids.value
     for batch in batches:
         doc = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.uint64)
-        yield batch.append_column("affected", pa.array(_may_hold(bits, doc) if len(doc) else [], pa.bool_()))
+        yield batch.append_column("affected__", pa.array(_may_hold(bits, doc) if len(doc) else [], pa.bool_()))
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch], extra: bool) -> Iterator[pa.RecordBatch]:
     """Texts without the lines whose key is among the row's gone keys."""
     for batch in batches:
         texts, lines, dropped, sums = [], [], [], []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+        for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone__").to_pylist(), strict=True):
             whole = "" if text is None else text
             n, cut = whole.count("\n") + 1, 0
             if gone:
@@ -149,7 +149,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch], extra: bool) -> Iterator[pa.Reco
         new = {"text": pa.array(texts, pa.string()), "n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept_sha256": pa.array(sums, pa.string())}
         if not extra:
             new.pop("text")
-        names = [x for x in batch.schema.names if x not in ("gone", "text")]
+        names = [x for x in batch.schema.names if x not in ("gone__", "text")]
         yield pa.RecordBatch.from_arrays([batch.column(x) for x in names] + list(new.values()), names=[*names, *new])
 
 
@@ -179,16 +179,16 @@ def line_dedup(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_
         gone = gone.where("doc_id <> first_doc")
     gone = materialize(gone.select("doc_id", "k1", "k2").distinct(), "gone")
     held = id_filter(gone.select(F.coalesce("doc_id", F.lit(-1)).alias("id")))
-    docs = docs.drop("n_lines", "n_dropped", "kept_sha256", "gone", "affected")
+    docs = docs.drop("n_lines", "n_dropped", "kept_sha256")
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     if not texts:
         docs = docs.select("doc_id", "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    split = docs.mapInArrow(lambda b: _split(b, held), schema + ", affected boolean")
+    split = docs.mapInArrow(lambda b: _split(b, held), schema + ", affected__ boolean")
     kind = "array<struct<k1:bigint,k2:bigint>>"
-    lists = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list(F.struct("k1", "k2")).alias("gone"))
-    touched = split.where("affected").join(lists, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").drop("gone_id", "affected")
-    others = split.where("not affected").drop("affected").withColumn("gone", F.lit(None).cast(kind))
+    lists = gone.groupBy(F.col("doc_id").alias("gone_id__")).agg(F.collect_list(F.struct("k1", "k2")).alias("gone__"))
+    touched = split.where("affected__").join(lists, F.col("doc_id").eqNullSafe(F.col("gone_id__")), "left").drop("gone_id__", "affected__")
+    others = split.where("not affected__").drop("affected__").withColumn("gone__", F.lit(None).cast(kind))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
     out += (", text string" if texts else "") + ", n_lines long, n_dropped long, kept_sha256 string"
     parts = [x.mapInArrow(lambda b: _rewrite(b, texts), out) for x in (touched, others)]
