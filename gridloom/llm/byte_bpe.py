@@ -45,18 +45,25 @@ def mergeable(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
+#: What an unused slot holds: it differs from every left id, so it says no merge.
+_EMPTY = 1 << 40
+#: Ranks from here on say that a pair doesn't merge.
+_NEVER = 1 << 16
+
+
 @lru_cache(2)
 def _tables(path: str) -> tuple[str, str, str]:
     """The rank map as JSON arrays: for each left id a shift, the slots (left id and merged id in one number), the byte ids.
 
-    The pair (a, b) is at shift[a] + b; rows are laid over each other, the largest first, where they don't collide.
+    The pair (a, b) is at shift[a] + b; rows are laid over each other, the largest first, where they don't collide. The id
+    after the last one stands for an edge: it merges with nothing.
     """
     ranks = read_ranks(path)
     rows: dict[int, list[tuple[int, int]]] = {}
     for (a, b), token in mergeable(ranks).items():
         rows.setdefault(a, []).append((b, token))
     used, shifts = np.zeros(1 << 21, bool), [0] * (max(ranks.values()) + 1)
-    slots, low = np.full(len(used), -1, np.int64), 0
+    slots, low = np.full(len(used), _EMPTY, np.int64), 0
     for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
         rights = np.array([b for b, _ in row])
         first, shift, start = int(rights.min()), None, low
@@ -73,7 +80,9 @@ def _tables(path: str) -> tuple[str, str, str]:
         slots[shift + rights] = [a << 16 | token for _, token in row]
         while used[low]:
             low += 1
-    slots = slots[: int(np.flatnonzero(used)[-1]) + len(ranks) + 1]
+    last = int(np.flatnonzero(used)[-1])
+    shifts.append(last + 1)
+    slots = slots[: last + 2 * len(shifts) + 1]
     return json.dumps(shifts), json.dumps(slots.tolist()), json.dumps([ranks[bytes([b])] for b in range(256)])
 
 
@@ -83,26 +92,34 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def word_encoder(path: str) -> Callable[[Column], Column]:
-    """A function of a column of byte arrays (ints 0 to 255) that gives their token ids by the ranks of path."""
-    shifts, slots, byte_ids = (F.from_json(F.lit(x), "array<int>") if k != 1 else F.from_json(F.lit(x), "array<bigint>") for k, x in enumerate(_tables(path)))
+    """A function of a column of byte arrays (ints 0 to 255) that gives their token ids by the ranks of path.
+
+    The fold's state is the ids, with an edge at both ends, and each id's rank with the next one. A step merges the
+    pair of least rank, the leftmost of equals, and looks its two new neighbours up; once no pair merges it changes
+    nothing.
+    """
+    shifts, slots, byte_ids = (F.from_json(F.lit(x), "array<bigint>") for x in _tables(path))
+    edge = F.array(F.lit(len(json.loads(_tables(path)[0])) - 1).cast("bigint"))
 
     def rank(left: Column, right: Column) -> Column:
-        return _let(F.get(slots, F.get(shifts, left) + right), lambda v: F.when(F.shiftright(v, 16) == left, v.bitwiseAND(F.lit(65535)).cast("int")))
+        """The merged id, which is the rank; at least _NEVER where the slot is another left id's."""
+        return F.get(slots, (F.get(shifts, left.cast("int")) + right).cast("int")).bitwiseXOR(F.shiftleft(left, 16))
 
-    def merged(ids: Column, ranks: Column, best: Column, at: Column) -> Column:
-        """at: place of the pair from 1, the leftmost of equals."""
+    def merged(state: Column, at: Column) -> Column:
+        """at: place of the pair from 1."""
+        ids, ranks = state["ids"], state["ranks"]
+        best = F.get(ranks, at - 1)
         new_ids = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, F.size(ids)))
-        before = F.when(at > 1, F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(rank(F.get(ids, at - 2), best)))).otherwise(F.slice(ranks, F.lit(1), F.lit(0)))
-        after = F.when(at <= F.size(ids) - 2, F.concat(F.array(rank(best, F.get(ids, at + 1))), F.slice(ranks, at + 2, F.size(ranks)))).otherwise(F.slice(ranks, F.lit(1), F.lit(0)))
-        return _let(F.concat(before, after), lambda r: F.struct(new_ids.alias("ids"), r.alias("ranks"), F.array_min(r).alias("best")))
+        new_ranks = F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(rank(F.get(ids, at - 2), best), rank(best, F.get(ids, at + 1))), F.slice(ranks, at + 2, F.size(ids)))
+        return F.when(best >= _NEVER, state).otherwise(F.struct(new_ids.alias("ids"), new_ranks.alias("ranks")))
 
     def step(state: Column, _: Column) -> Column:
-        ids, ranks, best = state["ids"], state["ranks"], state["best"]
-        return F.when(best.isNull(), state).otherwise(_let(F.array_position(ranks, best).cast("int"), lambda at: merged(ids, ranks, best, at)))
+        return _let(F.array_position(state["ranks"], F.array_min(state["ranks"])).cast("int"), lambda at: merged(state, at))
 
     def encode(word: Column) -> Column:
-        start = _let(F.transform(word, lambda b: F.get(byte_ids, b)), lambda x: _let(F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y, i: rank(y, F.get(x, i + 1))), lambda r: F.struct(x.alias("ids"), r.alias("ranks"), F.array_min(r).alias("best"))))
-        return F.aggregate(F.slice(word, F.lit(1), F.size(word) - 1), start, step, lambda s: s["ids"])
+        padded = F.concat(edge, F.transform(word, lambda b: F.get(byte_ids, b)), edge)
+        start = _let(padded, lambda x: F.struct(x.alias("ids"), F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y, i: rank(y, F.get(x, i + 1))).alias("ranks")))
+        return F.aggregate(F.slice(word, F.lit(1), F.size(word) - 1), start, step, lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2))
 
     return encode
 
@@ -185,7 +202,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], pattern: str, names: list[str],
                     one, two = words[k].values, ids[k].values
                     if not len(one):
                         known.clear()
-                        units.firsts, units.rest = {}, {}
+                        units.clear()
                         continue
                     raw = one.flatten().to_numpy().astype(np.uint8).tobytes()
                     out = two.flatten().to_numpy().astype("<u4").tobytes()

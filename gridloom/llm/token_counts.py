@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from .units import Units, cut, groups
+from .units import Units, cut, encode_units, groups
 
 _units: dict[str, Units] = {}
 #: Where a token that crosses a boundary counts: in the section of its first character, of its last, or of the most of
@@ -27,7 +27,7 @@ def _spans(path: str) -> Units:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _units[path] = Units(lambda texts: [(np.array(e.offsets, np.int32).reshape(-1, 2), len(t)) for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True)], 120_000)
+        _units[path] = Units(lambda texts: [(spans, len(t)) for t, (_, spans) in zip(texts, encode_units(tokenizer, texts), strict=True)], 100_000)
     return _units[path]
 
 

@@ -30,7 +30,41 @@ from .units import Units, cut, groups
 #: Chunks have LEAST to MOST ids; between them a cut follows where the rolling hash has MASK bits zero.
 LEAST, MOST, MASK, WINDOW = 128, 4096, 511, 8
 _CODES = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64)).astype(np.uint32)
-_units: dict[tuple, Units] = {}
+_units: dict[str, Units] = {}
+#: Words that a worker remembers in each of two generations.
+WORDS = 300_000
+
+
+def _by_pieces(tokenizer: Tokenizer):
+    """Ids of units. A word and the comma or full stop after it are pieces of their own, so the word is looked up alone."""
+    marks = {mark: np.array(tokenizer.encode(mark, add_special_tokens=False).ids, "<u4").tobytes() for mark in ",."}
+    young: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
+
+    def of(texts: list[str]) -> list[bytes]:
+        nonlocal young, older
+        if len(young) > WORDS:
+            young, older = {}, young
+        split = [(t[1:-1], t[-1]) if t[-1:] in marks and t[:1] == " " and t[1:-1].isalpha() else (t[1:], "") if t[:1] == " " else (t, None) for t in texts]
+        new = []
+        for word in {u for u, mark in split if mark is not None}.difference(young):
+            if (ids := older.get(word)) is None:
+                new.append(word)
+            else:
+                young[word] = ids
+        for k in range(0, len(new), 20_000):
+            young.update(zip(part := new[k : k + 20_000], _spaced(tokenizer, part), strict=True))
+        return [np.array(tokenizer.encode(u, add_special_tokens=False).ids, "<u4").tobytes() if mark is None else young[u] + marks[mark] if mark else young[u] for u, mark in split]
+
+    return of
+
+
+def _spaced(tokenizer: Tokenizer, words: list[str]) -> list[bytes]:
+    """Ids of each word with a space in front, encoded as one text; no word begins or ends with white space."""
+    one = tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
+    ids, begins = np.array(one.ids, "<u4").tobytes(), np.cumsum([0, *(len(w) + 1 for w in words)])
+    cuts = (4 * np.searchsorted(np.array(one.offsets, np.int32).reshape(-1, 2)[:, 0], begins)).tolist()
+    return [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _encoder(path: str) -> Units:
@@ -38,7 +72,7 @@ def _encoder(path: str) -> Units:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _units[path] = Units(lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)])
+        _units[path] = Units(_by_pieces(tokenizer))
     return _units[path]
 
 

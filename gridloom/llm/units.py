@@ -7,10 +7,12 @@ two characters that are not white space begins a piece. Between such cuts a text
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import islice
 from typing import Any
 
+import numpy as np
+
 _TWO = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Units that a worker remembers; beyond it the cache starts anew, so that memory is bounded.
@@ -27,21 +29,34 @@ def cut(text: str) -> list[str]:
 
 
 class Units:
-    """Values of units, computed for many new units at once by of(list of texts)."""
+    """Values of units, computed for many new units at once by of(list of texts).
+
+    When the cache is full it becomes the older of two generations; what is used again comes back from there, so that
+    frequent units are never computed anew.
+    """
 
     def __init__(self, of: Callable[[list[str]], list[Any]], most: int = MOST):
         self.of, self.most = of, most
+        self.clear()
+
+    def clear(self) -> None:
         self.firsts: dict[str, Any] = {}
         self.rest: dict[str, Any] = {}
+        self.older: dict[str, Any] = {}
 
     def learn(self, cuts: list[list[str]]) -> None:
         """Make sure that the units of these texts have values."""
         if len(self.rest) + len(self.firsts) > self.most:
-            self.firsts, self.rest = {}, {}
+            self.firsts, self.rest, self.older = {}, {}, self.rest
         rest: set[str] = set()
         for units in cuts:
             rest.update(islice(units, 1, None))
-        new = list(rest.difference(self.rest))
+        new = []
+        for unit in rest.difference(self.rest):
+            if (value := self.older.get(unit)) is None:
+                new.append(unit)
+            else:
+                self.rest[unit] = value
         firsts = list({units[0] for units in cuts if units}.difference(self.firsts))
         values = self.of([f" {u}" for u in new] + firsts)
         self.rest.update(zip(new, values, strict=False))
@@ -54,6 +69,36 @@ class Units:
         return [self.firsts[units[0]], *map(self.rest.__getitem__, islice(units, 1, None))]
 
 
+#: Characters of units that are encoded as one text.
+JOINED = 200_000
+
+
+def encode_units(tokenizer, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Ids (little-endian unsigned 32-bit words) and character spans of each unit.
+
+    Units that begin with a space are put together to long texts, which begin a piece at each of them, and encoded at
+    once: a call for each unit would cost more than its encoding.
+    """
+    at = 0
+    while at < len(texts):
+        if texts[at][:1] != " " or texts[at][1:2].isspace() or texts[at][-1:].isspace():
+            one = tokenizer.encode(texts[at], add_special_tokens=False)
+            yield np.array(one.ids, "<u4").tobytes(), np.array(one.offsets, np.int32).reshape(-1, 2)
+            at += 1
+            continue
+        run, size = [], 0
+        while at < len(texts) and size < JOINED and texts[at][:1] == " " and not texts[at][1:2].isspace() and not texts[at][-1:].isspace():
+            run.append(texts[at])
+            size += len(texts[at])
+            at += 1
+        one = tokenizer.encode("".join(run), add_special_tokens=False)
+        ids, spans = np.array(one.ids, "<u4").tobytes(), np.array(one.offsets, np.int32).reshape(-1, 2)
+        begins = np.cumsum([0, *map(len, run)])
+        cuts = np.searchsorted(spans[:, 0], begins).tolist()
+        for k, begin in enumerate(begins[:-1].tolist()):
+            yield ids[4 * cuts[k] : 4 * cuts[k + 1]], spans[cuts[k] : cuts[k + 1]] - begin
+
+
 def groups(texts: list[str], most: int = 4 << 20) -> list[list[str]]:
     """Texts in groups of at most so many characters, or of one longer text."""
     out, size = [[]], 0
