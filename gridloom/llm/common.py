@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text hashed at once; bounds the temporary arrays of a worker (about 40 bytes each).
 SLICE_BYTES = 1 << 20
@@ -68,6 +68,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, name: str, most: int = 50_000) -> DataFrame:
+    """df written once, and marked for broadcast if it has at most so many rows (of bounded width); else it is joined by
+    a shuffle, whose hot keys adaptive execution splits."""
+    own = materialize(df, name)
+    return F.broadcast(own) if own.count() <= most else own
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))

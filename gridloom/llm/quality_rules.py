@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, small_side
 
 _WHITE = r"[\x20\x09-\x0D]+"
 _WORDY = r"[^\x20\x09-\x0D]"
@@ -75,6 +75,7 @@ def _estimate(rows: DataFrame) -> DataFrame:
     """Per group: the centre and Cholesky factor on the rows of least distance."""
     names = list(FEATURES)
     limit = rows.groupBy("_g").agg(F.percentile_approx("_d2", F.lit(MCD_SHARE), F.lit(1000)).alias("_limit"))
+    limit = small_side(limit, "limits")
     core = rows.join(limit, "_g").where("_d2 <= _limit")
     sums = [F.avg(x).alias(f"m{i}") for i, x in enumerate(names)]
     sums += [F.covar_pop(x, y).alias(f"c{i}{j}") for i, x in enumerate(names) for j, y in enumerate(names) if j <= i]
@@ -88,7 +89,7 @@ def _estimate(rows: DataFrame) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             found = found.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return found.select("_g", *[f"m{i}" for i in range(n)], *[f"l{i}{j}" for i in range(n) for j in range(i + 1)])
+    return small_side(found.select("_g", *[f"m{i}" for i in range(n)], *[f"l{i}{j}" for i in range(n) for j in range(i + 1)]), "estimates")
 
 
 def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
@@ -120,7 +121,9 @@ def quality_rules(docs: DataFrame, *, cutoff: float = CUTOFF) -> DataFrame:
     rows = stats.where("not base_failed")
     half = F.lit(0.5)
     centres = rows.groupBy("_g").agg(*[F.percentile_approx(x, half, F.lit(1000)).alias(f"m{i}") for i, x in enumerate(FEATURES)])
+    centres = small_side(centres, "centres")
     spread = rows.join(centres, "_g").groupBy("_g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(len(FEATURES))], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), half, F.lit(1000)).alias(f"s{i}") for i, x in enumerate(FEATURES)])
+    spread = small_side(spread, "spread")
     start = sum((_square((F.col(x) - F.col(f"m{i}")) / (1.4826 * F.col(f"s{i}") + least)) for i, (x, least) in enumerate(FEATURES.items())), F.lit(0.0))
     now = rows.join(spread, "_g").withColumn("_d2", start).select("doc_id", "_g", *FEATURES, "_d2")
     for _ in range(STEPS - 1):
