@@ -91,15 +91,23 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def word_encoder(path: str) -> Callable[[Column], Column]:
-    """A function of a column of byte arrays (ints 0 to 255) that gives their token ids by the ranks of path.
+def words_encoded(words: Column, path: str) -> Column:
+    """An array of byte arrays (ints 0 to 255) as their token ids by the ranks of path; the literal tables are in the
+    plan once."""
+    shifts, slots, byte_ids = (F.from_json(F.lit(x), "array<bigint>") for x in _tables(path))
+    tables = F.struct(shifts.alias("shifts"), slots.alias("slots"), byte_ids.alias("byte_ids"))
+    edge = len(_tables(path)[0].split(",")) - 1
+    return _let(tables, lambda t: F.transform(words, _word_encoder(t["shifts"], t["slots"], t["byte_ids"], edge)))
+
+
+def _word_encoder(shifts: Column, slots: Column, byte_ids: Column, last: int) -> Callable[[Column], Column]:
+    """A function of a byte array that gives its token ids.
 
     The fold's state is the ids, with an edge at both ends, and each id's rank with the next one. A step merges the
     pair of least rank, the leftmost of equals, and looks its two new neighbours up; once no pair merges it changes
     nothing.
     """
-    shifts, slots, byte_ids = (F.from_json(F.lit(x), "array<bigint>") for x in _tables(path))
-    edge = F.array(F.lit(len(json.loads(_tables(path)[0])) - 1).cast("bigint"))
+    edge = F.array(F.lit(last).cast("bigint"))
 
     def rank(left: Column, right: Column) -> Column:
         """The merged id, which is the rank; at least _NEVER where the slot is another left id's."""
@@ -242,7 +250,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, streams: tu
     for token, rank in ranks.items():
         pieces[rank] = token
     split = docs.mapInArrow(lambda b: _split(b, pattern, names), f"{kinds}, words__ array<array<int>>")
-    coded = split.withColumn("ids__", F.transform("words__", word_encoder(ranks_path)))
+    coded = split.withColumn("ids__", F.when(F.col("words__").isNotNull(), words_encoded(F.col("words__"), ranks_path)))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
     drop = [x for x in ("ids", "decoded") if x not in streams]
     schema = (out + ", " if out else "") + "".join(f"{x} binary, " for x in ("ids", "decoded") if x in streams) + "n_tokens long, ids_sha256 string, decoded_sha256 string"
