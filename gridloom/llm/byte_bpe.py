@@ -49,18 +49,22 @@ def mergeable(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 _EMPTY = 1 << 40
 #: Ranks from here on say that a pair doesn't merge.
 _NEVER = 1 << 16
+#: Bits of an id in the fold's state, where the rank begins there, and the least state of a pair that doesn't merge.
+_ID_BITS, _RANK_AT = 16, 46
+_DONE = _NEVER << _RANK_AT
 
 
 @lru_cache(2)
 def _tables(path: str) -> tuple[str, str, str]:
-    """The rank map as JSON arrays: for each left id a shift, the slots (left id and merged id in one number), the byte ids.
+    """The rank map as JSON arrays: for each left id a shift, the slots (left id and merged id in one number), the fold's
+    first number for each byte and the next one (256 at the end of a word), without its place.
 
     The pair (a, b) is at shift[a] + b; rows are laid over each other, the largest first, where they don't collide. The id
     after the last one stands for an edge: it merges with nothing.
     """
     ranks = read_ranks(path)
     rows: dict[int, list[tuple[int, int]]] = {}
-    for (a, b), token in mergeable(ranks).items():
+    for (a, b), token in (pairs := mergeable(ranks)).items():
         rows.setdefault(a, []).append((b, token))
     used, shifts = np.zeros(1 << 21, bool), [0] * (max(ranks.values()) + 1)
     slots, low = np.full(len(used), _EMPTY, np.int64), 0
@@ -82,8 +86,10 @@ def _tables(path: str) -> tuple[str, str, str]:
             low += 1
     last = int(np.flatnonzero(used)[-1])
     shifts.append(last + 1)
+    one = [ranks[bytes([b])] for b in range(256)]
+    firsts = [pairs.get((a, b), _NEVER) << _RANK_AT | a for a in one for b in [*one, -1]]
     slots = slots[: last + 2 * len(shifts) + 1]
-    return json.dumps(shifts), json.dumps(slots.tolist()), json.dumps([ranks[bytes([b])] for b in range(256)])
+    return json.dumps(shifts), json.dumps(slots.tolist()), json.dumps(firsts)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -94,40 +100,48 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def words_encoded(words: Column, path: str) -> Column:
     """An array of byte arrays (ints 0 to 255) as their token ids by the ranks of path; the literal tables are in the
     plan once."""
-    shifts, slots, byte_ids = (F.from_json(F.lit(x), "array<bigint>") for x in _tables(path))
-    tables = F.struct(shifts.alias("shifts"), slots.alias("slots"), byte_ids.alias("byte_ids"))
+    shifts, slots, firsts = (F.from_json(F.lit(x), "array<bigint>") for x in _tables(path))
+    tables = F.struct(shifts.alias("shifts"), slots.alias("slots"), firsts.alias("firsts"))
     edge = len(_tables(path)[0].split(",")) - 1
-    return _let(tables, lambda t: F.transform(words, _word_encoder(t["shifts"], t["slots"], t["byte_ids"], edge)))
+    return _let(tables, lambda t: F.transform(words, _word_encoder(t["shifts"], t["slots"], t["firsts"], edge)))
 
 
-def _word_encoder(shifts: Column, slots: Column, byte_ids: Column, last: int) -> Callable[[Column], Column]:
+def _word_encoder(shifts: Column, slots: Column, firsts: Column, last: int) -> Callable[[Column], Column]:
     """A function of a byte array that gives its token ids.
 
-    The fold's state is the ids, with an edge at both ends, and each id's rank with the next one. A step merges the
-    pair of least rank, the leftmost of equals, and looks its two new neighbours up; once no pair merges it changes
-    nothing.
+    The fold's state is one array: a number for each token, with an edge at both ends, of its rank with the next token
+    (upper bits), the place of its first byte (30 bits) and its id (16 bits). So the least number is the pair of least
+    rank, the leftmost of equals. A step merges that pair and looks its two new neighbours up; once no pair merges it
+    changes nothing.
     """
-    edge = F.array(F.lit(last).cast("bigint"))
+
+    def token(x: Column) -> Column:
+        return x.bitwiseAND((1 << _ID_BITS) - 1)
 
     def rank(left: Column, right: Column) -> Column:
-        """The merged id, which is the rank; at least _NEVER where the slot is another left id's."""
-        return F.get(slots, (F.get(shifts, left.cast("int")) + right).cast("int")).bitwiseXOR(F.shiftleft(left, 16))
+        """The merged id, which is the rank, in its place in the state; _NEVER where the slot is another left id's."""
+        found = F.get(slots, (F.get(shifts, left.cast("int")) + right).cast("int")).bitwiseXOR(F.shiftleft(left, _ID_BITS))
+        return F.shiftleft(F.least(found, F.lit(_NEVER).cast("bigint")), _RANK_AT)
+
+    def place(x: Column) -> Column:
+        return x.bitwiseAND((1 << _RANK_AT) - (1 << _ID_BITS))
 
     def merged(state: Column, at: Column) -> Column:
-        """at: place of the pair from 1."""
-        ids, ranks = state["ids"], state["ranks"]
-        best = F.get(ranks, at - 1)
-        new_ids = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, F.size(ids)))
-        new_ranks = F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(rank(F.get(ids, at - 2), best), rank(best, F.get(ids, at + 1))), F.slice(ranks, at + 2, F.size(ids)))
-        return F.when(best >= _NEVER, state).otherwise(F.struct(new_ids.alias("ids"), new_ranks.alias("ranks")))
+        """at: place of the pair in state from 1."""
+        pair = F.get(state, at - 1)
+        best, before = F.shiftright(pair, _RANK_AT), F.get(state, at - 2)
+        new_pair = rank(best, token(F.get(state, at + 1))).bitwiseOR(place(pair)).bitwiseOR(best)
+        new_before = rank(token(before), best).bitwiseOR(before.bitwiseAND((1 << _RANK_AT) - 1))
+        one_less = F.array_remove(state, F.get(state, at))
+        return F.transform(one_less, lambda x: F.when(x == pair, new_pair).when(x == before, new_before).otherwise(x))
 
     def step(state: Column, _: Column) -> Column:
-        return _let(F.array_position(state["ranks"], F.array_min(state["ranks"])).cast("int"), lambda at: merged(state, at))
+        return _let(F.array_position(state, F.array_min(state)).cast("int"), lambda at: F.when(F.get(state, at - 1) >= _DONE, state).otherwise(merged(state, at)))
 
     def encode(word: Column) -> Column:
-        padded = F.concat(edge, F.transform(word, lambda b: F.get(byte_ids, b)), edge)
-        start = _let(padded, lambda x: F.struct(x.alias("ids"), F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda y, i: rank(y, F.get(x, i + 1))).alias("ranks")))
-        return F.aggregate(F.slice(word, F.lit(1), F.size(word) - 1), start, step, lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2))
+        numbers = F.transform(word, lambda b, i: F.get(firsts, b * 257 + F.coalesce(F.get(word, i + 1), F.lit(256))).bitwiseOR(F.shiftleft((i + 1).cast("bigint"), _ID_BITS)))
+        start = F.concat(F.array(F.lit(_DONE + last)), numbers, F.array(F.lit(2 * _DONE - (1 << _ID_BITS) + last)))
+        return F.aggregate(F.slice(word, F.lit(1), F.size(word) - 1), start, step, lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 2), token))
 
     return encode
 
