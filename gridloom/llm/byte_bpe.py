@@ -20,12 +20,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .units import Units, cut, groups
+from .common import buffers, slices
+from .units import Units, cut
 
 #: Words in a row of step 1.
 CHUNK = 1000
 #: Words that a task remembers; beyond it forgets all and sends words anew, so that memory is bounded.
 REMEMBERED = 1_500_000
+#: Units whose ids a task remembers in each of two generations, and bytes of text that are split or put together at once.
+UNITS, PART = 150_000, 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -189,12 +192,19 @@ def _nested(rows: list[list[bytes]]) -> pa.Array:
 _WORD_ROWS = pa.list_(pa.list_(pa.int32()))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of at most PART bytes of text, or of one longer text: only one slice is Python objects at a time."""
+    ends, _ = buffers(batch.column("text"))
+    for a, b in slices(ends, PART):
+        yield batch.slice(a, b - a)
+
+
 def _split(batches: Iterator[pa.RecordBatch], pattern: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Rows of new words ahead of the rows of documents that use them; an empty list of words says to forget the others."""
     pieces = _Pieces(pattern)
     for batch in batches:
-        at = 0
-        for group in groups([t or "" for t in batch.column("text").to_pylist()]):
+        for part in _parts(batch):
+            group = [t or "" for t in part.column("text").to_pylist()]
             new = [w.encode("utf-8") for w in pieces.new(group)]
             rows = [new[k : k + CHUNK] for k in range(0, len(new), CHUNK)]
             if len(pieces.words) + len(pieces.rest) > REMEMBERED:
@@ -203,15 +213,13 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: str, names: list[str]) ->
                 rows = [[], *(new[k : k + CHUNK] for k in range(0, len(new), CHUNK))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), batch.schema.field(x).type) for x in names] + [_nested(rows).cast(_WORD_ROWS)], names=[*names, "words__"])
-            part = batch.slice(at, len(group))
-            at += len(group)
             yield pa.RecordBatch.from_arrays([part.column(x) for x in names] + [pa.nulls(len(group), _WORD_ROWS)], names=[*names, "words__"])
 
 
 def _assemble(batches: Iterator[pa.RecordBatch], pattern: str, names: list[str], pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
     """The documents with their ids and decoded bytes, from the words met before them."""
     compiled, known = regex.compile(pattern), {}
-    units = Units(lambda texts: [b"".join([known[w] for w in compiled.findall(t)]) for t in texts])
+    units = Units(lambda texts: [b"".join([known[w] for w in compiled.findall(t)]) for t in texts], UNITS)
     for batch in batches:
         words, ids = batch.column("words__"), batch.column("ids__")
         is_words = words.is_valid().to_numpy(zero_copy_only=False)
@@ -231,15 +239,13 @@ def _assemble(batches: Iterator[pa.RecordBatch], pattern: str, names: list[str],
                     x, y = (np.append(0, np.cumsum(v.value_lengths().to_numpy())).tolist() for v in (one, two))
                     known.update((raw[x[i] : x[i + 1]].decode("utf-8"), out[4 * y[i] : 4 * y[i + 1]]) for i in range(len(one)))
                 continue
-            part = batch.slice(a, b - a)
-            found: list[bytes] = []
-            for group in groups([t or "" for t in part.column("text").to_pylist()]):
-                cuts = [cut(t) for t in group]
+            for part in _parts(batch.slice(a, b - a)):
+                cuts = [cut(t or "") for t in part.column("text").to_pylist()]
                 units.learn(cuts)
-                found.extend(b"".join(units.values(one)) for one in cuts)
-            decoded = [b"".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in found]
-            extra = [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
-            yield pa.RecordBatch.from_arrays([part.column(x) for x in names if x != "text"] + [pa.array(found, pa.binary()), pa.array(decoded, pa.binary()), *extra], names=[x for x in names if x != "text"] + ["ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"])
+                found = [b"".join(units.values(one)) for one in cuts]
+                decoded = [b"".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in found]
+                extra = [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
+                yield pa.RecordBatch.from_arrays([part.column(x) for x in names if x != "text"] + [pa.array(found, pa.binary()), pa.array(decoded, pa.binary()), *extra], names=[x for x in names if x != "text"] + ["ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _narrowed(batches: Iterator[pa.RecordBatch], drop: list[str]) -> Iterator[pa.RecordBatch]:
