@@ -38,18 +38,24 @@ class LanguageModel:
 
 
 def _grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of the texts one after another, and of each text its first position and end."""
-    raw = b"\x20".join(texts_bytes := [f" {t.lower()} ".encode("utf-8", "surrogatepass") for t in texts])
-    data = _SPACE[np.frombuffer(raw, np.uint8)]
-    ends = np.cumsum([len(t) + 1 for t in texts_bytes])
+    """Hashes of the n-grams of each text, one text after another, and of each text the end of its hashes.
+
+    A text has its own leading and trailing space, and no n-gram reaches over its end.
+    """
+    raw = [f" {t.lower()} ".encode("utf-8", "surrogatepass") for t in texts]
+    data = _SPACE[np.frombuffer(b"".join(raw), np.uint8)]
+    ends = np.cumsum([len(t) for t in raw], dtype=np.int64)
     keep = np.ones(len(data), bool)
     keep[1:] = (data[1:] != 0x20) | (data[:-1] != 0x20)
-    data, place = data[keep].astype(np.uint64), np.cumsum(keep)
-    stops = place[np.minimum(ends, len(place)) - 1]
+    keep[ends[:-1]] = True
+    data, stops = data[keep].astype(np.uint64), np.cumsum(keep)[ends - 1]
     rolled = np.zeros(max(0, len(data) - size + 1), np.uint64)
     for k in range(size):
         rolled |= data[k : k + len(rolled)] << np.uint64(8 * k)
-    return mix(rolled + np.uint64(size)), stops
+    whole = np.ones(len(data), bool)
+    for k in range(1, size):
+        whole[np.maximum(stops - k, 0)] = False
+    return mix(rolled[whole[: len(rolled)]] + np.uint64(size)), np.cumsum(np.maximum(np.diff(stops, prepend=0) - size + 1, 0))
 
 
 def _pieces(column: pa.Array) -> Iterator[list[str]]:
@@ -111,7 +117,7 @@ def _classify(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.nd
         grams, stops = _grams(texts, size)
         x, y = _slots(grams)
         masks = model.slots[x] & model.slots[y]
-        edges = np.minimum(np.concatenate([[0], stops]), len(masks))
+        edges = np.concatenate([[0], stops])
         total += np.diff(edges)
         for bit in range(len(model.languages)):
             run = np.concatenate([[0], np.cumsum((masks >> masks.dtype.type(bit)) & masks.dtype.type(1), dtype=np.int64)])

@@ -54,3 +54,22 @@ def test_grams_do_not_depend_on_the_batch():
         alone = set(L._grams([text], 3)[0].tolist())
         assert alone <= set(together[begin:stop].tolist()) | set(together[max(0, begin - 3) : stop + 3].tolist())
         begin = stop
+
+
+def test_grams_and_scores_equal_those_of_the_text_alone():
+    import numpy as np
+
+    texts = ["One two", "", "Drei, vier!", "x", "ja", "--", "Straße", "no", "a b c d e f"]
+    for size in L.GRAMS:
+        together, stops = L._grams(texts, size)
+        assert len(stops) == len(texts) and stops[-1] == len(together)
+        for text, begin, stop in zip(texts, [0, *stops], stops, strict=False):
+            assert together[begin:stop].tolist() == L._grams([text], size)[0].tolist()
+    own = L._grams(["ja"], 3)[0]
+    assert len(own) == 2  # " ja" and "ja "
+    slots = np.zeros(L.SLOTS, np.uint8)
+    for at in L._slots(own):
+        slots[at] |= 1
+    model = L.LanguageModel(["x"], slots, np.array([0.0]))
+    for near in (["ja"], ["ja", "other words"], ["other words", "ja"], ["jam", "ja", "jar"]):
+        assert L._classify(near, model)[1][near.index("ja")] == 1.0
