@@ -2,7 +2,8 @@
 
 One bit-sliced Bloom filter answers, for an n-gram, with the languages that contain it: a slot holds one bit per
 language, and the AND of an n-gram's slots is a mask of languages. A text's n-grams give one popcount per language;
-each is corrected for that language's false positive rate, (hits - N f) / (1 - f), and the largest decides.
+each is corrected for that language's false positive rate, (hits - N f) / (1 - f), and the largest decides. Each 64 languages
+have a filter of their own, so that every labelled language has its bit.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, slices
+from .common import materialize, mix, slices
 
 #: Lengths in bytes of the n-grams of lower-cased text in which runs of anything but letters are one space.
 GRAMS = (3, 5)
-#: Slots of the filter: at 64 languages 8 MB, the most that is broadcast.
+#: Slots of a filter: at 64 languages 8 MB, so 8 MB are broadcast for each 64 languages begun.
 SLOTS = 1 << 20
-#: Languages told apart, the most frequent ones first; one bit each.
-MAX_LANGUAGES = 64
+#: Languages of a filter; one bit each.
+BITS = 64
 UNKNOWN = "und"
 _SPACE = np.full(256, 0x20, np.uint8)
 _SPACE[97:123] = np.arange(97, 123)
@@ -30,10 +31,10 @@ _SPACE[128:] = np.arange(128, 256)
 
 @dataclass
 class LanguageModel:
-    """Languages by bit, the filter's slots and each language's false positive rate."""
+    """Languages by bit, the slots of the filter of each BITS languages and each language's false positive rate."""
 
     languages: list[str]
-    slots: np.ndarray
+    slots: list[np.ndarray]
     wrong: np.ndarray
 
 
@@ -86,24 +87,24 @@ def train(docs: DataFrame, *, train_docs: int = 3000, least_share: float = 0.004
     and three of them have it (one, with under ten). Rows with a null text or lang are not used.
     """
     docs = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return LanguageModel([], np.zeros(1, np.uint8), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, train_docs / r["count"]))])
-    sample = docs.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    share = docs.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(train_docs)) / F.count("*")).alias("share"))
+    sample = docs.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("text", "lang")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.where("gram is null").select(F.col("lang").alias("l"), F.col("n").alias("docs"))
     kept = counts.where("gram is not null").join(F.broadcast(total), F.col("lang") == F.col("l")).where((F.col("n") >= F.least(F.lit(3), F.ceil(F.col("docs") / 5))) & (F.col("n") >= least_share * F.col("docs")))
-    rows = kept.select("lang", "gram").toPandas()
-    languages = sorted(set(rows["lang"]))
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(languages))
-    slots = np.zeros(SLOTS, kind)
-    for bit, lang in enumerate(languages):
-        grams = rows.loc[rows["lang"] == lang, "gram"].to_numpy().view(np.uint64)
-        for at in _slots(grams):
-            slots[at] |= kind(1 << bit)
-    wrong = np.array([float(((slots >> kind(bit)) & kind(1)).mean()) ** 2 for bit in range(len(languages))])
-    return LanguageModel(languages, slots, wrong)
+    kept = materialize(kept.select("lang", "gram"), "grams")
+    languages = sorted(r["lang"] for r in kept.select("lang").distinct().collect())
+    slots, wrong = [], []
+    for k in range(0, len(languages), BITS):
+        part = languages[k : k + BITS]
+        rows = kept.where(F.col("lang").isin(part)).toPandas()
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= len(part))
+        slots.append(np.zeros(SLOTS, kind))
+        for bit, (_, grams) in enumerate(rows.groupby("lang")["gram"]):  # in order of lang
+            for at in _slots(grams.to_numpy().view(np.uint64)):
+                slots[-1][at] |= kind(1 << bit)
+            wrong.append(float((slots[-1] >> kind(bit) & kind(1)).mean()) ** 2)
+    return LanguageModel(languages, slots, np.array(wrong))
 
 
 def _slots(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,12 +117,13 @@ def _classify(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.nd
     for size in GRAMS:
         grams, stops = _grams(texts, size)
         x, y = _slots(grams)
-        masks = model.slots[x] & model.slots[y]
         edges = np.concatenate([[0], stops])
         total += np.diff(edges)
-        for bit in range(len(model.languages)):
-            run = np.concatenate([[0], np.cumsum((masks >> masks.dtype.type(bit)) & masks.dtype.type(1), dtype=np.int64)])
-            hits[:, bit] += run[edges[1:]] - run[edges[:-1]]
+        for k, slots in enumerate(model.slots):
+            masks = slots[x] & slots[y]
+            for bit in range(min(BITS, len(model.languages) - k * BITS)):
+                run = np.concatenate([[0], np.cumsum((masks >> masks.dtype.type(bit)) & masks.dtype.type(1), dtype=np.int64)])
+                hits[:, k * BITS + bit] += run[edges[1:]] - run[edges[:-1]]
     share = (hits / np.maximum(total, 1)[:, None] - model.wrong) / (1 - model.wrong)
     best = share.argmax(1)
     return best, np.clip(share[np.arange(len(texts)), best], 0, 1)

@@ -70,6 +70,20 @@ def test_grams_and_scores_equal_those_of_the_text_alone():
     slots = np.zeros(L.SLOTS, np.uint8)
     for at in L._slots(own):
         slots[at] |= 1
-    model = L.LanguageModel(["x"], slots, np.array([0.0]))
+    model = L.LanguageModel(["x"], [slots], np.array([0.0]))
     for near in (["ja"], ["ja", "other words"], ["other words", "ja"], ["jam", "ja", "jar"]):
         assert L._classify(near, model)[1][near.index("ja")] == 1.0
+
+
+def test_every_labelled_language_is_told_apart(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(140):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(30)]
+        rows += [(len(rows) + j, " ".join(words), f"l{k:03}", "s") for j in range(2 + k % 2)]
+    df = docs(spark, rows)
+    model = L.train(df)
+    assert model.languages == sorted({r[2] for r in rows}) and len(model.slots) == 3
+    out = L.predict(df, model).select("lang", "lang_pred", "score").collect()
+    assert len(out) == len(rows) and all(r["lang"] == r["lang_pred"] and r["score"] > 0.9 for r in out)
+    assert L.known_language(df).count() > 0.9 * len(rows)
