@@ -4,7 +4,8 @@ The page becomes a tree whose nodes count characters, tags, link characters and
 composite density is (C / T) * log(C T / (LC LT)) to the base ln(C LC / nLC + LCb C / Cb + e), where nLC are the
 characters outside links and b is the body. The densities of a node's children are summed; the threshold is the least
 density on the path from the node of the largest sum to the body, and the subtree of largest sum at or above the
-threshold is the main text. What is never main text by its element or its class is cut before counting.
+threshold is the main text. What is never main text by its element is cut before counting; what a class word marks is
+cut too, unless it holds an article or most of the page's text: there the density decides.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ CUT_WORDS = frozenset(
     "popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations widget widgets login signup search "
     "complementary contentinfo alert".split()
 )
+#: Those of reader comments, which are often articles themselves and may be longer than the text they belong to.
+READER_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
 #: Which open elements an opening tag ends, by HTML's rules of optional end tags.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -57,10 +60,10 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 class Node:
     """An element: its parent, children and texts in page order, and the counts of its subtree."""
 
-    __slots__ = ("chars", "cut", "density", "kids", "link_chars", "link_tags", "name", "parts", "total", "up")
+    __slots__ = ("chars", "cut", "density", "holds", "kids", "link_chars", "lines", "link_tags", "marks", "name", "parts", "plain", "total", "up")
 
-    def __init__(self, name: str, up: Node | None, cut: bool):
-        self.name, self.up, self.cut = name, up, cut
+    def __init__(self, name: str, up: Node | None, cut: bool, marks: set[str] | None = None):
+        self.name, self.up, self.cut, self.marks = name, up, cut, marks
         self.parts: list[str | Node] = []
         self.kids: list[Node] = []
         self.chars = self.link_chars = self.link_tags = 0
@@ -69,15 +72,14 @@ class Node:
 
 
 def _is_cut(name: str, attrs: str, inside: bool) -> bool:
-    if name in CUT or name == "header" and not inside:
-        return True
-    if not attrs:
-        return False
-    for found in _NAMING.findall(attrs):
-        words = _PARTS.split("".join(found).lower())
-        if name not in ("body", "html", "article", "main") and not CUT_WORDS.isdisjoint(words):
-            return True
-    return bool(_HIDDEN.search(attrs))
+    return name in CUT or name == "header" and not inside or bool(attrs and _HIDDEN.search(attrs))
+
+
+def _marks(attrs: str) -> set[str] | None:
+    """The words of CUT_WORDS in an element's class, id and role."""
+    if not attrs or not (found := _NAMING.findall(attrs)):
+        return None
+    return CUT_WORDS.intersection([w for x in found for w in _PARTS.split("".join(x).lower())]) or None
 
 
 def parse(html: str) -> Node:
@@ -134,7 +136,7 @@ def parse(html: str) -> Node:
                 at = at.up
             at = at.up
         inside = any(n in ("article", "main") for n in _open(at)) if name == "header" else False
-        node = Node(name, at, _is_cut(name, mark["attrs"], inside))
+        node = Node(name, at, _is_cut(name, mark["attrs"], inside), _marks(mark["attrs"]))
         at.parts.append(node)
         at.kids.append(node)
         if name in RAW:
@@ -152,6 +154,35 @@ def _open(node: Node) -> Iterator[str]:
         node = node.up
 
 
+def _cut_marked(root: Node) -> None:
+    """Cut the elements that a class word marks, but none that holds an article or main, or most of the page's text
+    outside links. An article marked as a reader comment does not count; where the page has another article or main,
+    neither does the length of reader comments, nor that of an element of no more pieces of text than it (an advert)."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, linked = stack.pop()
+        order.append(node)
+        linked = linked or node.name == "a"
+        node.plain = 0 if linked else sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
+        node.lines = int(node.plain > 0)
+        node.holds = node.name in ("article", "main") and not (node.marks and node.marks & READER_WORDS)
+        stack.extend((k, linked) for k in node.kids if not k.cut)
+    if not any(n.marks for n in order):
+        return
+    most = 0
+    for node in reversed(order):
+        if node.holds:
+            most = max(most, node.lines if node.name in ("article", "main") else 0)
+        if node.up is not None:
+            node.up.lines += node.lines
+            node.up.plain += node.plain
+            node.up.holds |= node.holds
+    for node in order:
+        if node.marks and not node.holds and node.name not in ("body", "html", "article", "main"):
+            long = 2 * node.plain > root.plain
+            node.cut = not long or root.holds and (node.lines <= most or bool(node.marks & READER_WORDS))
+
+
 def _count(root: Node) -> list[Node]:
     """Fill in the counts from the leaves up; the nodes that are not cut, parents first."""
     order, stack = [], [root]
@@ -186,6 +217,7 @@ def _densities(order: list[Node], body: Node) -> None:
 
 def main_node(root: Node) -> Node | None:
     """The subtree of the largest density sum at or above the threshold of its path to the body."""
+    _cut_marked(root)
     order = _count(root)
     body = next((n for n in order if n.name == "body"), root)
     if body.chars < root.chars:  # text outside the body belongs to the page

@@ -29,6 +29,30 @@ def test_one_long_paragraph_does_not_hide_its_siblings():
     assert main_text(page(body)).split("\n")[0] == "short one" and main_text(page(body)).endswith("short two")
 
 
+def test_a_class_word_does_not_cut_the_main_text():
+    ad = "<div class='ad'>Buy this now</div><div class='widget'><p>Opening hours of the shop</p></div>"
+    for wrap in ("div class='layout has-sidebar'", "div class='elementor-widget'", "div id='social-article'", "section class='related-work'", "div role='alert'"):
+        end = wrap.split()[0]
+        assert main_text(page(f"{ad}<{wrap}><article>{ARTICLE}</article></{end}>")) == WANT
+        assert main_text(page(f"{ad}<{wrap}><main>{ARTICLE}</main></{end}>")) == WANT
+        assert main_text(page(f"{ad}<{wrap}>{ARTICLE}</{end}>")) == WANT
+        assert main_text(page(f"<div class='widget'>{ad}<{wrap}><div>{ARTICLE}</div></{end}></div>")) == WANT
+
+
+def test_marked_text_beside_an_article():
+    teaser = "<article><h2>Next</h2><p>More</p></article>"
+    assert WANT.split("\n")[1] in main_text(page(f"<div class='has-sidebar'>{ARTICLE}<p>End.</p></div>{teaser}"))
+    advert = "<div class='ad'>An advert that is longer than the article</div>"
+    assert main_text(page(f"{advert}<article><h1>T</h1><p><b>Short<br></article>")) == "T\nShort"
+
+
+def test_reader_comments_stay_cut():
+    said = "".join(f"<article class='comment-body'><p>A reader comment of some length, number {k}, that is here</p></article>" for k in range(9))
+    assert main_text(page(f"<div class='has-sidebar'><article>{ARTICLE}</article><div id='comments'>{said}</div></div>")) == WANT
+    assert main_text(page(f"<main>{ARTICLE}<div id='comments'>{said}</div></main>")) == WANT
+    assert main_text(page(f"<div class='widget' hidden><article>{ARTICLE}</article></div><p>left</p>")) == "left"
+
+
 def test_edge_rows(spark):
     rows = [(1, "u", None, "own"), (2, None, "", "own"), (3, "u", "<nav>x</nav>", "own"), (3, "u", "<nav>x</nav>", "own"), (None, "u", page(ARTICLE), "own"), (4, "u", page(f"<article>{'<p>word</p>' * 20000}</article>"), "own"), (5, "u", "<div>" * 5000 + "deep", "own")]
     out = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
