@@ -10,7 +10,8 @@ token of its prefix: the n - ceil(t n) + 1 tokens that come first in one global
 of fixed size; any order is lossless, since a pair at the threshold has to share a prefix token). So the trees are
 built per token and no pair is lost. A token's list is first joined as a star about one centre; afterwards, among the
 members of a centre's stars, only those in different components are compared, by a tree over their points. So a group
-of many near copies costs pairs in proportion to its size, and no link that would join two components is missed.
+of many near copies costs pairs in proportion to its size, and no link that would join two components is missed. The
+links found so are a spanning subset; the exact mode searches each token list by a tree, in blocks, and verifies all.
 """
 
 from __future__ import annotations
@@ -202,6 +203,64 @@ def _lists(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(got["doc"][c]), pa.array(got["doc"][m]), pa.array(may), pa.array(x)], names=["a", "b", "may", "many"])
 
 
+#: Members of a token list that one task compares with as many others, for the exact links.
+BLOCK = 1024
+
+
+def _all_pairs(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
+    """Every pair of two blocks x <= y of a token list that a tree over the count vectors does not rule out."""
+    got = _gather(batches)
+    if got is None:
+        return
+    order = np.lexsort((got["doc"], got["y"], got["x"], got["token"]))
+    got = {k: v[order] for k, v in got.items()}
+    n = got["n"].astype(np.int64)
+    new = np.zeros(len(n), bool)
+    for name in ("token", "x", "y"):
+        new[1:] |= got[name][1:] != got[name][:-1]
+    edges = np.flatnonzero(new)
+    a, b, held = [], [], 0
+
+    def out() -> pa.RecordBatch:
+        one, two = np.concatenate(a), np.concatenate(b)
+        one, two = np.minimum(one, two), np.maximum(one, two)
+        first = _first_of_pairs(one, two)
+        a.clear()
+        b.clear()
+        return pa.RecordBatch.from_arrays([pa.array(one[first]), pa.array(two[first])], names=["a", "b"])
+
+    for s, e in zip(np.append(0, edges), np.append(edges, len(n)), strict=True):
+        doc, same = got["doc"][s:e], got["x"][s] == got["y"][s]
+        rows = np.flatnonzero(got["block"][s:e] == got["x"][s])
+        other = rows if same else np.flatnonzero(got["block"][s:e] == got["y"][s])
+        if not len(rows) or not len(other):
+            continue
+        points = _unpack(n[s:e], got["v1"][s:e], got["v2"][s:e])
+        tree = CountTree(n[s:e][other], points[other])
+        for u in rows:
+            near = doc[other[tree.query(n[s + u], points[u], per_cent)]]
+            near = near[near > doc[u]] if same else near[near != doc[u]]
+            if len(near):
+                a.append(np.full(len(near), doc[u]))
+                b.append(near)
+                held += len(near)
+        if held > 1 << 20:
+            yield out()
+            held = 0
+    if a:
+        yield out()
+
+
+def _in_blocks(routes: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b) of all pairs of the token lists that the bounds allow. A list of many members is dealt to blocks of about
+    BLOCK, and each two of its blocks meet by a key of their own."""
+    sizes = routes.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    dealt = routes.join(sizes, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("token", "doc", "n", "v1", "v2", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    return dealt.repartition("token", "x", "y").mapInArrow(lambda b: _all_pairs(b, per_cent), "a long, b long")
+
+
 def _leftovers(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
     """Pairs between components among the members of a centre's stars, where neither the bounds of a tree over their
     count vectors nor their distances to the centre rule a link out."""
@@ -324,9 +383,11 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         before = state
 
 
-def jaccard_links(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """(documents, links): documents (doc_id, n_shingles, class_id) with the smallest id of equal sets, and the
-    verified links (a, b, overlap, na, nb) between classes: enough of them that no component is split."""
+def jaccard_links(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents, links): documents (doc_id, n_shingles, class_id) with the smallest id of equal sets, and verified
+    links (a, b, overlap, na, nb) between classes. Unless exact, they are a spanning subset: enough of them that no
+    component is split. With exact they are all links, k (k - 1) / 2 of them in a group of k texts that are all alike.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = materialize(docs.mapInArrow(lambda b: _sets(b, shingle), _SETS), "sets")
@@ -339,7 +400,9 @@ def jaccard_links(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75) -> t
     known = materialize(sets.where("n > 0").join(named, ["fp1", "fp2", "n"]).select("doc_id", "n", "class_id").unionAll(sets.where("n = 0").select("doc_id", "n", "doc_id")), "classes")
     stands = id_filter(known.where("n > 0").select(F.col("class_id").alias("id")).where("id is not null").distinct())
     routes = docs.mapInArrow(lambda b: _routes(b, shingle, per_cent, sketch, stands), _ROUTES)
-    found = materialize(routes.repartition("token").mapInArrow(lambda b: _lists(b, per_cent), _FOUND), "lists")
+    if exact:
+        routes = materialize(routes, "routes")
+    found = None if exact else materialize(routes.repartition("token").mapInArrow(lambda b: _lists(b, per_cent), _FOUND), "lists")
     ids = known.select("doc_id", "class_id").where("doc_id is not null").distinct()
 
     def classes(pairs: DataFrame) -> DataFrame:
@@ -350,6 +413,10 @@ def jaccard_links(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75) -> t
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     union = F.expr(f"100 * overlap >= {per_cent} * (na + nb - overlap)")
+    if exact:
+        pairs = materialize(ordered(classes(_in_blocks(routes, per_cent).distinct())), "pairs")
+        tested = materialize(verified(docs, pairs, shingle, per_cent), "tested")
+        return known.withColumnRenamed("n", "n_shingles"), tested.where(union)
     stars = materialize(classes(found), "stars")
     tested = materialize(verified(docs, materialize(ordered(stars.where("may")), "pairs"), shingle, per_cent), "tested")
     links = tested.where(union)
@@ -374,19 +441,24 @@ def jaccard_links(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75) -> t
     return known, links.unionAll(again.where(union))
 
 
-def jaccard_components(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every row of docs (doc_id, text; other columns are ignored).
+def jaccard_components(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75, exact: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text; other columns are ignored); with exact
+    also n_links, the number of all verified links of the row's class.
 
     Null or wordless texts have an empty set, link with nothing and are their own component; texts of under
     ``shingle`` words are one shingle; equal sets are one class; a null doc_id links nothing and has a null component
-    unless its set has a document with an id. n_links counts the verified links of the row's class.
+    unless its set has a document with an id. A spanning subset of the links gives the components, so that n_links is
+    given only where all of them are sought.
     """
-    known, links = jaccard_links(docs, shingle=shingle, per_cent=per_cent)
+    known, links = jaccard_links(docs, shingle=shingle, per_cent=per_cent, exact=exact)
     links = materialize(links.select("a", "b"), "links")
-    parts = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    by = degree.join(parts.withColumnRenamed("id", "class_id"), "class_id", "left")
-    return known.join(by, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    by = components(links).withColumnRenamed("id", "class_id")
+    columns = ["doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id")]
+    if exact:
+        degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+        by = degree.join(by, "class_id", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return known.join(by, "class_id", "left").select(*columns)
 
 
 def near_duplicates_dropped(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75) -> DataFrame:

@@ -73,6 +73,35 @@ def test_groups_chains_and_shared_passages(spark, seed):
     assert got == brute([(r[0], r[1]) for r in rows])
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_exact_mode_returns_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(J, "BLOCK", block)
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(5000)}"
+    shared = [word() for _ in range(60)]
+    texts = list(family(rng, [word() for _ in range(120)], 30, 1))
+    texts += [" ".join(shared + [word() for _ in range(rng.randrange(5, 40))]) for _ in range(20)]
+    texts += [texts[0]] * 3 + ["", None, "one two", "one two"]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
+    classes = {}
+    for k, t in enumerate(texts):
+        classes.setdefault(frozenset(sets(t)) or k, k)
+    want = set()
+    for x, k in classes.items():
+        for y, j in classes.items():
+            if k < j and not isinstance(x, int) and not isinstance(y, int) and 100 * len(x & y) >= 75 * len(x | y):
+                want.add((k, j))
+    assert len(want) > 2 * len(classes)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    known, links = J.jaccard_links(df, exact=True)
+    assert sorted((r["a"], r["b"]) for r in links.collect()) == sorted(want)
+    got = {r["doc_id"]: r for r in J.jaccard_components(df, exact=True).collect()}
+    for k, t in enumerate(texts):
+        own = classes[frozenset(sets(t)) or k]
+        assert got[k]["n_links"] == sum(own in pair for pair in want)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.values()), key=str) == brute([(r[0], r[1]) for r in rows])
+
+
 def test_tree_bounds_never_lose_a_pair():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
