@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -695,6 +696,17 @@ def unpatchify(t):
     return stitch(patches, 8, 2, 15, 14)
 
 
+@query("""with k as (select cast(ceil(sqrt(max(vec_id) + 1)) as bigint) as c from tiles), p as (select vec_id // c as gy, vec_id % c as gx, unnest(range(64)) as i, unnest(embedding) as v from tiles, k)
+select gy*4 + i//8 - 2 as y, gx*4 + i%8 - 2 as x, cast(v as double) as v from p where i//8 between 2 and 5 and i%8 between 2 and 5""", "tiles")
+def unpatchify_whole(t):
+    from .operators.mosaic import stitch
+
+    n = (t.agg(F.max("vec_id")).first()[0] or 0) + 1
+    columns = math.isqrt(n - 1) + 1
+    patches = t.select(F.expr(f"vec_id div {columns}").alias("gy"), (F.col("vec_id") % columns).alias("gx"), F.col("embedding").alias("tile"))
+    return stitch(patches, 8, 2, -(-n // columns) * 4, columns * 4)
+
+
 def _maps(name: str, expr: Callable, sql: str) -> None:
     def run(t):
         return t.select("vec_id", F.transform(expr(F.col("embedding")), lambda x: x.cast("double")).alias("tile"))

@@ -123,3 +123,11 @@ def test_stream_keeps_the_best(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r["k"] for r in spark.read.parquet(str(tmp_path / "out" / "1")).orderBy("k").collect()] == [2, 4]
+
+
+def test_whole_mosaic_holds_every_tile(spark, small):
+    from gridloom.queries import QUERIES
+
+    n = spark.read.parquet(f"{small}/embeddings.parquet").count()
+    out = QUERIES["unpatchify_whole"](spark, small)
+    assert n > 16 and out.count() == out.select("y", "x").distinct().count() == 16 * n
