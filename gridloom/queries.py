@@ -272,6 +272,7 @@ def patch_has_object(px):
 # ---- joins -----------------------------------------------------------------------------------------------------------
 
 _MEET = "c.cx between r.x0 and r.x1 and c.cy between r.y0 and r.y1"
+_TOUCH = "b.x0<=r.x1 and r.x0<=b.x1 and b.y0<=r.y1 and r.y0<=b.y1"
 
 
 @query(f"select r.rect_id, c.crown_id from rects r join crowns c on {_MEET}", "rects", "crowns")
@@ -291,6 +292,12 @@ def image_area_lists(rects):
     return pairs.groupBy("rect_id").agg(F.sort_array(F.collect_list("b_rect_id")).alias("areas"))
 
 
+@query(f"select r.rect_id, list_sort(list(b.box_id)) as areas from rects r join boxes b on {_TOUCH} group by 1", "rects", "boxes")
+def image_area_lists_whole(rects, boxes):
+    pairs = spatial.box_join(rects, spatial.prefixed(boxes, "b_"), RECT, ("b_x0", "b_y0", "b_x1", "b_y1"))
+    return pairs.groupBy("rect_id").agg(F.sort_array(F.collect_list("b_box_id")).alias("areas"))
+
+
 @query("select b.box_id, r.rect_id from boxes b join rects r on b.x0>=r.x0 and b.x1<=r.x1 and b.y0>=r.y0 and b.y1<=r.y1", "boxes", "rects")
 def sjoin_within(boxes, rects):
     return spatial.box_join(spatial.prefixed(boxes, "b_"), rects, ("b_x0", "b_y0", "b_x1", "b_y1"), RECT, predicate="within").select(F.col("b_box_id").alias("box_id"), "rect_id")
@@ -360,6 +367,11 @@ def anti_overlap(rects):
     return spatial.box_join(rects.where("rect_id % 2 = 1"), earlier, RECT, ("b_x0", "b_y0", "b_x1", "b_y1"), how="left_anti").select("rect_id")
 
 
+@query(f"select b.box_id from boxes b where not exists (select 1 from rects r where {_TOUCH})", "boxes", "rects")
+def anti_overlap_whole(boxes, rects):
+    return spatial.box_join(boxes, spatial.prefixed(rects, "r_"), RECT, ("r_x0", "r_y0", "r_x1", "r_y1"), how="left_anti").select("box_id")
+
+
 # ---- zonal aggregates ------------------------------------------------------------------------------------------------
 
 
@@ -593,6 +605,14 @@ def mask_intersection(rects):
     return cut.where("ix0 < ix1 and iy0 < iy1")
 
 
+@query("""select a.rect_id as a, b.rect_id as b, greatest(a.x0,b.x0) ix0, greatest(a.y0,b.y0) iy0, least(a.x1,b.x1) ix1, least(a.y1,b.y1) iy1 from rects a join rects b on a.rect_id <> b.rect_id and a.x0<b.x1 and b.x0<a.x1 and a.y0<b.y1 and b.y0<a.y1""", "rects")
+def mask_intersection_whole(rects):
+    other = ("b_x0", "b_y0", "b_x1", "b_y1")
+    pairs = spatial.box_join(rects, spatial.prefixed(rects, "b_"), RECT, other).where("rect_id <> b_rect_id")
+    cut = pairs.select(F.col("rect_id").alias("a"), F.col("b_rect_id").alias("b"), *[c.alias(n) for n, c in spatial.intersection(RECT, other).items()])
+    return cut.where("ix0 < ix1 and iy0 < iy1")
+
+
 @query("select y, x from ras where v = 1 and not exists (select 1 from (select y as py, x as px_ from ras where y % 3 = 0) q where q.py = y and q.px_ = x)", "ras")
 def overlay_difference(ras):
     return ras.where("v = 1").select("y", "x").join(ras.where("y % 3 = 0").select("y", "x"), ["y", "x"], "left_anti")

@@ -131,3 +131,18 @@ def test_whole_mosaic_holds_every_tile(spark, small):
     n = spark.read.parquet(f"{small}/embeddings.parquet").count()
     out = QUERIES["unpatchify_whole"](spark, small)
     assert n > 16 and out.count() == out.select("y", "x").distinct().count() == 16 * n
+
+
+def test_whole_joins_leave_no_row_out(spark, small):
+    from gridloom.queries import QUERIES
+    from gridloom.sources.bridge import view
+
+    rects, boxes = (view(spark, small, x).collect() for x in ("rects", "boxes"))
+    meet = lambda a, b: a["x0"] <= b["x1"] and b["x0"] <= a["x1"] and a["y0"] <= b["y1"] and b["y0"] <= a["y1"]
+    inside = lambda a, b: a["x0"] < b["x1"] and b["x0"] < a["x1"] and a["y0"] < b["y1"] and b["y0"] < a["y1"]
+    lists = {r["rect_id"]: r["areas"] for r in QUERIES["image_area_lists_whole"](spark, small).collect()}
+    assert lists == {r["rect_id"]: want for r in rects if (want := sorted(b["box_id"] for b in boxes if meet(r, b)))}
+    alone = sorted(r["box_id"] for r in QUERIES["anti_overlap_whole"](spark, small).collect())
+    assert alone == sorted(b["box_id"] for b in boxes if not any(meet(r, b) for r in rects))
+    pairs = sorted((r["a"], r["b"]) for r in QUERIES["mask_intersection_whole"](spark, small).collect())
+    assert pairs == sorted((a["rect_id"], b["rect_id"]) for a in rects for b in rects if a["rect_id"] != b["rect_id"] and inside(a, b))
