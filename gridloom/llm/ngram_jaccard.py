@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by a count-vector R-tree.
+"""N-gram Jaccard join by prefix lists and count vectors, with an R-tree over them for what the lists leave.
 
 Tokens (word shingles) are hashed into GROUPS groups and a document becomes the point of its group counts. For any
 two sets the overlap is at most the sum over groups of the smaller count, and for a tree node at most the sum of
@@ -7,9 +7,10 @@ needs are skipped, and what survives is verified on the whole sets.
 
 Distribution. Equal sets are collapsed first (a hash aggregate). A point meets only points with which it shares a
 token of its prefix: the n - ceil(t n) + 1 tokens that come first in one global order (rare first, by a count sketch
-of fixed size; any order is lossless, since a pair at the threshold has to share a prefix token). So the trees are
-built per token and no pair is lost. A token's list is first joined as a star about one centre; afterwards, among the
-members of a centre's stars, only those in different components are compared, by a tree over their points. So a group
+of fixed size; any order is lossless, since a pair at the threshold has to share a prefix token). So the
+prefix lists find the candidates and no pair is lost. A token's list is first joined as a star about one centre, under
+the flat bound over GROUPS groups; afterwards a tree over the finer points serves the remainder only: among the members
+of a centre's stars, those in different components are compared. Where stars connect a group, no tree is built. So a group
 of many near copies costs pairs in proportion to its size, and no link that would join two components is missed. The
 links found so are a spanning subset; the exact mode searches each token list by a tree, in blocks, and verifies all.
 """
