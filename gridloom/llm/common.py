@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The cluster's shared folder: spark.checkpoint.dir. Where that is unset, a folder of this machine for a local master
+    (tests), and an error for any other, whose executors would each write to a folder of their own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="gridloom-")
         shared_dir.own = at
     return at.rstrip("/")
@@ -65,7 +70,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it again: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     df.write.parquet(path := new_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables whose last reader has run."""
+    for df in tables:
+        drop_path(df.sparkSession, df.written_at)
+
+
+def _freed() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow whose tasks give their memory back to the system at the end; Spark keeps the worker for later tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _freed()
+
+    return df.mapInArrow(run, schema)
 
 
 def small_side(df: DataFrame, name: str, most: int = 50_000) -> DataFrame:

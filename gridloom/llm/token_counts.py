@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from .units import Units, cut, encode_units, groups
+from .common import buffers, slices
+from .units import SLICE, Units, added_strings, unit_spans
 
 _units: dict[str, Units] = {}
 #: Where a token that crosses a boundary counts: in the section of its first character, of its last, or of the most of
@@ -26,59 +27,55 @@ def _spans(path: str) -> Units:
     if path not in _units:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _units[path] = Units(lambda texts: [(spans, len(t)) for t, (_, spans) in zip(texts, encode_units(tokenizer, texts), strict=True)], 100_000)
+        _units[path] = Units(lambda units: unit_spans(tokenizer, units), np.zeros((0, 2), np.int32), most=200_000, whole=added_strings(tokenizer))
     return _units[path]
 
 
-def token_spans(text: str, units: Units, cuts: list[str]) -> np.ndarray:
-    """First and end character of each token of the text, of white space in front of a piece too."""
-    values = units.values(cuts)
-    if not values:
-        return np.zeros((0, 2), np.int64)
-    sizes = np.array([v[1] for v in values])
-    starts = np.cumsum(sizes) - sizes
-    spans = np.concatenate([v[0] for v in values]).astype(np.int64)
-    return spans + np.repeat(starts, [len(v[0]) for v in values])[:, None]
+def line_sections(raw: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with offsets own into raw: the row and the first byte of each line (a line has its \\n)."""
+    breaks = np.flatnonzero(raw == 0x0A)
+    row = np.concatenate([np.arange(len(own) - 1), np.searchsorted(own, breaks, "right") - 1])
+    start = np.concatenate([own[:-1], breaks + 1])
+    order = np.lexsort((start, row))
+    return row[order], start[order]
 
 
-def line_sections(text: str) -> np.ndarray:
-    """First characters of the lines of a text (a line has its \\n) and the text's end."""
-    at, out = 0, [0]
-    while (at := text.find("\n", at) + 1) > 0:
-        out.append(at)
-    return np.array([*out, len(text)])
-
-
-def allocate(spans: np.ndarray, edges: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each section, and those among them that cross its boundary."""
-    n = len(edges) - 1
-    first = np.clip(np.searchsorted(edges, spans[:, 0], "right") - 1, 0, n - 1)
-    last = np.clip(np.searchsorted(edges, np.maximum(spans[:, 1] - 1, spans[:, 0]), "right") - 1, 0, n - 1)
+def allocate(spans: np.ndarray, row: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each section, and those among them that cross its boundary. row: of each token; starts, ends: of each
+    section; before: of each row its first section (one more than rows)."""
+    low, high = before[row], before[row + 1] - 1
+    first = np.clip(np.searchsorted(starts, spans[:, 0], "right") - 1, low, high)
+    last = np.clip(np.searchsorted(starts, np.maximum(spans[:, 1] - 1, spans[:, 0]), "right") - 1, low, high)
     crossing, to = last > first, first.copy()
     if rule == "end":
         to = last
     elif rule == "most":
         for k in np.flatnonzero(crossing):
-            inside = edges[first[k] : last[k] + 2].clip(*spans[k])
-            to[k] = first[k] + int(np.argmax(np.diff(inside)))
-    return np.bincount(to, minlength=n), np.bincount(to[crossing], minlength=n)
+            own = slice(first[k], last[k] + 1)
+            to[k] = first[k] + int(np.argmax(np.minimum(ends[own], spans[k, 1]) - np.maximum(starts[own], spans[k, 0])))
+    return np.bincount(to, minlength=len(starts)), np.bincount(to[crossing], minlength=len(starts))
 
 
 def _counts(batches: Iterator[pa.RecordBatch], path: str, rule: str) -> Iterator[pa.RecordBatch]:
     units = _spans(path)
     for batch in batches:
-        docs, at = batch.column("doc_id"), 0
-        for group in groups([t or "" for t in batch.column("text").to_pylist()], 1 << 20):
-            cuts = [cut(t) for t in group]
-            units.learn(cuts)
-            edges = [line_sections(t) for t in group]
-            found = [allocate(token_spans(t, units, c), e, rule) for t, c, e in zip(group, cuts, edges, strict=True)]
-            times = [len(e) - 1 for e in edges]
-            own = docs.slice(at, len(group)).take(pa.array(np.repeat(np.arange(len(group)), times)))
-            at += len(group)
-            columns = [np.concatenate(x).astype(np.int64) for x in ([np.arange(t) for t in times], [e[:-1] for e in edges], [e[1:] for e in edges], [f[0] for f in found], [f[1] for f in found])]
-            yield pa.RecordBatch.from_arrays([own, *map(pa.array, columns)], names=["doc_id", "section", "first_char", "end_char", "n_tokens", "n_crossing"])
+        docs = batch.column("doc_id")
+        ends, data = buffers(batch.column("text"))
+        for a, b in slices(ends, SLICE):
+            own = ends[a : b + 1] - ends[a]
+            raw = data[int(ends[a]) : int(ends[b])]
+            spans, counts, sizes, begins = units.values(data, ends[a : b + 1])
+            chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # characters before each byte
+            spans = spans + np.repeat(chars[begins], sizes)[:, None]
+            section_row, first = line_sections(raw, own)
+            before = np.searchsorted(section_row, np.arange(b - a + 1))
+            starts = chars[first]
+            stops = np.append(starts[1:], 0)
+            stops[before[1:] - 1] = chars[own[1:]]
+            n, crossing = allocate(spans, np.repeat(np.arange(b - a), counts), starts, stops, before, rule)
+            zero = chars[own[:-1]][section_row]
+            columns = (np.arange(len(first)) - before[section_row], starts - zero, stops - zero, n, crossing)
+            yield pa.RecordBatch.from_arrays([docs.slice(a, b - a).take(pa.array(section_row)), *(pa.array(x.astype(np.int64)) for x in columns)], names=["doc_id", "section", "first_char", "end_char", "n_tokens", "n_crossing"])
 
 
 def section_tokens(docs: DataFrame, tokenizer: str, *, rule: str = "start") -> DataFrame:

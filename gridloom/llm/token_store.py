@@ -24,91 +24,56 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from .common import mix
-from .units import Units, cut, groups
+from .common import buffers, mix, slices
+from .units import SLICE, Units, added_strings, unit_ids
 
 #: Chunks have LEAST to MOST ids; between them a cut follows where the rolling hash has MASK bits zero.
 LEAST, MOST, MASK, WINDOW = 128, 4096, 511, 8
 _CODES = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64)).astype(np.uint32)
 _units: dict[str, Units] = {}
-#: Words that a worker remembers in each of two generations.
-WORDS = 300_000
-
-
-def _by_pieces(tokenizer: Tokenizer):
-    """Ids of units. A word and the comma or full stop after it are pieces of their own, so the word is looked up alone."""
-    marks = {mark: np.array(tokenizer.encode(mark, add_special_tokens=False).ids, "<u4").tobytes() for mark in ",."}
-    young: dict[str, bytes] = {}
-    older: dict[str, bytes] = {}
-
-    def of(texts: list[str]) -> list[bytes]:
-        nonlocal young, older
-        if len(young) > WORDS:
-            young, older = {}, young
-        split = [(t[1:-1], t[-1]) if t[-1:] in marks and t[:1] == " " and t[1:-1].isalpha() else (t[1:], "") if t[:1] == " " else (t, None) for t in texts]
-        new = []
-        for word in {u for u, mark in split if mark is not None}.difference(young):
-            if (ids := older.get(word)) is None:
-                new.append(word)
-            else:
-                young[word] = ids
-        for k in range(0, len(new), 20_000):
-            young.update(zip(part := new[k : k + 20_000], _spaced(tokenizer, part), strict=True))
-        return [np.array(tokenizer.encode(u, add_special_tokens=False).ids, "<u4").tobytes() if mark is None else young[u] + marks[mark] if mark else young[u] for u, mark in split]
-
-    return of
-
-
-def _spaced(tokenizer: Tokenizer, words: list[str]) -> list[bytes]:
-    """Ids of each word with a space in front, encoded as one text; no word begins or ends with white space."""
-    one = tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-    ids, begins = np.array(one.ids, "<u4").tobytes(), np.cumsum([0, *(len(w) + 1 for w in words)])
-    cuts = (4 * np.searchsorted(np.array(one.offsets, np.int32).reshape(-1, 2)[:, 0], begins)).tolist()
-    return [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _encoder(path: str) -> Units:
     if path not in _units:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _units[path] = Units(_by_pieces(tokenizer))
+        _units[path] = Units(lambda units: unit_ids(tokenizer, units), np.zeros(0, np.uint32), whole=added_strings(tokenizer))
     return _units[path]
 
 
-def encoded(texts: list[str], path: str) -> Iterator[bytes]:
-    """The ids of each whole text, as little-endian unsigned 32-bit words."""
+def encoded(column: pa.Array, path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids of a column of whole texts (null: empty) and how many each has, by slices of rows."""
     units = _encoder(path)
-    for group in groups(texts):
-        cuts = [cut(t) for t in group]
-        units.learn(cuts)
-        for one in cuts:
-            yield b"".join(units.values(one))
+    ends, data = buffers(column)
+    for a, b in slices(ends, SLICE):
+        yield units.values(data, ends[a : b + 1])[:2]
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where the chunks of an id stream end, by its contents."""
+def chunk_ends(ids: np.ndarray, stops: np.ndarray) -> list[int]:
+    """Where the chunks of the id streams that end at stops end, by their contents: no chunk is of two streams.
+
+    The rolling hash runs over the begin of a stream into the one before it, but a cut so near to the begin is never made.
+    """
     code = _CODES[ids & 0xFFFF]
     rolled = code.copy()
     for k in range(1, WINDOW):
         rolled[k:] += code[:-k] << np.uint32(k)
-    ends, last = [], 0
-    for at in (np.flatnonzero((rolled >> np.uint32(16)) & np.uint32(MASK) == 0) + 1).tolist():
+    marks = np.flatnonzero((rolled >> np.uint32(16)) & np.uint32(MASK) == 0) + 1
+    marks = np.concatenate([marks, stops])
+    last, ends = 0, []
+    order = np.argsort(marks, kind="stable")
+    final = (np.arange(len(marks)) >= len(marks) - len(stops))[order]
+    for at, stop in zip(marks[order].tolist(), final.tolist(), strict=True):
         while at - last > MOST:
             last += MOST
             ends.append(last)
-        if at - last >= LEAST:
+        if at > last and (stop or at - last >= LEAST):
             last = at
             ends.append(at)
-    while len(ids) - last > MOST:
-        last += MOST
-        ends.append(last)
-    if last < len(ids):
-        ends.append(len(ids))
     return ends
 
 
-def _key(ids: bytes) -> bytes:
+def _key(ids: bytes | memoryview) -> bytes:
     return hashlib.blake2b(ids, digest_size=16).digest()
 
 
@@ -124,37 +89,45 @@ _PACK = "place long, kind string, k1 long, k2 long, n int, payload binary, uid l
 _TYPES = {"place": pa.int64(), "kind": pa.string(), "k1": pa.int64(), "k2": pa.int64(), "n": pa.int32(), "payload": pa.binary(), "uid": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "root": pa.binary(), "chunks": pa.binary()}
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], kind) for name, kind in _TYPES.items()], names=list(_TYPES))
+def _batch(rows: int, **columns) -> pa.RecordBatch:
+    """Rows of the pack; columns that aren't given are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[x], kind) if x in columns else pa.nulls(rows, kind) for x, kind in _TYPES.items()], names=list(_TYPES))
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, width: int) -> Iterator[pa.RecordBatch]:
     """Recipes of a task's documents, and each of its chunks once."""
     number, sent = TaskContext.get().partitionId() << 40, set()
-    tail = np.array([end], "<u4").tobytes()
     for batch in batches:
-        docs = batch.column("doc_id").to_pylist()
-        rows: list[dict] = []
-        for doc, ids in zip(docs, encoded([t or "" for t in batch.column("text").to_pylist()], path), strict=True):
-            words = np.frombuffer(ids + tail, "<u4")
-            keys, begin, entries = [], 0, []
-            for stop in chunk_ends(words):
-                part = words[begin:stop]
-                key = _key(part.tobytes())
-                keys.append(key)
-                entries.append(key + (stop - begin).to_bytes(4, "little"))
+        docs, row = batch.column("doc_id"), 0
+        for ids, counts in encoded(batch.column("text"), path):
+            n = len(counts)
+            stops = np.cumsum(counts + 1)
+            words = np.full(int(stops[-1]), end, "<u4")
+            inner = np.ones(len(words), bool)
+            inner[stops - 1] = False
+            words[inner] = ids
+            ends = chunk_ends(words, stops)
+            raw, payload = memoryview(words).cast("B"), memoryview(words.astype(f"<u{width}")).cast("B")
+            spans = list(zip([0, *ends[:-1]], ends, strict=True))
+            keys = [_key(raw[4 * a : 4 * b]) for a, b in spans]
+            new = []
+            for k, key in enumerate(keys):
                 if key not in sent:
                     sent.add(key)
-                    k1, k2 = np.frombuffer(key, "<i8").tolist()
-                    rows.append({"place": k1, "kind": "chunk", "k1": k1, "k2": k2, "n": stop - begin, "payload": part.astype(f"<u{width}").tobytes()})
-                begin = stop
-            rows.append({"place": number * -7046029254386353131 % (1 << 62), "kind": "recipe", "uid": number, "doc_id": doc, "n_tokens": len(words), "root": merkle(keys), "chunks": b"".join(entries)})
-            number += 1
-            if len(rows) >= 4000:
-                yield _batch(rows)
-                rows = []
-        if rows:
-            yield _batch(rows)
+                    new.append(k)
+            if new:
+                pairs = np.frombuffer(b"".join([keys[k] for k in new]), "<i8").reshape(-1, 2)
+                yield _batch(len(new), place=pairs[:, 0], kind=["chunk"] * len(new), k1=pairs[:, 0], k2=pairs[:, 1], n=[spans[k][1] - spans[k][0] for k in new], payload=[bytes(payload[width * spans[k][0] : width * spans[k][1]]) for k in new])
+            parts = np.searchsorted(ends, stops).tolist()
+            uids = np.arange(number, number + n)
+            roots, lists, begin = [], [], 0
+            for stop in parts:
+                roots.append(merkle(keys[begin : stop + 1]))
+                lists.append(b"".join([keys[k] + (spans[k][1] - spans[k][0]).to_bytes(4, "little") for k in range(begin, stop + 1)]))
+                begin = stop + 1
+            yield _batch(n, place=[int(x) * -7046029254386353131 % (1 << 62) for x in uids], kind=["recipe"] * n, uid=uids, doc_id=docs.slice(row, n), n_tokens=counts + 1, root=roots, chunks=lists)
+            number += n
+            row += n
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
