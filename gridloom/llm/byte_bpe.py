@@ -1,9 +1,11 @@
 """Byte-level BPE by folding ranked merges with Spark's higher-order functions, and decoding by binary pieces.
 
-Three narrow steps without a shuffle: (1) each task splits its texts by the pattern and sends every word that it has
-not sent before, as a byte array, ahead of the documents that use it; (2) Spark folds the ranked merges over the byte
-arrays, looking pairs up in a literal rank map (all mergeable pairs, in literal arrays with one place for each pair);
-(3) documents are put together from their words' ids, and the ids are decoded by concatenating the tokens' bytes.
+Words that a bounded sample of documents repeats are folded once ahead and sent to every task; they only spare work. For
+all other words there are three narrow steps without a shuffle: (1) each task splits its texts by the pattern, numbers the words and sends every
+word that it has not sent before, as a byte array, ahead of the documents that use it, which it sends as word numbers;
+(2) Spark folds the ranked merges over the byte arrays, looking pairs up in a literal rank map (all mergeable pairs, in
+literal arrays with one place for each pair); (3) documents are put together from their words' ids, a gather from flat
+arrays, and the ids are decoded by concatenating the tokens' bytes.
 """
 
 from __future__ import annotations
@@ -11,8 +13,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -20,15 +22,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import buffers, slices
-from .units import Units, cut
+from .common import buffers, in_arrow, materialize, release, slices
+from .units import Runs, Units
 
 #: Words in a row of step 1.
 CHUNK = 1000
-#: Words that a task remembers; beyond it forgets all and sends words anew, so that memory is bounded.
-REMEMBERED = 1_500_000
-#: Units whose ids a task remembers in each of two generations, and bytes of text that are split or put together at once.
-UNITS, PART = 150_000, 4 << 20
+#: Words and units that a task remembers, and bytes of the words; beyond either it forgets all and sends words anew, so that
+#: memory is bounded (about 100 MB in step 1, a fifth of it in step 3).
+REMEMBERED, REMEMBERED_BYTES = 600_000, 24 << 20
+#: Documents, about, of the sample whose repeated words are folded ahead; it bounds what is sent to the tasks (some MB).
+SAMPLE = 20_000
+#: Bytes of text that are split at once, and of word numbers that are put together at once.
+PART, NUMBERS = 2 << 20, 512 << 10
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -129,17 +134,22 @@ def _word_encoder(shifts: Column, slots: Column, firsts: Column, last: int) -> C
     def place(x: Column) -> Column:
         return x.bitwiseAND((1 << _RANK_AT) - (1 << _ID_BITS))
 
-    def merged(state: Column, at: Column) -> Column:
-        """at: place of the pair in state from 1."""
-        pair = F.get(state, at - 1)
-        best, before = F.shiftright(pair, _RANK_AT), F.get(state, at - 2)
-        new_pair = rank(best, token(F.get(state, at + 1))).bitwiseOR(place(pair)).bitwiseOR(best)
+    def merged(state: Column, pair: Column, at: Column) -> Column:
+        """at: place of the pair in state from 0."""
+        best, before = F.shiftright(pair, _RANK_AT), F.get(state, at - 1)
+        new_pair = rank(best, token(F.get(state, at + 2))).bitwiseOR(place(pair)).bitwiseOR(best)
         new_before = rank(token(before), best).bitwiseOR(before.bitwiseAND((1 << _RANK_AT) - 1))
-        one_less = F.array_remove(state, F.get(state, at))
-        return F.transform(one_less, lambda x: F.when(x == pair, new_pair).when(x == before, new_before).otherwise(x))
+        return F.flatten(F.array(F.slice(state, F.lit(1), at - 1), F.array(new_before, new_pair), F.slice(state, at + 3, F.size(state))))
+
+    def at(state: Column, pair: Column) -> Column:
+        return F.array_max(F.transform(state, lambda x, i: F.when(x == pair, i)))
 
     def step(state: Column, _: Column) -> Column:
-        return _let(F.array_position(state, F.array_min(state)).cast("int"), lambda at: F.when(F.get(state, at - 1) >= _DONE, state).otherwise(merged(state, at)))
+        """Folds over one value each, which name it without copying the state as transform would."""
+        def on_pair(now: Column, pair: Column) -> Column:
+            return F.when(pair >= _DONE, now).otherwise(F.aggregate(F.array(at(now, pair)), now, lambda s, i: merged(s, pair, i)))
+
+        return F.aggregate(F.array(F.array_min(state)), state, on_pair)
 
     def encode(word: Column) -> Column:
         numbers = F.transform(word, lambda b, i: F.get(firsts, b * 257 + F.coalesce(F.get(word, i + 1), F.lit(256))).bitwiseOR(F.shiftleft((i + 1).cast("bigint"), _ID_BITS)))
@@ -149,36 +159,39 @@ def _word_encoder(shifts: Column, slots: Column, firsts: Column, last: int) -> C
     return encode
 
 
-class _Pieces:
-    """Words of units by the pattern, and which of them a task has not met yet."""
+class _Words:
+    """Numbers the words of units by the pattern, and keeps those that were not sent yet."""
 
-    def __init__(self, pattern: str):
-        self.pattern = regex.compile(pattern)
+    def __init__(self, pattern: str, most: int, ahead: list[bytes]):
+        self.pattern, self.most, self.ahead = regex.compile(pattern), most, ahead
         self.clear()
 
     def clear(self) -> None:
-        self.firsts: set[str] = set()
-        self.rest: set[str] = set()
-        self.words: set[str] = set()
-
-    def new(self, texts: list[str]) -> list[str]:
-        firsts, rest = set(), set()
-        for units in map(cut, texts):
-            if units:
-                firsts.add(units[0])
-                rest.update(units[1:])
-        firsts -= self.firsts
-        rest -= self.rest
-        self.firsts |= firsts
-        self.rest |= rest
-        words: set[str] = set()
-        for unit in firsts:
-            words.update(self.pattern.findall(unit))
-        for unit in rest:
-            words.update(self.pattern.findall(" " + unit))
-        words -= self.words
-        self.words |= words
-        return sorted(words)
+        self.known: dict[bytes, int] = dict(zip(self.ahead, range(len(self.ahead)), strict=True))
+        self.new: list[bytes] = []
+        self.size = 0
+        self.units = Units(self._split, np.zeros(0, np.int32), most=1 << 62)
+
+    def full(self) -> bool:
+        return max(len(self.known) - len(self.ahead), len(self.units.young.known)) > self.most or self.size > REMEMBERED_BYTES
+
+    def _split(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        numbers, sizes, known = [], [], self.known
+        for unit in units:
+            words = self.pattern.findall(text := unit.decode("utf-8"))
+            sizes.append(len(words))
+            for word in [unit] if words == [text] else [w.encode("utf-8") for w in words]:
+                if (number := known.get(word)) is None:
+                    known[word] = number = len(known)
+                    self.new.append(word)
+                    self.size += len(word)
+                numbers.append(number)
+            self.size += len(unit)
+        return np.array(numbers, np.int32), np.array(sizes, np.int64)
+
+    def take(self) -> list[bytes]:
+        new, self.new = self.new, []
+        return new
 
 
 def _nested(rows: list[list[bytes]]) -> pa.Array:
@@ -192,60 +205,128 @@ def _nested(rows: list[list[bytes]]) -> pa.Array:
 _WORD_ROWS = pa.list_(pa.list_(pa.int32()))
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows in slices of at most PART bytes of text, or of one longer text: only one slice is Python objects at a time."""
-    ends, _ = buffers(batch.column("text"))
-    for a, b in slices(ends, PART):
-        yield batch.slice(a, b - a)
+def _binary(flat: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """A binary column of the bytes of flat up to each of stops (in bytes)."""
+    kind = pa.binary() if not len(stops) or stops[-1] < 1 << 31 else pa.large_binary()
+    offsets = np.append(0, stops).astype(np.int32 if kind == pa.binary() else np.int64)
+    return pa.Array.from_buffers(kind, len(stops), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+
+
+@dataclass
+class Ahead:
+    """Words that are folded ahead, their ids one after another, and how many each has."""
+
+    words: list[bytes]
+    ids: np.ndarray
+    sizes: np.ndarray
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch], pattern: str, most: int) -> Iterator[pa.RecordBatch]:
+    """How often the words of a task's texts occur."""
+    words = _Words(pattern, most, [])
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(words.known), pa.binary()), pa.array(counts[: len(words.known)])], names=["word", "n"])
+
+    counts = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        ends, data = buffers(batch.column("text"))
+        for a, b in slices(ends, PART):
+            if words.full():
+                yield out()
+                words.clear()
+                counts[:] = 0
+            numbers = words.units.values(data, ends[a : b + 1])[0]
+            if len(words.known) > len(counts):
+                counts = np.concatenate([counts, np.zeros(len(words.known), np.int64)])
+            np.add.at(counts, numbers, 1)
+    if words.known:
+        yield out()
+
+
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = batch.column("word").to_pylist()
+        rows = [own[k : k + CHUNK] for k in range(0, len(own), CHUNK)]
+        yield pa.RecordBatch.from_arrays([_nested(rows).cast(_WORD_ROWS)], names=["words"])
+
+
+def folded_ahead(docs: DataFrame, ranks_path: str, pattern: str) -> Ahead:
+    """Words that occur three times or more in a sample of about SAMPLE documents of docs (text), with their ids."""
+    texts = docs.select("text")
+    texts = texts.sample(min(1.0, SAMPLE / max(1, texts.count())), seed=5)
+    counts = in_arrow(texts, lambda b, most=REMEMBERED: _word_counts(b, pattern, most), "word binary, n long")
+    twice = materialize(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 2").select("word"), "words")
+    rows = in_arrow(twice, _word_rows, "words array<array<int>>")
+    found = rows.select("words", words_encoded(F.col("words"), ranks_path).cast("array<array<int>>").alias("ids")).toArrow()  # of a bounded sample
+    release(twice)
+    words: list[bytes] = []
+    ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for chunk in found.to_batches():
+        one, two = chunk.column("words").flatten(), chunk.column("ids").flatten()
+        raw, cuts = one.flatten().to_numpy().astype(np.uint8).tobytes(), np.append(0, np.cumsum(one.value_lengths().to_numpy())).tolist()
+        words += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        ids.append(two.flatten().to_numpy().astype(np.uint32))
+        sizes.append(two.value_lengths().to_numpy().astype(np.int64))
+    return Ahead(words, np.concatenate(ids), np.concatenate(sizes))
+
+
+def _known(ahead: Ahead) -> Runs:
+    out = Runs(np.zeros(0, np.uint32))
+    out.extend(ahead.ids, ahead.sizes)
+    return out
 
 
-def _split(batches: Iterator[pa.RecordBatch], pattern: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], pattern: str, names: list[str], most: int, ahead: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Rows of new words ahead of the rows of documents that use them; an empty list of words says to forget the others."""
-    pieces = _Pieces(pattern)
+    words = _Words(pattern, most, ahead)
     for batch in batches:
-        for part in _parts(batch):
-            group = [t or "" for t in part.column("text").to_pylist()]
-            new = [w.encode("utf-8") for w in pieces.new(group)]
-            rows = [new[k : k + CHUNK] for k in range(0, len(new), CHUNK)]
-            if len(pieces.words) + len(pieces.rest) > REMEMBERED:
-                pieces.clear()
-                new = [w.encode("utf-8") for w in pieces.new(group)]
-                rows = [[], *(new[k : k + CHUNK] for k in range(0, len(new), CHUNK))]
+        ends, data = buffers(batch.column("text"))
+        for a, b in slices(ends, PART):
+            rows: list[list[bytes]] = []
+            if words.full():
+                words.clear()
+                rows.append([])
+            numbers, counts, _, _ = words.units.values(data, ends[a : b + 1])
+            new = words.take()
+            rows += [new[k : k + CHUNK] for k in range(0, len(new), CHUNK)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), batch.schema.field(x).type) for x in names] + [_nested(rows).cast(_WORD_ROWS)], names=[*names, "words__"])
-            yield pa.RecordBatch.from_arrays([part.column(x) for x in names] + [pa.nulls(len(group), _WORD_ROWS)], names=[*names, "words__"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), batch.schema.field(x).type) for x in names] + [_nested(rows).cast(_WORD_ROWS), pa.nulls(len(rows), pa.binary())], names=[*names, "words__", "numbers__"])
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([part.column(x) for x in names] + [pa.nulls(b - a, _WORD_ROWS), _binary(numbers, 4 * np.cumsum(counts))], names=[*names, "words__", "numbers__"])
 
 
-def _assemble(batches: Iterator[pa.RecordBatch], pattern: str, names: list[str], pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _assemble(batches: Iterator[pa.RecordBatch], names: list[str], pieces: pa.Array, ahead: Ahead) -> Iterator[pa.RecordBatch]:
     """The documents with their ids and decoded bytes, from the words met before them."""
-    compiled, known = regex.compile(pattern), {}
-    units = Units(lambda texts: [b"".join([known[w] for w in compiled.findall(t)]) for t in texts], UNITS)
+    known = _known(ahead)
     for batch in batches:
         words, ids = batch.column("words__"), batch.column("ids__")
         is_words = words.is_valid().to_numpy(zero_copy_only=False)
         edges = np.flatnonzero(np.diff(is_words)) + 1
-        for a, b in zip(np.append(0, edges), np.append(edges, len(is_words)), strict=True):
+        for a, b in zip(np.append(0, edges).tolist(), np.append(edges, len(is_words)).tolist(), strict=True):
             if b <= a:
                 continue
             if is_words[a]:
                 for k in range(a, b):
-                    one, two = words[k].values, ids[k].values
-                    if not len(one):
-                        known.clear()
-                        units.clear()
+                    if not len(words[k].values):
+                        known = _known(ahead)
                         continue
-                    raw = one.flatten().to_numpy().astype(np.uint8).tobytes()
-                    out = two.flatten().to_numpy().astype("<u4").tobytes()
-                    x, y = (np.append(0, np.cumsum(v.value_lengths().to_numpy())).tolist() for v in (one, two))
-                    known.update((raw[x[i] : x[i + 1]].decode("utf-8"), out[4 * y[i] : 4 * y[i + 1]]) for i in range(len(one)))
+                    own = ids[k].values
+                    known.extend(own.flatten().to_numpy(), own.value_lengths().to_numpy())
                 continue
-            for part in _parts(batch.slice(a, b - a)):
-                cuts = [cut(t or "") for t in part.column("text").to_pylist()]
-                units.learn(cuts)
-                found = [b"".join(units.values(one)) for one in cuts]
-                decoded = [b"".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in found]
-                extra = [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found]), pa.array([hashlib.sha256(x).hexdigest() for x in decoded])]
-                yield pa.RecordBatch.from_arrays([part.column(x) for x in names if x != "text"] + [pa.array(found, pa.binary()), pa.array(decoded, pa.binary()), *extra], names=[x for x in names if x != "text"] + ["ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ends, data = buffers(batch.column("numbers__").slice(a, b - a))
+            for x, y in slices(ends, NUMBERS):
+                numbers = data[int(ends[x]) : int(ends[y])].view(np.int32)
+                found, sizes = known.gather(numbers)
+                stops = np.append(0, np.cumsum(sizes))[(ends[x + 1 : y + 1] - ends[x]) // 4]
+                decoded = pieces.take(pa.array(found.view(np.int32)))
+                at, text = buffers(decoded)
+                text, cuts = text[int(at[0]) : int(at[-1])], (at - at[0])[stops]
+                raw, plain = memoryview(found.astype("<u4")).cast("B"), memoryview(text)
+                sums = [[hashlib.sha256(view[i:j]).hexdigest() for i, j in zip([0, *to[:-1]], to, strict=True)] for view, to in ((raw, (4 * stops).tolist()), (plain, cuts.tolist()))]
+                part = batch.slice(a + x, y - x)
+                extra = [pa.array(np.diff(stops, prepend=0)), *(pa.array(one, pa.string()) for one in sums)]
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [_binary(found.astype("<u4"), 4 * stops), _binary(text, cuts), *extra], names=[*names, "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _narrowed(batches: Iterator[pa.RecordBatch], drop: list[str]) -> Iterator[pa.RecordBatch]:
@@ -262,16 +343,18 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, streams: tu
     folded in quadratic time.
     """
     results = ["ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"]
-    docs = docs.drop(*results, "words__", "ids__").withColumn("text", F.col("text").cast("string"))
-    names = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    docs = docs.drop(*results, "words__", "numbers__", "ids__").withColumn("text", F.col("text").cast("string"))
+    fields = [f for f in docs.schema.fields if f.name != "text"]
+    names = [f.name for f in fields]
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
     ranks = read_ranks(ranks_path)
-    pieces = [b""] * (max(ranks.values()) + 1)
+    tokens = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token
-    split = docs.mapInArrow(lambda b: _split(b, pattern, names), f"{kinds}, words__ array<array<int>>")
-    coded = split.withColumn("ids__", F.when(F.col("words__").isNotNull(), words_encoded(F.col("words__"), ranks_path)))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+        tokens[rank] = token
+    pieces = pa.array(tokens, pa.binary())
+    held = docs.sparkSession.sparkContext.broadcast(folded_ahead(docs, ranks_path, pattern))
+    split = in_arrow(docs, lambda b, most=REMEMBERED: _split(b, pattern, names, most, held.value.words), f"{kinds}words__ array<array<int>>, numbers__ binary")
+    coded = split.withColumn("ids__", F.when(F.col("words__").isNotNull(), words_encoded(F.col("words__"), ranks_path).cast("array<array<int>>")))
     drop = [x for x in ("ids", "decoded") if x not in streams]
-    schema = (out + ", " if out else "") + "".join(f"{x} binary, " for x in ("ids", "decoded") if x in streams) + "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return coded.mapInArrow(lambda b: _narrowed(_assemble(b, pattern, names, pieces), drop), schema)
+    schema = kinds + "".join(f"{x} binary, " for x in ("ids", "decoded") if x in streams) + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return in_arrow(coded, lambda b: _narrowed(_assemble(b, names, pieces, held.value), drop), schema)
