@@ -2,9 +2,12 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
 from edge import ROWS, docs
+from pyspark.sql import functions as F
 
-from gridloom.llm.line_dedup import line_dedup
+from gridloom.llm.line_dedup import Confirmed, line_dedup
 
 
 def key(line):
@@ -19,9 +22,10 @@ def brute(texts, least):
         yield len(lines), sum(count[key(x)] >= least for x in lines), hashlib.sha256(kept.encode()).hexdigest()
 
 
-def test_edge_rows_equal_brute_force(spark):
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_edge_rows_equal_brute_force(spark, sent):
     for least in (2, 10):
-        got = sorted(tuple(r) for r in line_dedup(docs(spark), min_docs=least).select("n_lines", "n_dropped", "kept_sha256").collect())
+        got = sorted(tuple(r) for r in line_dedup(docs(spark), min_docs=least, sent=sent).select("n_lines", "n_dropped", "kept_sha256").collect())
         assert got == sorted(brute([r[1] for r in ROWS], least))
 
 
@@ -31,9 +35,28 @@ def test_columns_and_no_rows(spark):
     assert out.count() == 0 and set(df.columns) <= set(out.columns)
 
 
-def test_first_occurrence_can_stay(spark):
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_clashing_inner_names(spark, sent):
+    df = docs(spark).withColumns({x: F.lit("own") for x in ("gone__", "affected__", "gone_id__", "first_doc", "k1", "k2", "piece", "bits", "id")})
+    out = line_dedup(df, min_docs=2, sent=sent)
+    assert set(df.columns) <= set(out.columns)
+    assert all(r["gone__"] == r["affected__"] == r["gone_id__"] == r["k1"] == "own" for r in out.collect())
+
+
+def test_keys_that_share_a_word():
+    one = np.array([5, 5, 7, 5], np.int64)
+    two = np.array([1, 2, 1, 3], np.int64)
+    table = Confirmed(one, two, np.array([1.0, 2.0, np.nan, 4.0]), False)
+    pairs = np.array([[5, 1], [5, 2], [5, 3], [5, 4], [7, 1], [7, 2], [9, 1]], np.int64)
+    assert table.gone(pairs, np.zeros(7)).tolist() == [True, True, True, False, True, False, False]
+    table = Confirmed(one, two, np.array([1.0, 2.0, np.nan, 4.0]), True)
+    assert table.gone(pairs, np.array([1.0, 1.0, np.nan, 1, 1, 1, 1])).tolist() == [False, True, False, False, False, False, False]
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_first_occurrence_can_stay(spark, sent):
     df = spark.createDataFrame([(k, f"same line\nown {k}") for k in range(12)], "doc_id long, text string")
-    out = {r["doc_id"]: r["text"] for r in line_dedup(df, keep_first=True).collect()}
+    out = {r["doc_id"]: r["text"] for r in line_dedup(df, keep_first=True, sent=sent).collect()}
     assert out[0] == "same line\nown 0" and all(out[k] == f"own {k}" for k in range(1, 12))
 
 
