@@ -8,11 +8,13 @@ needs are skipped, and what survives is verified on the whole sets.
 Distribution. Equal sets are collapsed first (a hash aggregate). A point meets only points with which it shares a
 token of its prefix: the n - ceil(t n) + 1 tokens that come first in one global order (rare first, by a count sketch
 of fixed size; any order is lossless, since a pair at the threshold has to share a prefix token). So the
-prefix lists find the candidates and no pair is lost. A token's list is first joined as a star about one centre, under
-the flat bound over GROUPS groups; afterwards a tree over the finer points serves the remainder only: among the members
-of a centre's stars, those in different components are compared. Where stars connect a group, no tree is built. So a group
-of many near copies costs pairs in proportion to its size, and no link that would join two components is missed. The
-links found so are a spanning subset; the exact mode searches each token list by a tree, in blocks, and verifies all.
+prefix lists find the candidates and no pair is lost. A list is never gathered: an aggregate with a map-side step gives
+each token's centre, the document of the highest rank, and a join pairs the others with it, under the flat bound over
+GROUPS groups. A document has one rank in all lists, so the lists of a group of near copies choose few centres and the
+group costs pairs in proportion to its size. Afterwards a tree over the finer points serves the remainder only: the
+members of a centre's stars are compared where they are in different components, in blocks of bounded size, so that no
+link that would join two components is missed. Where stars connect a group, no tree is built. The links found so are a
+spanning subset; the exact mode searches each token list by a tree, in blocks, and verifies all.
 """
 
 from __future__ import annotations
@@ -20,40 +22,50 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, mix, row_shingles
+from .common import in_arrow, materialize, mix, release, row_shingles
 
-#: Groups of the points that go with every token, and of the finer points that the trees hold.
+#: Groups of the points that go with every document, and of the finer points that the trees hold.
 GROUPS, FINE = 16, 1024
-#: A node of the tree holds so many points; shorter lists are one leaf.
+#: A node of the tree holds so many points or nodes.
 LEAF = 16
 #: Counters of the token sketch, and the pieces in which it is merged. Its size does not depend on the data.
 SKETCH, PIECES = 1 << 20, 64
+#: Members of a token list or a centre that one task compares with about as many others.
+BLOCK = 1024
 
 
 class CountTree:
-    """A packed R-tree over count vectors, ordered by set size; answers 'which points can reach the overlap'."""
+    """A packed R-tree over count vectors, ordered by set size; answers 'which points can reach the overlap'.
+
+    levels: from the root down to the leaves, of each node the upper corner and the least and greatest set size.
+    """
 
     def __init__(self, size: np.ndarray, vectors: np.ndarray):
         self.order = np.lexsort((*vectors.T[:2], size))
         self.size, self.points = size[self.order], vectors[self.order]
-        self.leaves = range(0, len(size), LEAF)
-        self.high = np.array([self.points[k : k + LEAF].max(0) for k in self.leaves])
-        self.least = np.array([self.size[k] for k in self.leaves])
-        self.most = np.array([self.size[min(k + LEAF, len(size)) - 1] for k in self.leaves])
+        high, least, most = self.points, self.size, self.size
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while True:
+            at = np.arange(0, len(least), LEAF)
+            high, least, most = np.maximum.reduceat(high, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)
+            self.levels.insert(0, (high, least, most))
+            if len(at) <= LEAF:
+                return
 
     def query(self, n: int, vector: np.ndarray, per_cent: int) -> np.ndarray:
         """Positions whose summed coordinate minima do not rule out the threshold."""
-        bound = np.minimum(self.high, vector).sum(1, dtype=np.int64)
-        node = (100 * self.most >= per_cent * n) & (100 * n >= per_cent * self.least)
-        node &= (100 + per_cent) * bound >= per_cent * (n + self.least)
-        if not node.any():
-            return np.zeros(0, np.int64)
-        at = (np.flatnonzero(node)[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = at[at < len(self.size)]
+        at = np.arange(len(self.levels[0][1]))
+        for k, (high, least, most) in enumerate(self.levels):
+            fits = (100 * most[at] >= per_cent * n) & (100 * n >= per_cent * least[at])
+            at = at[fits]
+            bound = np.minimum(high[at], vector).sum(1, dtype=np.int64)
+            at = at[(100 + per_cent) * bound >= per_cent * (n + least[at])]
+            below = len(self.size) if k + 1 == len(self.levels) else len(self.levels[k + 1][1])
+            at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
+            at = at[at < below]
         return self.order[at[may_reach(n, vector, self.size[at], self.points[at], per_cent)]]
 
 
@@ -93,74 +105,66 @@ def _print(tokens: np.ndarray) -> tuple[int, int]:
     return int(tokens.sum(dtype=np.uint64).view(np.int64)), int(other.sum(dtype=np.uint64).view(np.int64))
 
 
-_SETS = "doc_id long, n long, fp1 long, fp2 long, piece int, counts binary"
+_SETS = "doc_id long, n long, fp1 long, fp2 long, v1 long, v2 long, piece int, counts binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """Each document's size and set fingerprint; at the end the task's token counts, in pieces."""
-    counts, seen = np.zeros(SKETCH, np.uint32), set()
+    """Each document's size, set fingerprint and point; at the end the task's token counts, in pieces."""
+    counts = np.zeros(SKETCH, np.uint32)
+    names = ["doc_id", "n", "fp1", "fp2", "v1", "v2", "piece", "counts"]
     for batch in batches:
-        n, one, two = [], [], []
+        rows, seen = [], set()
         for tokens in row_shingles(batch.column("text"), shingle):
             a, b = _print(tokens)
-            n.append(len(tokens))
-            one.append(a)
-            two.append(b)
-            if len(tokens) and (a, b) not in seen:
+            rows.append((len(tokens), a, b, *_vector(tokens, GROUPS).view(np.int64).tolist()))
+            if len(tokens) and (a, b) not in seen:  # copies side by side count once; the sketch only orders tokens
                 seen.add((a, b))
                 np.add.at(counts, (tokens % np.uint64(SKETCH)).astype(np.int64), np.uint32(1))
-        rows = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "n", "fp1", "fp2", "piece", "counts"])
+        own = np.array(rows, np.int64).reshape(-1, 5)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *map(pa.array, own.T.copy()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names=names)
     width = SKETCH // PIECES
     pieces = [k for k in range(PIECES) if counts[k * width : (k + 1) * width].any()]
-    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(pieces), pa.int64()) for _ in range(4)), pa.array(pieces, pa.int32()), pa.array([np.minimum(counts[k * width : (k + 1) * width], 65535).astype(np.uint16).tobytes() for k in pieces], pa.binary())], names=["doc_id", "n", "fp1", "fp2", "piece", "counts"])
+    packed = [np.minimum(counts[k * width : (k + 1) * width], 65535).astype(np.uint16).tobytes() for k in pieces]
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(len(pieces), pa.int64()) for _ in range(6)), pa.array(pieces, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
 
-def _add_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _add_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
-    for frame in frames:
-        for piece, counts in zip(frame["piece"], frame["counts"], strict=True):
+    for batch in batches:
+        for piece, counts in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist(), strict=True):
             more = np.frombuffer(counts, np.uint16).astype(np.uint32)
             total[piece] = total[piece] + more if piece in total else more
-    yield pd.DataFrame({"piece": list(total), "counts": [x.tobytes() for x in total.values()]})
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "counts"])
 
 
-_ROUTES = "token long, doc long, n int, v1 long, v2 long"
+_ROUTES = "token long, doc long, rank long"
 
 
-def _routes(batches: Iterator[pa.RecordBatch], shingle: int, per_cent: int, sketch, held) -> Iterator[pa.RecordBatch]:
-    """A row for each prefix token of each set, the rarest tokens first; only of the documents that stand for their set."""
-    counts, seen = sketch.value, set()
-    for batch in batches:
-        token, doc, n, v1, v2 = [], [], [], [], []
-        batch = next(_needed(iter([batch]), held))
+def _routes(batches: Iterator[pa.RecordBatch], shingle: int, per_cent: int, sketch, held, shared=None) -> Iterator[pa.RecordBatch]:
+    """A row for each prefix token of each set, the rarest tokens first; only of the documents that stand for their set,
+    and only of tokens in the filter shared, if it is given. rank: the mean count of the prefix tokens, then a hash of the
+    document: first come sets with few tokens of their own."""
+    counts = sketch.value
+    for batch in _needed(batches, held):
+        token, doc, rank = [], [], []
         ids = batch.column("doc_id").to_pylist()
         for k, tokens in enumerate(row_shingles(batch.column("text"), shingle)):
             size = len(tokens)
-            if not size or ids[k] is None or (key := _print(tokens)) in seen:
+            if not size or ids[k] is None:
                 continue
-            seen.add(key)
             keep = size - -(-per_cent * size // 100) + 1
             often = counts[(tokens % np.uint64(SKETCH)).astype(np.int64)]
-            token.append(tokens[np.argsort(often, kind="stable")[:keep]].view(np.int64))
-            one, two = _vector(tokens, GROUPS).view(np.int64)
-            doc.append(np.full(keep, ids[k]))
-            n.append(np.full(keep, size, np.int32))
-            v1.append(np.full(keep, one))
-            v2.append(np.full(keep, two))
+            first = np.argsort(often, kind="stable")[:keep]
+            own = tokens[first]
+            mean = min(int(often[first].mean() * 16), (1 << 31) - 1)
+            tie = int(mix(np.array([ids[k]], np.int64).view(np.uint64))[0]) & 0xFFFFFFFF
+            if shared is not None:
+                own = own[_may_hold(shared.value, own)]
+            token.append(own.view(np.int64))
+            doc.append(np.full(len(own), ids[k]))
+            rank.append(np.full(len(own), mean << 32 | tie))
         if token:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), kind) for x, kind in ((token, pa.int64()), (doc, pa.int64()), (n, pa.int32()), (v1, pa.int64()), (v2, pa.int64()))], names=["token", "doc", "n", "v1", "v2"])
-
-
-_FOUND = "a long, b long, may boolean, many boolean"
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
-    columns: dict[str, list[np.ndarray]] = {}
-    for batch in batches:
-        for name, column in zip(batch.schema.names, batch.columns, strict=True):
-            columns.setdefault(name, []).append(column.to_numpy(zero_copy_only=False))
-    return {k: np.concatenate(v) for k, v in columns.items()} if columns else None
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (token, doc, rank)], names=["token", "doc", "rank"])
 
 
 def _first_of_pairs(*columns: np.ndarray) -> np.ndarray:
@@ -172,121 +176,108 @@ def _first_of_pairs(*columns: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def _lists(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
-    """A partition's token lists as stars: each member with the list's centre, and whether the bounds allow a link."""
-    got = _gather(batches)
-    if got is None:
-        return
-    _, list_of, sizes = np.unique(got["token"], return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(sizes[list_of] > 1)
-    got, list_of = {k: v[shared] for k, v in got.items()}, list_of[shared]
-    # A list's centre is the member that meets the most others in all lists, so that lists of one group share it.
-    _, own = np.unique(got["doc"], return_inverse=True)
-    weight = np.bincount(own, sizes[list_of])[own] if len(own) else np.zeros(0)
-    order = np.lexsort((got["doc"], -weight, list_of))
-    first = np.ones(len(order), bool)
-    first[1:] = list_of[order][1:] != list_of[order][:-1]
-    start = np.flatnonzero(first)
-    length = np.diff(np.append(start, len(order)))
-    del own, weight, list_of
-    centre = order[np.repeat(start, length - 1)]
-    member = order[np.repeat(start, length - 1) + 1 + np.arange((length - 1).sum()) - np.repeat(np.cumsum(length - 1) - (length - 1), length - 1)]
-    many = np.repeat(length > 2, length - 1)
-    own = _first_of_pairs(got["doc"][centre], got["doc"][member], ~many)
-    centre, member, many = centre[own], member[own], many[own]
-    for k in range(0, len(centre), 1 << 16):
-        c, m, x = centre[k : k + (1 << 16)], member[k : k + (1 << 16)], many[k : k + (1 << 16)]
-        size = got["n"].astype(np.int64)
-        points = [_unpack(size[at], got["v1"][at], got["v2"][at]) for at in (c, m)]
-        may = may_reach(size[c], points[0], size[m], points[1], per_cent)
-        keep = (may | x) & (got["doc"][c] != got["doc"][m])
-        c, m, x, may = c[keep], m[keep], x[keep], may[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(got["doc"][c]), pa.array(got["doc"][m]), pa.array(may), pa.array(x)], names=["a", "b", "may", "many"])
-
-
-#: Members of a token list that one task compares with as many others, for the exact links.
-BLOCK = 1024
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each value of keys, from batches in their order: one group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def whole() -> dict[str, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        held.clear()
+        return {x: table.column(x).to_numpy() for x in table.column_names}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for v in values:
+            new[1:] |= v[1:] != v[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(v[a] for v in values)
+            if held and now != last:
+                yield whole()
+            last = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, many) with whether sizes and points allow a link; those of lists of two only if they do."""
+    for batch in batches:
+        na, nb = (batch.column(x).to_numpy() for x in ("na", "nb"))
+        one, two = (_unpack(n, batch.column(f"v1{x}").to_numpy(), batch.column(f"v2{x}").to_numpy()) for n, x in ((na, "a"), (nb, "b")))
+        may = may_reach(na, one, nb, two, per_cent)
+        keep = pa.array(may | batch.column("many").to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("many"), pa.array(may)], names=["a", "b", "many", "may"]).filter(keep)
 
 
 def _all_pairs(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
     """Every pair of two blocks x <= y of a token list that a tree over the count vectors does not rule out."""
-    got = _gather(batches)
-    if got is None:
-        return
-    order = np.lexsort((got["doc"], got["y"], got["x"], got["token"]))
-    got = {k: v[order] for k, v in got.items()}
-    n = got["n"].astype(np.int64)
-    new = np.zeros(len(n), bool)
-    for name in ("token", "x", "y"):
-        new[1:] |= got[name][1:] != got[name][:-1]
-    edges = np.flatnonzero(new)
-    a, b, held = [], [], 0
-
-    def out() -> pa.RecordBatch:
-        one, two = np.concatenate(a), np.concatenate(b)
-        one, two = np.minimum(one, two), np.maximum(one, two)
-        first = _first_of_pairs(one, two)
-        a.clear()
-        b.clear()
-        return pa.RecordBatch.from_arrays([pa.array(one[first]), pa.array(two[first])], names=["a", "b"])
-
-    for s, e in zip(np.append(0, edges), np.append(edges, len(n)), strict=True):
-        doc, same = got["doc"][s:e], got["x"][s] == got["y"][s]
-        rows = np.flatnonzero(got["block"][s:e] == got["x"][s])
-        other = rows if same else np.flatnonzero(got["block"][s:e] == got["y"][s])
+    for got in _groups(batches, ["token", "x", "y"]):
+        n, doc, same = got["n"], got["doc"], got["x"][0] == got["y"][0]
+        rows = np.flatnonzero(got["block"] == got["x"][0])
+        other = rows if same else np.flatnonzero(got["block"] == got["y"][0])
         if not len(rows) or not len(other):
             continue
-        points = _unpack(n[s:e], got["v1"][s:e], got["v2"][s:e])
-        tree = CountTree(n[s:e][other], points[other])
+        points = _unpack(n, got["v1"], got["v2"])
+        tree = CountTree(n[other], points[other])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for u in rows:
-            near = doc[other[tree.query(n[s + u], points[u], per_cent)]]
+            near = doc[other[tree.query(n[u], points[u], per_cent)]]
             near = near[near > doc[u]] if same else near[near != doc[u]]
-            if len(near):
-                a.append(np.full(len(near), doc[u]))
-                b.append(near)
-                held += len(near)
-        if held > 1 << 20:
-            yield out()
-            held = 0
-    if a:
-        yield out()
-
-
-def _in_blocks(routes: DataFrame, per_cent: int) -> DataFrame:
-    """(a, b) of all pairs of the token lists that the bounds allow. A list of many members is dealt to blocks of about
-    BLOCK, and each two of its blocks meet by a key of their own."""
-    sizes = routes.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    dealt = routes.join(sizes, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc"), F.col("blocks")))
+            a.append(np.full(len(near), doc[u]))
+            b.append(near)
+        one, two = np.concatenate(a), np.concatenate(b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+
+
+def _in_blocks(members: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b) of all pairs of token lists (token, size, doc, n, v1, v2) that the bounds allow. A list of many members is
+    dealt to blocks of about BLOCK, and each two of its blocks meet by a key of their own."""
+    dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "doc"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("token", "doc", "n", "v1", "v2", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    return dealt.repartition("token", "x", "y").mapInArrow(lambda b: _all_pairs(b, per_cent), "a long, b long")
+    keys = ["token", "x", "y"]
+    return in_arrow(dealt.repartition(*keys).sortWithinPartitions(*keys), lambda b: _all_pairs(b, per_cent), "a long, b long")
 
 
 def _leftovers(batches: Iterator[pa.RecordBatch], per_cent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs between components among the members of a centre's stars, where neither the bounds of a tree over their
-    count vectors nor their distances to the centre rule a link out."""
-    got = _gather(batches)
-    if got is None:
-        return
-    order = np.lexsort((got["doc"], got["centre"]))
-    got = {k: v[order] for k, v in got.items()}
-    n, far, limit = got["n"].astype(np.int64), got["far"], 1 - per_cent / 100 + 1e-9
-    edges = np.flatnonzero(np.diff(got["centre"])) + 1
-    for s, e in zip(np.append(0, edges), np.append(edges, len(n)), strict=True):
-        names, counts = np.unique(got["part"][s:e], return_counts=True)
-        if len(names) < 2:
+    """Pairs between components among a block of a centre's members and a block of those outside its largest component,
+    where neither the bounds of a tree over their count vectors nor their distances to the centre rule a link out."""
+    limit = 1 - per_cent / 100 + 1e-9
+    for got in _groups(batches, ["centre", "x", "y"]):
+        asks = np.flatnonzero(got["asks"].astype(bool))
+        own = np.flatnonzero(~got["asks"].astype(bool))
+        if not len(asks) or not len(own):
             continue
-        large = names[counts.argmax()]
-        points = _counts(n[s:e], np.frombuffer(b"".join(got["vector"][s:e]), np.uint8).reshape(e - s, FINE))
-        tree = CountTree(n[s:e], points)
-        a, b = [], []
-        for u in np.arange(s, e)[got["part"][s:e] != large]:
-            near = tree.query(n[u], points[u - s], per_cent) + s
-            near = near[(got["part"][near] != got["part"][u]) & ~(np.abs(far[near] - far[u]) > limit)]
-            near = near[(got["part"][near] == large) | (near > u)]
-            a.append(np.full(len(near), got["doc"][u]))
-            b.append(got["doc"][near])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
+        n, far, part, doc = got["n"], got["far"], got["part"], got["doc"]
+        points = _counts(n, np.frombuffer(b"".join(got["vector"]), np.uint8).reshape(len(n), FINE))
+        tree = CountTree(n[own], points[own])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for u in asks:
+            near = own[tree.query(n[u], points[u], per_cent)]
+            near = near[(part[near] != part[u]) & ~(np.abs(far[near] - far[u]) > limit)]
+            a.append(np.full(len(near), doc[u]))
+            b.append(doc[near])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+
+def _outside(rows: DataFrame) -> DataFrame:
+    """rows (centre, doc, part, ...) of the centres whose members are in several components, dealt to blocks: as a member
+    (asks false) and, outside the centre's largest component, as a query (asks true). Members of the largest component are
+    never compared with each other; every other pair of components meets in some block."""
+    sizes = rows.groupBy("centre", "part").agg(F.count("*").alias("k")).groupBy("centre").agg(F.sum("k").alias("size"), F.max("k").alias("most"), F.max_by("part", F.struct("k", "part")).alias("large"))
+    mixed = rows.join(sizes.where("size > most"), "centre")
+    ceil = lambda x: F.ceil(x / BLOCK).cast("long")
+    mixed = mixed.withColumns({"ys": ceil(F.col("size")), "xs": ceil(F.col("size") - F.col("most"))})
+    spread = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64(F.lit(n), "doc"), F.col(n))
+    members = mixed.withColumns({"asks": F.lit(False), "y": own("ys"), "x": F.explode(spread("xs"))})
+    asking = mixed.where("part <> large").withColumns({"asks": F.lit(True), "x": own("xs"), "y": F.explode(spread("ys"))})
+    return members.unionByName(asking).drop("size", "most", "large", "xs", "ys")
 
 
 def _points(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -347,7 +338,7 @@ def _id_bloom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def id_filter(ids: DataFrame):
     """A broadcast Bloom filter of fixed size over the column id."""
     bits = np.zeros(ID_BITS // 8, np.uint8)
-    for row in ids.coalesce(4).mapInArrow(_id_bloom, "bits binary").toLocalIterator():
+    for row in in_arrow(ids.coalesce(4), _id_bloom, "bits binary").toLocalIterator():
         bits |= np.frombuffer(row["bits"], np.uint8)
     return ids.sparkSession.sparkContext.broadcast(bits)
 
@@ -355,9 +346,9 @@ def id_filter(ids: DataFrame):
 def verified(docs: DataFrame, pairs: DataFrame, shingle: int, per_cent: int) -> DataFrame:
     """pairs (a, b) with overlap, na, nb from the whole texts of docs. One filter of fixed size decides which texts move."""
     held = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    texts = docs.select("doc_id", "text").mapInArrow(lambda b: _needed(b, held), "doc_id long, text string")
+    texts = in_arrow(docs.select("doc_id", "text"), lambda b: _needed(b, held), "doc_id long, text string")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda b: _verify(b, shingle), "a long, b long, overlap long, na long, nb long").distinct()
+    return in_arrow(both.select("a", "b", "text_a", "text_b"), lambda b: _verify(b, shingle), "a long, b long, overlap long, na long, nb long").distinct()
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -375,7 +366,8 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = materialize(small, "edges")
+        past, now = now, materialize(small, "edges")
+        release(past)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         rounds = None if rounds is None else rounds - 1
         if state == before or rounds == 0:
@@ -391,55 +383,64 @@ def jaccard_links(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75, exac
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = materialize(docs.mapInArrow(lambda b: _sets(b, shingle), _SETS), "sets")
+    first = materialize(in_arrow(docs, lambda b: _sets(b, shingle), _SETS), "sets")
     counts = np.zeros(SKETCH, np.uint32)
-    for row in first.where("piece is not null").select("piece", "counts").repartition(PIECES, "piece").mapInPandas(_add_pieces, "piece int, counts binary").toLocalIterator():
+    pieces = first.where("piece is not null").select("piece", "counts").repartition(PIECES, "piece")
+    for row in in_arrow(pieces, _add_pieces, "piece int, counts binary").toLocalIterator():
         counts[row["piece"] * (SKETCH // PIECES) : (row["piece"] + 1) * (SKETCH // PIECES)] = np.frombuffer(row["counts"], np.uint32)
     sketch = spark.sparkContext.broadcast(counts)
-    sets = first.where("piece is null").select("doc_id", "n", "fp1", "fp2")
+    sets = first.where("piece is null").drop("piece", "counts")
     named = sets.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("class_id"))
-    known = materialize(sets.where("n > 0").join(named, ["fp1", "fp2", "n"]).select("doc_id", "n", "class_id").unionAll(sets.where("n = 0").select("doc_id", "n", "doc_id")), "classes")
+    point = ["doc_id", "n", "class_id", "v1", "v2"]
+    known = sets.where("n > 0").join(named, ["fp1", "fp2", "n"]).select(*point)
+    known = materialize(known.unionAll(sets.where("n = 0").withColumn("class_id", F.col("doc_id")).select(*point)), "classes")
+    release(first)
     stands = id_filter(known.where("n > 0").select(F.col("class_id").alias("id")).where("id is not null").distinct())
-    routes = docs.mapInArrow(lambda b: _routes(b, shingle, per_cent, sketch, stands), _ROUTES)
-    if exact:
-        routes = materialize(routes, "routes")
-    found = None if exact else materialize(routes.repartition("token").mapInArrow(lambda b: _lists(b, per_cent), _FOUND), "lists")
-    ids = known.select("doc_id", "class_id").where("doc_id is not null").distinct()
+    ids = known.where("doc_id is not null and n > 0").distinct()
 
-    def classes(pairs: DataFrame) -> DataFrame:
-        by = pairs.join(ids.withColumnsRenamed({"doc_id": "a", "class_id": "ca"}), "a").join(ids.withColumnsRenamed({"doc_id": "b", "class_id": "cb"}), "b")
-        return by.where("ca <> cb").drop("a", "b").withColumnsRenamed({"ca": "a", "cb": "b"})
+    def side(x: str) -> DataFrame:
+        return ids.select(F.col("doc_id").alias(x), F.col("class_id").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("v1").alias(f"v1{x}"), F.col("v2").alias(f"v2{x}"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
+    lists = in_arrow(docs, lambda b: _routes(b, shingle, per_cent, sketch, stands), _ROUTES)
+    lists = lists.groupBy("token").agg(F.count("*").alias("size"), F.max_by("doc", "rank").alias("centre")).where("size > 1")
+    lists = materialize(lists, "lists")
+    shared = id_filter(lists.select(F.col("token").alias("id")))
+    members = in_arrow(docs, lambda b: _routes(b, shingle, per_cent, sketch, stands, shared), _ROUTES).drop("rank").join(lists, "token")
     union = F.expr(f"100 * overlap >= {per_cent} * (na + nb - overlap)")
+    result = known.select("doc_id", F.col("n").alias("n_shingles"), "class_id")
     if exact:
-        pairs = materialize(ordered(classes(_in_blocks(routes, per_cent).distinct())), "pairs")
-        tested = materialize(verified(docs, pairs, shingle, per_cent), "tested")
-        return known.withColumnRenamed("n", "n_shingles"), tested.where(union)
-    stars = materialize(classes(found), "stars")
+        own = ids.select(F.col("doc_id").alias("doc"), "class_id", "n", "v1", "v2")
+        pairs = _in_blocks(members.join(own, "doc").select("token", "size", F.col("class_id").alias("doc"), "n", "v1", "v2").distinct(), per_cent)
+        tested = materialize(verified(docs, materialize(ordered(pairs), "pairs"), shingle, per_cent), "tested")
+        return result, tested.where(union)
+    stars = members.where("doc <> centre").groupBy(F.col("centre").alias("a"), F.col("doc").alias("b")).agg((F.max("size") > 2).alias("many"))
+    stars = stars.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").drop("a", "b").withColumnsRenamed({"ca": "a", "cb": "b"})
+    stars = materialize(in_arrow(stars, lambda b: _bounded(b, per_cent), "a long, b long, many boolean, may boolean"), "stars")
+    release(lists)
     tested = materialize(verified(docs, materialize(ordered(stars.where("may")), "pairs"), shingle, per_cent), "tested")
     links = tested.where(union)
     # Members of a list that the star left in different components may still be linked with each other.
     parts = components(links.select("a", "b"), rounds=2)
     rows = stars.where("many").select(F.col("a").alias("centre"), F.col("b").alias("doc")).distinct()
-    rows = materialize(rows.join(parts.withColumnsRenamed({"id": "doc", "component": "part"}), "doc", "left").withColumn("part", F.coalesce("part", "doc")), "members")
-    mixed = rows.groupBy("centre").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("centre")
+    rows = rows.join(parts.withColumnsRenamed({"id": "doc", "component": "part"}), "doc", "left").withColumn("part", F.coalesce("part", "doc"))
     far = tested.select("a", "b", (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("far"))
     far = far.unionAll(far.select("b", "a", "far")).withColumnsRenamed({"a": "centre", "b": "doc"})
-    rows = rows.join(mixed, "centre", "left_semi").join(far, ["centre", "doc"], "left")
-    rows = materialize(rows.select("centre", "doc", "part", F.coalesce("far", F.lit(float("nan"))).alias("far")), "mixed")
+    rows = rows.join(far, ["centre", "doc"], "left").select("centre", "doc", "part", F.coalesce("far", F.lit(float("nan"))).alias("far"))
+    rows = materialize(_outside(rows), "mixed")
+    release(stars)
     held = id_filter(rows.select(F.col("doc").alias("id")))
-    points = docs.select("doc_id", "text").mapInArrow(lambda b: _points(_needed(b, held), shingle), "doc long, n long, vector binary").dropDuplicates(["doc"])
-    rows = rows.join(points, "doc").select("centre", "doc", "n", "vector", "part", "far")
-    more = ordered(rows.repartition("centre").mapInArrow(lambda b: _leftovers(b, per_cent), "a long, b long"))
+    points = in_arrow(docs.select("doc_id", "text"), lambda b: _points(_needed(b, held), shingle), "doc long, n long, vector binary").dropDuplicates(["doc"])
+    keys = ["centre", "x", "y"]
+    rows = rows.join(points, "doc").repartition(*keys).sortWithinPartitions(*keys)
+    more = ordered(in_arrow(rows, lambda b: _leftovers(b, per_cent), "a long, b long"))
     more = materialize(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    known = known.withColumnRenamed("n", "n_shingles")
     if more.isEmpty():
-        return known, links
+        return result, links
     again = materialize(verified(docs, more, shingle, per_cent), "again")
-    return known, links.unionAll(again.where(union))
+    return result, links.unionAll(again.where(union))
 
 
 def jaccard_components(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75, exact: bool = False) -> DataFrame:

@@ -73,6 +73,48 @@ def test_groups_chains_and_shared_passages(spark, seed):
     assert got == brute([(r[0], r[1]) for r in rows])
 
 
+def test_a_large_group_over_many_partitions_costs_pairs_in_proportion(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"v{rng.randrange(5000)}" for _ in range(80)]
+    texts = list(family(rng, base, 1000, 1)) + [" ".join(f"x{rng.randrange(10**6)}" for _ in range(30)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    sizes = []
+    verified = J.verified
+    monkeypatch.setattr(J, "verified", lambda docs, pairs, *x: sizes.append(pairs.count()) or verified(docs, pairs, *x))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = sorted(map(tuple, J.jaccard_components(df).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(sizes) < 6 * 1000
+    assert got == brute(list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_leftovers_in_small_blocks(spark, monkeypatch, seed):
+    monkeypatch.setattr(J, "BLOCK", 5)
+    rng = random.Random(seed)
+    word = lambda: f"v{rng.randrange(5000)}"
+    shared = [word() for _ in range(60)]
+    texts = [" ".join(shared + [word() for _ in range(rng.randrange(5, 30))]) for _ in range(50)]
+    texts += list(family(rng, [word() for _ in range(60)], 60, 4))
+    rows = list(enumerate(texts))
+    got = sorted(map(tuple, J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_a_tree_of_many_levels():
+    rng = np.random.default_rng(7)
+    n = rng.integers(5, 60, 5000)
+    points = np.array([np.bincount(rng.integers(0, J.GROUPS, k), minlength=J.GROUPS) for k in n]).astype(np.uint16)
+    tree = J.CountTree(n, points)
+    assert len(tree.levels) == 3
+    for k in range(0, 5000, 250):
+        want = np.flatnonzero(J.may_reach(n[k], points[k], n, points, 75))
+        assert sorted(tree.query(n[k], points[k], 75).tolist()) == want.tolist() and k in want
+
+
 @pytest.mark.parametrize("block", [1024, 7])
 def test_exact_mode_returns_every_link(spark, monkeypatch, block):
     monkeypatch.setattr(J, "BLOCK", block)
