@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, mix, slices
+from .common import buffers, in_arrow, materialize, mix, release, slices
 
 #: Lengths in bytes of the n-grams of lower-cased text in which runs of anything but letters are one space.
 GRAMS = (3, 5)
@@ -59,12 +59,15 @@ def _grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(rolled[whole[: len(rolled)]] + np.uint64(size)), np.cumsum(np.maximum(np.diff(stops, prepend=0) - size + 1, 0))
 
 
+#: Bytes of text that are looked at once; an n-gram takes some 60 bytes of a worker's memory.
+PART = 256 << 10
+
+
 def _pieces(column: pa.Array) -> Iterator[list[str]]:
     """Texts of a column in groups of bounded size; null is empty."""
-    texts = [t or "" for t in column.to_pylist()]
-    sizes = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
-    for a, b in slices(sizes):
-        yield texts[a:b]
+    ends, _ = buffers(column)
+    for a, b in slices(ends, PART):
+        yield [t or "" for t in column.slice(a, b - a).to_pylist()]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,9 +75,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[str, list[np.ndarray]] = {}
     docs: dict[str, int] = {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            docs[lang] = docs.get(lang, 0) + 1
-            found.setdefault(lang, []).append(np.unique(np.concatenate([_grams([text], size)[0] for size in GRAMS])))
+        langs = iter(batch.column("lang").to_pylist())
+        for texts in _pieces(batch.column("text")):
+            for text in texts:
+                lang = next(langs)
+                docs[lang] = docs.get(lang, 0) + 1
+                found.setdefault(lang, []).append(np.unique(np.concatenate([_grams([text], size)[0] for size in GRAMS])))
     for lang, sets in found.items():
         gram, n = np.unique(np.concatenate(sets), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(gram) + 1)), pa.array([*gram.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), docs[lang]], pa.int64())], names=["lang", "gram", "n"])
@@ -89,7 +95,7 @@ def train(docs: DataFrame, *, train_docs: int = 3000, least_share: float = 0.004
     docs = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     share = docs.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(train_docs)) / F.count("*")).alias("share"))
     sample = docs.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("text", "lang")
-    counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = in_arrow(sample, _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.where("gram is null").select(F.col("lang").alias("l"), F.col("n").alias("docs"))
     kept = counts.where("gram is not null").join(F.broadcast(total), F.col("lang") == F.col("l")).where((F.col("n") >= F.least(F.lit(3), F.ceil(F.col("docs") / 5))) & (F.col("n") >= least_share * F.col("docs")))
     kept = materialize(kept.select("lang", "gram"), "grams")
@@ -104,6 +110,7 @@ def train(docs: DataFrame, *, train_docs: int = 3000, least_share: float = 0.004
             for at in _slots(grams.to_numpy().view(np.uint64)):
                 slots[-1][at] |= kind(1 << bit)
             wrong.append(float((slots[-1] >> kind(bit) & kind(1)).mean()) ** 2)
+    release(kept)
     return LanguageModel(languages, slots, np.array(wrong))
 
 
@@ -152,7 +159,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(lambda b: _predict(b, held), f"{schema}, lang_pred string, score double")
+    return in_arrow(docs, lambda b: _predict(b, held), f"{schema}, lang_pred string, score double")
 
 
 def held_out(mod: int, rest: int):

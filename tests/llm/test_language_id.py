@@ -39,23 +39,13 @@ def test_filter_has_no_false_negatives_and_its_rate_is_known():
     slots = np.zeros(L.SLOTS, np.uint8)
     for at in L._slots(grams):
         slots[at] |= 1
-    model = L.LanguageModel(["x"], slots, np.array([float((slots & 1).mean()) ** 2]))
+    model = L.LanguageModel(["x"], [slots], np.array([float((slots & 1).mean()) ** 2]))
     assert (slots[L._slots(grams)[0]] & slots[L._slots(grams)[1]] & 1).all()
     fresh = np.random.default_rng(1).integers(0, 1 << 62, 200_000, dtype=np.uint64)
     hit = (slots[L._slots(fresh)[0]] & slots[L._slots(fresh)[1]] & 1).mean()
     assert abs(hit - model.wrong[0]) < 2e-4
 
 
-def test_grams_do_not_depend_on_the_batch():
-    texts = ["One two", "", "Drei, vier!", "x"]
-    together, stops = L._grams(texts, 3)
-    begin = 0
-    for text, stop in zip(texts, stops, strict=True):
-        alone = set(L._grams([text], 3)[0].tolist())
-        assert alone <= set(together[begin:stop].tolist()) | set(together[max(0, begin - 3) : stop + 3].tolist())
-        begin = stop
-
-
 def test_grams_and_scores_equal_those_of_the_text_alone():
     import numpy as np
 
