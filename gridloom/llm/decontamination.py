@@ -7,6 +7,7 @@ Myers' bit-parallel distance verifies the item against that stretch of the docum
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 #: Characters of item text in one automaton. More items go in further passes over the documents, so that what is
 #: sent to executors is bounded.
 BLOCK_CHARS = 4 << 20
-_built: dict[int, ahocorasick.Automaton] = {}
+#: The automaton of the last block that a worker met, by a hash of the block's items and rate.
+_built: dict[str, ahocorasick.Automaton] = {}
 
 
 def normal(text: str | None) -> str:
@@ -104,12 +106,17 @@ def matches(text: str, items: list[tuple[int, str]], automaton: ahocorasick.Auto
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], held, rate: float) -> Iterator[pa.RecordBatch]:
+def content_key(items: list[tuple[int, str]], rate: float) -> str:
+    """A name for a block of items and a rate that no other block has."""
+    return hashlib.sha256(repr((rate, items)).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _scan(batches: Iterator[pa.RecordBatch], held, key: str, rate: float) -> Iterator[pa.RecordBatch]:
     items = held.value
-    if id(items) not in _built:
+    if key not in _built:
         _built.clear()
-        _built[id(items)] = _automaton(items, rate)
-    automaton = _built[id(items)]
+        _built[key] = _automaton(items, rate)
+    automaton = _built[key]
     for batch in batches:
         doc, item, edits = [], [], []
         for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -142,7 +149,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.
     out = None
     for block in blocks:
         held = spark.sparkContext.broadcast(block)
-        found = docs.mapInArrow(lambda b, held=held: _scan(b, held, rate), "doc_id long, item_id long, edits long") if block else spark.createDataFrame([], "doc_id long, item_id long, edits long")
+        key = content_key(block, rate)
+        found = docs.mapInArrow(lambda b, held=held, key=key: _scan(b, held, key, rate), "doc_id long, item_id long, edits long") if block else spark.createDataFrame([], "doc_id long, item_id long, edits long")
         out = found if out is None else out.unionAll(found)
     return out
 

@@ -62,3 +62,9 @@ def test_edge_rows(spark, monkeypatch):
     assert D.benchmark_matches(docs(spark, []), bench).count() == 0
     left = D.decontaminated(docs(spark), bench)
     assert left.columns == docs(spark).columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "2", "4", "7", "8", "None"]
+
+
+def test_blocks_have_names_of_their_own():
+    one, two = [(1, "a"), (2, "b")], [(1, "a"), (2, "c")]
+    assert len({D.content_key(x, r) for x in (one, two, one[:1], []) for r in (0.06, 0.1)}) == 8
+    assert D.content_key(one, 0.06) == D.content_key(list(one), 0.06)
