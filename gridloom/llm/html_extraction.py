@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -47,9 +48,12 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 PARAGRAPH_WALL = frozenset("button caption html td th table object".split())
+#: Comments, declarations and tags. Quotes count after = only; one that is never closed is a plain character, and a tag that
+#: is never closed runs to the end of the page, as browsers have it. No part can match what another can, and none gives back
+#: what it took, so that a page is read in linear time.
 _MARK = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^\"'>]|\"[^\"]*+\"|'[^']*+'|[\"'])*?)>",
+    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)",
     re.S,
 )
 _NAMING = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -82,76 +86,72 @@ def _marks(attrs: str) -> set[str] | None:
     return CUT_WORDS.intersection([w for x in found for w in _PARTS.split("".join(x).lower())]) or None
 
 
+#: What an end tag of an inline element doesn't reach over.
+INLINE_WALL = ("article", "main", "body", "table")
+
+
 def parse(html: str) -> Node:
-    """The tree of a page; broken markup is repaired by the rules of optional and missing end tags."""
+    """The tree of a page; broken markup is repaired by the rules of optional and missing end tags.
+
+    stack has the open elements from the root on, where the places of those of each name in it, so that no tag searches the
+    open elements one by one.
+    """
     root = Node("html", None, False)
-    at, pos, lower = root, 0, None
+    stack, pos, lower = [root], 0, None
+    where: dict[str, list[int]] = {}
+
+    def last(names) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=0)
+
+    def close(place: int) -> None:
+        while len(stack) > place:
+            where[stack.pop().name].pop()
+
     while True:
         mark = _MARK.search(html, pos)
         text = html[pos : mark.start() if mark else len(html)]
         if text:
-            at.parts.append(text)
+            stack[-1].parts.append(text)
         if not mark:
             return root
         pos = mark.end()
         name = mark["name"]
         if name is None:
             if mark[0].startswith("<![CDATA["):
-                at.parts.append(mark[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+                stack[-1].parts.append(mark[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         name = name.lower()
         if mark["end"]:
-            if name == "p" and name not in _open(at):
-                continue
-            node = at
-            while node.up is not None and node.name != name:
-                if node.name in ("article", "main", "body", "table") and name not in BLOCK:
-                    node = root
-                    break
-                node = node.up
-            if node.up is not None:
-                at = node.up
+            place = last((name,))
+            if place and (name in BLOCK or place > last(INLINE_WALL)):
+                close(place)
             elif name == "br":
-                at.parts.append(" ")
+                stack[-1].parts.append(" ")
+            continue
+        if name == "html" and len(stack) == 1:
             continue
-        if name in ("html", "body", "head") and at is root:
-            if name == "html":
-                continue
-        if name in BLOCK:
-            node = at
-            while node.up is not None and node.name not in PARAGRAPH_WALL:
-                if node.name == "p":
-                    at = node.up
-                    break
-                node = node.up
+        if name in BLOCK and (place := last(("p",))) > last(PARAGRAPH_WALL):
+            close(place)
         if name in CLOSES:
             ends, walls = CLOSES[name]
-            node = at
-            while node.up is not None and node.name not in walls:
-                if node.name in ends:
-                    at = node.up
-                node = node.up
-        if name in ("body", "main") and any(n == "head" for n in _open(at)):
-            while at.name != "head":
-                at = at.up
-            at = at.up
-        inside = any(n in ("article", "main") for n in _open(at)) if name == "header" else False
-        node = Node(name, at, _is_cut(name, mark["attrs"], inside), _marks(mark["attrs"]))
-        at.parts.append(node)
-        at.kids.append(node)
+            wall = last(walls)
+            found = [at[k] for e in ends if (at := where.get(e)) and (k := bisect_right(at, wall)) < len(at)]
+            if found:
+                close(min(found))
+        if name in ("body", "main") and where.get("head"):
+            close(where["head"][-1])
+        inside = bool(where.get("article") or where.get("main"))
+        node = Node(name, stack[-1], _is_cut(name, mark["attrs"], inside), _marks(mark["attrs"]))
+        stack[-1].parts.append(node)
+        stack[-1].kids.append(node)
         if name in RAW:
             if lower is None:
                 lower = html.lower() if len(html.lower()) == len(html) else re.sub("[A-Z]+", lambda m: m[0].lower(), html)
             stop = lower.find(f"</{name}", pos)
             pos = len(html) if stop < 0 else (html.find(">", stop) + 1 or len(html))
         elif name not in VOID and not mark["attrs"].endswith("/"):
-            at = node
-
-
-def _open(node: Node) -> Iterator[str]:
-    while node is not None:
-        yield node.name
-        node = node.up
+            where.setdefault(name, []).append(len(stack))
+            stack.append(node)
 
 
 def _cut_marked(root: Node) -> None:

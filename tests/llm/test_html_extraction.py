@@ -1,4 +1,9 @@
-from gridloom.llm.html_extraction import extract_main_text, main_text
+import math
+import time
+
+import pytest
+
+from gridloom.llm.html_extraction import _count, _densities, extract_main_text, main_text, parse
 
 ARTICLE = "<h1>Title &amp; more</h1><p>First paragraph, long enough to be text &eacute;.</p><p>Second\n  paragraph with <a href='/x'>a link</a> and <b>bold</b>.<br>next</p>"
 WANT = "Title & more\nFirst paragraph, long enough to be text é.\nSecond paragraph with a link and bold. next"
@@ -58,3 +63,59 @@ def test_edge_rows(spark):
     out = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert [(r["page_id"], r["n_chars"]) for r in out] == [(1, 0), (2, 0), (3, 0), (3, 0), (None, len(WANT)), (4, 20000 * 5 - 1), (5, 4)]
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+HOSTILE = {
+    "quotes": '<a ' + '"x" ' * 50_000,
+    "open quotes": "<a x='> \"" * 50_000,
+    "no ends": "<x" * 100_000,
+    "values": '<a x="> "' * 50_000,
+    "odd quotes": '<a ">' * 100_001,
+    "nested": "<div>" * 100_000,
+    "spans": "<span><article>" + "<div>" * 30_000 + "</span>" * 30_000,
+    "items": "<ul><li>" + "<b>" * 30_000 + "<li>x" * 30_000,
+    "spaces": "<a" + " " * 200_000 + "class",
+    "comments": "<!--" * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_are_read_in_linear_time(name):
+    began = time.process_time()
+    assert main_text("<p>hello</p>" + HOSTILE[name]).startswith("hello")
+    assert time.process_time() - began < 5
+
+
+def test_quotes_and_tags_without_an_end():
+    assert main_text("<p title=\"a > b\">kept</p><p x='1' y=\"2\">two</p>") == "kept\ntwo"
+    assert main_text('<p title=5" tall">kept</p>') == "kept"
+    assert main_text('<p>one</p><p class="x>two</p>') == "one\ntwo"  # the quote is never closed
+    assert main_text('<p>one</p><p class="x>two</p><p class="y">three</p>') == "one\nthree"  # it closes in the next tag
+    assert main_text("<p>one</p><p class=x") == "one"
+
+
+def test_densities_by_definition():
+    body = f"<div><p>{'word ' * 30}</p><p>{'more ' * 20}<a href='/'>a link</a></p></div><ul><li><a href='/x'>one</a></li><li><a>two</a> and</li></ul>"
+    root = parse(f"<html><body>{body}</body></html>")
+    order = _count(root)
+    found = next(n for n in order if n.name == "body")
+
+    def below(node):
+        return [x for kid in node.kids for x in (kid, *below(kid))]
+
+    def chars(node):
+        return sum(len("".join(p.split())) for p in node.parts if isinstance(p, str)) + sum(chars(k) for k in node.kids)
+
+    def links(node):
+        return [x for x in (node, *below(node)) if x.name == "a"]
+
+    _densities(order, found)
+    all_links, all_chars = sum(map(chars, links(found))), chars(found)
+    for node in order:
+        c, t = chars(node), max(1, len(below(node)))
+        lc, lt = sum(map(chars, links(node))), len([x for x in links(node) if x is not node])
+        assert (node.chars, node.total, node.link_chars, node.link_tags) == (c, len(below(node)), lc, lt)
+        base = math.log(c / max(1, c - lc) * lc + all_links / all_chars * c + math.e)
+        ratio = c / max(1, lc) * t / max(1, lt)
+        want = 0.0 if not c or ratio <= 1 else c / t * (math.log(ratio) / math.log(base) if base > 1 else 1.0)
+        assert math.isclose(node.density, want)
