@@ -46,3 +46,13 @@ def web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     """EPSG:4326 to EPSG:3857."""
     r = 6378137.0
     return F.radians(lon) * r, F.log(F.tan(F.pi() / 4 + F.radians(lat) / 2)) * r
+
+
+def in_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
+    """Whether a point lies in a ring, by the parity of the edges to its right."""
+    crossed = F.lit(0)
+    for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True):
+        if y0 != y1:
+            hit = ((y < y0) != (y < y1)) & (x < (y - y0) * ((x1 - x0) / (y1 - y0)) + x0)
+            crossed = crossed + hit.cast("int")
+    return crossed % 2 == 1

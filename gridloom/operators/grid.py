@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import checkpointing
+
 
 def _steps(start: Column, stop: Column, step: Column) -> Column:
     """sequence() that is empty instead of failing where stop lies before start."""
@@ -90,23 +92,50 @@ def _tile(idx: Column, n: Column, parts: int) -> Column:
     return F.when(idx < head, F.floor(idx / (small + 1))).otherwise(rest + F.floor((idx - head) / F.greatest(small, F.lit(1)))).cast("bigint")
 
 
+def _placed(df: DataFrame, order: list[str]) -> DataFrame:
+    """df in range partitions by order, with _part (partitions in order) and _key (a number that grows in that order within
+    a partition), written once to the checkpoint folder.
+
+    Counting and numbering have to read the same partitions. Planned twice, a range partitioning samples its bounds twice
+    and a row could count in one partition and be numbered in another; so the order is checkpointed, which cuts lineage too.
+    """
+    spark = df.sparkSession
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    local = ordered.withColumn("_key", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_key", 33))
+    checkpointing(spark)
+    return local.checkpoint()
+
+
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """row_idx (from 0) in the given order and n_rows, without bringing all rows into one task.
 
-    Rows are range-partitioned and sorted; counts of the partitions (one row each) give the offsets.
+    Rows are range-partitioned and sorted once; counts of the partitions (one row each) give the offsets.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    local = ordered.withColumn("_mono", F.monotonically_increasing_id())
-    local = local.withColumns({"_part": F.shiftright("_mono", 33), "_at": F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_mono")
+    local = _placed(df, order)
     counts = local.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("n_rows"))
-    return local.join(F.broadcast(offsets), "_part").withColumn("row_idx", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("n_rows"))  # a row a partition
+    at = F.col("_key").bitwiseAND(F.lit((1 << 33) - 1))
+    return local.join(F.broadcast(offsets), "_part").withColumn("row_idx", F.col("_before") + at).drop("_part", "_key", "_before")
 
 
 def prefix_offsets(sizes: DataFrame, size: str, order: list[str]) -> DataFrame:
     """start_idx: the sum of the sizes of the rows before, two-phase: within range partitions, then across them."""
-    ordered = sizes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    totals = ordered.groupBy("_part").agg(F.sum(size).alias("_n"))
-    before = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    own = F.sum(size).over(Window.partitionBy("_part").orderBy(*order)) - F.col(size)
-    return ordered.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn("start_idx", (F.col("_before") + F.col("_own")).cast("bigint")).drop("_part", "_own", "_before")
+    local = _placed(sizes, order)
+    totals = local.groupBy("_part").agg(F.sum(size).alias("_n"))
+    before = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
+    own = F.sum(size).over(Window.partitionBy("_part").orderBy("_key")) - F.col(size)
+    return local.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn("start_idx", (F.col("_before") + F.col("_own")).cast("bigint")).drop("_part", "_key", "_own", "_before")
+
+
+def numbered_within(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """row_idx (from 0) within each group in the given order and n_rows of the group; a large group spans many tasks.
+
+    Rows are range-partitioned by group and order, so that a partition holds runs of groups; per group and partition one
+    count gives the offset of the run.
+    """
+    local = _placed(df, [group, *order])
+    runs = local.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.min("_key").alias("_first"))
+    w = Window.partitionBy(group)
+    runs = runs.select(F.col(group).alias("_g"), "_part", "_first", (F.sum("_n").over(w.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("n_rows"))
+    out = local.join(runs, (F.col(group).eqNullSafe(F.col("_g"))) & (local["_part"] == runs["_part"])).drop(runs["_part"])
+    return out.withColumn("row_idx", F.col("_before") + F.col("_key") - F.col("_first")).drop("_part", "_key", "_first", "_before", "_g")

@@ -55,7 +55,7 @@ def weighted_sample(df: DataFrame, key: str, weight: str, draws: int, seed: int)
     scaled = df.select(key, (F.round(F.col(weight) * 1000)).cast("bigint").alias("_w")).where("_w > 0")
     spans = prefix_offsets(scaled, "_w", [key])
     total = scaled.agg(F.sum("_w").alias("_t"))
-    points = df.sparkSession.range(draws).select(F.col("id").alias("draw"), (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0).alias("_u"))
+    points = df.sparkSession.range(draws).select(F.col("id").alias("draw"), uniform(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))).alias("_u"))
     points = points.crossJoin(F.broadcast(total)).withColumn("_at", F.floor(F.col("_u") * F.col("_t")).cast("bigint"))  # one row
     width = scaled.agg(F.max("_w")).first()[0] or 1
     left = points.withColumn("_b", F.expr(f"_at div {width}"))
@@ -76,28 +76,71 @@ def early_stop(log: DataFrame, run: str, order: str, metric: str, higher: bool =
     return out.withColumn("stale", (F.col("_n") - last).cast("bigint")).drop("_old", "_n")
 
 
+def sample_share(df: DataFrame, group: str, key: str, share: float, seed: int) -> DataFrame:
+    """The first ceil(share * n) rows of each group in hash order; a large group spans many tasks."""
+    from .grid import numbered_within
+
+    ranked = numbered_within(df.withColumn("_h", hash_order(key, seed)), group, ["_h", key])
+    return ranked.where(F.col("row_idx") < F.ceil(share * F.col("n_rows"))).drop("_h", "row_idx", "n_rows")
+
+
+def sample_with_replacement(df: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
+    """(draw, key): draws rows, each with equal chance, repeats allowed. Draw j takes the row whose position in order of key
+    is floor(u * n), u being (first 8 hex digits of md5('seed-j')) / 2^32."""
+    from .grid import numbered
+
+    rows = numbered(df.select(key), [key])
+    total = df.agg(F.count("*").alias("_t"))
+    points = df.sparkSession.range(draws).select(F.col("id").alias("draw"), uniform(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))).alias("_u"))
+    points = points.crossJoin(F.broadcast(total)).withColumn("row_idx", F.floor(F.col("_u") * F.col("_t")).cast("bigint"))  # one row
+    return points.join(rows, "row_idx").select("draw", key)
+
+
+def uniform(text: Column) -> Column:
+    """A number in [0, 1) from the first 8 hex digits of a text's md5, which other engines can repeat."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def frame_choice(frames: DataFrame, key: str, weight: str, draws: int, seed: int, uniform_share: float = 0.01) -> DataFrame:
+    """(draw, key): frames for training patches. Most draws go by weight, a share of uniform_share goes to all frames alike,
+    so that frames of little weight are met too. Which of both a draw is depends on md5('seed-u-j')."""
+    by_weight = weighted_sample(frames, key, weight, draws, seed)
+    alike = sample_with_replacement(frames, key, draws, seed + 1)
+    chance = uniform(F.concat(F.lit(f"{seed}-u-"), F.col("draw").cast("string")))
+    return by_weight.where(chance >= uniform_share).unionByName(alike.where(chance < uniform_share))
+
+
 def coverage_select(foot: DataFrame, *, share: float = 0.95, scale: int = 100) -> DataFrame:
     """Greedy footprints (id, yr, integer corners ix0, iy0, ix1, iy1), the newest year first: an older one is added if no
     chosen newer one meets it, or if those that do cover under ``share`` of it. Years don't compete within themselves.
 
-    One step a year (a bounded number). Coverage is exact by counting unit cells of the candidate that a chosen box has.
+    One step a year (a bounded number), each written to the checkpoint folder. Coverage is exact: a candidate is cut into
+    vertical strips at the sides of the chosen boxes that meet it, and the union of the boxes' spans in each strip is
+    measured by a running maximum. Cost goes with the number of meeting boxes, not with their area.
     """
+    from ..session import checkpointing
     from .spatial import box_join, prefixed
 
     years = [r[0] for r in foot.select("yr").distinct().orderBy(F.desc("yr")).toLocalIterator()]
+    checkpointing(foot.sparkSession)
     chosen = None
+    box = ("ix0", "iy0", "ix1", "iy1")
     for year in years:
         own = foot.where(F.col("yr") == year)
         if chosen is None:
-            chosen = own
+            chosen = own.checkpoint()
             continue
-        box = ("ix0", "iy0", "ix1", "iy1")
-        other = tuple(f"c_{b}" for b in box)
-        met = box_join(own, prefixed(chosen, "c_"), box, other, cell=float(scale))
-        span = lambda a, b: F.when(F.least(a[1], b[1]) > F.greatest(a[0], b[0]), F.sequence(F.greatest(a[0], b[0]), F.least(a[1], b[1]) - 1)).otherwise(F.array().cast("array<bigint>"))
-        cells = met.select("id", F.explode(span((F.col("ix0"), F.col("ix1")), (F.col("c_ix0"), F.col("c_ix1")))).alias("px"), "iy0", "iy1", "c_iy0", "c_iy1").select("id", "px", F.explode(span((F.col("iy0"), F.col("iy1")), (F.col("c_iy0"), F.col("c_iy1")))).alias("py"))
-        covered = cells.distinct().groupBy("id").agg(F.count("*").alias("covered"))
+        met = box_join(own, prefixed(chosen, "c_"), box, tuple(f"c_{b}" for b in box), cell=float(scale))
+        cut = met.select("id", *[f(f"c_{b}", b).alias(b) for f, b in ((F.greatest, "ix0"), (F.greatest, "iy0"), (F.least, "ix1"), (F.least, "iy1"))])
+        cut = cut.where("ix1 > ix0 and iy1 > iy0").distinct()
+        edges = cut.select("id", F.explode(F.array("ix0", "ix1")).alias("sx0")).distinct()
+        strips = edges.withColumn("sx1", F.lead("sx0").over(Window.partitionBy("id").orderBy("sx0"))).where("sx1 is not null")
+        inside = strips.join(cut, "id").where("ix0 <= sx0 and ix1 >= sx1")
+        before = Window.partitionBy("id", "sx0").orderBy("iy0", "iy1").rowsBetween(Window.unboundedPreceding, -1)
+        seen = F.max("iy1").over(before)
+        new = F.greatest(F.lit(0), F.col("iy1") - F.greatest(F.col("iy0"), F.coalesce(seen, F.col("iy0"))))
+        covered = inside.withColumn("_new", new * (F.col("sx1") - F.col("sx0"))).groupBy("id").agg(F.sum("_new").alias("covered"))
         area = (F.col("ix1") - F.col("ix0")) * (F.col("iy1") - F.col("iy0"))
         keep = own.join(covered, "id", "left").where(F.coalesce("covered", F.lit(0)) < share * area).drop("covered")
-        chosen = chosen.unionByName(keep).checkpoint() if foot.sparkSession.sparkContext.getCheckpointDir() else chosen.unionByName(keep)
+        chosen = chosen.unionByName(keep).checkpoint()
     return chosen if chosen is not None else foot

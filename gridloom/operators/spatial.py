@@ -19,13 +19,17 @@ def _cells(df: DataFrame, box: tuple[str, str, str, str], cell: float) -> DataFr
 def box_join(left: DataFrame, right: DataFrame, lbox: tuple[str, str, str, str], rbox: tuple[str, str, str, str], *, predicate: str = "intersects", cell: float = 100.0, how: str = "inner") -> DataFrame:
     """Pairs of rows whose boxes meet: intersects (touching counts), within (left inside right), covers (left around right).
 
-    Column names of the two sides have to differ. how: inner, left_semi or left_anti; the latter two need a left row
-    to be found again, which a row key made here does. cell should be near the usual box size.
+    Column names of the two sides have to differ. how: inner, left_semi or left_anti. For the latter two the cells that a
+    left row touches stay with it, and the row is dealt by its whole content: equal rows have equal answers, so that no row
+    key is needed. cell should be near the usual box size.
     """
     if how != "inner":
-        keyed = left.withColumn("_row", F.monotonically_increasing_id())
-        hit = box_join(keyed, right, lbox, rbox, predicate=predicate, cell=cell).select("_row").distinct()
-        return keyed.join(hit, "_row", how).drop("_row")
+        hit = box_join(left.dropDuplicates(), right, lbox, rbox, predicate=predicate, cell=cell).select(*left.columns).dropDuplicates()
+        hit = hit.select(*[F.col(c).alias(f"_hit_{k}") for k, c in enumerate(left.columns)])
+        same = F.lit(True)
+        for k, c in enumerate(left.columns):
+            same = same & F.col(c).eqNullSafe(F.col(f"_hit_{k}"))
+        return left.join(hit, same, how)
     lx0, ly0, lx1, ly1 = map(F.col, lbox)
     rx0, ry0, rx1, ry1 = map(F.col, rbox)
     meet = (lx0 <= rx1) & (rx0 <= lx1) & (ly0 <= ry1) & (ry0 <= ly1)

@@ -29,10 +29,32 @@ def flip_v(tile: Column, h: int, w: int) -> Column:
     return remap(tile, h * w, lambda i: (h - 1 - _y(i, w)) * w + i % w)
 
 
-def crop(tile: Column, h: int, w: int, y0: int, x0: int, ch: int, cw: int) -> Column:
+def crop(tile: Column, h: int, w: int, y0: int | Column, x0: int | Column, ch: int, cw: int) -> Column:
     return remap(tile, ch * cw, lambda i: (_y(i, cw) + y0) * w + i % cw + x0)
 
 
+def random_crop(tile: Column, h: int, w: int, ch: int, cw: int, key: Column, seed: int) -> Column:
+    """A ch x cw part at a place that a hash of key and seed chooses."""
+    from .selection import uniform
+
+    at = lambda axis, room: F.floor(uniform(F.concat(key.cast("string"), F.lit(f"-{seed}-{axis}"))) * room)
+    return crop(tile, h, w, at("y", h - ch + 1), at("x", w - cw + 1), ch, cw)
+
+
+def pad_if_smaller(tile: Column, h: int, w: int, size: int, fill: float = 0.0) -> Column:
+    """The tile with fill to the right and below, up to size x size; sides that are long enough stay."""
+    oh, ow = max(h, size), max(w, size)
+    inside = lambda i: (_y(i, ow) < h) & (i % ow < w)
+    return F.transform(F.sequence(F.lit(0), F.lit(oh * ow - 1)), lambda i: F.when(inside(i), F.get(tile, (_y(i, ow) * w + i % ow).cast("int"))).otherwise(F.lit(fill)))
+
+
+def random_apply(tile: Column, change: Callable[[Column], Column], key: Column, seed: int, chance: float = 0.5) -> Column:
+    """change of the tiles for which a hash of key and seed falls below chance. Calls compose one after another."""
+    from .selection import uniform
+
+    return F.when(uniform(F.concat(key.cast("string"), F.lit(f"-{seed}"))) < chance, change(tile)).otherwise(tile)
+
+
 def center_crop(tile: Column, h: int, w: int, ch: int, cw: int) -> Column:
     return crop(tile, h, w, round((h - ch) / 2), round((w - cw) / 2), ch, cw)
 
@@ -157,29 +179,47 @@ def components(mask: np.ndarray) -> np.ndarray:
         label = low
 
 
-def local_peaks(distance: np.ndarray, mask: np.ndarray, min_distance: int) -> list[tuple[int, int]]:
-    """Maxima of the distance within min_distance, the highest first, none closer than that to a better one."""
-    order = np.lexsort((np.arange(distance.size), -distance.ravel()))
+def local_peaks(distance: np.ndarray, labels: np.ndarray, min_distance: int, footprint: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Maxima of the distance inside each labelled region, the highest first, none within min_distance of a better one of its
+    region. footprint: the neighbourhood (odd sides, centred) in which a peak has to be a maximum; without one, the square of
+    side 2 min_distance + 1.
+
+    Regions don't see each other: values outside a region count as lower than all of its own. A mask is one label for all of
+    the foreground; label the components first if each of them is to have a peak.
+    """
+    shape = footprint.shape if footprint is not None else (2 * min_distance + 1,) * 2
+    foot = footprint.astype(bool) if footprint is not None else np.ones(shape, bool)
+    near = np.argwhere(foot) - np.array(shape) // 2
+    h, w = distance.shape
+    labels = labels.astype(np.int64)
     taken, out = np.zeros(distance.shape, bool), []
-    for at in order:
-        y, x = divmod(int(at), distance.shape[1])
-        if not mask[y, x] or distance[y, x] <= 0:
+    for at in np.lexsort((np.arange(distance.size), -distance.ravel())):
+        y, x = divmod(int(at), w)
+        if not labels[y, x] or distance[y, x] <= 0:
             continue
-        own = (slice(max(0, y - min_distance), y + min_distance + 1), slice(max(0, x - min_distance), x + min_distance + 1))
-        if not taken[own].any() and distance[y, x] >= distance[own].max():
+        ny, nx = (near + [y, x]).T
+        ok = (ny >= 0) & (ny < h) & (nx >= 0) & (nx < w)
+        ny, nx = ny[ok], nx[ok]
+        own = labels[ny, nx] == labels[y, x]
+        window = (slice(max(0, y - min_distance), y + min_distance + 1), slice(max(0, x - min_distance), x + min_distance + 1))
+        if distance[y, x] >= distance[ny[own], nx[own]].max(initial=0) and not (taken[window] & (labels[window] == labels[y, x])).any():
             taken[y, x] = True
             out.append((y, x))
     return out
 
 
-def watershed(mask: np.ndarray, min_distance: int = 1, min_size: int = 1) -> np.ndarray:
-    """Crowns of a binary tile: flood from the peaks of the distance transform, highest first; small crowns are dropped."""
+def watershed(mask: np.ndarray, min_distance: int = 1, min_size: int = 1, footprint: np.ndarray | None = None) -> np.ndarray:
+    """Crowns of a binary tile: flood from the peaks of the distance transform, highest first; small crowns are dropped.
+
+    The peak search gets the mask as its labels, which is one region for all of the foreground: a peak may suppress a lower
+    one of another component within min_distance. Such a component has no marker and is in no crown.
+    """
     import heapq
 
     distance = distance_transform(mask)
     label = np.zeros(mask.shape, np.int64)
     heap = []
-    for k, (y, x) in enumerate(local_peaks(distance, mask, min_distance), 1):
+    for k, (y, x) in enumerate(local_peaks(distance, mask, min_distance, footprint), 1):
         label[y, x] = k
         heapq.heappush(heap, (-distance[y, x], k, y, x))
     while heap:

@@ -69,3 +69,32 @@ def zscore(pixels: DataFrame, group: list[str], value: str) -> Column:
     """(v - mean) / (population std + 1e-8) within the group."""
     w = Window.partitionBy(*group)
     return (F.col(value) - F.avg(value).over(w)) / (F.stddev_pop(value).over(w) + 1e-8)
+
+
+def masked_prediction(pixels: DataFrame, validity: DataFrame, *, threshold: float = 0.5, nodata: int = 255) -> DataFrame:
+    """(y, x, v) of a prediction to be written: 1 where prob of pixels (y, x, prob) is above threshold, else 0, and nodata
+    where validity (y, x, valid) does not hold the pixel or says that it is not valid."""
+    valid = validity.select("y", "x", F.col("valid").cast("boolean").alias("valid"))
+    value = F.when(~F.coalesce("valid", F.lit(False)), nodata).when(F.col("prob") > threshold, 1).otherwise(0)
+    return pixels.join(valid, ["y", "x"], "left").select("y", "x", value.alias("v"))
+
+
+def average_to_bounds(pixels: DataFrame, bounds: tuple[float, float, float, float], resolution: float, nodata: int = 255) -> DataFrame:
+    """(gy, gx, v): the mean of the pixels with data (y, x, v) in each cell of a grid that begins at the first two of bounds
+    (x0, y0, x1, y1) and has whole cells up to the others; null where a cell has no data."""
+    x0, y0, x1, y1 = bounds
+    inside = pixels.where((F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1))
+    at = lambda c, zero: F.floor((F.col(c) - zero) / resolution).cast("bigint")
+    value = F.when(F.col("v") != nodata, F.col("v").cast("double"))
+    return inside.groupBy(at("y", y0).alias("gy"), at("x", x0).alias("gx")).agg(F.avg(value).alias("v"))
+
+
+def translate(pixels: DataFrame, window: tuple[int, int, int, int], ring: list[tuple[float, float]] | None = None, nodata: int = 255) -> DataFrame:
+    """A copy of pixels (y, x, v) in window (y0, x0, y1, x1), with its corner as origin; pixels whose centre is outside ring
+    (map coordinates of the source) take nodata."""
+    from ..functions.geometry import in_ring
+
+    y0, x0, y1, x1 = window
+    own = pixels.where((F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1))
+    value = F.col("v") if ring is None else F.when(in_ring(F.col("x") + 0.5, F.col("y") + 0.5, ring), F.col("v")).otherwise(nodata)
+    return own.select((F.col("y") - y0).alias("y"), (F.col("x") - x0).alias("x"), value.alias("v"))

@@ -496,7 +496,7 @@ def index_ranges(px):
 
 @query("select src_row, yr, row_number() over (partition by yr order by src_row) as y_idx from foot", "foot")
 def year_ordinal(foot):
-    return foot.select("src_row", "yr", long(F.row_number().over(Window.partitionBy("yr").orderBy("src_row"))).alias("y_idx"))
+    return grid.numbered_within(foot.select("src_row", "yr"), "yr", ["src_row"]).select("src_row", "yr", (F.col("row_idx") + 1).alias("y_idx"))
 
 
 @query("select id, yr, src_row from foot qualify row_number() over (partition by id order by src_row desc) = 1", "foot")
@@ -640,9 +640,7 @@ def weighted_sample(crowns):
 
 @query(f"with r as (select yr, src_row, row_number() over (partition by yr order by {_HASH.format('src_row', 42)}, src_row) k, count(*) over (partition by yr) n from foot) select yr, src_row from r where k <= ceil(0.01e0*n)", "foot")
 def sample_grid_cells(foot):
-    w = Window.partitionBy("yr").orderBy(selection.hash_order("src_row", 42), "src_row")
-    sizes = foot.groupBy("yr").agg(F.count("*").alias("n"))
-    return foot.select("yr", "src_row", F.row_number().over(w).alias("k")).join(sizes, "yr").where(F.col("k") <= F.ceil(0.01 * F.col("n"))).select("yr", "src_row")
+    return selection.sample_share(foot.select("yr", "src_row"), "yr", "src_row", 0.01, 42)
 
 
 @query(f"select c_custkey, case when cast(('0x' || substr({_HASH.format('c_nationkey', 3)},1,8)) as bigint)/4294967296.0e0 > 0.2e0 then 'train' else 'val' end as part from customer", "customer")
@@ -653,9 +651,27 @@ def file_split(customer):
 
 @query(f"with r as (select c_custkey, c_nationkey, row_number() over (partition by c_nationkey order by {_HASH.format('c_custkey', 5)}, c_custkey) k, count(*) over (partition by c_nationkey) n from customer) select c_custkey, c_nationkey, case when k <= floor(n*0.1e0) then 'val' else 'train' end as part from r", "customer")
 def stratified_split(customer):
-    w = Window.partitionBy("c_nationkey")
-    k = F.row_number().over(w.orderBy(selection.hash_order("c_custkey", 5), "c_custkey"))
-    return customer.select("c_custkey", "c_nationkey", F.when(k <= F.floor(F.count("*").over(w) * 0.1), "val").otherwise("train").alias("part"))
+    own = customer.select("c_custkey", "c_nationkey", selection.hash_order("c_custkey", 5).alias("h"))
+    ranked = grid.numbered_within(own, "c_nationkey", ["h", "c_custkey"])
+    return ranked.select("c_custkey", "c_nationkey", F.when(F.col("row_idx") < F.floor(F.col("n_rows") * 0.1), "val").otherwise("train").alias("part"))
+
+
+_UNIFORM = "cast(('0x' || substr(md5({}),1,8)) as bigint)/4294967296.0e0"
+_DRAWS = "generate_series(cast(0 as bigint),cast(499 as bigint))"
+_ALIKE = "n as (select crown_id, row_number() over (order by crown_id) - 1 as k, count(*) over () as n from crowns), e as (select generate_series as draw, cast(floor(" + _UNIFORM.format("concat('{}-', cast(generate_series as varchar))") + " * (select max(n) from n)) as bigint) as k from " + _DRAWS + "), b as (select draw, crown_id from e join n using (k))"
+
+
+@query(f"with {_ALIKE.format(8)} select draw, crown_id from b", "crowns")
+def sample_replace(crowns):
+    return selection.sample_with_replacement(crowns, "crown_id", 500, 8)
+
+
+@query(f"""with w as (select crown_id, cast(round(area*1000) as bigint) w from crowns where cast(round(area*1000) as bigint) > 0), s as (select crown_id, w, sum(w) over (order by crown_id) - w as start_idx from w), t as (select sum(w) t from w),
+d as (select generate_series as draw, cast(floor({_UNIFORM.format("concat('7-', cast(generate_series as varchar))")}*(select t from t)) as bigint) as pos from {_DRAWS}), a as (select draw, crown_id from d join s on pos >= start_idx and pos < start_idx + w),
+{_ALIKE.format(8)}, c as (select generate_series as draw, {_UNIFORM.format("concat('7-u-', cast(generate_series as varchar))")} as u from {_DRAWS})
+select draw, crown_id from a join c using (draw) where u >= 0.01e0 union all select draw, crown_id from b join c using (draw) where u < 0.01e0""", "crowns")
+def frame_choice(crowns):
+    return selection.frame_choice(crowns, "crown_id", "area", 500, 7)
 
 
 # ---- grids -----------------------------------------------------------------------------------------------------------
@@ -727,6 +743,61 @@ def unpatchify_whole(t):
     return stitch(patches, 8, 2, -(-n // columns) * 4, columns * 4)
 
 
+_PRED = "p as (select l_orderkey % 97 as y, l_partkey % 89 as x, max(l_quantity)/50.0e0 as prob from lineitem group by 1,2)"
+
+
+@query(f"with {_PRED} select p.y, p.x, case when coalesce(m.v, 1) = 1 then 255 when prob > 0.5e0 then 1 else 0 end as v from p left join (select * from ras where x < 80) m on m.y = p.y and m.x = p.x", "ras", "lineitem")
+def write_prediction(ras, lineitem):
+    own = lineitem.groupBy((F.col("l_orderkey") % 97).alias("y"), (F.col("l_partkey") % 89).alias("x")).agg((F.max("l_quantity") / 50.0).alias("prob"))
+    return zonal.masked_prediction(own, ras.where("x < 80").select("y", "x", (F.col("v") == 0).alias("valid")))
+
+
+@query("select cast(floor((y-3)/7) as bigint) gy, cast(floor((x-5)/7) as bigint) gx, round(avg(v),9) as v from ras where x >= 5 and x < 75 and y >= 3 and y < 87 group by 1,2", "ras")
+def average_to_bounds(ras):
+    return zonal.average_to_bounds(ras, (5, 3, 75, 87), 7).withColumn("v", r9("v"))
+
+
+_RING = [(12.0, 12.5), (70.0, 20.0), (40.0, 66.25)]
+_CROSSED = " + ".join(f"case when (y+0.5e0 < {y0}e0) <> (y+0.5e0 < {y1}e0) and x+0.5e0 < (y+0.5e0-{y0}e0)*{(x1 - x0) / (y1 - y0)!r}e0+{x0}e0 then 1 else 0 end" for (x0, y0), (x1, y1) in zip(_RING, _RING[1:] + _RING[:1], strict=True))
+
+
+@query(f"select y - 10 as y, x - 5 as x, case when ({_CROSSED}) % 2 = 1 then v else 255 end as v from ras where y >= 10 and y < 70 and x >= 5 and x < 80", "ras")
+def translate_cutline(ras):
+    return zonal.translate(ras, (10, 5, 70, 80), _RING)
+
+
+@query("select r.rect_id, b.box_id from rects r join boxes b on b.x0>=r.x0 and b.x1<=r.x1 and b.y0>=r.y0 and b.y1<=r.y1 where b.box_id not in (select o_custkey from orders where o_orderstatus = 'P')", "boxes", "rects", "orders")
+def extent_contains_remaining(boxes, rects, orders):
+    done = orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("b_box_id")).distinct()
+    left = spatial.prefixed(boxes, "b_").join(done, "b_box_id", "left_anti")
+    return spatial.box_join(left, rects, ("b_x0", "b_y0", "b_x1", "b_y1"), RECT, predicate="within").select("rect_id", F.col("b_box_id").alias("box_id"))
+
+
+@query(f"with {_REG} select rect_id, row_off, col_off from g cross join lateral (select unnest(case when h <= 64 then [cast(0 as bigint)] else generate_series(cast(0 as bigint), cast(h-65 as bigint), cast(32 as bigint)) end) as row_off) yy cross join lateral (select unnest(case when w <= 64 then [cast(0 as bigint)] else generate_series(cast(0 as bigint), cast(w-65 as bigint), cast(32 as bigint)) end) as col_off) xx", "rects")
+def training_offsets(rects):
+    return grid.training_offsets(_regions(rects), 64, 32).select("rect_id", "row_off", "col_off")
+
+
+def _key(text: str) -> str:
+    return _UNIFORM.format(f"concat(cast(vec_id as varchar), '{text}')")
+
+
+@query(f"select vec_id, list_transform(range(25), lambda k: cast(embedding[cast((k//5 + y0)*8 + k%5 + x0 + 1 as bigint)] as double)) as tile from (select *, cast(floor({_key('-11-y')}*4) as bigint) as y0, cast(floor({_key('-11-x')}*4) as bigint) as x0 from tiles)", "tiles")
+def random_crop(t):
+    return t.select("vec_id", F.transform(tiles.random_crop(F.col("embedding"), 8, 8, 5, 5, F.col("vec_id"), 11), lambda x: x.cast("double")).alias("tile"))
+
+
+@query("select vec_id, list_transform(range(100), lambda k: case when k//10 < 8 and k%10 < 8 then cast(embedding[k//10*8 + k%10 + 1] as double) else 0.0e0 end) as tile from tiles", "tiles")
+def pad_if_smaller(t):
+    return t.select("vec_id", F.transform(tiles.pad_if_smaller(F.col("embedding"), 8, 8, 10), lambda x: x.cast("double")).alias("tile"))
+
+
+@query(f"select vec_id, list_transform(range(64), lambda k: cast(embedding[case when u < 0.5e0 then k//8*8 + 7 - k%8 else k end + 1] as double)) as tile from (select *, {_key('-4')} as u from tiles)", "tiles")
+def random_flip(t):
+    flipped = tiles.random_apply(F.col("embedding"), lambda e: tiles.flip_h(e, 8, 8), F.col("vec_id"), 4)
+    return t.select("vec_id", F.transform(flipped, lambda x: x.cast("double")).alias("tile"))
+
+
 def _maps(name: str, expr: Callable, sql: str) -> None:
     def run(t):
         return t.select("vec_id", F.transform(expr(F.col("embedding")), lambda x: x.cast("double")).alias("tile"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +19,17 @@ def session(name: str = "gridloom", master: str | None = None, partitions: int |
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def checkpointing(spark: SparkSession) -> str:
+    """The folder that checkpoints go to: spark.checkpoint.dir. Where that is unset, a folder of this machine for a local
+    master, and an error for any other, whose executors would each write to a folder of their own."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            at = tempfile.mkdtemp(prefix="gridloom-")
+        context.setCheckpointDir(at)
+    return context.getCheckpointDir()

@@ -24,11 +24,12 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return entries.join(latest_status(events), "id")
 
 
-def work(spark: SparkSession, path: str, run: str, process: Callable[[int], None], most: int = 1_000_000) -> int:
+def work(spark: SparkSession, path: str, run: str, process: Callable[[int], None], most: int | None = None) -> int:
     """Take the queued entry of the highest priority until none is left. A failure is logged as error; an interrupted
-    entry goes back to queued. Returns how many were completed. One writer a log."""
-    done = 0
-    for _ in range(most):
+    entry goes back to queued. Returns how many were completed. One writer a log. most: entries to take at most."""
+    done = taken = 0
+    while most is None or taken < most:
+        taken += 1
         entry = queue_pop(current(spark, path), run).first()
         if entry is None:
             return done

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import grid, selection, spatial
 from gridloom.plans import inference
@@ -34,10 +35,50 @@ def test_box_join_finds_each_pair_once(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
-def test_weighted_total_reproduces_a_recorded_evaluation(spark):
-    years = spark.createDataFrame([(2009, 10, 0.5), (2010, 30, 0.7)], "yr int, n long, iou double")
-    total = years.selectExpr("sum(iou * n) / sum(n) as iou").first()["iou"]
-    assert abs(total - 0.65) < 1e-12
+def test_numbering_is_exact_over_many_partitions(spark):
+    n = 3_000_000
+    df = spark.range(n, numPartitions=8).select((F.xxhash64("id") % 1_000_003).alias("k"), "id", F.md5(F.col("id").cast("string")).alias("extra"), F.lit(2).alias("two"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = grid.numbered(df, ["k", "id"])
+        one = got.agg(F.countDistinct("row_idx"), F.min("row_idx"), F.max("row_idx"), F.min("n_rows"), F.max("n_rows")).first()
+        assert tuple(one) == (n, 0, n - 1, n, n)
+        first = got.where("row_idx < 1000").orderBy("row_idx").select("k", "id").collect()
+        assert first == sorted(first)
+        sums = grid.prefix_offsets(df, "two", ["k", "id"])
+        assert tuple(sums.agg(F.countDistinct("start_idx"), F.min("start_idx"), F.max("start_idx"), F.max(F.col("start_idx") % 2)).first()) == (n, 0, 2 * n - 2, 0)
+        groups = grid.numbered_within(df.withColumn("g", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50)), "g", ["k", "id"])
+        by = groups.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("row_idx").alias("d"), F.max("row_idx").alias("hi"), F.max("n_rows").alias("r"), F.min("n_rows").alias("s")).collect()
+        assert sum(r["n"] for r in by) == n and all(r["n"] == r["d"] == r["hi"] + 1 == r["r"] == r["s"] for r in by)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("shuffle", ["none", "order", "deal", "group"])
+def test_semi_and_anti_joins_after_a_shuffle(spark, shuffle):
+    points = spark.range(20_000, numPartitions=5).select("id", (F.xxhash64("id") % 1000).cast("double").alias("x"), (F.xxhash64("id", F.lit(1)) % 1000).cast("double").alias("y"))
+    points = points.unionAll(points.where("id % 100 = 0")).withColumn("note", F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit("n")))
+    boxes = spark.createDataFrame([(k, 130.0 * k - 900, 90.0 * k - 900, 130.0 * k - 700, 90.0 * k - 500) for k in range(14)], "b long, bx0 double, by0 double, bx1 double, by1 double")
+    left = {"none": points, "order": points.orderBy("y", "id"), "deal": points.repartition(8), "group": points.groupBy("id", "x", "y", "note").agg(F.count("*").alias("n"))}[shuffle]
+    held = boxes.collect()
+    want = {r["id"]: any(b["bx0"] <= r["x"] <= b["bx1"] and b["by0"] <= r["y"] <= b["by1"] for b in held) for r in points.collect()}
+    total = left.count()
+    args = (boxes, ("x", "y", "x", "y"), ("bx0", "by0", "bx1", "by1"))
+    semi = [r["id"] for r in spatial.box_join(left, *args, how="left_semi").collect()]
+    anti = [r["id"] for r in spatial.box_join(left, *args, how="left_anti").collect()]
+    assert all(want[k] for k in semi) and not any(want[k] for k in anti) and len(semi) + len(anti) == total and semi and anti
+
+
+def test_weighted_total_is_the_patch_mean(spark):
+    """The year means weighted by their patches are the means over all patches that aren't true-empty, on real patches."""
+    from gridloom import queries as Q
+    from gridloom.sources.bridge import view
+
+    px = view(spark, "/root/testdata/sf0.001", "px")
+    total = Q.QUERIES["weighted_total"](spark, "/root/testdata/sf0.001").first()
+    kept = Q.patch_scores(px).where("iou <> 1.0").toPandas()
+    for name in ("acc", "iou", "dice", "rmse_cov"):
+        assert abs(total[name] - kept[name].mean()) < 1e-6
 
 
 def test_early_stop_counts_since_the_last_improvement(spark):

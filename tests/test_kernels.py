@@ -29,13 +29,36 @@ def test_components_refine_the_mask(mask):
 
 
 @given(masks)
-@settings(max_examples=40, deadline=None)
-def test_watershed_covers_components_with_a_peak(mask):
+@settings(max_examples=60, deadline=None)
+def test_watershed_covers_the_components_that_have_a_peak(mask):
     label = tiles.watershed(mask, 1, 1)
     assert not label[~mask].any()
     whole = tiles.components(mask)
+    peaks = {int(whole[p]) for p in tiles.local_peaks(tiles.distance_transform(mask), mask, 1)}
     for k in np.unique(whole[whole > 0]):
-        assert (label[whole == k] > 0).all()
+        crown = label[whole == k]
+        assert (crown > 0).all() if int(k) in peaks else not crown.any()
+    for k in np.unique(label[label > 0]):
+        assert len(np.unique(whole[label == k])) == 1
+
+
+@given(masks)
+@settings(max_examples=60, deadline=None)
+def test_each_labelled_region_has_a_peak_of_its_own(mask):
+    whole = tiles.components(mask)
+    peaks = tiles.local_peaks(tiles.distance_transform(mask), whole, 1)
+    assert {int(whole[p]) for p in peaks} == set(np.unique(whole[whole > 0]).tolist())
+
+
+def test_one_label_lets_a_peak_suppress_another_component():
+    mask = np.zeros((4, 5), bool)
+    mask[2, 0] = mask[3, 1] = True
+    distance = tiles.distance_transform(mask)
+    assert tiles.local_peaks(distance, mask, 1) == [(2, 0)]
+    assert tiles.local_peaks(distance, tiles.components(mask), 1) == [(2, 0), (3, 1)]
+    assert tiles.watershed(mask, 1, 1)[2, 0] == 1 and tiles.watershed(mask, 1, 1)[3, 1] == 0
+    cross = np.array([[0, 1, 0], [1, 1, 1], [0, 1, 0]])
+    assert tiles.local_peaks(distance, mask, 0, cross) == [(2, 0), (3, 1)]
 
 
 def test_bilinear_keeps_constants_and_size():
