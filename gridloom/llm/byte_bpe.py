@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import buffers, in_arrow, materialize, release, slices
+from .common import buffers, freed, in_arrow, materialize, release, slices
 from .units import Runs, Units
 
 #: Words in a row of step 1.
@@ -31,7 +31,7 @@ CHUNK = 1000
 #: memory is bounded (about 100 MB in step 1, a fifth of it in step 3).
 REMEMBERED, REMEMBERED_BYTES = 600_000, 24 << 20
 #: Documents, about, of the sample whose repeated words are folded ahead; it bounds what is sent to the tasks (some MB).
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Bytes of text that are split at once, and of word numbers that are put together at once.
 PART, NUMBERS = 2 << 20, 512 << 10
 
@@ -268,7 +268,10 @@ def folded_ahead(docs: DataFrame, ranks_path: str, pattern: str) -> Ahead:
         words += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         ids.append(two.flatten().to_numpy().astype(np.uint32))
         sizes.append(two.value_lengths().to_numpy().astype(np.int64))
-    return Ahead(words, np.concatenate(ids), np.concatenate(sizes))
+    del found
+    out = Ahead(words, np.concatenate(ids), np.concatenate(sizes))
+    freed()
+    return out
 
 
 def _known(ahead: Ahead) -> Runs:
@@ -334,13 +337,14 @@ def _narrowed(batches: Iterator[pa.RecordBatch], drop: list[str]) -> Iterator[pa
         yield batch.drop_columns(drop)
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, streams: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, streams: tuple[str, ...] = ("ids", "decoded"), ahead: bool = True) -> DataFrame:
     """docs (text, any others) with, in place of text: ids (the tokens as little-endian unsigned 32-bit words), decoded
     (the bytes that they stand for; only those named in streams), n_tokens, ids_sha256 and decoded_sha256.
 
     Each match of pattern is encoded by itself, as the rank file's own library does, without special tokens. A null text
     is empty: no tokens and no bytes. Columns by the names of the results are replaced. A word of many thousand bytes is
-    folded in quadratic time.
+    folded in quadratic time. ahead=False leaves the words of the sample to the tasks: more work for them, but one plan with
+    the literal tables less for the driver to hold.
     """
     results = ["ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"]
     docs = docs.drop(*results, "words__", "numbers__", "ids__").withColumn("text", F.col("text").cast("string"))
@@ -352,7 +356,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, streams: tu
     for token, rank in ranks.items():
         tokens[rank] = token
     pieces = pa.array(tokens, pa.binary())
-    held = docs.sparkSession.sparkContext.broadcast(folded_ahead(docs, ranks_path, pattern))
+    none = Ahead([], np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    held = docs.sparkSession.sparkContext.broadcast(folded_ahead(docs, ranks_path, pattern) if ahead else none)
     split = in_arrow(docs, lambda b, most=REMEMBERED: _split(b, pattern, names, most, held.value.words), f"{kinds}words__ array<array<int>>, numbers__ binary")
     coded = split.withColumn("ids__", F.when(F.col("words__").isNotNull(), words_encoded(F.col("words__"), ranks_path).cast("array<array<int>>")))
     drop = [x for x in ("ids", "decoded") if x not in streams]

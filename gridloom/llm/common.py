@@ -72,6 +72,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path := new_path(spark, name))
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    freed()
     return out
 
 
@@ -81,7 +82,8 @@ def release(*tables: DataFrame) -> None:
         drop_path(df.sparkSession, df.written_at)
 
 
-def _freed() -> None:
+def freed() -> None:
+    """Give memory that this process no longer needs back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
@@ -95,7 +97,7 @@ def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         try:
             yield from f(batches)
         finally:
-            _freed()
+            freed()
 
     return df.mapInArrow(run, schema)
 
