@@ -1,14 +1,17 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer numpy network.
 
 Random indexing gives each word a fixed sparse random index vector; a word's vector is its own index vector plus those
-of its neighbours, summed over the training sample, so words met in like company are alike. Words live in hashed rows
+of its neighbours, summed over all documents, so words met in like company are alike. Words live in hashed rows
 of fixed number; words of one shape (runs of upper case, lower case, digits and each sign) share further rows, so that
-new words have a vector too. A document is the mean of its words' vectors. The network's temperature is fitted on held
-back rows of the training sample, so that its outputs are probabilities.
+new words have a vector too. The sums are whole numbers: tasks add up their own tables of fixed size and the tables are
+added piece by piece. A document is the mean of its words' vectors. The network is fitted on a bounded labelled sample,
+of which the driver gets the pooled vectors, and its temperature on held back rows of that sample, so that its outputs
+are probabilities.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,11 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _WHITE, buffers, hashed_words, mix, slices
+from .common import _WHITE, buffers, hashed_words, in_arrow, mix, slices
 
 #: Rows of word and shape vectors, and numbers in a vector: with them 9 MB are broadcast, whatever the data.
 WORDS, SHAPES, WIDTH = 1 << 16, 1 << 12, 32
 WINDOW = 2
+#: Pieces in which the tables of tasks are added, and bytes of text that are looked at once.
+PIECES, PART = 64, 256 << 10
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[65:91], _SHAPE[97:123], _SHAPE[48:58], _SHAPE[128:] = 0xFE, 0x61, 0x30, 0x61
 
@@ -66,7 +71,7 @@ def _pool(model_words: np.ndarray, model_shapes: np.ndarray, column: pa.Array) -
     """The mean word and shape vectors of each text; zeros without words."""
     ends, data = buffers(column)
     out = np.zeros((len(ends) - 1, 2 * WIDTH), np.float32)
-    for a, b in slices(ends, 1 << 20):
+    for a, b in slices(ends, PART):
         words, shapes, bounds = _rows(data, ends[a : b + 1])
         n = np.diff(bounds)
         full = np.flatnonzero(n)
@@ -76,21 +81,70 @@ def _pool(model_words: np.ndarray, model_shapes: np.ndarray, column: pa.Array) -
     return out
 
 
-def _context(index: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
-    """Index vectors plus those of the neighbours in each text, scaled to unit length."""
-    total = np.zeros_like(index)
-    for rows in found:
-        near = np.zeros((len(rows), WIDTH), np.float32)
-        for k in range(1, WINDOW + 1):
-            near[k:] += index[rows[:-k]]
-            near[:-k] += index[rows[k:]]
-        np.add.at(total, rows, near)
+def _add_neighbours(total: np.ndarray, index: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> None:
+    """Add to the rows of total the index vectors of the words at most WINDOW places away in the same text."""
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    near = np.zeros((len(rows), WIDTH), np.int8)
+    for k in range(1, WINDOW + 1):
+        same = (of[k:] == of[:-k])[:, None]
+        near[k:] += index[rows[:-k]] * same
+        near[:-k] += index[rows[k:]] * same
+    order = np.argsort(rows, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(rows[order]) != 0)) if len(rows) else np.zeros(0, int)
+    if len(rows):
+        total[rows[order[first]]] += np.add.reduceat(near[order].astype(np.int32), first, axis=0)
+
+
+def _company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's sums of neighbours' index vectors for word rows and shape rows, in compressed pieces."""
+    index = [_index(n, seed).astype(np.int8) for n, seed in ((WORDS, 1), (SHAPES, 7))]
+    total = np.zeros((WORDS + SHAPES, WIDTH), np.int32)
+    parts = total[:WORDS], total[WORDS:]
+    for batch in batches:
+        ends, data = buffers(batch.column("text"))
+        for a, b in slices(ends, PART):
+            words, shapes, bounds = _rows(data, ends[a : b + 1])
+            for table, own, rows in zip(parts, index, (words, shapes), strict=True):
+                _add_neighbours(table, own, rows, bounds)
+    step = len(total) // PIECES
+    for k in range(PIECES):
+        if (piece := total[k * step : (k + 1) * step]).any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], names=["piece", "sums"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, sums in zip(batch.column("piece").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            more = np.frombuffer(zlib.decompress(sums), np.int32).astype(np.int64)
+            total[piece] = total[piece] + more if piece in total else more
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["piece", "sums"])
+
+
+def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the word rows and of the shape rows, from the company that words keep in all texts of docs (text)."""
+    total = np.zeros((WORDS + SHAPES, WIDTH), np.int64)
+    step = len(total) // PIECES
+    pieces = in_arrow(docs.select("text"), _company, "piece int, sums binary").repartition(PIECES, "piece")
+    for row in in_arrow(pieces, _added, "piece int, sums binary").toLocalIterator():  # tables of fixed size
+        total[row["piece"] * step : (row["piece"] + 1) * step] = np.frombuffer(row["sums"], np.int64).reshape(step, WIDTH)
+    return _unit(_index(WORDS, 1), total[:WORDS]), _unit(_index(SHAPES, 7), total[WORDS:])
+
+
+def _unit(index: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Index vectors plus the sums of their company, each of unit length, scaled to unit length."""
     norm = np.linalg.norm(total, axis=1, keepdims=True)
-    own = index / np.linalg.norm(index, axis=1, keepdims=True).clip(1e-6)
-    out = own + total / norm.clip(1e-6)
+    out = index / np.linalg.norm(index, axis=1, keepdims=True).clip(1e-6) + total / norm.clip(1e-6)
     return (out / np.linalg.norm(out, axis=1, keepdims=True).clip(1e-6)).astype(np.float32)
 
 
+def _pooled(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    """(quality, x: the pooled vectors as bytes) of labelled texts."""
+    for batch in batches:
+        x = _pool(*held.value, batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("quality"), pa.array([row.tobytes() for row in x], pa.binary())], names=["order", "quality", "x"])
+
+
 def _forward(x: np.ndarray, layers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     hidden = np.tanh(x @ layers[0] + layers[1])
     return hidden, hidden @ layers[2] + layers[3]
@@ -123,28 +177,23 @@ def _temperature(z: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = 5000, hidden: int = 32, rounds: int = 400) -> QualityModel:
     """Fit on the texts of docs (doc_id, text) with labels (doc_id, quality 0 or 1).
 
-    train_rows bounds the sample that the driver reads: the labelled ids of the least hash. A fifth of it is held back
+    train_rows bounds the labelled sample: the ids of the least hash, whose pooled vectors the driver reads (256 bytes a
+    document; ids that several rows share count each). All texts of docs shape the word vectors. A fifth of it is held back
     for the temperature. Null ids or labels are not used, and of several labels of an id the largest; with one class or
     none the score is that class's share, or 0.5.
     """
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(train_rows)
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "text").toArrow()
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    vectors = word_vectors(docs)
+    held = docs.sparkSession.sparkContext.broadcast(vectors)
+    sample = docs.join(F.broadcast(chosen), "doc_id").select(F.xxhash64(F.lit("quality"), "doc_id", "text").alias("order"), F.col("quality").cast("int").alias("quality"), "text")
+    sample = in_arrow(sample, lambda b: _pooled(b, held), "order long, quality int, x binary").orderBy("order").toArrow()  # a few hundred bytes a row
     y = (sample.column("quality").to_numpy() > 0).astype(np.float64)
-    index = _index(WORDS, 1), _index(SHAPES, 7)
-    empty = np.zeros(2 * WIDTH)
     if len(set(y)) < 2:
-        return QualityModel(*index, empty, empty + 1, None, 1.0, float(y.mean()) if len(y) else 0.5)
-    found: tuple[list, list] = ([], [])
-    ends, data = buffers(sample.column("text"))
-    for a, b in slices(ends):
-        words, shapes, bounds = _rows(data, ends[a : b + 1])
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            if e - s > WINDOW:
-                found[0].append(words[s:e])
-                found[1].append(shapes[s:e])
-    vectors = [_context(i, f) for i, f in zip(index, found, strict=True)]
-    x = _pool(*vectors, sample.column("text").combine_chunks()).astype(np.float64)
+        empty = np.zeros(2 * WIDTH)
+        return QualityModel(*vectors, empty, empty + 1, None, 1.0, float(y.mean()) if len(y) else 0.5)
+    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float32).reshape(len(y), 2 * WIDTH).astype(np.float64)
     back = np.arange(len(y)) % 5 == 0
     if len(set(y[~back])) < 2 or not back.any():
         back = np.zeros(len(y), bool)
@@ -174,4 +223,4 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score").withColumn("text", F.col("text").cast("string"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(lambda b: _score(b, held), schema + "score double")
+    return in_arrow(docs, lambda b: _score(b, held), schema + "score double")

@@ -47,6 +47,65 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert all(out[k] for k in range(120)) and not any(out[1000 + k] for k in range(6))
 
 
+def test_distances_equal_a_numpy_search(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    names, floor = list(R.FEATURES), np.diag([x**2 for x in R.FEATURES.values()])
+    data = np.concatenate([rng.multivariate_normal(np.zeros(4), np.diag([0.5, 1, 0.2, 2]) + 0.1, 300), rng.normal(8, 0.5, (40, 4))])
+    rows = spark.createDataFrame([(k % 2, *map(float, x)) for k, x in enumerate(data)], "_g long, " + ", ".join(f"{x} double" for x in names))
+    estimate = R.robust_estimates(rows)
+    got = R._distances(rows, estimate, ("0",)).toPandas()
+    held = {r["_g"]: r for r in estimate.collect()}
+    for g in (0, 1):
+        own = data[g::2]
+        best = None
+        for _ in range(60):  # random starts, as the textbook has it
+            core = own[rng.choice(len(own), 8, replace=False)]
+            for _ in range(30):
+                centre = core.mean(0)
+                scatter = R.CONSISTENCY * np.cov(core.T, bias=True) + floor
+                d2 = np.einsum("ij,jk,ik->i", own - centre, np.linalg.inv(scatter), own - centre)
+                core = own[np.argsort(d2)[: int(np.ceil(R.MCD_SHARE * len(own)))]]
+            det = np.linalg.slogdet(R.CONSISTENCY * np.cov(core.T, bias=True) + floor)[1]
+            if best is None or det < best[0]:
+                centre = core.mean(0)
+                scatter = R.CONSISTENCY * np.cov(core.T, bias=True) + floor
+                best = det, np.einsum("ij,jk,ik->i", own - centre, np.linalg.inv(scatter), own - centre)
+        found = got[got["_g"] == g]
+        factor = np.array([[held[g][f"l0_{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        centre = np.array([held[g][f"m0_{i}"] for i in range(4)])
+        z = np.linalg.solve(factor, (found[names].to_numpy() - centre).T)
+        assert np.allclose(found["_d2_0"], (z * z).sum(0))
+        assert 2 * np.log(np.diag(factor)).sum() <= best[0] + 0.02
+        verdict = {tuple(x): bool(d > R.CUTOFF) for x, d in zip(own.tolist(), best[1], strict=True)}
+        assert all(verdict[tuple(x)] == (d > R.CUTOFF) for x, d in zip(found[names].to_numpy().tolist(), found["_d2_0"], strict=True))
+
+
+def test_texts_whose_positions_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(R, "_POSITION", 15)
+    out = R.base_counts(docs(spark)).select("text", *NAMES).collect()
+    assert all(tuple(r[n] for n in NAMES) == counts(r["text"]) for r in out)
+
+
+def test_word_vectors_cover_all_texts(spark):
+    import pyarrow as pa
+
+    texts = ["alpha beta gamma delta", None, "", "beta alpha", "Gamma beta alpha beta gamma"]
+    df = spark.createDataFrame([(t,) for t in texts * 3], "text string").repartition(4)
+    words, shapes = C.word_vectors(df)
+    ends, data = C.buffers(pa.array(texts))
+    rows, kinds, bounds = C._rows(data, ends)
+    for vectors, seed, own in ((words, 1, rows), (shapes, 7, kinds)):
+        index = C._index(len(vectors), seed)
+        total = np.zeros(index.shape)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            for i in range(a, b):
+                for j in range(max(a, i - C.WINDOW), min(b, i + C.WINDOW + 1)):
+                    total[own[i]] += 3 * index[own[j]] * (i != j)
+        assert np.allclose(vectors, C._unit(index, total), atol=1e-5)
+
+
 def test_native_plan(spark, small):
     plan = op7_quality_rules(spark, small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
