@@ -53,8 +53,6 @@ def mergeable(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
-#: What an unused slot holds: it differs from every left id, so it says no merge.
-_EMPTY = 1 << 40
 #: Ranks from here on say that a pair doesn't merge.
 _NEVER = 1 << 16
 #: Bits of an id in the fold's state, where the rank begins there, and the least state of a pair that doesn't merge.
@@ -63,19 +61,20 @@ _DONE = _NEVER << _RANK_AT
 
 
 @lru_cache(2)
-def _tables(path: str) -> tuple[str, str, str]:
-    """The rank map as JSON arrays: for each left id a shift, the slots (left id and merged id in one number), the fold's
-    first number for each byte and the next one (256 at the end of a word), without its place.
+def _tables(path: str) -> tuple[str, str, str, str]:
+    """The rank map as JSON arrays: for each left id a shift, the slots (left id plus one and merged id in one number, 0 in
+    an unused slot), the rank of each byte with the next one (256 at the end of a word), and each byte's id.
 
     The pair (a, b) is at shift[a] + b; rows are laid over each other, the largest first, where they don't collide. The id
-    after the last one stands for an edge: it merges with nothing.
+    after the last one stands for an edge: it merges with nothing. The numbers are short because Spark keeps the plan's
+    text, with its literals, for each query that ran.
     """
     ranks = read_ranks(path)
     rows: dict[int, list[tuple[int, int]]] = {}
     for (a, b), token in (pairs := mergeable(ranks)).items():
         rows.setdefault(a, []).append((b, token))
     used, shifts = np.zeros(1 << 21, bool), [0] * (max(ranks.values()) + 1)
-    slots, low = np.full(len(used), _EMPTY, np.int64), 0
+    slots, low = np.zeros(len(used), np.int64), 0
     for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
         rights = np.array([b for b, _ in row])
         first, shift, start = int(rights.min()), None, low
@@ -89,15 +88,15 @@ def _tables(path: str) -> tuple[str, str, str]:
             raise ValueError("the slots are too few")
         shifts[a] = shift
         used[shift + rights] = True
-        slots[shift + rights] = [a << 16 | token for _, token in row]
+        slots[shift + rights] = [(a + 1) << _ID_BITS | token for _, token in row]
         while used[low]:
             low += 1
     last = int(np.flatnonzero(used)[-1])
     shifts.append(last + 1)
     one = [ranks[bytes([b])] for b in range(256)]
-    firsts = [pairs.get((a, b), _NEVER) << _RANK_AT | a for a in one for b in [*one, -1]]
-    slots = slots[: last + 2 * len(shifts) + 1]
-    return json.dumps(shifts), json.dumps(slots.tolist()), json.dumps(firsts)
+    firsts = [pairs.get((a, b), _NEVER) for a in one for b in [*one, -1]]
+    slots = slots[: last + 2 * len(shifts) + 1].tolist()
+    return tuple(json.dumps(x, separators=(",", ":")) for x in (shifts, slots, firsts, one))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -108,13 +107,13 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def words_encoded(words: Column, path: str) -> Column:
     """An array of byte arrays (ints 0 to 255) as their token ids by the ranks of path; the literal tables are in the
     plan once."""
-    shifts, slots, firsts = (F.from_json(F.lit(x), "array<bigint>") for x in _tables(path))
-    tables = F.struct(shifts.alias("shifts"), slots.alias("slots"), firsts.alias("firsts"))
+    names = ("shifts", "slots", "firsts", "ids")
+    tables = F.struct(*(F.from_json(F.lit(x), "array<bigint>").alias(name) for name, x in zip(names, _tables(path), strict=True)))
     edge = len(_tables(path)[0].split(",")) - 1
-    return _let(tables, lambda t: F.transform(words, _word_encoder(t["shifts"], t["slots"], t["firsts"], edge)))
+    return _let(tables, lambda t: F.transform(words, _word_encoder(*(t[name] for name in names), edge)))
 
 
-def _word_encoder(shifts: Column, slots: Column, firsts: Column, last: int) -> Callable[[Column], Column]:
+def _word_encoder(shifts: Column, slots: Column, firsts: Column, ids: Column, last: int) -> Callable[[Column], Column]:
     """A function of a byte array that gives its token ids.
 
     The fold's state is one array: a number for each token, with an edge at both ends, of its rank with the next token
@@ -128,7 +127,7 @@ def _word_encoder(shifts: Column, slots: Column, firsts: Column, last: int) -> C
 
     def rank(left: Column, right: Column) -> Column:
         """The merged id, which is the rank, in its place in the state; _NEVER where the slot is another left id's."""
-        found = F.get(slots, (F.get(shifts, left.cast("int")) + right).cast("int")).bitwiseXOR(F.shiftleft(left, _ID_BITS))
+        found = F.get(slots, (F.get(shifts, left.cast("int")) + right).cast("int")).bitwiseXOR(F.shiftleft(left + 1, _ID_BITS))
         return F.shiftleft(F.least(found, F.lit(_NEVER).cast("bigint")), _RANK_AT)
 
     def place(x: Column) -> Column:
@@ -152,7 +151,11 @@ def _word_encoder(shifts: Column, slots: Column, firsts: Column, last: int) -> C
         return F.aggregate(F.array(F.array_min(state)), state, on_pair)
 
     def encode(word: Column) -> Column:
-        numbers = F.transform(word, lambda b, i: F.get(firsts, b * 257 + F.coalesce(F.get(word, i + 1), F.lit(256))).bitwiseOR(F.shiftleft((i + 1).cast("bigint"), _ID_BITS)))
+        def first(b: Column, i: Column) -> Column:
+            pair = F.get(firsts, b * 257 + F.coalesce(F.get(word, i + 1), F.lit(256)))
+            return F.shiftleft(pair, _RANK_AT).bitwiseOR(F.shiftleft((i + 1).cast("bigint"), _ID_BITS)).bitwiseOR(F.get(ids, b))
+
+        numbers = F.transform(word, first)
         start = F.concat(F.array(F.lit(_DONE + last)), numbers, F.array(F.lit(2 * _DONE - (1 << _ID_BITS) + last)))
         return F.aggregate(F.slice(word, F.lit(1), F.size(word) - 1), start, step, lambda state: F.transform(F.slice(state, F.lit(2), F.size(state) - 2), token))
 
