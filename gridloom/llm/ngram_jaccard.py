@@ -23,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_arrow, materialize, mix, release, row_shingles
+from .common import in_arrow, materialize, mix, release, row_shingles, slices
 
 #: Groups of the points that go with every document, and of the finer points that the trees hold.
 GROUPS, FINE = 16, 1024
@@ -35,6 +36,8 @@ LEAF = 16
 SKETCH, PIECES = 1 << 20, 64
 #: Members of a token list or a centre that one task compares with about as many others.
 BLOCK = 1024
+#: Bytes of text whose tokens, points or copies a task holds at once.
+PART = 4 << 20
 
 
 class CountTree:
@@ -306,11 +309,13 @@ def _verify(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
 
 
 def _needed(batches: Iterator[pa.RecordBatch], bloom) -> Iterator[pa.RecordBatch]:
-    """Only rows whose id may occur in a pair, so that the others' texts are not shuffled."""
+    """Only rows whose id may occur in a pair, so that the others' texts are not shuffled; about PART bytes of text at once."""
     bits = bloom.value
     for batch in batches:
-        ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-        yield batch.filter(pa.array(_may_hold(bits, ids)) if len(ids) else pa.array([], pa.bool_()))
+        keep = pa.array(_may_hold(bits, batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)), pa.bool_())
+        ends = np.append(0, np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64))
+        for a, b in slices(ends, PART):
+            yield batch.slice(a, b - a).filter(keep.slice(a, b - a))
 
 
 #: Bits of a filter over ids, which bounds its broadcast at 4 MB; a fuller filter only means more work, never less.
