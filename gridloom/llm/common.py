@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text hashed at once; bounds the temporary arrays of a worker (about 40 bytes each).
 SLICE_BYTES = 1 << 20
+#: Spark's bound on the bytes of an Arrow batch, and the value that in_arrow gives it in a session that has none of its own.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -91,7 +93,14 @@ def freed() -> None:
 
 
 def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow whose tasks give their memory back to the system at the end; Spark keeps the worker for later tasks."""
+    """mapInArrow whose tasks give their memory back to the system at the end; Spark keeps the worker for later tasks.
+
+    A batch is held by the executor and by the worker at once, so the session's batches are bounded by bytes, whatever the
+    length of the rows; a session that sets BATCH_KEY keeps its own bound.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, None) is None:
+        conf.set(BATCH_KEY, BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
