@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import language_id, quality_classifier, token_store
 from .byte_bpe import encode_decode
+from .centroid_clustering import centroid_clusters
 from .common import new_path, table
 from .decontamination import benchmark_matches
 from .html_extraction import extract_main_text
 from .line_dedup import line_dedup
+from .lm_scoring import lm_scores
 from .ngram_jaccard import jaccard_components
+from .periodic_runs import periodic_runs, planted
 from .quality_rules import quality_rules
 from .token_counts import section_tokens
 
@@ -68,6 +71,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, dims=64, seed=1)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), least_words=24, least_times=3, rewrite=planted)
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), mod=5, rest=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_line_dedup": op2_line_dedup,
@@ -79,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
     "op10_html_extraction": op10_html_extraction,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -103,3 +121,34 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from m group by doc_id""",
 }
+
+
+def _clustering_sql(k: int = 16, rounds: int = 3) -> str:
+    """Assignments and floored means, one pair of steps for each round."""
+    distance = "list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} as materialized (
+  select row_id, unnest(arg_min(struct_pack(c := c.c, d := d), struct_pack(d := d, c := c.c)))
+  from (select e.row_id, c.c, cast({distance} as bigint) as d from e, c{r} c) c group by row_id)""")
+        if r < rounds:
+            steps.append(f"""s{r} as (select c, i, sum(x) as s, count(*) as n from
+  (select a.c, unnest(e.v) as x, generate_subscripts(e.v, 1) as i from a{r} a join e using (row_id)) group by c, i),
+c{r + 1} as materialized (
+  select c0.c, coalesce(m.v, c0.v) as v from c{r} c0
+  left join (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as v from s{r} group by c) m on m.c = c0.c)""")
+    return f"""
+with e as materialized (
+  select row_number() over () as row_id, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (
+  select row_number() over (order by h, v) - 1 as c, v
+  from (select sha256('1:' || cast(vec_id as varchar)) as h, v from e where vec_id is not null order by h, v limit {k})),
+{", ".join(steps)}
+select e.vec_id, cast(a.c as int) as cluster, a.d as distance,
+  cast(sum(a.d) over (partition by a.c) as bigint) as cluster_inertia, cast(sum(a.d) over () as bigint) as inertia,
+  sha256(array_to_string(c.v, ',')) as centroid_sha256
+from e join a{rounds} a using (row_id) join c{rounds} c on c.c = a.c"""
+
+
+ORACLES["op11_centroid_clustering"] = _clustering_sql()
