@@ -28,12 +28,13 @@ from .units import Runs, Units
 #: Words in a row of step 1.
 CHUNK = 1000
 #: Words and units that a task remembers, and bytes of the words; beyond either it forgets all and sends words anew, so that
-#: memory is bounded (about 100 MB in step 1, a fifth of it in step 3).
-REMEMBERED, REMEMBERED_BYTES = 600_000, 24 << 20
-#: Documents, about, of the sample whose repeated words are folded ahead; it bounds what is sent to the tasks (some MB).
-SAMPLE = 10_000
+#: memory is bounded (about 60 MB in step 1, a fifth of it in step 3).
+REMEMBERED, REMEMBERED_BYTES = 250_000, 10 << 20
+#: Documents, about, of the sample whose repeated words are folded ahead, the most of these words, and the bytes of the
+#: longest; they bound what is sent to the tasks (some MB).
+SAMPLE, SENT, SENT_BYTES = 10_000, 100_000, 64
 #: Bytes of text that are split at once, and of word numbers that are put together at once.
-PART, NUMBERS = 2 << 20, 512 << 10
+PART, NUMBERS = 1 << 20, 512 << 10
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -259,7 +260,7 @@ def folded_ahead(docs: DataFrame, ranks_path: str, pattern: str) -> Ahead:
     texts = docs.select("text")
     texts = texts.sample(min(1.0, SAMPLE / max(1, texts.count())), seed=5)
     counts = in_arrow(texts, lambda b, most=REMEMBERED: _word_counts(b, pattern, most), "word binary, n long")
-    twice = materialize(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 2").select("word"), "words")
+    twice = materialize(counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > 2).where(F.length("word") <= SENT_BYTES).orderBy(F.desc("n"), "word").limit(SENT).select("word"), "words")
     rows = in_arrow(twice, _word_rows, "words array<array<int>>")
     found = rows.select("words", words_encoded(F.col("words"), ranks_path).cast("array<array<int>>").alias("ids")).toArrow()  # of a bounded sample
     release(twice)

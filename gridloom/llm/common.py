@@ -8,14 +8,18 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text hashed at once; bounds the temporary arrays of a worker (about 40 bytes each).
-SLICE_BYTES = 1 << 20
-#: Spark's bound on the bytes of an Arrow batch, and the value that in_arrow gives it in a session that has none of its own.
+SLICE_BYTES = 512 << 10
+#: Bytes of rows that an operator is given at once, whatever the length of Spark's Arrow batches.
+PART_BYTES = 4 << 20
+#: Spark's bound on the bytes of an Arrow batch (64 MB if unset), and what tables of the operators' own are written with.
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -68,10 +72,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH_BYTES, unless it has a bound of its own. For applications: no operator
+    changes the settings of the session that it is given."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounded Arrow batches for the jobs that run meanwhile; the session's settings are as before afterwards."""
+    unset = spark.conf.get(BATCH_KEY, None) is None
+    bounded_batches(spark)
+    try:
+        yield
+    finally:
+        if unset:
+            spark.conf.unset(BATCH_KEY)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it again: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
-    df.write.parquet(path := new_path(spark, name))
+    with small_batches(spark):
+        df.write.parquet(path := new_path(spark, name))
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     freed()
@@ -93,29 +117,42 @@ def freed() -> None:
 
 
 def in_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow whose tasks give their memory back to the system at the end; Spark keeps the worker for later tasks.
-
-    A batch is held by the executor and by the worker at once, so the session's batches are bounded by bytes, whatever the
-    length of the rows; a session that sets BATCH_KEY keeps its own bound.
-    """
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_KEY, None) is None:
-        conf.set(BATCH_KEY, BATCH_BYTES)
+    """mapInArrow whose function gets rows of PART_BYTES at once, or one longer row, and whose tasks give their memory back
+    to the system at the end; Spark keeps the worker for later tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from f(batches)
+            yield from f(part for batch in batches for part in parts(batch))
         finally:
             freed()
 
     return df.mapInArrow(run, schema)
 
 
+def parts(batch: pa.RecordBatch, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about so many bytes; nothing is copied."""
+    if batch.nbytes <= most or batch.num_rows < 2:
+        yield batch
+        return
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+        else:
+            sizes += column.nbytes // len(column)
+    for a, b in slices(np.append(0, np.cumsum(sizes)), most):
+        yield batch.slice(a, b - a)
+
+
 def small_side(df: DataFrame, name: str, most: int = 50_000) -> DataFrame:
     """df written once, and marked for broadcast if it has at most so many rows (of bounded width); else it is joined by
     a shuffle, whose hot keys adaptive execution splits."""
     own = materialize(df, name)
-    return F.broadcast(own) if own.count() <= most else own
+    if own.count() > most:
+        return own
+    out = F.broadcast(own)
+    out.written_at = own.written_at
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

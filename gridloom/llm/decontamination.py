@@ -14,6 +14,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import in_arrow
+
 #: Characters of item text in one automaton. More items go in further passes over the documents, so that what is
 #: sent to executors is bounded.
 BLOCK_CHARS = 4 << 20
@@ -150,7 +152,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, rate: float = 0.
     for block in blocks:
         held = spark.sparkContext.broadcast(block)
         key = content_key(block, rate)
-        found = docs.mapInArrow(lambda b, held=held, key=key: _scan(b, held, key, rate), "doc_id long, item_id long, edits long") if block else spark.createDataFrame([], "doc_id long, item_id long, edits long")
+        found = in_arrow(docs, lambda b, held=held, key=key: _scan(b, held, key, rate), "doc_id long, item_id long, edits long") if block else spark.createDataFrame([], "doc_id long, item_id long, edits long")
         out = found if out is None else out.unionAll(found)
     return out
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_arrow, mix
+from .common import in_arrow, mix, small_batches
 
 #: Bits of a piece that tasks' bits are merged in, and the most tasks that merge pieces.
 PIECE, PIECES = 1 << 20, 256
@@ -17,9 +17,9 @@ PIECE, PIECES = 1 << 20, 256
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
 
 
-def bits_for(keys: int) -> int:
-    """A power of two of about 16 bits a key."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(keys, 1) - 1).bit_length()))
+def bits_for(keys: int, each: int = 16) -> int:
+    """A power of two of about so many bits for each key."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (each * max(keys, 1) - 1).bit_length()))
 
 
 def slots(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +61,8 @@ def key_filter(keys: DataFrame, bits: int) -> np.ndarray:
     parts = in_arrow(in_arrow(keys, lambda b: _filled(b, bits), "piece int, places binary").repartition(min(PIECES, max(1, bits // PIECE)), "piece"), lambda b: _merged(b, bits), "piece int, filled binary")
     out = np.zeros(bits // 8, np.uint8)
     width = min(PIECE, bits) // 8
-    for row in parts.collect():  # one row for each piece, bits / 8 bytes in all
+    with small_batches(keys.sparkSession):
+        rows = parts.collect()
+    for row in rows:  # one row for each piece, bits / 8 bytes in all
         out[row["piece"] * width : (row["piece"] + 1) * width] = np.frombuffer(row["filled"], np.uint8)
     return out

@@ -4,8 +4,10 @@ The page becomes a tree whose nodes count characters, tags, link characters and
 composite density is (C / T) * log(C T / (LC LT)) to the base ln(C LC / nLC + LCb C / Cb + e), where nLC are the
 characters outside links and b is the body. The densities of a node's children are summed; the threshold is the least
 density on the path from the node of the largest sum to the body, and the subtree of largest sum at or above the
-threshold is the main text. What is never main text by its element is cut before counting; what a class word marks is
-cut too, unless it holds an article or most of the page's text: there the density decides.
+threshold is the main text. A text that is split over siblings is
+their parent's: the choice climbs while a sibling at or above the threshold holds a fair share of text outside links. What is
+never main text by its element is cut before counting; what a class word marks is cut too, and so are forms, dialogs and
+asides, unless they hold an article or most of the page's text: there the density decides.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import in_arrow
+
 # HTML's element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -26,7 +30,9 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
-CUT = frozenset("nav aside footer form script style noscript iframe template svg button select textarea input title head menu dialog object applet canvas map audio video".split())
+CUT = frozenset("nav footer script style noscript iframe template svg button select textarea input title head menu object applet canvas map audio video".split())
+#: Elements that are cut like those that a class word marks: some pages have their whole text in one.
+WRAPPERS = frozenset("aside form dialog".split())
 #: Words of class, id and role that mark menus, adverts, notices, sidebars and reader comments.
 CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
@@ -56,9 +62,9 @@ _MARK = re.compile(
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)",
     re.S,
 )
-_NAMING = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PARTS = re.compile(r"[^a-z]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none(?![\w-])", re.I)
 
 
 class Node:
@@ -75,15 +81,23 @@ class Node:
         self.density = 0.0
 
 
-def _is_cut(name: str, attrs: str, inside: bool) -> bool:
-    return name in CUT or name == "header" and not inside or bool(attrs and _HIDDEN.search(attrs))
+def _attributes(attrs: str) -> dict[str, str]:
+    """The attributes of a tag by lower-case name; of several by one name the first, as browsers have it."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(attrs):
+        out.setdefault(name.lower(), "".join(values))
+    return out
 
 
-def _marks(attrs: str) -> set[str] | None:
-    """The words of CUT_WORDS in an element's class, id and role."""
-    if not attrs or not (found := _NAMING.findall(attrs)):
-        return None
-    return CUT_WORDS.intersection([w for x in found for w in _PARTS.split("".join(x).lower())]) or None
+def _is_cut(name: str, attrs: dict[str, str], inside: bool) -> bool:
+    return name in CUT or name == "header" and not inside or "hidden" in attrs or bool(_NOT_SHOWN.search(attrs.get("style", "")))
+
+
+def _marks(name: str, attrs: dict[str, str]) -> set[str] | None:
+    """The words of CUT_WORDS in an element's class, id and role, and its name if it is a wrapper."""
+    named = " ".join(attrs[x] for x in ("class", "id", "role") if x in attrs)
+    found = CUT_WORDS.intersection(_PARTS.split(named.lower())) if named else set()
+    return (found | {name} if name in WRAPPERS else found) or None
 
 
 #: What an end tag of an inline element doesn't reach over.
@@ -141,7 +155,8 @@ def parse(html: str) -> Node:
         if name in ("body", "main") and where.get("head"):
             close(where["head"][-1])
         inside = bool(where.get("article") or where.get("main"))
-        node = Node(name, stack[-1], _is_cut(name, mark["attrs"], inside), _marks(mark["attrs"]))
+        attrs = _attributes(mark["attrs"]) if mark["attrs"] else {}
+        node = Node(name, stack[-1], _is_cut(name, attrs, inside), _marks(name, attrs))
         stack[-1].parts.append(node)
         stack[-1].kids.append(node)
         if name in RAW:
@@ -156,7 +171,8 @@ def parse(html: str) -> Node:
 
 def _cut_marked(root: Node) -> None:
     """Cut the elements that a class word marks, but none that holds an article or main, or most of the page's text
-    outside links. An article marked as a reader comment does not count; where the page has another article or main,
+    outside links. An aside may hold articles that are not the page's, so that only its length counts. An article marked as
+    a reader comment does not count; where the page has another article or main,
     neither does the length of reader comments, nor that of an element of no more pieces of text than it (an advert)."""
     order, stack = [], [(root, False)]
     while stack:
@@ -178,7 +194,7 @@ def _cut_marked(root: Node) -> None:
             node.up.plain += node.plain
             node.up.holds |= node.holds
     for node in order:
-        if node.marks and not node.holds and node.name not in ("body", "html", "article", "main"):
+        if node.marks and (not node.holds or node.name == "aside") and node.name not in ("body", "html", "article", "main"):
             long = 2 * node.plain > root.plain
             node.cut = not long or root.holds and (node.lines <= most or bool(node.marks & READER_WORDS))
 
@@ -215,6 +231,16 @@ def _densities(order: list[Node], body: Node) -> None:
         node.density = c / t * (math.log(ratio) / math.log(base) if ratio > 1 and base > 1 else 1.0 if ratio > 1 else 0.0)
 
 
+#: Share of the chosen subtree's text outside links that a sibling needs to be a further part of the same text.
+FURTHER = 0.25
+
+
+def _continues(node: Node, best: Node, least: float) -> bool:
+    """Whether a sibling of best is a further part of its text: dense enough, long enough and not mostly links."""
+    text = node.chars - node.link_chars
+    return node is not best and node.density >= least and text >= FURTHER * (best.chars - best.link_chars) > 0 and 2 * node.link_chars < node.chars
+
+
 def main_node(root: Node) -> Node | None:
     """The subtree of the largest density sum at or above the threshold of its path to the body."""
     _cut_marked(root)
@@ -238,6 +264,8 @@ def main_node(root: Node) -> Node | None:
         best = best.up
     while best.up is not None and best.name == "p":  # one paragraph outweighs its siblings: the text is their parent
         best = best.up
+    while best.up is not None and best is not body and any(_continues(k, best, least) for k in best.up.kids):
+        best = best.up
     whole = best
     while whole is not None and whole.name not in ("article", "main"):
         whole = whole.up
@@ -298,4 +326,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """
     pages = pages.drop("text", "n_chars").withColumn("html", F.col("html").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields if f.name != "html")
-    return pages.mapInArrow(_extract, f"{schema}, text string, n_chars long")
+    return in_arrow(pages, _extract, f"{schema}, text string, n_chars long")

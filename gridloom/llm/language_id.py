@@ -61,6 +61,8 @@ def _grams(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
 
 #: Bytes of text that are looked at once; an n-gram takes some 60 bytes of a worker's memory.
 PART = 256 << 10
+#: N-grams of sampled documents that a task holds before it sends their counts.
+HELD = 4 << 20
 
 
 def _pieces(column: pa.Array) -> Iterator[list[str]]:
@@ -74,6 +76,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many of the task's documents of a language each n-gram is; the n-gram null counts the documents."""
     found: dict[str, list[np.ndarray]] = {}
     docs: dict[str, int] = {}
+    held = 0
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for lang, sets in found.items():
+            gram, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(gram) + 1)), pa.array([*gram.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), docs[lang]], pa.int64())], names=["lang", "gram", "n"])
+
     for batch in batches:
         langs = iter(batch.column("lang").to_pylist())
         for texts in _pieces(batch.column("text")):
@@ -81,9 +90,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lang = next(langs)
                 docs[lang] = docs.get(lang, 0) + 1
                 found.setdefault(lang, []).append(np.unique(np.concatenate([_grams([text], size)[0] for size in GRAMS])))
-    for lang, sets in found.items():
-        gram, n = np.unique(np.concatenate(sets), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(gram) + 1)), pa.array([*gram.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), docs[lang]], pa.int64())], names=["lang", "gram", "n"])
+                held += len(found[lang][-1])
+                if held > HELD:
+                    yield from counted()
+                    found, docs, held = {}, {}, 0
+    yield from counted()
 
 
 def train(docs: DataFrame, *, train_docs: int = 3000, least_share: float = 0.004) -> LanguageModel:

@@ -17,7 +17,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import buffers, in_arrow, materialize, mix, release, slices
+from .common import buffers, in_arrow, materialize, mix, release, slices, small_batches
+from .filters import may_hold
 
 #: Bits of each filter and the pieces in which they are merged. The size is fixed: it bounds the broadcast at 16 MB,
 #: and a fuller filter only means more suspects to confirm. Raise it for larger inputs (16 bits a distinct line).
@@ -118,7 +119,9 @@ def repeat_filter(docs: DataFrame, min_chars: int = 1) -> np.ndarray:
     pieces = in_arrow(docs.select("text"), lambda b: _filters(b, min_chars), "piece int, once binary, twice binary")
     bits = np.zeros(BITS // 8, np.uint8)
     width = BITS // PIECES // 8
-    for row in in_arrow(pieces.repartition(PIECES, "piece"), _merged, "piece int, bits binary").toLocalIterator():
+    with small_batches(docs.sparkSession):
+        merged = in_arrow(pieces.repartition(PIECES, "piece"), _merged, "piece int, bits binary").collect()  # 16 MB, whatever the data
+    for row in merged:
         bits[row["piece"] * width : (row["piece"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
     return bits
 
@@ -143,23 +146,24 @@ def _suspects(batches: Iterator[pa.RecordBatch], least: int, bits) -> Iterator[p
 
 
 class Confirmed:
-    """Keys of confirmed lines with the smallest doc_id that holds each, sorted; says which lines go."""
+    """Keys of confirmed lines with the smallest doc_id that holds each (and whether there is one), sorted; says which
+    lines go."""
 
-    def __init__(self, k1: np.ndarray, k2: np.ndarray, first: np.ndarray, keep_first: bool):
+    def __init__(self, k1: np.ndarray, k2: np.ndarray, first: np.ndarray, known: np.ndarray, keep_first: bool):
         order = np.lexsort((k2, k1))
-        self.k1, self.k2, self.first, self.keep_first = k1[order], k2[order], first[order], keep_first
+        self.k1, self.k2, self.first, self.known, self.keep_first = k1[order], k2[order], first[order], known[order], keep_first
         runs = np.diff(np.flatnonzero(np.append(np.append(True, self.k1[1:] != self.k1[:-1]), True))) if len(k1) else np.zeros(1, int)
         self.longest = int(runs.max(initial=0))
 
-    def gone(self, pairs: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """pairs: the two words of each line's key; docs: its doc_id (NaN without one)."""
+    def gone(self, pairs: np.ndarray, docs: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """pairs: the two words of each line's key; docs: its doc_id; known: whether it has one."""
         out = np.zeros(len(pairs), bool)
         at = np.searchsorted(self.k1, pairs[:, 0])
         for step in range(self.longest):
             k = np.minimum(at + step, max(len(self.k1) - 1, 0))
             hit = (self.k1[k] == pairs[:, 0]) & (self.k2[k] == pairs[:, 1])
             if self.keep_first:
-                hit &= (docs != self.first[k]) & ~np.isnan(docs) & ~np.isnan(self.first[k])
+                hit &= (docs != self.first[k]) & known & self.known[k]
             out |= hit
         return out
 
@@ -168,12 +172,13 @@ def _dropped(batches: Iterator[pa.RecordBatch], held, extra: bool) -> Iterator[p
     """Texts without the confirmed lines, rewritten where they lie."""
     confirmed: Confirmed = held.value
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.float64) if confirmed.keep_first else np.zeros(batch.num_rows)
+        column = batch.column("doc_id")
+        ids, known = column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
         for first, texts in _texts(batch.column("text")):
             keys = [line_keys(text) for text in texts]
             counts = np.array([len(k) for k in keys])
             pairs = np.frombuffer(b"".join([_digest(key) for own in keys for key in own]), np.int64).reshape(-1, 2)
-            lost = confirmed.gone(pairs, np.repeat(ids[first : first + len(texts)], counts))
+            lost = confirmed.gone(pairs, *(np.repeat(x[first : first + len(texts)], counts) for x in (ids, known)))
             lost &= np.fromiter((bool(key) for own in keys for key in own), bool, len(pairs))
             stops = np.cumsum(counts)
             n = np.diff(np.append(0, np.cumsum(lost)[stops - 1]))
@@ -197,12 +202,10 @@ _GONE, _AFFECTED, _GONE_ID = "__gridloom_gone", "__gridloom_affected", "__gridlo
 
 def _split(batches: Iterator[pa.RecordBatch], ids) -> Iterator[pa.RecordBatch]:
     """Rows with whether the id filter holds the document."""
-    from .ngram_jaccard import _may_hold
-
     bits = ids.value
     for batch in batches:
-        doc = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.uint64)
-        yield batch.append_column(_AFFECTED, pa.array(_may_hold(bits, doc) if len(doc) else [], pa.bool_()))
+        doc = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)
+        yield batch.append_column(_AFFECTED, pa.array(may_hold(bits, doc), pa.bool_()))
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch], extra: bool) -> Iterator[pa.RecordBatch]:
@@ -261,7 +264,8 @@ def line_dedup(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_
     out += (", text string" if texts else "") + ", n_lines long, n_dropped long, kept_sha256 string"
     if often.count() <= sent:  # at most 24 bytes times sent
         rows = often.toArrow()
-        confirmed = Confirmed(rows["k1"].to_numpy(), rows["k2"].to_numpy(), rows["first_doc"].to_numpy().astype(np.float64), keep_first)
+        first = rows["first_doc"]
+        confirmed = Confirmed(rows["k1"].to_numpy(), rows["k2"].to_numpy(), first.fill_null(0).to_numpy(), first.is_valid().to_numpy(), keep_first)
         held = docs.sparkSession.sparkContext.broadcast(confirmed)
         release(found, often)
         return in_arrow(docs, lambda b: _dropped(b, held, texts), out)

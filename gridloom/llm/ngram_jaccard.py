@@ -26,7 +26,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_arrow, materialize, mix, release, row_shingles, slices
+from .common import in_arrow, materialize, mix, release, row_shingles, slices, small_batches
+from .filters import bits_for, key_filter, may_hold
 
 #: Groups of the points that go with every document, and of the finer points that the trees hold.
 GROUPS, FINE = 16, 1024
@@ -162,7 +163,7 @@ def _routes(batches: Iterator[pa.RecordBatch], shingle: int, per_cent: int, sket
             mean = min(int(often[first].mean() * 16), (1 << 31) - 1)
             tie = int(mix(np.array([ids[k]], np.int64).view(np.uint64))[0]) & 0xFFFFFFFF
             if shared is not None:
-                own = own[_may_hold(shared.value, own)]
+                own = own[may_hold(shared.value, own)]
             token.append(own.view(np.int64))
             doc.append(np.full(len(own), ids[k]))
             rank.append(np.full(len(own), mean << 32 | tie))
@@ -312,40 +313,16 @@ def _needed(batches: Iterator[pa.RecordBatch], bloom) -> Iterator[pa.RecordBatch
     """Only rows whose id may occur in a pair, so that the others' texts are not shuffled; about PART bytes of text at once."""
     bits = bloom.value
     for batch in batches:
-        keep = pa.array(_may_hold(bits, batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)), pa.bool_())
+        keep = pa.array(may_hold(bits, batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)), pa.bool_())
         ends = np.append(0, np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64))
         for a, b in slices(ends, PART):
             yield batch.slice(a, b - a).filter(keep.slice(a, b - a))
 
 
-#: Bits of a filter over ids, which bounds its broadcast at 4 MB; a fuller filter only means more work, never less.
-ID_BITS = 1 << 25
-
-
-def _id_slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = mix(ids + np.uint64(0x632BE59BD9B4E019))
-    return (h % np.uint64(ID_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(ID_BITS)).astype(np.int64)
-
-
-def _may_hold(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    x, y = _id_slots(ids)
-    return ((bits[x >> 3] >> (x & 7) & 1) & (bits[y >> 3] >> (y & 7) & 1)).astype(bool)
-
-
-def _id_bloom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(ID_BITS // 8, np.uint8)
-    for batch in batches:
-        for slot in _id_slots(batch.column("id").to_numpy(zero_copy_only=False).astype(np.uint64)):
-            np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-    yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
-
-
 def id_filter(ids: DataFrame):
-    """A broadcast Bloom filter of fixed size over the column id."""
-    bits = np.zeros(ID_BITS // 8, np.uint8)
-    for row in in_arrow(ids.coalesce(4), _id_bloom, "bits binary").toLocalIterator():
-        bits |= np.frombuffer(row["bits"], np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(bits)
+    """A broadcast filter over the column id, as large as their number asks for, up to a fixed size."""
+    ids = ids.select("id")
+    return ids.sparkSession.sparkContext.broadcast(key_filter(ids, bits_for(ids.count(), 8)))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, shingle: int, per_cent: int) -> DataFrame:
@@ -391,7 +368,9 @@ def jaccard_links(docs: DataFrame, *, shingle: int = 5, per_cent: int = 75, exac
     first = materialize(in_arrow(docs, lambda b: _sets(b, shingle), _SETS), "sets")
     counts = np.zeros(SKETCH, np.uint32)
     pieces = first.where("piece is not null").select("piece", "counts").repartition(PIECES, "piece")
-    for row in in_arrow(pieces, _add_pieces, "piece int, counts binary").toLocalIterator():
+    with small_batches(spark):
+        merged = in_arrow(pieces, _add_pieces, "piece int, counts binary").collect()  # 4 MB, whatever the data
+    for row in merged:
         counts[row["piece"] * (SKETCH // PIECES) : (row["piece"] + 1) * (SKETCH // PIECES)] = np.frombuffer(row["counts"], np.uint32)
     sketch = spark.sparkContext.broadcast(counts)
     sets = first.where("piece is null").drop("piece", "counts")

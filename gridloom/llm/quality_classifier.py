@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import _WHITE, buffers, hashed_words, in_arrow, mix, slices
+from .common import _WHITE, buffers, hashed_words, in_arrow, mix, slices, small_batches
 
 #: Rows of word and shape vectors, and numbers in a vector: with them 9 MB are broadcast, whatever the data.
 WORDS, SHAPES, WIDTH = 1 << 16, 1 << 12, 32
@@ -126,7 +126,9 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros((WORDS + SHAPES, WIDTH), np.int64)
     step = len(total) // PIECES
     pieces = in_arrow(docs.select("text"), _company, "piece int, sums binary").repartition(PIECES, "piece")
-    for row in in_arrow(pieces, _added, "piece int, sums binary").toLocalIterator():  # tables of fixed size
+    with small_batches(docs.sparkSession):
+        merged = in_arrow(pieces, _added, "piece int, sums binary").collect()  # tables of fixed size, 18 MB
+    for row in merged:
         total[row["piece"] * step : (row["piece"] + 1) * step] = np.frombuffer(row["sums"], np.int64).reshape(step, WIDTH)
     return _unit(_index(WORDS, 1), total[:WORDS]), _unit(_index(SHAPES, 7), total[WORDS:])
 

@@ -27,14 +27,12 @@ CUTOFF = 25.0
 #: Statistics and the least standard deviation that each is given, so that a feature that is constant in a group
 #: doesn't reject small differences.
 FEATURES = {"f_length": 0.08, "f_symbols": 0.5, "f_lines": 0.6, "f_repeats": 0.6}
-_POSITION = (1 << 24) - 1
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) from the whole text; null is empty.
 
-    The repeated three-word windows are found by sorting 64-bit window hashes, 40 bits of hash and 24 of position in a
-    long, and comparing the full hashes of neighbours.
+    The repeated three-word windows are found by sorting 64-bit window hashes with their positions and comparing neighbours.
     """
     own = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit("")))
     own = own.withColumn("_w", F.filter(F.split("_t", _WHITE), lambda x: x != ""))
@@ -48,9 +46,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     })
     keep = [*docs.columns, "n_words", "word_chars", "n_symbols", "n_dup_lines"]
     own = own.select(*[f"`{c}`" for c in dict.fromkeys(keep)], "_h")
-    packed = F.transform(F.sort_array(F.transform("_h", lambda h, i: h.bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("long")))), lambda x: x.bitwiseAND(F.lit(_POSITION)).cast("int"))
-    wide = F.transform(F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda x: x["i"])
-    places = F.when(F.size("_h") <= _POSITION, packed).otherwise(wide)  # a longer text's positions don't fit beside the hash
+    places = F.transform(F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda x: x["i"])
     own = own.withColumn("_p", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), places))
 
     def twice(p: Column, j: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import language_id, quality_classifier, token_store
 from .byte_bpe import encode_decode
 from .centroid_clustering import centroid_clusters
-from .common import new_path, table
+from .common import bounded_batches, new_path, table
 from .decontamination import benchmark_matches
 from .html_extraction import extract_main_text
 from .line_dedup import line_dedup
@@ -83,6 +83,16 @@ def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), mod=5, rest=1)
 
 
+def _application(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose session's Arrow batches are bounded for rows of any length, unless it has a bound of its own."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_line_dedup": op2_line_dedup,
@@ -98,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_periodic_runs": op12_periodic_runs,
     "op13_lm_scoring": op13_lm_scoring,
 }
+QUERIES = {name: _application(query) for name, query in QUERIES.items()}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 

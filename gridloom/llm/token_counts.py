@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from .common import buffers, slices
+from .common import buffers, in_arrow, slices
 from .units import SLICE, Units, added_strings, unit_spans
 
 _units: dict[str, Units] = {}
@@ -88,4 +88,4 @@ def section_tokens(docs: DataFrame, tokenizer: str, *, rule: str = "start") -> D
     if rule not in RULES:
         raise ValueError(f"rule has to be one of {RULES}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(lambda b: _counts(b, tokenizer, rule), "doc_id long, section long, first_char long, end_char long, n_tokens long, n_crossing long")
+    return in_arrow(docs, lambda b: _counts(b, tokenizer, rule), "doc_id long, section long, first_char long, end_char long, n_tokens long, n_crossing long")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from .common import buffers, mix, slices
+from .common import buffers, in_arrow, mix, slices, small_batches
 from .units import SLICE, Units, added_strings, unit_ids
 
 #: Chunks have LEAST to MOST ids; between them a cut follows where the rolling hash has MASK bits zero.
@@ -172,8 +172,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.mapInArrow(lambda b: _pack(b, tokenizer, end_id, width), _PACK).repartition("place").mapInArrow(_once, _PACK)
-    rows.drop("place").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/pack")
+    rows = in_arrow(in_arrow(docs, lambda b: _pack(b, tokenizer, end_id, width), _PACK).repartition("place"), _once, _PACK)
+    with small_batches(spark):
+        rows.drop("place").write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/pack")
     kind = rows.drop("place", "kind").schema
     if not _exists(spark, f"{path}/pack/kind=recipe"):
         recipes = spark.createDataFrame([], kind)
@@ -181,10 +182,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
         recipes = spark.read.schema(kind).parquet(f"{path}/pack/kind=recipe")
     recipes = recipes.select("uid", "doc_id", "n_tokens", "root", "chunks")
     ordered = recipes.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid")
-    ordered.mapInArrow(_shards, "uid long, doc_id long, n_tokens long, root binary, chunks binary, shard int, start_in_shard long").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    in_arrow(ordered, _shards, "uid long, doc_id long, n_tokens long, root binary, chunks binary, shard int, start_in_shard long").write.option("compression", "zstd").parquet(f"{path}/recipes")
     recipes = spark.read.parquet(f"{path}/recipes")
     entries = recipes.select("shard", "start_in_shard", "doc_id", "uid", "n_tokens", "root").repartition("shard").sortWithinPartitions("shard", "start_in_shard", "uid")
-    found = entries.mapInArrow(_roots, "shard int, n_ids long, n_docs long, root binary").toPandas().sort_values("shard")  # a row a shard
+    found = in_arrow(entries, _roots, "shard int, n_ids long, n_docs long, root binary").toPandas().sort_values("shard")  # a row a shard
     found["first_id"] = found["n_ids"].cumsum() - found["n_ids"]
     found["width"] = width
     spark.createDataFrame(found[["shard", "n_ids", "n_docs", "first_id", "root", "width"]], "shard int, n_ids long, n_docs long, first_id long, root binary, width int").coalesce(1).write.parquet(f"{path}/manifest")
@@ -281,10 +282,10 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     Chunks don't move: each is read where it lies, and a document's crc32 is combined from its chunks'.
     """
     recipes, chunks, width = _opened(spark, path)
-    entries = recipes.select("uid", "doc_id", "start", "n_tokens", "root", "chunks").mapInArrow(_entries, "uid long, doc_id long, start long, n_tokens long, root binary, seq int, k1 long, k2 long, n int")
-    sums = chunks.mapInArrow(lambda b: _digests(b, width), "k1 long, k2 long, crc long")
+    entries = in_arrow(recipes.select("uid", "doc_id", "start", "n_tokens", "root", "chunks"), _entries, "uid long, doc_id long, start long, n_tokens long, root binary, seq int, k1 long, k2 long, n int")
+    sums = in_arrow(chunks, lambda b: _digests(b, width), "k1 long, k2 long, crc long")
     by = entries.join(sums, ["k1", "k2"], "left").groupBy("uid", "doc_id", "start", "n_tokens", "root").agg(F.collect_list(F.struct("seq", "k1", "k2", "n", F.coalesce("crc", F.raise_error(F.lit("a chunk is missing"))).alias("crc"))).alias("parts"))
-    return by.select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_arrow(by.select("doc_id", "start", "n_tokens", "root", "parts"), _documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _joined(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -299,6 +300,6 @@ def _joined(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of every document: the id streams themselves, end ids included."""
     recipes, chunks, width = _opened(spark, path)
-    entries = recipes.select("uid", "doc_id", "start", "n_tokens", "root", "chunks").mapInArrow(_entries, "uid long, doc_id long, start long, n_tokens long, root binary, seq int, k1 long, k2 long, n int")
+    entries = in_arrow(recipes.select("uid", "doc_id", "start", "n_tokens", "root", "chunks"), _entries, "uid long, doc_id long, start long, n_tokens long, root binary, seq int, k1 long, k2 long, n int")
     by = entries.join(chunks.drop("n"), ["k1", "k2"]).groupBy("uid", "doc_id", "start").agg(F.collect_list(F.struct("seq", "payload")).alias("parts"))
-    return by.select("doc_id", "start", "parts").mapInArrow(lambda b: _joined(b, width), "doc_id long, start long, ids array<int>")
+    return in_arrow(by.select("doc_id", "start", "parts"), lambda b: _joined(b, width), "doc_id long, start long, ids array<int>")

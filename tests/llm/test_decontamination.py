@@ -68,3 +68,11 @@ def test_blocks_have_names_of_their_own():
     one, two = [(1, "a"), (2, "b")], [(1, "a"), (2, "c")]
     assert len({D.content_key(x, r) for x in (one, two, one[:1], []) for r in (0.06, 0.1)}) == 8
     assert D.content_key(one, 0.06) == D.content_key(list(one), 0.06)
+
+
+def test_many_long_texts_in_one_batch(spark):
+    item = "a passage of the benchmark that stands somewhere in a long text"
+    rows = [(k, "filler words " * 20_000 + (item if k % 3 == 0 else "") + " and more" * 500) for k in range(45)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = D.benchmark_matches(df, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == [(k, 9, 0) for k in range(0, 45, 3)]

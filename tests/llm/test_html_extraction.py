@@ -119,3 +119,40 @@ def test_densities_by_definition():
         ratio = c / max(1, lc) * t / max(1, lt)
         want = 0.0 if not c or ratio <= 1 else c / t * (math.log(ratio) / math.log(base) if base > 1 else 1.0)
         assert math.isclose(node.density, want)
+
+
+PARAGRAPH = "word and more text, with sense. " * 16
+THREE, ONE = f"<p>{PARAGRAPH}</p>" * 3, f"<p>{PARAGRAPH}</p>"
+LINES = "\n".join([PARAGRAPH.strip()] * 3)
+
+
+@pytest.mark.parametrize("html", [
+    f'<body><article data-title="The hidden life of trees">{THREE}</article></body>',
+    f'<body><div class="w-full hidden lg:block">{THREE}</div></body>',
+    f'<body><div style="font-display: none">{THREE}</div></body>',
+    f'<body><div title="display: none; class=ad">{THREE}</div></body>',
+    f'<body><form id="aspnetForm"><main><article>{THREE}</article></main></form></body>',
+    f"<body><form><div>{THREE}</div></form><div>short foot</div></body>",
+    f"<body><dialog open><div>{THREE}</div></dialog></body>",
+    f"<body><article>{THREE}</article><aside><article>{ONE}</article></aside></body>",
+    f"<body><div>{THREE}</div><form><p>write to us and leave your name, please</p></form></body>",
+    f"<body><div hidden>{ONE}</div><div style='color:red; DISPLAY : NONE'>{ONE}</div><div>{THREE}</div></body>",
+])
+def test_wrappers_and_hidden_elements(html):
+    assert main_text(html) == LINES
+
+
+def test_a_text_split_over_siblings_is_whole():
+    parts = f"<div>{THREE}</div><div class=ad>buy this now</div><div>{ONE * 2}</div>"
+    want = "\n".join(["Head", LINES, *[PARAGRAPH.strip()] * 2])
+    assert main_text(f"<body><nav>menu</nav><div id=a><h1>Head</h1>{parts}</div><div class=links><a href=/>one</a> <a href=/>two</a></div></body>") == want
+    links = f"<div>{'<a href=/>another page of ours</a> ' * 40}</div>"
+    assert main_text(f"<body><div>{THREE}</div>{links}<div>a short line</div></body>") == LINES
+
+
+def test_first_of_several_attributes_and_hostile_ones():
+    assert main_text('<body><div class=x class="ad">kept</div></body>') == "kept"
+    began = time.process_time()
+    assert main_text("<p>hello</p><a " + "x=\"'" * 50_000 + ">").startswith("hello")
+    assert main_text("<p>hello</p><a " + "x='\"=" * 50_000 + ">").startswith("hello")
+    assert time.process_time() - began < 5

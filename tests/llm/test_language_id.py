@@ -77,3 +77,53 @@ def test_every_labelled_language_is_told_apart(spark):
     out = L.predict(df, model).select("lang", "lang_pred", "score").collect()
     assert len(out) == len(rows) and all(r["lang"] == r["lang_pred"] and r["score"] > 0.9 for r in out)
     assert L.known_language(df).count() > 0.9 * len(rows)
+
+
+def plain_grams(text, size):
+    """The n-grams of bytes by the definition: letters lower-cased, everything else one space, a space at both ends."""
+    import re
+
+    raw = re.sub(rb"[^a-z\x80-\xff]+", b" ", f" {text.lower()} ".encode())
+    return [raw[k : k + size] for k in range(len(raw) - size + 1)]
+
+
+def test_predictions_equal_exact_sets(spark, small, monkeypatch):
+    """With exact sets in place of the filters: the share of a text's n-grams that each language's set holds."""
+    df = spark.read.parquet(f"{small}/documents.parquet").where("text is not null and lang is not null").limit(150)
+    rows = df.select("text", "lang").collect()
+    model = L.train(df, least_share=0.004)
+    count, docs_of = {}, {}
+    for text, lang in rows:
+        docs_of[lang] = docs_of.get(lang, 0) + 1
+        for gram in {g for size in L.GRAMS for g in plain_grams(text, size)}:
+            count[lang, gram] = count.get((lang, gram), 0) + 1
+    need = {x: max(min(3, -(-n // 5)), 0.004 * n) for x, n in docs_of.items()}
+    sets = {x: {g for (y, g), n in count.items() if y == x and n >= need[x]} for x in docs_of}
+    out = L.predict(df, model).select("text", "lang_pred", "score").collect()
+    close = 0
+    for text, lang, score in out:
+        grams = [g for size in L.GRAMS for g in plain_grams(text, size)]
+        shares = {x: sum(g in own for g in grams) / max(1, len(grams)) for x, own in sets.items()}
+        if any(map(str.isalpha, text)):
+            assert abs(score - shares[lang]) < 0.02
+            assert shares[lang] > max(shares.values()) - 0.02
+            close += lang == max(sorted(shares), key=shares.get)
+    assert close > 0.95 * len(out)
+
+
+def test_counts_are_sent_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(L, "HELD", 50)
+    import pyarrow as pa
+
+    texts = [f"some words of text number {k} and more" for k in range(30)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts), "lang": pa.array(["en", "fr"] * 15)})
+    sums = {}
+    for out in L._count(iter([batch])):
+        for lang, gram, n in zip(*(out.column(x).to_pylist() for x in ("lang", "gram", "n")), strict=True):
+            sums[lang, gram] = sums.get((lang, gram), 0) + n
+    monkeypatch.setattr(L, "HELD", 1 << 30)
+    whole = {}
+    for out in L._count(iter([batch])):
+        for lang, gram, n in zip(*(out.column(x).to_pylist() for x in ("lang", "gram", "n")), strict=True):
+            whole[lang, gram] = n
+    assert sums == whole and sums["en", None] == 15

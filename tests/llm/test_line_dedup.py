@@ -46,11 +46,23 @@ def test_clashing_inner_names(spark, sent):
 def test_keys_that_share_a_word():
     one = np.array([5, 5, 7, 5], np.int64)
     two = np.array([1, 2, 1, 3], np.int64)
-    table = Confirmed(one, two, np.array([1.0, 2.0, np.nan, 4.0]), False)
+    first, known = np.array([1, 2, 0, 4]), np.array([True, True, False, True])
     pairs = np.array([[5, 1], [5, 2], [5, 3], [5, 4], [7, 1], [7, 2], [9, 1]], np.int64)
-    assert table.gone(pairs, np.zeros(7)).tolist() == [True, True, True, False, True, False, False]
-    table = Confirmed(one, two, np.array([1.0, 2.0, np.nan, 4.0]), True)
-    assert table.gone(pairs, np.array([1.0, 1.0, np.nan, 1, 1, 1, 1])).tolist() == [False, True, False, False, False, False, False]
+    table = Confirmed(one, two, first, known, False)
+    assert table.gone(pairs, np.zeros(7, int), np.ones(7, bool)).tolist() == [True, True, True, False, True, False, False]
+    table = Confirmed(one, two, first, known, True)
+    assert table.gone(pairs, np.array([1, 1, 0, 1, 1, 1, 1]), np.arange(7) != 2).tolist() == [False, True, False, False, False, False, False]
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_ids_beyond_the_whole_numbers_of_a_double(spark, sent):
+    ids = [1 << 60, (1 << 60) + 1, (1 << 60) + 64, -(1 << 62), (1 << 63) - 1]
+    df = spark.createDataFrame([(i, f"same line\nown {k}") for k, i in enumerate(ids[:3])] + [(i, f"other\nown {i}") for i in ids[3:]], "doc_id long, text string")
+    out = {r["doc_id"]: r["n_dropped"] for r in line_dedup(df, min_docs=2, keep_first=True, sent=sent).collect()}
+    assert out == {ids[0]: 0, ids[1]: 1, ids[2]: 1, ids[3]: 0, ids[4]: 1}
+    both = docs(spark).unionByName(docs(spark).withColumn("doc_id", F.col("doc_id") + (1 << 60)))
+    rows = [sorted(map(str, line_dedup(both, min_docs=2, keep_first=True, sent=n).select("doc_id", "n_dropped", "kept_sha256").collect())) for n in (1 << 20, 0)]
+    assert rows[0] == rows[1]
 
 
 @pytest.mark.parametrize("sent", [1 << 20, 0])

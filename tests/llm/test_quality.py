@@ -30,6 +30,28 @@ def test_base_counts_of_edge_rows(spark):
     assert R.quality_rules(docs(spark, [])).count() == 0
 
 
+def test_windows_that_share_the_upper_bits_of_their_hash(spark):
+    """Their repeats alternate, so that neither stands beside its equal if only a part of the hash is sorted."""
+    text = "w1576477 x y q1 w2804442 x y q2 w1576477 x y q3"
+    long = " ".join(f"{'w1576477 x y' if k % 2 else 'w2804442 x y'} r{k}" for k in range(40))
+    rows = [(1, text, "en", "s"), (2, long, "en", "s")]
+    out = {r["doc_id"]: r["n_repeat_words"] for r in R.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert out == {1: counts(text)[4], 2: counts(long)[4]} and out[1] == 6
+
+
+def test_repeats_do_not_hang_on_the_hash(spark, monkeypatch):
+    """With a hash of four bits unequal windows collide all the time; their counts are still those of equal hashes."""
+    from pyspark.sql import functions as F
+
+    narrow = F.xxhash64
+    monkeypatch.setattr(R.F, "xxhash64", lambda *c: F.pmod(narrow(*c), F.lit(16)).cast("long"))
+    words = [f"w{k % 7}" for k in range(40)]
+    own = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    slots = [r[0] for r in spark.createDataFrame([(k, *words[k : k + 3]) for k in range(38)], "k int, a string, b string, c string").orderBy("k").select(F.pmod(narrow("a", "b", "c"), F.lit(16))).collect()]
+    covered = {j for k, h in enumerate(slots) if slots.count(h) > 1 for j in (k, k + 1, k + 2)}
+    assert R.base_counts(own).first()["n_repeat_words"] == len(covered)
+
+
 def test_distance_equals_numpy(spark, small):
     df = spark.read.parquet(f"{small}/documents.parquet")
     out = R.quality_rules(df).toPandas()
@@ -82,8 +104,7 @@ def test_distances_equal_a_numpy_search(spark):
         assert all(verdict[tuple(x)] == (d > R.CUTOFF) for x, d in zip(found[names].to_numpy().tolist(), found["_d2_0"], strict=True))
 
 
-def test_texts_whose_positions_do_not_fit(spark, monkeypatch):
-    monkeypatch.setattr(R, "_POSITION", 15)
+def test_repeats_of_edge_rows(spark):
     out = R.base_counts(docs(spark)).select("text", *NAMES).collect()
     assert all(tuple(r[n] for n in NAMES) == counts(r["text"]) for r in out)
 

@@ -187,3 +187,13 @@ def test_section_counts_equal_whole_offsets(spark, tokenizer, rule):
         assert [r["n_tokens"] for r in rows] == want.tolist() and [r["n_crossing"] for r in rows] == crossing.tolist()
         assert len(rows) == text.count("\n") + 1
     assert token_counts.section_tokens(docs(spark, []), JSON).count() == 0
+    found = sorted(tuple(r)[1:] for r in out if r["doc_id"] == 8)
+    again = token_counts.section_tokens(docs(spark, [(None, ROWS[9][1], None, None), (3, ROWS[9][1], None, None), (3, ROWS[9][1], None, None)]), JSON, rule=rule).collect()
+    assert sorted(tuple(r)[1:] for r in again if r["doc_id"] is None) == found and sorted(tuple(r)[1:] for r in again if r["doc_id"] == 3) == sorted(found * 2)
+
+
+def test_many_long_texts_in_one_batch(spark, tokenizer):
+    texts = [f"line {k}\n" + "some more words here " * 6000 for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    n = {r["doc_id"]: r["n"] for r in token_counts.section_tokens(df, JSON).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert n == {k: len(tokenizer.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
