@@ -1,10 +1,11 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 A state of the tree is a context of up to DEPTH words. A context is a candidate if it was met LEAST times, its suffix is in
-the tree and the context without its last word is a candidate too (so a long context is only found by way of its suffixes); it is retained if its next words diverge from its suffix's distribution: if
-predicting each token after it from the others after it gains GAIN nats or more over the suffix. The next-word distribution
-of a state is discounted: words found once after it and DISCOUNT of each other count go to its suffix's distribution, down to
-the root, the add-half unigram. A token is scored by the longest state that its history ends with.
+the tree and the context without its last word is a candidate too (so a long context is only found by way of its suffixes); a next word is kept if its count
+exceeds what the suffix's distribution expects by a deviance of NEXT nats; a context is retained if its kept next words
+diverge from the suffix's distribution: if predicting each token after it from the others after it gains GAIN nats or more.
+The next-word distribution of a state is discounted: DISCOUNT of each kept count and all other counts go to its suffix's
+distribution, down to the root, the add-half unigram. A token is scored by the longest state that its history ends with.
 
 With log P along a chain of suffixes c1, c2, ... the score is a sum of terms that belong to single grams: log P0(w) of each
 word, the back-off weight of each retained context, and for each gram that was found a gain over what the shorter chain
@@ -29,12 +30,12 @@ from .filters import bits_for, key_filter, may_hold
 
 #: Words of the longest context, and how often a context has to be met to be a candidate.
 DEPTH, LEAST = 2, 16
-#: What is taken from each count of two or more, and the nats that a retained context has to gain.
-DISCOUNT, GAIN = 0.75, 4.0
+#: What is taken from each kept count, and the nats that a kept next word and a retained context have to gain.
+DISCOUNT, NEXT, GAIN = 0.75, 3.0, 4.0
 #: Keys whose values go to every task.
 FREQUENT = 1 << 18
 #: States (32 bytes each) up to which they are sent to every task; more are joined by a shuffle.
-SMALL = 100_000
+SMALL = 400_000
 #: Bytes of text whose tokens a task looks at once, and counted grams that it holds before it sends them.
 SLICE, HELD = 1 << 20, 1_500_000
 #: The token that ends a text.
@@ -95,7 +96,7 @@ class _Counts:
         self._hold(context, suffix, np.ones(len(suffix), np.int64))
 
     def _hold(self, context: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> None:
-        order = np.argsort(mix(context ^ _LEFT) + suffix, kind="stable")
+        order = np.lexsort((suffix, context))  # rows of one context lie together, where their keys compress
         c, s = context[order], suffix[order]
         first = np.ones(len(order), bool)
         first[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
@@ -143,22 +144,26 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _level(docs: DataFrame, contexts: DataFrame, below: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """(rows, states) of one depth. contexts (context, met); below (gram, lp, ends): the next words of the retained suffixes.
 
-    rows (gram, context, suffix, n, met, below, ends) of what was found twice or more after the contexts; states (context,
+    rows (gram, context, suffix, n, met, below, ends, kept) of what was found twice or more after the contexts; states (context,
     weight) of the retained ones, weight being log10 of the share that goes to the suffix."""
     spark = docs.sparkSession
     filled = spark.sparkContext.broadcast(key_filter(contexts.select("context"), bits_for(contexts.count())))
     counts = in_arrow(docs.select("text"), lambda b: _counted(b, depth, filled), "context long, suffix long, n long")
     counts = counts.groupBy("context", "suffix").agg(F.sum("n").alias("n")).where("n > 1")
     rows = counts.join(below.select(F.col("gram").alias("suffix"), F.col("lp").alias("below"), "ends"), "suffix").join(contexts, "context")
-    rows = rows.select("context", "suffix", "n", "met", "below", "ends")
-    rows = materialize(in_arrow(rows, _keyed, "context long, suffix long, n long, met long, below double, ends boolean, gram long"), "grams")
+    expected = F.col("met") * F.pow(F.lit(10.0), "below")
+    more = F.col("n") - expected
+    kept = (more > 0) & (F.col("n") * F.log(F.col("n") / expected) - more > NEXT)
+    rows = rows.select("context", "suffix", "n", "met", "below", "ends", kept.alias("kept"))
+    rows = materialize(in_arrow(rows, _keyed, "context long, suffix long, n long, met long, below double, ends boolean, kept boolean, gram long"), "grams")
     filled.unpersist()
-    sums = rows.groupBy("context").agg(F.first("met").alias("met"), F.sum("n").alias("n"), F.sum(F.col("n") - DISCOUNT).alias("found"))
-    sums = materialize(sums.select("context", F.log((F.col("met") - F.col("found")) / F.col("met")).alias("share"), (F.col("met") - F.col("n")).alias("single"), F.col("found")), "sums")
+    own = rows.where("kept")
+    sums = own.groupBy("context").agg(F.first("met").alias("met"), F.sum("n").alias("n"), F.sum(F.col("n") - DISCOUNT).alias("found"))
+    sums = materialize(sums.select("context", F.log((F.col("met") - F.col("found")) / F.col("met")).alias("share"), (F.col("met") - F.col("n")).alias("other"), F.col("found")), "sums")
     # Each token is predicted from the others: its own count is taken from those of its gram.
     left = F.greatest(F.col("n") - 1 - DISCOUNT, F.lit(0.0)) + (F.col("met") - F.col("found")) * F.pow(F.lit(10.0), "below")
     gain = F.sum(F.col("n") * F.log(left / F.col("met") / F.pow(F.lit(10.0), "below")))
-    gains = _sent_if_small(rows, sums).groupBy("context").agg((gain + F.first("single") * F.first("share")).alias("gain"), F.first("share").alias("share"))
+    gains = _sent_if_small(own, sums).groupBy("context").agg((gain + F.first("other") * F.first("share")).alias("gain"), F.first("share").alias("share"))
     states = materialize(gains.where(F.col("gain") > GAIN).select("context", (F.col("share") / math.log(10)).alias("weight")), "states")
     release(sums)
     return rows, states
@@ -170,10 +175,11 @@ def _sent_if_small(rows: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def _smoothed(rows: DataFrame, states: DataFrame) -> DataFrame:
-    """(gram, n, lp, value, ends) of the next words of retained contexts: log10 of the smoothed probability, and how much
-    more it is than the suffix's with the weight."""
-    lp = F.log10((F.col("n") - DISCOUNT) / F.col("met") + F.pow(F.lit(10.0), F.col("weight") + F.col("below")))
-    return _sent_if_small(rows, states).withColumn("lp", lp).select("gram", "n", "lp", (F.col("lp") - F.col("weight") - F.col("below")).alias("value"), "ends")
+    """(gram, n, lp, value, ends, kept) of the next words of retained contexts: log10 of the smoothed probability, and how
+    much more it is than the suffix's with the weight."""
+    back = F.col("weight") + F.col("below")
+    lp = F.when(F.col("kept"), F.log10((F.col("n") - DISCOUNT) / F.col("met") + F.pow(F.lit(10.0), back))).otherwise(back)
+    return _sent_if_small(rows, states).withColumn("lp", lp).select("gram", "n", "lp", (F.col("lp") - back).alias("value"), "ends", "kept")
 
 
 def train(docs: DataFrame, *, depth: int = DEPTH, least: int = LEAST, frequent: int = FREQUENT) -> SuffixTree:
@@ -193,7 +199,7 @@ def train(docs: DataFrame, *, depth: int = DEPTH, least: int = LEAST, frequent:
         written += [contexts, rows, states]
         below = _smoothed(rows, states)
         weights = states.join(contexts, "context").select(F.col("context").alias("gram"), F.col("met").alias("n"), F.col("weight").alias("value"))
-        for part in (below.select("gram", "n", "value"), weights):
+        for part in (_smoothed(rows.where("kept"), states).select("gram", "n", "value"), weights):
             whole = whole.unionByName(part.withColumns({"base": F.lit(0.0), "known": F.lit(0)}))
         often = rows.where("not ends").where(F.col("n") >= least)
         contexts = often.join(states.select(F.col("context").alias("suffix")), "suffix", "left_semi").select(F.col("gram").alias("context"), F.col("n").alias("met"))

@@ -9,7 +9,7 @@ import pytest
 from edge import docs
 from pyspark.sql import functions as F
 
-from gridloom.llm.lm_scoring import DISCOUNT, GAIN, lm_scores, score, train
+from gridloom.llm.lm_scoring import DISCOUNT, GAIN, NEXT, lm_scores, score, train
 
 END = None
 
@@ -39,7 +39,12 @@ class Brute:
                     after[g[:-1]][g[-1]] = n
             fresh = {}
             for h, children in after.items():
-                met, found = grams[h], sum(n - DISCOUNT for n in children.values())
+                met = grams[h]
+                expected = {x: met * self.p(x, h[1:]) for x in children}
+                children = {x: n for x, n in children.items() if n > (e := expected[x]) and n * math.log(n / e) - (n - e) > NEXT}
+                if not children:
+                    continue
+                found = sum(n - DISCOUNT for n in children.values())
                 gain = sum(n * math.log((max(n - 1 - DISCOUNT, 0) + (met - found) * self.p(x, h[1:])) / met / self.p(x, h[1:])) for x, n in children.items())
                 gain += (met - sum(children.values())) * math.log((met - found) / met)
                 if gain > GAIN:
