@@ -9,9 +9,11 @@ distribution, down to the root, the add-half unigram. A token is scored by the l
 
 With log P along a chain of suffixes c1, c2, ... the score is a sum of terms that belong to single grams: log P0(w) of each
 word, the back-off weight of each retained context, and for each gram that was found a gain over what the shorter chain
-gives. So scoring needs no order of lookups: grams are 64-bit keys with one value each. The FREQUENT most frequent keys go to
-every task (a fixed number), which takes hot keys out of the shuffle; the others meet their values in one join by key, to
-which only grams go that a filter of the model's keys holds, and their sums are added by document.
+gives. So scoring needs no order of lookups: grams are 64-bit keys with one value each. The most frequent keys go to every
+task (a fixed number of them), which takes hot keys out of the shuffle; the others meet their values in one join by key, to
+which only grams go that a filter of the model's keys holds, and their sums are added by document. The RANKED most frequent
+words are numbered, and a gram of up to three of them is their numbers side by side: such keys compress in a shuffle. Any
+other gram is a hash.
 """
 
 from __future__ import annotations
@@ -32,26 +34,33 @@ from .filters import bits_for, key_filter, may_hold
 DEPTH, LEAST = 2, 16
 #: What is taken from each kept count, and the nats that a kept next word and a retained context have to gain.
 DISCOUNT, NEXT, GAIN = 0.75, 3.0, 4.0
-#: Keys whose values go to every task.
-FREQUENT = 1 << 18
+#: Grams and words whose values go to every task, and words that are numbered, at most.
+FREQUENT, FREQUENT_WORDS, RANKED = 1 << 20, 1 << 17, (1 << 16) - 2
 #: States (32 bytes each) up to which they are sent to every task; more are joined by a shuffle.
 SMALL = 400_000
 #: Bytes of text whose tokens a task looks at once, and counted grams that it holds before it sends them.
-SLICE, HELD = 1 << 20, 1_500_000
+SLICE, HELD = 1 << 20, 1_000_000
+#: Rows of a batch that is sent.
+ROWS = 1 << 16
 #: The token that ends a text.
 END = np.uint64(0xE7D1A5C3B8F60429)
+#: Set in the keys that are hashes; and the number of END if it is not among the most frequent words.
+_HASH, _END_RANK = np.uint64(1 << 63), np.uint64((1 << 16) - 1)
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @dataclass
 class SuffixTree:
-    """model (gram, n, base, known, value): one row a key; tokens, distinct: of the training texts; frequent: keys in order
-    with their base, known and value; filled: a filter of the other keys."""
+    """model (gram, n, base, value): one row a key, base being null for grams of several words; tokens, distinct: of the
+    training texts; ranks: numbered words in order and their numbers; words, grams: frequent keys in order with base (of words)
+    and value; filled: a filter of the other keys."""
 
     model: DataFrame
     tokens: int
     distinct: int
-    frequent: Broadcast
+    ranks: Broadcast
+    words: Broadcast
+    grams: Broadcast
     filled: Broadcast
 
     @property
@@ -62,7 +71,17 @@ class SuffixTree:
 
 def _joint(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     """The key of the gram whose words but the last are one gram and whose words but the first are another."""
-    return mix(context * _LEFT + suffix * _RIGHT)
+    numbers = (context < np.uint64(1 << 32)) & (suffix < np.uint64(1 << 32))
+    beside = context << np.uint64(16) | suffix & np.uint64(0xFFFF)
+    return np.where(numbers, beside, mix(context * _LEFT + suffix * _RIGHT) | _HASH)
+
+
+def _numbered(words: np.ndarray, ranks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Words as their numbers, or as hashes."""
+    known, numbers = ranks
+    distinct, back = np.unique(words, return_inverse=True)
+    k = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
+    return np.where(known[k] == distinct, numbers[k], distinct | _HASH)[back]
 
 
 def _tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,22 +123,26 @@ class _Counts:
         self.held.append((c[at], s[at], np.add.reduceat(n[order], at) if len(at) else n[:0]))
         self.size += len(at)
 
-    def whole(self) -> pa.RecordBatch:
+    def whole(self) -> Iterator[pa.RecordBatch]:
         parts = [np.concatenate(x) for x in zip(*self.held, strict=True)]
         self.held, self.size = [], 0
         self._hold(*parts)
-        (c, s, n), self.held = self.held[0], []
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(s.view(np.int64)), pa.array(n)], names=["context", "suffix", "n"])
+        del parts
+        (c, s, n), self.held, self.size = self.held[0], [], 0
+        for k in range(0, len(n), ROWS):
+            own = slice(k, k + ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(c[own].view(np.int64)), pa.array(s[own].view(np.int64)), pa.array(n[own])], names=["context", "suffix", "n"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch], depth: int, filled) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], depth: int, ranks, filled) -> Iterator[pa.RecordBatch]:
     """(context, suffix, n): grams of depth + 1 tokens by their two ends; only after contexts that the filter may hold. Of
-    single tokens the context is 0."""
+    single tokens the context is 0, and they are not numbered yet."""
     counts = _Counts()
     for batch in batches:
         ends, data = buffers(batch.column("text"))
         for a, b in slices(ends, SLICE):
-            grams = list(_grams(*_tokens(data, ends[a : b + 1]), depth + 1))
+            tokens, bounds = _tokens(data, ends[a : b + 1])
+            grams = list(_grams(_numbered(tokens, ranks.value) if depth else tokens, bounds, depth + 1))
             keys, whole = grams[-1]
             at = np.flatnonzero(whole)
             if depth:
@@ -129,9 +152,17 @@ def _counted(batches: Iterator[pa.RecordBatch], depth: int, filled) -> Iterator[
             else:
                 counts.add(np.zeros(len(at), np.uint64), keys[at])
             if counts.size > HELD:
-                yield counts.whole()
+                yield from counts.whole()
     if counts.held:
-        yield counts.whole()
+        yield from counts.whole()
+
+
+def _renamed(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
+    """Words (gram, n) by their keys, and whether each is the end of a text."""
+    for batch in batches:
+        words = batch.column("gram").to_numpy().view(np.uint64)
+        keys = _numbered(words, ranks.value) if len(words) else words
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("n"), pa.array(words == END)], names=["gram", "n", "ends"])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,16 +172,17 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("gram", pa.array(_joint(one, two).view(np.int64)))
 
 
-def _level(docs: DataFrame, contexts: DataFrame, below: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+def _level(docs: DataFrame, contexts: DataFrame, below: DataFrame, depth: int, ranks: Broadcast) -> tuple[DataFrame, DataFrame]:
     """(rows, states) of one depth. contexts (context, met); below (gram, lp, ends): the next words of the retained suffixes.
 
     rows (gram, context, suffix, n, met, below, ends, kept) of what was found twice or more after the contexts; states (context,
     weight) of the retained ones, weight being log10 of the share that goes to the suffix."""
     spark = docs.sparkSession
-    filled = spark.sparkContext.broadcast(key_filter(contexts.select("context"), bits_for(contexts.count())))
-    counts = in_arrow(docs.select("text"), lambda b: _counted(b, depth, filled), "context long, suffix long, n long")
+    size = contexts.count()
+    filled = spark.sparkContext.broadcast(key_filter(contexts.select("context"), bits_for(size)))
+    counts = in_arrow(docs.select("text"), lambda b: _counted(b, depth, ranks, filled), "context long, suffix long, n long")
     counts = counts.groupBy("context", "suffix").agg(F.sum("n").alias("n")).where("n > 1")
-    rows = counts.join(below.select(F.col("gram").alias("suffix"), F.col("lp").alias("below"), "ends"), "suffix").join(contexts, "context")
+    rows = counts.join(below.select(F.col("gram").alias("suffix"), F.col("lp").alias("below"), "ends"), "suffix").join(F.broadcast(contexts) if size <= SMALL else contexts, "context")
     expected = F.col("met") * F.pow(F.lit(10.0), "below")
     more = F.col("n") - expected
     kept = (more > 0) & (F.col("n") * F.log(F.col("n") / expected) - more > NEXT)
@@ -182,59 +214,75 @@ def _smoothed(rows: DataFrame, states: DataFrame) -> DataFrame:
     return _sent_if_small(rows, states).withColumn("lp", lp).select("gram", "n", "lp", (F.col("lp") - back).alias("value"), "ends", "kept")
 
 
-def train(docs: DataFrame, *, depth: int = DEPTH, least: int = LEAST, frequent: int = FREQUENT) -> SuffixTree:
-    """The tree of the whole texts of docs (text); null is an empty text, which is one end."""
-    words = in_arrow(docs.select("text"), lambda b: _counted(b, 0, None), "context long, suffix long, n long")
-    words = materialize(words.groupBy(F.col("suffix").alias("gram")).agg(F.sum("n").alias("n")), "words")
+def train(docs: DataFrame, *, depth: int = DEPTH, least: int = LEAST, frequent: int | None = None) -> SuffixTree:
+    """The tree of the whole texts of docs (text); null is an empty text, which is one end. frequent: keys of either kind that
+    go to every task, in place of the usual numbers."""
+    counts = in_arrow(docs.select("text"), lambda b: _counted(b, 0, None, None), "context long, suffix long, n long")
+    counts = materialize(counts.groupBy(F.col("suffix").alias("gram")).agg(F.sum("n").alias("n")), "counts")
+    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(counts))
+    words = materialize(in_arrow(counts, lambda b: _renamed(b, ranks), "gram long, n long, ends boolean"), "words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
     lp = F.log10((F.col("n") + 0.5) / F.lit(n + 0.5 * (v + 1)))
-    below = words.select("gram", "n", lp.alias("lp"), (F.col("gram") == int(END.view(np.int64))).alias("ends"))
-    whole = words.select("gram", "n", lp.alias("base"), F.lit(1).alias("known"), F.lit(0.0).alias("value"))
+    below = words.select("gram", "n", lp.alias("lp"), "ends")
+    whole = words.select("gram", "n", lp.alias("base"), F.lit(0.0).alias("value"))
     contexts = below.where("not ends").where(F.col("n") >= least).select(F.col("gram").alias("context"), F.col("n").alias("met"))
-    written = [words]
+    written = [counts, words]
     for k in range(1, depth + 1):
         contexts = materialize(contexts, "contexts")
-        rows, states = _level(docs, contexts, below, k)
+        rows, states = _level(docs, contexts, below, k, ranks)
         written += [contexts, rows, states]
-        below = _smoothed(rows, states)
         weights = states.join(contexts, "context").select(F.col("context").alias("gram"), F.col("met").alias("n"), F.col("weight").alias("value"))
         for part in (_smoothed(rows.where("kept"), states).select("gram", "n", "value"), weights):
-            whole = whole.unionByName(part.withColumns({"base": F.lit(0.0), "known": F.lit(0)}))
+            whole = whole.unionByName(part.withColumn("base", F.lit(None).cast("double")))
+        below = _smoothed(rows, states)
         often = rows.where("not ends").where(F.col("n") >= least)
         contexts = often.join(states.select(F.col("context").alias("suffix")), "suffix", "left_semi").select(F.col("gram").alias("context"), F.col("n").alias("met"))
-    model = whole.groupBy("gram").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.max("known").alias("known"), F.sum("value").alias("value"))
+    model = whole.groupBy("gram").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("value").alias("value"))
     model = materialize(model, "model")
     release(*written)
-    return SuffixTree(model, n, v, *_sent(model, frequent))
-
-
-def _sent(model: DataFrame, frequent: int) -> tuple[Broadcast, Broadcast]:
-    """The most frequent keys with their values, at most so many, and a filter of the others."""
-    context = model.sparkSession.sparkContext
+    words, rare = _frequent(model.where("base is not null"), FREQUENT_WORDS if frequent is None else frequent)
+    grams, rest = _frequent(model.where("base is null"), FREQUENT if frequent is None else frequent)
+    others = rare.unionAll(rest)
+    send = docs.sparkSession.sparkContext.broadcast
+    sent = [send(tuple(t[x].to_numpy().view(np.uint64 if x == "gram" else np.float64) for x in names)) for t, names in ((words, ("gram", "base", "value")), (grams, ("gram", "value")))]
+    return SuffixTree(model, n, v, ranks, *sent, send(key_filter(others, bits_for(others.count(), 10))))
+
+
+def _ranks(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent words of counts (gram, n) in order of their hashes, and their numbers, 1 for the most frequent."""
+    found, _ = _frequent(counts.where(F.col("gram") != int(END.view(np.int64))), RANKED)
+    keys = found["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(-found["n"].to_numpy(), kind="stable")
+    numbers = np.zeros(len(keys) + 1, np.uint64)
+    numbers[order] = np.arange(1, len(keys) + 1, dtype=np.uint64)
+    numbers[-1] = _END_RANK
+    keys = np.append(keys, END)
+    at = np.argsort(keys)
+    return keys[at], numbers[at]
+
+
+def _frequent(rows: DataFrame, most: int) -> tuple[pa.Table, DataFrame]:
+    """The rows (gram, n, any others) of the greatest n, at most so many, in order of gram (unsigned), and the grams of the
+    others. Rows are taken by steps of the logarithm of n, of which there are under a thousand."""
     step = F.floor(F.log2("n") * 16).cast("int")
-    sizes = sorted(((r["step"], r["k"]) for r in model.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()), reverse=True)  # under 1,000 steps
-    least, room = 1 << 20, frequent
-    for at, k in sizes:
-        if k > room:
+    least, room = 1 << 20, most
+    for row in sorted(rows.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["step"]):
+        if row["k"] > room:
             break
-        least, room = at, room - k
-    rows = model.where(step >= least).select("gram", "base", "known", "value").toArrow()
-    keys = rows["gram"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    table = (keys[order], *(rows[x].to_numpy()[order] for x in ("base", "known", "value")))
-    rest = sum(k for at, k in sizes if at < least)
-    return context.broadcast(table), context.broadcast(key_filter(model.where(step < least).select("gram"), bits_for(rest)))
+        least, room = row["step"], room - row["k"]
+    found = rows.where(step >= least).toArrow()
+    found = found.take(pa.array(np.argsort(found["gram"].to_numpy().view(np.uint64))))
+    return found, rows.where(step < least).select("gram")
 
 
 _SENT = "doc_id long, print long, gram long, times long, own struct<tokens: long, known: long, base: double, value: double>"
 _OWN = pa.struct([("tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("value", pa.float64())])
 
 
-def _looked_up(batches: Iterator[pa.RecordBatch], depth: int, frequent: Broadcast, filled: Broadcast) -> Iterator[pa.RecordBatch]:
+def _looked_up(batches: Iterator[pa.RecordBatch], depth: int, ranks: Broadcast, words: Broadcast, frequent: Broadcast, filled: Broadcast) -> Iterator[pa.RecordBatch]:
     """A row for each text with the sums over its frequent grams, and rows of the other grams that the model may hold.
     print: a hash of the text's tokens, by which, and by its id, the sums of a text come together again."""
-    keys, base, known, value = frequent.value
     for batch in batches:
         ends, data = buffers(batch.column("text"))
         ids = batch.column("doc_id")
@@ -243,15 +291,18 @@ def _looked_up(batches: Iterator[pa.RecordBatch], depth: int, frequent: Broadcas
             row = np.repeat(np.arange(b - a), np.diff(bounds))
             place = np.arange(len(tokens), dtype=np.uint64) - np.repeat(bounds[:-1], np.diff(bounds)).astype(np.uint64)
             prints = np.add.reduceat(mix(tokens + place * _LEFT), bounds[:-1])
-            sums = [np.zeros(b - a) for _ in range(3)]
+            sums = np.zeros((3, b - a))  # known, base, value
             rest_row, rest_key = [], []
-            for gram, whole in _grams(tokens, bounds, depth + 1):
+            for size, (gram, whole) in enumerate(_grams(_numbered(tokens, ranks.value), bounds, depth + 1), 1):
                 at = np.flatnonzero(whole)
                 distinct, back = np.unique(gram[at], return_inverse=True)
+                keys, *columns = words.value if size == 1 else frequent.value
                 k = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
                 hit = keys[k] == distinct if len(keys) else np.zeros(len(distinct), bool)
-                for out, column in zip(sums, (known, base, value), strict=True):
-                    if len(keys):
+                if len(keys):
+                    if len(columns) == 2:
+                        sums[0] += np.bincount(row[at], hit[back], minlength=b - a)
+                    for out, column in zip(sums[-len(columns) :], columns, strict=True):
                         out += np.bincount(row[at], np.where(hit, column[k], 0)[back], minlength=b - a)
                 asked = (~hit & may_hold(filled.value, distinct))[back]
                 rest_row.append(row[at[asked]])
@@ -267,8 +318,9 @@ def _looked_up(batches: Iterator[pa.RecordBatch], depth: int, frequent: Broadcas
             doc = ids.slice(a, b - a)
             names = ["doc_id", "print", "gram", "times", "own"]
             yield pa.RecordBatch.from_arrays([doc, pa.array(prints.view(np.int64)), pa.array(mix(prints).view(np.int64)), pa.array(np.zeros(b - a, np.int64)), own], names=names)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([doc.take(pa.array(rows[at])), pa.array(prints[rows[at]].view(np.int64)), pa.array(grams[at].view(np.int64)), pa.array(times), pa.nulls(len(at), _OWN)], names=names)
+            for x in range(0, len(at), ROWS):
+                own_rows, some = rows[at[x : x + ROWS]], at[x : x + ROWS]
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(own_rows)), pa.array(prints[own_rows].view(np.int64)), pa.array(grams[some].view(np.int64)), pa.array(times[x : x + ROWS]), pa.nulls(len(some), _OWN)], names=names)
 
 
 def score(docs: DataFrame, tree: SuffixTree, *, depth: int = DEPTH) -> DataFrame:
@@ -279,9 +331,9 @@ def score(docs: DataFrame, tree: SuffixTree, *, depth: int = DEPTH) -> DataFrame
     scored. With no training texts every probability of the root is 1 and both scores are 0. depth: that of the training.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent, filled = tree.frequent, tree.filled
-    asked = in_arrow(own, lambda b: _looked_up(b, depth, frequent, filled), _SENT)
-    joined = asked.join(tree.model.select("gram", "base", "known", "value"), "gram", "left")
+    ranks, words, grams, filled = tree.ranks, tree.words, tree.grams, tree.filled
+    asked = in_arrow(own, lambda b: _looked_up(b, depth, ranks, words, grams, filled), _SENT)
+    joined = asked.join(tree.model.select("gram", "base", "value"), "gram", "left").withColumn("known", F.col("base").isNotNull().cast("int"))
     part = lambda name: F.coalesce(F.col("times") * F.col(name), F.lit(0)) + F.coalesce(F.col(f"own.{name}"), F.lit(0))
     sums = joined.groupBy("doc_id", "print").agg(
         F.count("own").alias("rows"), F.sum("own.tokens").alias("tokens"), F.sum(part("known")).alias("known"), F.sum(part("base")).alias("base"), F.sum(part("value")).alias("value")
@@ -298,7 +350,7 @@ def held_out(mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def lm_scores(docs: DataFrame, *, mod: int = 5, rest: int = 1, depth: int = DEPTH, least: int = LEAST, frequent: int = FREQUENT) -> DataFrame:
+def lm_scores(docs: DataFrame, *, mod: int = 5, rest: int = 1, depth: int = DEPTH, least: int = LEAST, frequent: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): each row of docs scored by the tree of the
     rows whose crc32(doc_id as text) mod ``mod`` is not ``rest``. Rows without an id are training texts."""
     out = held_out(mod, rest)

@@ -86,7 +86,7 @@ def prose(seed, n):
     return rows + [(n, "Word1 word2 word3 " * 400, None, None), (n + 1, "word1 never seen before", None, None)]
 
 
-@pytest.mark.parametrize("depth,least,frequent", [(2, 16, 1 << 18), (2, 4, 0), (3, 6, 20), (1, 2, 5)])
+@pytest.mark.parametrize("depth,least,frequent", [(2, 16, None), (2, 4, 0), (3, 6, 20), (1, 2, 5)])
 def test_equals_plain_dictionaries(spark, depth, least, frequent):
     rows = prose(depth, 250)
     rows += [(3, rows[3][1], None, None), (None, "word5 word6 word7", None, None), (900, None, None, None), (901, "", None, None)]
