@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import checkpointing
+from ..session import stored
 
 
 def _steps(start: Column, stop: Column, step: Column) -> Column:
@@ -48,7 +48,8 @@ def window_index(rasters: DataFrame, patch: int, step: int, *, partial: bool = T
 
 def window_range(rasters: DataFrame, patch: int, step: int, start: int, end: int) -> DataFrame:
     """Windows start to end (not included) of the row-major list, without building the others."""
-    ny, nx = F.floor((_long("h") - patch) / step) + 1, F.floor((_long("w") - patch) / step) + 1
+    count = lambda size: F.greatest(F.floor((_long(size) - patch) / step) + 1, F.lit(0))  # noqa: E731  none in a raster smaller than a patch
+    ny, nx = count("h"), count("w")
     ids = _steps(F.lit(start).cast("bigint"), F.least(F.lit(end), ny * nx) - 1, F.lit(1).cast("bigint"))
     out = rasters.select("*", nx.cast("bigint").alias("_nx"), F.explode(ids).alias("patch_idx"))
     return out.withColumns({"row_off": F.expr("patch_idx div _nx") * step, "col_off": F.expr("patch_idx % _nx") * step}).drop("_nx")
@@ -94,16 +95,14 @@ def _tile(idx: Column, n: Column, parts: int) -> Column:
 
 def _placed(df: DataFrame, order: list[str]) -> DataFrame:
     """df in range partitions by order, with _part (partitions in order) and _key (a number that grows in that order within
-    a partition), written once to the checkpoint folder.
+    a partition), stored once.
 
     Counting and numbering have to read the same partitions. Planned twice, a range partitioning samples its bounds twice
-    and a row could count in one partition and be numbered in another; so the order is checkpointed, which cuts lineage too.
+    and a row could count in one partition and be numbered in another; so the order is stored, which cuts lineage too.
     """
-    spark = df.sparkSession
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     local = ordered.withColumn("_key", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_key", 33))
-    checkpointing(spark)
-    return local.checkpoint()
+    return stored(local, "order")
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
@@ -139,3 +138,13 @@ def numbered_within(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     runs = runs.select(F.col(group).alias("_g"), "_part", "_first", (F.sum("_n").over(w.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(w).alias("n_rows"))
     out = local.join(runs, (F.col(group).eqNullSafe(F.col("_g"))) & (local["_part"] == runs["_part"])).drop(runs["_part"])
     return out.withColumn("row_idx", F.col("_before") + F.col("_key") - F.col("_first")).drop("_part", "_key", "_first", "_before", "_g")
+
+
+def within_blocks(df: DataFrame, group: str, order: list[str], before: int, block: int = 100_000) -> DataFrame:
+    """df with _block and _halo: rows of each group in runs of block rows in the given order, each with copies (_halo) of the
+    before rows ahead of it, and row_idx within the group. So a window of at most before rows back over (group, _block),
+    ordered by row_idx, has all it needs, and no task gets a whole group. before is at most block."""
+    rows = numbered_within(df, group, order).drop("n_rows")
+    own = F.expr(f"row_idx div {block}")
+    late = (F.col("row_idx") % block >= block - before) & F.lit(before > 0)
+    return rows.withColumn("_block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("_halo", F.col("_block") > own)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import forget, stored
+
 
 def hash_order(key: str, seed: int) -> Column:
     """An order that looks random and that other engines can repeat: md5 of key and seed."""
@@ -46,21 +48,28 @@ def split_share(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
 
 
 def weighted_sample(df: DataFrame, key: str, weight: str, draws: int, seed: int) -> DataFrame:
-    """draws rows with replacement, by weight: each draw is a point of the cumulated weights (interval join on buckets).
+    """draws rows with replacement, by weight: each draw is a point of the cumulated weights, and takes the last row that
+    begins at or before it. Points and rows are put in one order, in range partitions; a partition that begins with points
+    gets the last row of those before it. So neither a heavy row nor a heavy weight makes a large group.
 
     Draw j's point is (first 8 hex digits of md5('seed-j')) / 2^32 of the total.
     """
-    from .grid import prefix_offsets
+    from .grid import _placed, prefix_offsets
 
     scaled = df.select(key, (F.round(F.col(weight) * 1000)).cast("bigint").alias("_w")).where("_w > 0")
     spans = prefix_offsets(scaled, "_w", [key])
     total = scaled.agg(F.sum("_w").alias("_t"))
     points = df.sparkSession.range(draws).select(F.col("id").alias("draw"), uniform(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))).alias("_u"))
     points = points.crossJoin(F.broadcast(total)).withColumn("_at", F.floor(F.col("_u") * F.col("_t")).cast("bigint"))  # one row
-    width = scaled.agg(F.max("_w")).first()[0] or 1
-    left = points.withColumn("_b", F.expr(f"_at div {width}"))
-    right = spans.select("*", F.explode(F.array_distinct(F.array(F.expr(f"start_idx div {width}"), F.expr(f"(start_idx + _w - 1) div {width}")))).alias("_b"))
-    return left.join(right, "_b").where("_at >= start_idx and _at < start_idx + _w").select("draw", key)
+    none = F.lit(None)
+    rows = spans.select(F.col("start_idx").alias("_at"), F.lit(0).alias("_kind"), none.cast("bigint").alias("draw"), F.struct(key).alias("_row"))
+    asked = points.select("_at", F.lit(1).alias("_kind"), "draw", none.cast(rows.schema["_row"].dataType).alias("_row"))
+    local = _placed(rows.unionAll(asked), ["_at", "_kind"])
+    ends = local.groupBy("_part").agg(F.max_by("_row", F.when(F.col("_kind") == 0, F.col("_key"))).alias("_end"))
+    carry = ends.select("_part", F.last("_end", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))  # a row a partition
+    met = F.last("_row", ignorenulls=True).over(Window.partitionBy("_part").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0))
+    found = local.withColumn("_met", met).where("_kind = 1").join(F.broadcast(carry), "_part")
+    return found.select("draw", F.coalesce("_met", "_carry").alias("_row")).select("draw", f"_row.{key}")
 
 
 def early_stop(log: DataFrame, run: str, order: str, metric: str, higher: bool = True) -> DataFrame:
@@ -112,35 +121,44 @@ def frame_choice(frames: DataFrame, key: str, weight: str, draws: int, seed: int
 
 def coverage_select(foot: DataFrame, *, share: float = 0.95, scale: int = 100) -> DataFrame:
     """Greedy footprints (id, yr, integer corners ix0, iy0, ix1, iy1), the newest year first: an older one is added if no
-    chosen newer one meets it, or if those that do cover under ``share`` of it. Years don't compete within themselves.
+    chosen newer one meets it, or if those that do cover under ``share`` of it. Years don't compete within themselves. Each row
+    is a footprint of its own, also where ids repeat.
 
-    One step a year (a bounded number), each written to the checkpoint folder. Coverage is exact: a candidate is cut into
+    One step a year (a bounded number), which stores that year's rows only. Coverage is exact: a candidate is cut into
     vertical strips at the sides of the chosen boxes that meet it, and the union of the boxes' spans in each strip is
     measured by a running maximum. Cost goes with the number of meeting boxes, not with their area.
     """
-    from ..session import checkpointing
     from .spatial import box_join, prefixed
 
-    years = [r[0] for r in foot.select("yr").distinct().orderBy(F.desc("yr")).toLocalIterator()]
-    checkpointing(foot.sparkSession)
-    chosen = None
+    years = [r[0] for r in foot.select("yr").distinct().orderBy(F.desc("yr")).collect()]
     box = ("ix0", "iy0", "ix1", "iy1")
+    parts: list[DataFrame] = []
     for year in years:
         own = foot.where(F.col("yr") == year)
-        if chosen is None:
-            chosen = own.checkpoint()
+        if not parts:
+            parts.append(stored(own, "chosen"))
             continue
-        met = box_join(own, prefixed(chosen, "c_"), box, tuple(f"c_{b}" for b in box), cell=float(scale))
-        cut = met.select("id", *[f(f"c_{b}", b).alias(b) for f, b in ((F.greatest, "ix0"), (F.greatest, "iy0"), (F.least, "ix1"), (F.least, "iy1"))])
+        own = stored(own.withColumn("_row", F.monotonically_increasing_id()), "year")
+        chosen = parts[0].select(*box)
+        for part in parts[1:]:
+            chosen = chosen.unionByName(part.select(*box))
+        met = box_join(own.select("_row", *box), prefixed(chosen, "c_"), box, tuple(f"c_{b}" for b in box), cell=float(scale))
+        cut = met.select("_row", *[f(f"c_{b}", b).alias(b) for f, b in ((F.greatest, "ix0"), (F.greatest, "iy0"), (F.least, "ix1"), (F.least, "iy1"))])
         cut = cut.where("ix1 > ix0 and iy1 > iy0").distinct()
-        edges = cut.select("id", F.explode(F.array("ix0", "ix1")).alias("sx0")).distinct()
-        strips = edges.withColumn("sx1", F.lead("sx0").over(Window.partitionBy("id").orderBy("sx0"))).where("sx1 is not null")
-        inside = strips.join(cut, "id").where("ix0 <= sx0 and ix1 >= sx1")
-        before = Window.partitionBy("id", "sx0").orderBy("iy0", "iy1").rowsBetween(Window.unboundedPreceding, -1)
+        edges = cut.select("_row", F.explode(F.array("ix0", "ix1")).alias("sx0")).distinct()
+        strips = edges.withColumn("sx1", F.lead("sx0").over(Window.partitionBy("_row").orderBy("sx0"))).where("sx1 is not null")
+        inside = strips.join(cut, "_row").where("ix0 <= sx0 and ix1 >= sx1")
+        before = Window.partitionBy("_row", "sx0").orderBy("iy0", "iy1").rowsBetween(Window.unboundedPreceding, -1)
         seen = F.max("iy1").over(before)
         new = F.greatest(F.lit(0), F.col("iy1") - F.greatest(F.col("iy0"), F.coalesce(seen, F.col("iy0"))))
-        covered = inside.withColumn("_new", new * (F.col("sx1") - F.col("sx0"))).groupBy("id").agg(F.sum("_new").alias("covered"))
+        covered = inside.withColumn("_new", new * (F.col("sx1") - F.col("sx0"))).groupBy("_row").agg(F.sum("_new").alias("covered"))
         area = (F.col("ix1") - F.col("ix0")) * (F.col("iy1") - F.col("iy0"))
-        keep = own.join(covered, "id", "left").where(F.coalesce("covered", F.lit(0)) < share * area).drop("covered")
-        chosen = chosen.unionByName(keep).checkpoint()
-    return chosen if chosen is not None else foot
+        keep = own.join(covered, "_row", "left").where(F.coalesce("covered", F.lit(0)) < share * area).drop("covered", "_row")
+        parts.append(stored(keep.select(*foot.columns), "chosen"))
+        forget(own)
+    if not parts:
+        return foot
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

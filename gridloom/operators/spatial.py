@@ -2,6 +2,9 @@
 
 Theta joins plan as nested loops; here both sides are dealt to the grid cells that they touch, joined on the cell, and a
 pair is kept only in the cell of its intersection's lower corner, so no pair comes twice and nothing is broadcast blindly.
+Cells come in levels, each of twice the side of the one below: a box lies in the few cells of the level of its own size, and
+meets smaller boxes there, which are dealt to the coarser levels that the other side has. So one wide box makes no million
+cells, and a pair meets at the level of its larger box only.
 """
 
 from __future__ import annotations
@@ -9,11 +12,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def _cells(df: DataFrame, box: tuple[str, str, str, str], cell: float) -> DataFrame:
-    at = lambda c: F.floor(F.col(c) / cell).cast("bigint")
+def _level(box: tuple[str, str, str, str], cell: float) -> Column:
+    """The least level whose cells are as wide as the box; 0 for boxes up to the size of a cell."""
+    x0, y0, x1, y1 = map(F.col, box)
+    side = F.greatest(x1 - x0, y1 - y0)
+    return F.greatest(F.ceil(F.log2(F.greatest(side / cell, F.lit(1.0)))), F.lit(0)).cast("int")
+
+
+def _good(df: DataFrame, box: tuple[str, str, str, str]) -> DataFrame:
+    x0, y0, x1, y1 = box
+    return df.where((F.col(x1) >= F.col(x0)) & (F.col(y1) >= F.col(y0)))
+
+
+def _levels(df: DataFrame, box: tuple[str, str, str, str], cell: float) -> list[int]:
+    """The levels of a side, under a hundred of them."""
+    return sorted(r[0] for r in _good(df, box).select(_level(box, cell).alias("l")).distinct().collect() if r[0] is not None)
+
+
+def _cells(df: DataFrame, box: tuple[str, str, str, str], cell: float, levels: Column) -> DataFrame:
+    """df dealt to the cells that it touches on each of the levels."""
+    out = _good(df, box).select("*", F.explode(levels).alias("_level"))
+    width = F.pow(F.lit(2.0), F.col("_level")) * cell
+    at = lambda c: F.floor(F.col(c) / width).cast("bigint")
     x0, y0, x1, y1 = box
-    good = df.where((F.col(x1) >= F.col(x0)) & (F.col(y1) >= F.col(y0)))
-    return good.select("*", F.explode(F.sequence(at(x0), at(x1))).alias("_gx")).select("*", F.explode(F.sequence(at(y0), at(y1))).alias("_gy"))
+    out = out.select("*", F.explode(F.sequence(at(x0), at(x1))).alias("_gx"))
+    return out.select("*", F.explode(F.sequence(at(y0), at(y1))).alias("_gy"))
 
 
 def box_join(left: DataFrame, right: DataFrame, lbox: tuple[str, str, str, str], rbox: tuple[str, str, str, str], *, predicate: str = "intersects", cell: float = 100.0, how: str = "inner") -> DataFrame:
@@ -21,7 +44,7 @@ def box_join(left: DataFrame, right: DataFrame, lbox: tuple[str, str, str, str],
 
     Column names of the two sides have to differ. how: inner, left_semi or left_anti. For the latter two the cells that a
     left row touches stay with it, and the row is dealt by its whole content: equal rows have equal answers, so that no row
-    key is needed. cell should be near the usual box size.
+    key is needed. cell should be near the least usual box size.
     """
     if how != "inner":
         hit = box_join(left.dropDuplicates(), right, lbox, rbox, predicate=predicate, cell=cell).select(*left.columns).dropDuplicates()
@@ -33,14 +56,24 @@ def box_join(left: DataFrame, right: DataFrame, lbox: tuple[str, str, str, str],
     lx0, ly0, lx1, ly1 = map(F.col, lbox)
     rx0, ry0, rx1, ry1 = map(F.col, rbox)
     meet = (lx0 <= rx1) & (rx0 <= lx1) & (ly0 <= ry1) & (ry0 <= ly1)
-    meet &= (F.floor(F.greatest(lx0, rx0) / cell) == F.col("_gx")) & (F.floor(F.greatest(ly0, ry0) / cell) == F.col("_gy"))
+    width = F.pow(F.lit(2.0), F.col("_level")) * cell
+    meet &= (F.floor(F.greatest(lx0, rx0) / width) == F.col("_gx")) & (F.floor(F.greatest(ly0, ry0) / width) == F.col("_gy"))
     if predicate == "within":
         meet &= (lx0 >= rx0) & (lx1 <= rx1) & (ly0 >= ry0) & (ly1 <= ry1)
     elif predicate == "covers":
         meet &= (lx0 <= rx0) & (lx1 >= rx1) & (ly0 <= ry0) & (ly1 >= ry1)
     elif predicate != "intersects":
         raise ValueError(f"unknown predicate {predicate}")
-    return _cells(left, lbox, cell).join(_cells(right, rbox, cell), ["_gx", "_gy"]).where(meet).drop("_gx", "_gy")
+    here, there = _levels(left, lbox, cell), _levels(right, rbox, cell)
+    mine, others = _level(lbox, cell), _level(rbox, cell)
+    above = lambda levels, own: F.filter(F.lit(levels).cast("array<int>"), lambda k: k > own)
+    keys = ["_level", "_gx", "_gy"]
+    # At its own level a left box meets right boxes of that level or below; then the other way round. Two small boxes never
+    # meet in a large cell.
+    out = _cells(left, lbox, cell, F.array(mine)).join(_cells(right, rbox, cell, F.concat(F.array(others), above(here, others))), keys).where(meet)
+    if here and there and there[-1] > here[0]:
+        out = out.unionByName(_cells(left, lbox, cell, above(there, mine)).join(_cells(right, rbox, cell, F.array(others)), keys).where(meet))
+    return out.drop(*keys)
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:

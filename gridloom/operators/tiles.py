@@ -163,20 +163,34 @@ def distance_transform(mask: np.ndarray) -> np.ndarray:
 
 
 def components(mask: np.ndarray) -> np.ndarray:
-    """4-neighbour components, each labelled by its smallest row-major position plus one; 0 outside."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    big = mask.size + 2
-    while True:
-        near = np.where(mask, label, big)
-        low = near.copy()
-        low[1:] = np.minimum(low[1:], near[:-1])
-        low[:-1] = np.minimum(low[:-1], near[1:])
-        low[:, 1:] = np.minimum(low[:, 1:], near[:, :-1])
-        low[:, :-1] = np.minimum(low[:, :-1], near[:, 1:])
-        low = np.where(mask, low, 0)
-        if np.array_equal(low, label):
-            return label
-        label = low
+    """4-neighbour components, each labelled by its smallest row-major position plus one; 0 outside.
+
+    Runs of set pixels are joined with the runs of the row above that they touch; the work goes with the number of runs.
+    """
+    h, w = mask.shape
+    wide = np.zeros((h, w + 2), np.int8)
+    wide[:, 1:-1] = mask
+    change = np.diff(wide, axis=1)
+    starts, stops = np.flatnonzero(change[:, :w].ravel() == 1), np.argwhere(change == -1) @ [w, 1]
+    # of each run the runs above that share a column with it
+    low, high = np.searchsorted(stops, starts - w, "right"), np.searchsorted(starts, stops - w, "left")
+    root = list(range(len(starts)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for k in np.flatnonzero(high > low).tolist():
+        for j in range(low[k], high[k]):
+            a, b = find(k), find(j)
+            root[max(a, b)] = min(a, b)
+    out = np.zeros(h * w, np.int64)
+    label = np.array([starts[find(k)] + 1 for k in range(len(starts))], np.int64)
+    sizes = stops - starts
+    out[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))] = np.repeat(label, sizes)
+    return out.reshape(h, w)
 
 
 def local_peaks(distance: np.ndarray, labels: np.ndarray, min_distance: int, footprint: np.ndarray | None = None) -> list[tuple[int, int]]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stored
+
 
 def cell_of(x: str, size: float) -> Column:
     return F.floor(F.col(x) / size).cast("bigint")
@@ -32,15 +34,20 @@ OVERLAYS = ("MIN", "MAX", "MEAN", "REPLACE")
 
 
 def overlay(values: DataFrame, keys: list[str], mode: str, *, value: str = "v", order: str = "seq") -> DataFrame:
-    """Merge overlapping predictions per pixel: MIN, MAX, the running pairwise MEAN from 0, or the last in order."""
+    """Merge overlapping predictions per pixel: MIN, MAX, the running pairwise MEAN from 0, or the last in order.
+
+    A missing prediction (null or NaN) is skipped, but by REPLACE, which takes the last one as it is; MIN and MAX of missing
+    ones alone are null, their MEAN is the 0 that it begins with.
+    """
+    known = F.col(value) if dict(values.dtypes)[value] not in ("float", "double") else F.when(~F.isnan(value), F.col(value))
     if mode == "MAX":
-        merged = F.max(value)
+        merged = F.max(known)
     elif mode == "MIN":
-        merged = F.min(value)
+        merged = F.min(known)
     elif mode == "REPLACE":
         merged = F.max_by(value, order)
     elif mode == "MEAN":
-        items = F.array_sort(F.collect_list(F.struct(order, value)))
+        items = F.array_sort(F.collect_list(F.when(known.isNotNull(), F.struct(order, value))))
         merged = F.aggregate(items, F.lit(0.0), lambda acc, e: (acc + e[value].cast("double")) / 2)
     else:
         raise ValueError(f"overlay must be one of {OVERLAYS}")
@@ -48,9 +55,16 @@ def overlay(values: DataFrame, keys: list[str], mode: str, *, value: str = "v",
 
 
 def pyramid(pixels: DataFrame, levels: int) -> DataFrame:
-    """Overviews by powers of two with nearest resampling: each cell takes its upper left pixel that exists."""
-    level = pixels.select("*", F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level")).withColumn("_f", F.pow(F.lit(2), F.col("level")).cast("bigint"))
-    return level.groupBy(F.col("level").cast("bigint").alias("level"), F.expr("y div _f").cast("bigint").alias("oy"), F.expr("x div _f").cast("bigint").alias("ox")).agg(F.min_by("v", F.struct("y", "x")).alias("v"))
+    """Overviews (level, oy, ox, v) by powers of two with nearest resampling: each cell takes its upper left pixel that exists.
+    A level is made from the one before, which is stored, so that all together read little more than the pixels once."""
+    own = pixels.select(F.struct(F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x")).alias("_at"), "v")
+    out = None
+    for level in range(1, levels + 1):
+        cell = [F.expr(f"_at.{a} div {1 << level}").cast("bigint").alias(f"o{a}") for a in ("y", "x")]
+        own = stored(own.groupBy(*cell).agg(F.min("_at").alias("_at"), F.min_by("v", "_at").alias("v")).select("_at", "v", "oy", "ox"), f"level{level}")
+        rows = own.select(F.lit(level).cast("bigint").alias("level"), "oy", "ox", "v")
+        out = rows if out is None else out.unionAll(rows)
+    return out
 
 
 def rescale(pixels: DataFrame, low: float, high: float, out_low: float, out_high: float) -> Column:

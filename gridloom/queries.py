@@ -511,7 +511,9 @@ def balanced_split(crowns):
 
 @query("select src_row, yr, round(avg(id) over (partition by yr order by src_row rows between 99 preceding and current row),6) as mean from foot", "foot")
 def trailing_mean(foot):
-    return foot.select("src_row", "yr", r9(F.avg("id").over(Window.partitionBy("yr").orderBy("src_row").rowsBetween(-99, 0)), 6).alias("mean"))
+    rows = grid.within_blocks(foot, "yr", ["src_row"], 99, block=1000)
+    mean = F.avg("id").over(Window.partitionBy("yr", "_block").orderBy("row_idx").rowsBetween(-99, 0))
+    return rows.withColumn("mean", r9(mean, 6)).where("not _halo").select("src_row", "yr", "mean")
 
 
 @query("""with l as (select patch_id, yr, round(avg(prob),9) loss from px group by 1,2), w as (select patch_id, avg(loss) m, count(*) n from l group by 1), q as (select w.patch_id, pow(m,2)*n as i from w)
@@ -704,7 +706,7 @@ def window_index(rects):
 
 @query(f"with {_REG}, a as (select rect_id, row_off, col_off, row_number() over (partition by rect_id order by row_off, col_off) - 1 as patch_idx from g {_gen('generate_series(0, h-64, 32)', 'generate_series(0, w-64, 32)')}) select * from a where patch_idx >= 5 and patch_idx < 17", "rects")
 def window_range(rects):
-    return grid.window_range(_regions(rects), 64, 32, 5, 17).where("w >= 64").select("rect_id", "row_off", "col_off", "patch_idx")
+    return grid.window_range(_regions(rects), 64, 32, 5, 17).select("rect_id", "row_off", "col_off", "patch_idx")
 
 
 @query(f"with {_REG} select rect_id, row_off, col_off, least(row_off+200,h) row_end, least(col_off+150,w) col_end from g {_gen('generate_series(0, h-1, 200)', 'generate_series(0, w-1, 150)')}", "rects")
@@ -966,3 +968,6 @@ def rasterize_polygons(rects):
 
     rings = rects.select("rect_id", F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((1.0, 1.0), (9.0, 2.0), (5.0, 9.5))]).alias("ring"))
     return polygon_pixels(rings, "rect_id", "ring", 12, 12)
+
+
+from . import region_queries  # noqa: E402, F401  registers its queries
