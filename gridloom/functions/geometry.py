@@ -56,3 +56,36 @@ def in_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
             hit = ((y < y0) != (y < y1)) & (x < (y - y0) * ((x1 - x0) / (y1 - y0)) + x0)
             crossed = crossed + hit.cast("int")
     return crossed % 2 == 1
+
+
+def from_web_mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    """EPSG:3857 to EPSG:4326."""
+    r = 6378137.0
+    return F.degrees(x / r), F.degrees(2 * F.atan(F.exp(y / r)) - F.pi() / 2)
+
+
+def index_of(gt: tuple[float, ...], x: Column, y: Column) -> tuple[Column, Column]:
+    """Pixel coordinates (column, row) of map coordinates, the inverse of apply_affine()."""
+    a, b, c, d, e, f = gt
+    det = a * e - b * d
+    dx, dy = x - c, y - f
+    return (dx * e - dy * b) / det, (dy * a - dx * d) / det
+
+
+def sphere_area(ring: Column, radius: float = 6371008.8) -> Column:
+    """The area of a closed ring of (x, y) in degrees on a sphere, its sides being great circles, in square units of radius: the
+    smaller of the two parts that the ring makes.
+
+    Each side adds the spherical excess of the triangle between it and the equator; a ring round a pole misses half a sphere,
+    which shows in the sum of its turns in longitude."""
+    half = lambda v: F.tan(F.radians(v) / 2)
+
+    def side(p: Column, q: Column) -> Column:
+        turn = F.pmod(q["x"] - p["x"] + 180.0, F.lit(360.0)) - 180.0
+        return F.struct((2 * F.atan2(half(turn) * (half(p["y"]) + half(q["y"])), 1 + half(p["y"]) * half(q["y"]))).alias("e"), turn.alias("t"))
+
+    sides = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), side)
+    sums = F.aggregate(sides, F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("t")), lambda s, v: F.struct((s["e"] + v["e"]).alias("e"), (s["t"] + v["t"]).alias("t")))
+    excess = F.abs(sums["e"])
+    whole = F.when(F.abs(sums["t"]) > 180.0, F.abs(2 * F.pi() - excess)).otherwise(excess)
+    return F.least(whole, 4 * F.pi() - whole) * radius**2

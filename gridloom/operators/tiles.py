@@ -83,8 +83,10 @@ def normalize(tile: Column, mean: float, std: float) -> Column:
 
 
 def random_pixels(tile: Column, key: Column, ratio: float, value: float, seed: int) -> Column:
-    """Pixels replaced by value where a hash of tile key, position and seed falls below ratio."""
-    return F.transform(tile, lambda x, i: F.when(F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(1_000_000)) < ratio * 1_000_000, F.lit(value)).otherwise(x))
+    """Pixels replaced by value where a hash of tile key, seed and position falls below ratio."""
+    from .selection import uniform
+
+    return F.transform(tile, lambda x, i: F.when(uniform(F.concat(key.cast("string"), F.lit(f"-{seed}-"), i.cast("string"))) < ratio, F.lit(value)).otherwise(x))
 
 
 def exg(r: Column, g: Column, b: Column) -> Column:

@@ -937,37 +937,9 @@ def coverage_select(rects):
     return selection.coverage_select(own).select("id", "yr")
 
 
-@query(None, "tiles")
-def resample_bilinear(t):
-    return tiles.map_tiles(t.select("vec_id", "embedding"), lambda a: tiles.bilinear(a, 12, 12), 8, 8).select("vec_id", "tile")
-
-
 @query(None, "tiles")
 def crown_segmentation(t):
     return tiles.map_tiles(t.select("vec_id", "embedding"), lambda a: tiles.watershed(a > 0, 1, 2), 8, 8).select("vec_id", "tile")
 
 
-@query(None, "tiles")
-def rotate_tiles(t):
-    return tiles.map_tiles(t.select("vec_id", "embedding"), lambda a: tiles.rotate(a, 30), 8, 8).select("vec_id", "tile")
-
-
-@query(None, "tiles")
-def clahe_tiles(t):
-    return tiles.map_tiles(t.select("vec_id", "embedding"), lambda a: tiles.equalize(abs(a) % 1.0, 64, 2.0), 8, 8).select("vec_id", "tile")
-
-
-@query(None, "tiles")
-def color_jitter(t):
-    return tiles.map_tiles(t.select("vec_id", "embedding"), lambda a: tiles.jitter(abs(a) % 1.0, 1.2, 0.8), 8, 8).select("vec_id", "tile")
-
-
-@query(None, "rects")
-def rasterize_polygons(rects):
-    from .operators.mosaic import polygon_pixels
-
-    rings = rects.select("rect_id", F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((1.0, 1.0), (9.0, 2.0), (5.0, 9.5))]).alias("ring"))
-    return polygon_pixels(rings, "rect_id", "ring", 12, 12)
-
-
-from . import region_queries  # noqa: E402, F401  registers its queries
+from . import region_queries, warp_queries  # noqa: E402, F401  they register their queries

@@ -103,6 +103,28 @@ def draw_polygons_touched(rects):
     return polygons.polygon_pixels(_triangles(rects, 0.125), "rect_id", "rings", 200, 200, touched=True)
 
 
+@query("""with v as (select rect_id, [1.0e0 + rect_id % 3, 9.0e0, 5.0e0] as px, [1.0e0, 2.0e0 + rect_id % 4, 9.5e0] as py from rects),
+e as (select rect_id, px[k] as ax, py[k] as ay, px[k % 3 + 1] as zx, py[k % 3 + 1] as zy from v, range(1, 4) r(k)),
+c as (select rect_id, y, unnest(range(12)) as x from (select rect_id, unnest(range(12)) as y from rects))
+select c.rect_id, c.y, c.x from c join e using (rect_id)
+where (ay <= c.y + 0.5e0) <> (zy <= c.y + 0.5e0) and c.x + 0.5e0 < ax + (c.y + 0.5e0 - ay) * ((zx - ax) / (zy - ay))
+group by 1, 2, 3 having count(*) % 2 = 1""", "rects")
+def rasterize_polygons(rects):
+    n = F.col("rect_id")
+    ring = polygons.rings_of([(1 + n % 3, F.lit(1.0)), (F.lit(9.0), 2 + n % 4), (F.lit(5.0), F.lit(9.5))])
+    return polygons.polygon_pixels(rects.select("rect_id", ring.alias("rings")), "rect_id", "rings", 12, 12)
+
+
+# The offsets of each raster's patches as the product of two axes, the rectangles' sides scaled to pixels.
+@query("""with r as (select rect_id, cast(500 + x0 as bigint) as h, cast(400 + y0 as bigint) as w from rects),
+y as (select rect_id, w, unnest(generate_series(cast(0 as bigint), h, cast(128 as bigint))) as row_off from r)
+select rect_id, row_off, unnest(generate_series(cast(0 as bigint), w, cast(128 as bigint))) as col_off from y""", "rects")
+def raster_offsets(rects):
+    axis = lambda size: F.sequence(F.lit(0).cast("bigint"), size.cast("bigint"), F.lit(128).cast("bigint"))
+    rows = rects.select("rect_id", "y0", F.explode(axis(500 + F.col("x0"))).alias("row_off"))
+    return rows.select("rect_id", "row_off", F.explode(axis(400 + F.col("y0"))).alias("col_off"))
+
+
 # ---- overlay ---------------------------------------------------------------------------------------------------------
 
 #: The area that two triangles share: corners of one in the other and crossings of sides, in order of angle.
