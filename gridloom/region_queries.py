@@ -185,3 +185,29 @@ def boundary_polygons(boxes):
     gaps = polygons.boundaries(own, "a", "rings", 1.5, cell=10.0)
     return gaps.select("a", "b", r9(polygons.area(F.col("rings")), 6).alias("area"))
 
+
+
+# ---- the table function ----------------------------------------------------------------------------------------------
+
+
+@query("""with recursive m as (
+  select vec_id, i // 8 as y, i % 8 as x, i + 1 as pos from (select vec_id, unnest(range(64)) as i, unnest(embedding) as v from tiles) where v > 0.05),
+cc(vec_id, y, x, label) as (
+  select vec_id, y, x, pos from m
+  union
+  select m.vec_id, m.y, m.x, cc.label from cc, (values (0, 1), (1, 0), (0, -1), (-1, 0)) d(dy, dx), m
+  where m.vec_id = cc.vec_id and m.y = cc.y + d.dy and m.x = cc.x + d.dx and cc.label < m.pos),
+l as (select vec_id, y, x, min(label) as label from cc group by vec_id, y, x),
+p as (
+  select vec_id, label, y + dy as vy, x + dx as vx, sum(bit) as around
+  from l, (values (0, 0, 8), (0, 1, 4), (1, 0, 2), (1, 1, 1)) b(dy, dx, bit) group by 1, 2, 3, 4),
+c as (
+  select vec_id, label, sum(case when around in (1, 2, 4, 8, 7, 11, 13, 14) then 1 when around in (6, 9) then 2 else 0 end) as n from p group by 1, 2),
+s as (select vec_id, label, count(*) as area from l group by 1, 2)
+select vec_id, label, area, cast(c.n as bigint) as n_corners from s join c using (vec_id, label)""", "tiles")
+def window_polygons(tiles):
+    from .operators.windows_udtf import register
+
+    register(tiles.sparkSession)
+    found = tiles.sparkSession.sql("select * from window_polygons(table({t}), key => 'vec_id', tile => 'embedding', threshold => 0.05)", t=tiles.select("vec_id", "embedding"))
+    return found.select("vec_id", "label", "area", long(F.size(F.flatten("rings")) - F.size("rings")).alias("n_corners"))
