@@ -126,6 +126,48 @@ def pixel_weighted_tversky(alpha: float, beta: float, w: Column, eps: float = 1e
     return 1 - (hit + eps) / (hit + alpha * wrong + beta * missed + eps)
 
 
+def soft_overlap_loss(kind: str = "dice", *, smooth: float = 1.0, background: bool = True, alpha: float = 0.3, beta: float = 0.7, square: bool = False, prob: str = "prob", t: str = "t") -> Column:
+    """Negated mean over the classes of the smoothed soft overlap: dice, iou, or tversky with weights alpha of wrong and beta of
+    missed. Without background the foreground alone counts. square: the three sums are of squared pixels. Grouped by sample
+    it is the loss with sample axes; of a whole batch, that with batch axes."""
+    if kind not in ("dice", "iou", "tversky"):
+        raise ValueError("kind has to be dice, iou or tversky")
+
+    def one(x: Column, y: Column) -> Column:
+        add = lambda v: F.sum(v * v if square else v)
+        hit, wrong, missed = add(x * y), add(x * (1 - y)), add((1 - x) * y)
+        if kind == "dice":
+            return (2 * hit + smooth) / (2 * hit + wrong + missed + smooth)
+        a, b = (1.0, 1.0) if kind == "iou" else (alpha, beta)
+        return (hit + smooth) / (hit + a * wrong + b * missed + smooth)
+
+    fg, truth = _d(prob), _d(t)
+    return -((one(fg, truth) + one(1 - fg, 1 - truth)) / 2 if background else one(fg, truth))
+
+
+def focal_overlap_loss(power: float = 0.75, **options) -> Column:
+    """1 - the soft Tversky overlap, to a power."""
+    return F.pow(1 + soft_overlap_loss("tversky", **options), F.lit(power))
+
+
+def dynamic_tversky(w: Column, cover: Column, alpha: float = 0.4, beta: float = 0.6, eps: float = 1e-6, prob: str = "prob", t: str = "t") -> Column:
+    """The pixel-weighted Tversky loss to the power 1 / gamma, gamma being 1 + mean cover (in per cent) / 200."""
+    return F.pow(pixel_weighted_tversky(alpha, beta, w, eps, prob, t), 1 / (1 + F.avg(cover) / 200))
+
+
+def two_sided_tversky(w: Column, alpha: float = 0.5, beta: float = 0.5, gamma: float = 0.2, eps: float = 100.0, prob: str = "prob", t: str = "t") -> Column:
+    """The pixel-weighted Tversky loss, and gamma times that of the complement: of truth, probability, the two weights, and the
+    pixel weights, which count by their absolute value."""
+
+    def loss(p: Column, y: Column, weight: Column, a: float, b: float) -> Column:
+        weight = F.abs(weight)
+        hit, wrong, missed = F.sum(weight * p * y), F.sum(weight * p * (1 - y)), F.sum(weight * (1 - p) * y)
+        return 1 - (hit + eps) / (hit + a * wrong + b * missed + eps)
+
+    p, y = _d(prob), _d(t)
+    return loss(p, y, w, alpha, beta) + gamma * loss(1 - p, 1 - y, 1 - w, 1 - alpha, 1 - beta)
+
+
 #: Losses by name: builders of aggregate columns.
 LOSSES: dict[str, Callable[..., Column]] = {
     "dice": dice_loss,
@@ -136,4 +178,11 @@ LOSSES: dict[str, Callable[..., Column]] = {
     "cross_entropy": cross_entropy,
     "bce": bce,
     "ce_plus_dice": lambda: cross_entropy() + dice_loss(),
+    "weighted_ce": weighted_cross_entropy,
+    "pixel_weighted_tversky": pixel_weighted_tversky,
+    "soft_dice": soft_overlap_loss,
+    "soft_tversky": lambda **options: soft_overlap_loss("tversky", **options),
+    "focal_overlap": focal_overlap_loss,
+    "dynamic_tversky": dynamic_tversky,
+    "two_sided_tversky": two_sided_tversky,
 }

@@ -20,6 +20,20 @@ def stitch(patches: DataFrame, patch: int, pad: int, height: int, width: int) ->
     return out.where((F.col("y") < height) & (F.col("x") < width))
 
 
+def stitch_tiles(patches: DataFrame, height: int, width: int, ny: int, nx: int, padding: tuple[int, int, int, int]) -> DataFrame:
+    """(y0, x0, h, w, tile): the inner part of each patch (gy, gx, tile of height x width) at its place in the mosaic, as tiles.
+
+    padding: rows cut from each side, rows cut below in the last row of patches, and the same two for columns. Patches outside
+    ny x nx are left out. No row is made for a pixel."""
+    top, last_row, left, last_column = padding
+    inside = patches.where(F.col("gy").between(0, ny - 1) & F.col("gx").between(0, nx - 1))
+    low, right = F.when(F.col("gy") == ny - 1, last_row).otherwise(top), F.when(F.col("gx") == nx - 1, last_column).otherwise(left)
+    sized = inside.withColumns({"h": (height - top - low).cast("bigint"), "w": (width - left - right).cast("bigint")})
+    cut = F.flatten(F.transform(F.sequence(F.lit(top), (F.col("h") + top - 1).cast("int")), lambda y: F.slice("tile", y * width + left + 1, F.col("w").cast("int"))))
+    at = {"y0": (F.col("gy") * (height - 2 * top)).cast("bigint"), "x0": (F.col("gx") * (width - 2 * left)).cast("bigint")}
+    return sized.withColumns(at).select("y0", "x0", "h", "w", cut.alias("tile"))
+
+
 def tile_components(pixels: DataFrame, size: int) -> DataFrame:
     """4-neighbour components of set pixels (y, x, v) within size x size tiles: (ty, tx, y, x, label), the label being the
     smallest row-major position of the component, from 1. A tile is one bounded group."""

@@ -119,6 +119,23 @@ def frame_choice(frames: DataFrame, key: str, weight: str, draws: int, seed: int
     return by_weight.where(chance >= uniform_share).unionByName(alike.where(chance < uniform_share))
 
 
+def concatenated(parts: list[tuple[DataFrame, list[str]]], seed: int | None = None) -> DataFrame:
+    """(idx, dataset, row): the place of each row of several tables under each other. parts: each table with the columns that
+    order and tell apart its rows. row is the row's number in its table; with a seed, idx is the place in an order by md5 of
+    seed, table and row, else tables and rows follow each other."""
+    from .grid import numbered
+
+    whole = None
+    for k, (df, order) in enumerate(parts):
+        own = numbered(df.select(*order), order).select(F.lit(k).cast("bigint").alias("dataset"), F.col("row_idx").cast("bigint").alias("row"))
+        whole = own if whole is None else whole.unionByName(own)
+    by = ["dataset", "row"]
+    if seed is not None:
+        whole = whole.withColumn("_h", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("dataset").cast("string"), F.col("row").cast("string"))))
+        by = ["_h", *by]
+    return numbered(whole, by).select(F.col("row_idx").cast("bigint").alias("idx"), "dataset", "row")
+
+
 def coverage_select(foot: DataFrame, *, share: float = 0.95, scale: int = 100) -> DataFrame:
     """Greedy footprints (id, yr, integer corners ix0, iy0, ix1, iy1), the newest year first: an older one is added if no
     chosen newer one meets it, or if those that do cover under ``share`` of it. Years don't compete within themselves. Each row

@@ -942,4 +942,4 @@ def crown_segmentation(t):
     return tiles.map_tiles(t.select("vec_id", "embedding"), lambda a: tiles.watershed(a > 0, 1, 2), 8, 8).select("vec_id", "tile")
 
 
-from . import region_queries, warp_queries  # noqa: E402, F401  they register their queries
+from . import more_queries, region_queries, warp_queries  # noqa: E402, F401  they register their queries

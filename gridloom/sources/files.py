@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .schemas import SCHEMAS
 
@@ -65,6 +67,36 @@ def write_vectors(df: DataFrame, path: str) -> bool:
     return True
 
 
+def curve_key(box: tuple[str, str, str, str], bounds: tuple[float, float, float, float], bits: int = 16) -> Column:
+    """The place of a box's middle on a Z-order curve over bounds (x0, y0, x1, y1): near middles have near places. The bits of
+    the two coordinates, bits of each, are laid in turn."""
+    x0, y0, x1, y1 = bounds
+    most = (1 << bits) - 1
+    cell = lambda a, b, low, high: F.least(F.greatest(F.floor(((F.col(a) + F.col(b)) / 2 - low) / ((high - low) or 1.0) * most), F.lit(0)), F.lit(most)).cast("bigint")
+
+    def spread(v: Column) -> Column:
+        """Bit k of v at 2 k: halves move apart, then quarters, and so on."""
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+        return v
+
+    return spread(cell(box[0], box[2], x0, x1)).bitwiseOR(F.shiftleft(spread(cell(box[1], box[3], y0, y1)), 1))
+
+
+def write_clustered(df: DataFrame, path: str, box: tuple[str, str, str, str], *, files: int | None = None) -> bool:
+    """Write a layer with boxes in the order of a space-filling curve, so that the least and greatest corners of a file, and of
+    the row groups in it, span little: a filter by a box (operators.spatial.in_box) then skips most of them. Nothing is
+    written, and False returned, when the layer is empty."""
+    x0, y0, x1, y1 = box
+    bounds = df.agg(F.min(x0), F.min(y0), F.max(x1), F.max(y1)).first()
+    if bounds[0] is None:
+        return False
+    keyed = df.withColumn("_curve", curve_key(box, tuple(map(float, bounds))))
+    ordered = keyed.repartitionByRange(files, "_curve") if files else keyed.repartitionByRange("_curve")
+    ordered.sortWithinPartitions("_curve").drop("_curve").write.mode("overwrite").parquet(path)
+    return True
+
+
 def union_layers(spark: SparkSession, *paths: str) -> DataFrame:
     """Layers under each other with the file they come from."""
     return spark.read.option("mergeSchema", "true").parquet(*paths).withColumn("source", F.input_file_name())
@@ -120,5 +152,37 @@ def first_existing(wanted: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def with_ordinal(df: DataFrame, group: str, order: str) -> DataFrame:
-    """A 1-based ordinal within each group."""
-    return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(group).orderBy(order)).cast("bigint"))
+    """A 1-based ordinal within each group; a large group spans many tasks."""
+    from ..operators.grid import numbered_within
+
+    return numbered_within(df, group, [order]).withColumn("ordinal", (F.col("row_idx") + 1).cast("bigint")).drop("row_idx", "n_rows")
+
+
+def write_config(spark: SparkSession, path: str, config: dict) -> None:
+    """A run config, split or file mapping as one JSON document, which read_configs() reads again. An existing file is an
+    error."""
+    spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.text(path)
+
+
+def write_scores(scores: DataFrame, base: str, model: str, run: str, metrics: list[str], by: str | None = None) -> DataFrame:
+    """Write the scores of one run of a model below base/model/run: csv (a row a patch) and log (a line of text for each value
+    of by and one for all, with the number of patches and the mean of each metric). Returns the log (line). A run that is
+    there already is an error; runs are told apart by their name."""
+    scores.write.option("header", "true").csv(f"{base}/{model}/{run}/csv")
+    means = [F.avg(m).alias(m) for m in metrics]
+    total = scores.agg(F.count("*").alias("n"), *means).select(F.lit("all").alias("name"), "n", *metrics)
+    if by:
+        total = scores.groupBy(F.col(by).cast("string").alias("name")).agg(F.count("*").alias("n"), *means).unionByName(total)
+    said = [F.format_string(f" {m} %.6f", F.col(m)) for m in metrics]
+    log = total.select("name", F.concat(F.col("name"), F.lit(": "), F.col("n").cast("string"), F.lit(" patches"), *said).alias("line"))
+    last = (F.col("name") == "all").cast("int")
+    log = log.repartition(1).sortWithinPartitions(last, "name").select("line")  # a line for each group of a score table
+    log.write.text(f"{base}/{model}/{run}/log")
+    return scores.sparkSession.read.text(f"{base}/{model}/{run}/log").withColumnRenamed("value", "line")
+
+
+def read_scores(spark: SparkSession, base: str, schema: str) -> DataFrame:
+    """The score rows of all runs of all models below base, with model and run."""
+    rows = spark.read.schema(schema).option("header", "true").csv(f"{base}/*/*/csv")
+    part = lambda k: F.element_at(F.split(F.input_file_name(), "/"), k)
+    return rows.withColumns({"model": part(-4), "run": part(-3)})
