@@ -195,10 +195,11 @@ def components(mask: np.ndarray) -> np.ndarray:
     return out.reshape(h, w)
 
 
-def local_peaks(distance: np.ndarray, labels: np.ndarray, min_distance: int, footprint: np.ndarray | None = None) -> list[tuple[int, int]]:
+def local_peaks(distance: np.ndarray, labels: np.ndarray, min_distance: int, footprint: np.ndarray | None = None, border: int = 0) -> list[tuple[int, int]]:
     """Maxima of the distance inside each labelled region, the highest first, none within min_distance of a better one of its
     region. footprint: the neighbourhood (odd sides, centred) in which a peak has to be a maximum; without one, the square of
-    side 2 min_distance + 1.
+    side 2 min_distance + 1. border: no peak lies within so many pixels of the tile's sides; peak searches that leave out what
+    may be higher outside have it at min_distance.
 
     Regions don't see each other: values outside a region count as lower than all of its own. A mask is one label for all of
     the foreground; label the components first if each of them is to have a peak.
@@ -211,7 +212,7 @@ def local_peaks(distance: np.ndarray, labels: np.ndarray, min_distance: int, foo
     taken, out = np.zeros(distance.shape, bool), []
     for at in np.lexsort((np.arange(distance.size), -distance.ravel())):
         y, x = divmod(int(at), w)
-        if not labels[y, x] or distance[y, x] <= 0:
+        if not labels[y, x] or distance[y, x] <= 0 or not (border <= y < h - border and border <= x < w - border):
             continue
         ny, nx = (near + [y, x]).T
         ok = (ny >= 0) & (ny < h) & (nx >= 0) & (nx < w)
@@ -224,18 +225,19 @@ def local_peaks(distance: np.ndarray, labels: np.ndarray, min_distance: int, foo
     return out
 
 
-def watershed(mask: np.ndarray, min_distance: int = 1, min_size: int = 1, footprint: np.ndarray | None = None) -> np.ndarray:
+def watershed(mask: np.ndarray, min_distance: int = 1, min_size: int = 1, footprint: np.ndarray | None = None, border: int = 0) -> np.ndarray:
     """Crowns of a binary tile: flood from the peaks of the distance transform, highest first; small crowns are dropped.
 
     The peak search gets the mask as its labels, which is one region for all of the foreground: a peak may suppress a lower
-    one of another component within min_distance. Such a component has no marker and is in no crown.
+    one of another component within min_distance. Such a component has no marker and is in no crown. border as for the peaks: crowns whose
+    only peaks are that near to a side are left out.
     """
     import heapq
 
     distance = distance_transform(mask)
     label = np.zeros(mask.shape, np.int64)
     heap = []
-    for k, (y, x) in enumerate(local_peaks(distance, mask, min_distance, footprint), 1):
+    for k, (y, x) in enumerate(local_peaks(distance, mask, min_distance, footprint, border), 1):
         label[y, x] = k
         heapq.heappush(heap, (-distance[y, x], k, y, x))
     while heap:

@@ -939,7 +939,7 @@ def coverage_select(rects):
 
 @query(None, "tiles")
 def crown_segmentation(t):
-    return tiles.map_tiles(t.select("vec_id", "embedding"), lambda a: tiles.watershed(a > 0, 1, 2), 8, 8).select("vec_id", "tile")
+    return tiles.map_tiles(t.select("vec_id", "embedding"), lambda a: tiles.watershed(a > 0, 1, 2, border=1), 8, 8).select("vec_id", "tile")
 
 
 from . import more_queries, region_queries, warp_queries  # noqa: E402, F401  they register their queries

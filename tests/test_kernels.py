@@ -81,3 +81,12 @@ def test_equalize_is_monotone():
     a = np.linspace(0, 1, 64).reshape(8, 8) ** 2
     for limit in (None, 2.0):
         assert (np.diff(tiles.equalize(a, 64, limit).ravel()) >= 0).all()
+
+
+def test_peaks_near_a_side_can_be_left_out():
+    mask = np.zeros((7, 9), bool)
+    mask[0:3, 0:3] = mask[3:6, 5:8] = True
+    distance = tiles.distance_transform(mask)
+    assert tiles.local_peaks(distance, mask, 1) == [(0, 0), (4, 6)] and tiles.local_peaks(distance, mask, 1, border=1) == [(4, 6)]
+    label = tiles.watershed(mask, 1, 1, border=1)
+    assert label[4, 6] and not label[0, 0] and tiles.watershed(mask, 1, 1)[0, 0]

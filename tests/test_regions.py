@@ -61,7 +61,7 @@ def test_rings_of_random_tiles():
             assert sum(areas) == (labels == one).sum() and areas[0] > 0 and all(a < 0 for a in areas[1:])
 
 
-@pytest.mark.parametrize("kind,size", [("random", 5), ("random", 64), ("spiral", 7), ("full", 8), ("grid", 4)])
+@pytest.mark.parametrize("kind,size", [("random", 5), ("spiral", 7), ("grid", 4)])
 def test_regions_of_a_raster_equal_flood_fill(spark, kind, size):
     random = np.random.default_rng(size)
     mask = {"random": random.random((41, 37)) < 0.57, "spiral": spiral(33), "full": np.ones((20, 30), bool), "grid": np.indices((13, 13)).sum(0) % 2 == 0}[kind]
