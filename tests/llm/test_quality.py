@@ -158,3 +158,54 @@ def test_shapes_and_words_are_counted_alike():
     words, shapes, bounds = C._rows(data, ends)
     assert len(words) == len(shapes) == 6 and bounds.tolist() == [0, 3, 3, 3, 5, 6]
     assert shapes[2] == shapes[5] and words[2] != words[5]
+
+
+def test_scores_equal_plain_loops(spark):
+    """Pooling, network and temperature a number at a time, with the model's own tables."""
+    import math
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    good, bad = [f"calm{k} river" for k in range(40)], [f"BUY{k}!! cheap" for k in range(40)]
+    rows = [(k, " ".join(rng.choice(good if k % 2 else bad, rng.integers(3, 30)))) for k in range(160)] + [(900, None), (901, ""), (902, " \n\t ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, quality int")
+    model = C.train(df, labels)
+    assert model.layers is not None and model.temperature > 0
+
+    def row_of(word):
+        ends, data = C.buffers(pa.array([word]))
+        words, shapes, _ = C._rows(data, ends)
+        return int(words[0]), int(shapes[0])
+
+    def plain(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        x = [0.0] * (2 * C.WIDTH)
+        for word in words:
+            a, b = row_of(word)
+            for k in range(C.WIDTH):
+                x[k] += float(model.words[a][k]) / len(words)
+                x[C.WIDTH + k] += float(model.shapes[b][k]) / len(words)
+        x = [(v - m) / s for v, m, s in zip(x, model.mean, model.scale, strict=True)]
+        first, bias, second, last = model.layers
+        hidden = [math.tanh(sum(x[i] * first[i][j] for i in range(len(x))) + bias[j]) for j in range(len(bias))]
+        z = sum(h * w for h, w in zip(hidden, second, strict=True)) + last[0]
+        return 1 / (1 + math.exp(-z / model.temperature))
+
+    out = {r["doc_id"]: r["score"] for r in C.score(df, model).collect()}
+    assert len(out) == len(rows) and all(abs(out[k] - plain(text)) < 1e-4 for k, text in rows)
+    held = [(out[k] > 0.5) == bool(k % 2) for k in range(120, 160)]
+    assert sum(held) >= 38
+
+
+def test_temperature_is_the_likeliest_of_its_grid():
+    rng = np.random.default_rng(3)
+    z = rng.normal(0, 3, 400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-z / 2.5))).astype(float)
+
+    def loss(t):
+        return sum(-np.log(1 / (1 + np.exp(-(a if b else -a) / t))) for a, b in zip(z, y, strict=True))
+
+    best = C._temperature(z, y)
+    assert 1.5 < best < 4 and all(loss(best) <= loss(best * s) + 1e-9 for s in (0.8, 0.93, 1.07, 1.25))
