@@ -14,6 +14,10 @@ task (a fixed number of them), which takes hot keys out of the shuffle; the othe
 which only grams go that a filter of the model's keys holds, and their sums are added by document. The RANKED most frequent
 words are numbered, and a gram of up to three of them is their numbers side by side: such keys compress in a shuffle. Any
 other gram is a hash.
+
+Counts go from task to task in arrays: a task sums its grams, deals them to buckets by a hash, and sends an array of each
+bucket's rows. There are as many buckets as keep one at about BUCKET training tokens, so that a bucket is bounded whatever the
+data; grams that one text alone holds never become rows of a table.
 """
 
 from __future__ import annotations
@@ -33,15 +37,15 @@ from .filters import bits_for, key_filter, may_hold
 #: Words of the longest context, and how often a context has to be met to be a candidate.
 DEPTH, LEAST = 2, 16
 #: What is taken from each kept count, and the nats that a kept next word and a retained context have to gain.
-DISCOUNT, NEXT, GAIN = 0.75, 3.0, 4.0
+DISCOUNT, NEXT, GAIN = 0.75, 6.0, 4.0
 #: Grams and words whose values go to every task, and words that are numbered, at most.
 FREQUENT, FREQUENT_WORDS, RANKED = 1 << 20, 1 << 17, (1 << 16) - 2
 #: States (32 bytes each) up to which they are sent to every task; more are joined by a shuffle.
 SMALL = 400_000
 #: Bytes of text whose tokens a task looks at once, and counted grams that it holds before it sends them.
 SLICE, HELD = 1 << 20, 1_000_000
-#: Rows of a batch that is sent.
-ROWS = 1 << 16
+#: Rows of a batch that is sent, and training tokens for each bucket of counts.
+ROWS, BUCKET = 1 << 16, 1 << 20
 #: The token that ends a text.
 END = np.uint64(0xE7D1A5C3B8F60429)
 #: Set in the keys that are hashes; and the number of END if it is not among the most frequent words.
@@ -104,40 +108,96 @@ def _grams(tokens: np.ndarray, bounds: np.ndarray, longest: int) -> Iterator[tup
         yield keys, place >= size - 1
 
 
+def _summed(context: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, with the sums of their counts."""
+    order = np.lexsort((suffix, context))
+    c, s = context[order], suffix[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
+    at = np.flatnonzero(first)
+    return c[at], s[at], np.add.reduceat(n[order], at) if len(at) else n[:0]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of 16 bits, the lowest first: planes of small numbers and of runs compress."""
+    return np.ascontiguousarray(values.view(np.uint16).reshape(len(values), -1).T).tobytes()
+
+
+def _whole_numbers(data: bytes, kind: type, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint16).reshape(-1, n).T).view(kind).ravel()
+
+
 class _Counts:
-    """Counted rows of two keys; sent when they are many."""
+    """Counted pairs of keys; sent as one array for each bucket when they are many."""
 
-    def __init__(self):
+    def __init__(self, buckets: int):
+        self.buckets = buckets
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
     def add(self, context: np.ndarray, suffix: np.ndarray) -> None:
-        self._hold(context, suffix, np.ones(len(suffix), np.int64))
-
-    def _hold(self, context: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> None:
-        order = np.lexsort((suffix, context))  # rows of one context lie together, where their keys compress
-        c, s = context[order], suffix[order]
-        first = np.ones(len(order), bool)
-        first[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
-        at = np.flatnonzero(first)
-        self.held.append((c[at], s[at], np.add.reduceat(n[order], at) if len(at) else n[:0]))
-        self.size += len(at)
+        self.held.append(_summed(context, suffix, np.ones(len(suffix), np.int64)))
+        self.size += len(self.held[-1][2])
 
     def whole(self) -> Iterator[pa.RecordBatch]:
-        parts = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+        rows = _summed(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
         self.held, self.size = [], 0
-        self._hold(*parts)
-        del parts
-        (c, s, n), self.held, self.size = self.held[0], [], 0
+        bucket = (mix(rows[0] * _RIGHT + rows[1] * _LEFT) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        c, s, n = (x[order] for x in rows)
+        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        for k in range(0, self.buckets, 64):
+            full = [j for j in range(k, min(k + 64, self.buckets)) if edges[j] < edges[j + 1]]
+            sent = [b"".join(map(_planes, (c[x:y], s[x:y], n[x:y]))) for x, y in ((edges[j], edges[j + 1]) for j in full)]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(sent, pa.binary())], names=["bucket", "rows"])
+
+
+def _added(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(context, suffix, n) of the pairs of each bucket that were found least times, from batches in order of bucket."""
+    held: list[bytes] = []
+    now = None
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        parts = []
+        for data in held:
+            size = len(data) // 24
+            parts.append([_whole_numbers(data[8 * size * k : 8 * size * (k + 1)], kind, size) for k, kind in enumerate((np.uint64, np.uint64, np.int64))])
+        held.clear()
+        c, s, n = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        often = n >= least
+        c, s, n = c[often], s[often], n[often]
         for k in range(0, len(n), ROWS):
             own = slice(k, k + ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(c[own].view(np.int64)), pa.array(s[own].view(np.int64)), pa.array(n[own])], names=["context", "suffix", "n"])
 
+    for batch in batches:
+        for bucket, rows in zip(batch.column("bucket").to_pylist(), batch.column("rows"), strict=True):
+            if held and bucket != now:
+                yield from whole()
+            now = bucket
+            held.append(rows.as_py())
+    if held:
+        yield from whole()
+
+
+def _counts(docs: DataFrame, depth: int, least: int, tokens: int, ranks=None, filled=None) -> DataFrame:
+    """(context, suffix, n): how often each gram of depth + 1 tokens is in docs (text), if least times or more, of about so many
+    tokens."""
+    buckets = max(1, -(-tokens // BUCKET))
+    sent = in_arrow(docs.select("text"), lambda b: _counted(b, depth, buckets, ranks, filled), "bucket int, rows binary")
+    return in_arrow(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket"), lambda b: _added(b, least), "context long, suffix long, n long")
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """df, once the driver's JVM has noticed which shuffles nothing refers to any more; Spark deletes their files then."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
 
-def _counted(batches: Iterator[pa.RecordBatch], depth: int, ranks, filled) -> Iterator[pa.RecordBatch]:
-    """(context, suffix, n): grams of depth + 1 tokens by their two ends; only after contexts that the filter may hold. Of
+def _counted(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, ranks, filled) -> Iterator[pa.RecordBatch]:
+    """The counts of grams of depth + 1 tokens by their two ends, by bucket; only after contexts that the filter may hold. Of
     single tokens the context is 0, and they are not numbered yet."""
-    counts = _Counts()
+    counts = _Counts(buckets)
     for batch in batches:
         ends, data = buffers(batch.column("text"))
         for a, b in slices(ends, SLICE):
@@ -172,7 +232,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("gram", pa.array(_joint(one, two).view(np.int64)))
 
 
-def _level(docs: DataFrame, contexts: DataFrame, below: DataFrame, depth: int, ranks: Broadcast) -> tuple[DataFrame, DataFrame]:
+def _level(docs: DataFrame, contexts: DataFrame, below: DataFrame, depth: int, ranks: Broadcast, tokens: int) -> tuple[DataFrame, DataFrame]:
     """(rows, states) of one depth. contexts (context, met); below (gram, lp, ends): the next words of the retained suffixes.
 
     rows (gram, context, suffix, n, met, below, ends, kept) of what was found twice or more after the contexts; states (context,
@@ -180,14 +240,14 @@ def _level(docs: DataFrame, contexts: DataFrame, below: DataFrame, depth: int, r
     spark = docs.sparkSession
     size = contexts.count()
     filled = spark.sparkContext.broadcast(key_filter(contexts.select("context"), bits_for(size)))
-    counts = in_arrow(docs.select("text"), lambda b: _counted(b, depth, ranks, filled), "context long, suffix long, n long")
-    counts = counts.groupBy("context", "suffix").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = _counts(docs, depth, 2, tokens, ranks, filled)
     rows = counts.join(below.select(F.col("gram").alias("suffix"), F.col("lp").alias("below"), "ends"), "suffix").join(F.broadcast(contexts) if size <= SMALL else contexts, "context")
     expected = F.col("met") * F.pow(F.lit(10.0), "below")
     more = F.col("n") - expected
     kept = (more > 0) & (F.col("n") * F.log(F.col("n") / expected) - more > NEXT)
     rows = rows.select("context", "suffix", "n", "met", "below", "ends", kept.alias("kept"))
     rows = materialize(in_arrow(rows, _keyed, "context long, suffix long, n long, met long, below double, ends boolean, kept boolean, gram long"), "grams")
+    _settled(rows)
     filled.unpersist()
     own = rows.where("kept")
     sums = own.groupBy("context").agg(F.first("met").alias("met"), F.sum("n").alias("n"), F.sum(F.col("n") - DISCOUNT).alias("found"))
@@ -217,8 +277,8 @@ def _smoothed(rows: DataFrame, states: DataFrame) -> DataFrame:
 def train(docs: DataFrame, *, depth: int = DEPTH, least: int = LEAST, frequent: int | None = None) -> SuffixTree:
     """The tree of the whole texts of docs (text); null is an empty text, which is one end. frequent: keys of either kind that
     go to every task, in place of the usual numbers."""
-    counts = in_arrow(docs.select("text"), lambda b: _counted(b, 0, None, None), "context long, suffix long, n long")
-    counts = materialize(counts.groupBy(F.col("suffix").alias("gram")).agg(F.sum("n").alias("n")), "counts")
+    size = docs.select(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]  # a word and its space have about six
+    counts = materialize(_counts(docs, 0, 1, size // 6 + 1).select(F.col("suffix").alias("gram"), "n"), "counts")
     ranks = docs.sparkSession.sparkContext.broadcast(_ranks(counts))
     words = materialize(in_arrow(counts, lambda b: _renamed(b, ranks), "gram long, n long, ends boolean"), "words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -230,7 +290,7 @@ def train(docs: DataFrame, *, depth: int = DEPTH, least: int = LEAST, frequent:
     written = [counts, words]
     for k in range(1, depth + 1):
         contexts = materialize(contexts, "contexts")
-        rows, states = _level(docs, contexts, below, k, ranks)
+        rows, states = _level(docs, contexts, below, k, ranks, n)
         written += [contexts, rows, states]
         weights = states.join(contexts, "context").select(F.col("context").alias("gram"), F.col("met").alias("n"), F.col("weight").alias("value"))
         for part in (_smoothed(rows.where("kept"), states).select("gram", "n", "value"), weights):
@@ -239,7 +299,7 @@ def train(docs: DataFrame, *, depth: int = DEPTH, least: int = LEAST, frequent:
         often = rows.where("not ends").where(F.col("n") >= least)
         contexts = often.join(states.select(F.col("context").alias("suffix")), "suffix", "left_semi").select(F.col("gram").alias("context"), F.col("n").alias("met"))
     model = whole.groupBy("gram").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("value").alias("value"))
-    model = materialize(model, "model")
+    model = _settled(materialize(model, "model"))
     release(*written)
     words, rare = _frequent(model.where("base is not null"), FREQUENT_WORDS if frequent is None else frequent)
     grams, rest = _frequent(model.where("base is null"), FREQUENT if frequent is None else frequent)
