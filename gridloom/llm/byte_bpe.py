@@ -28,8 +28,8 @@ from .units import Runs, Units
 #: Words in a row of step 1.
 CHUNK = 1000
 #: Words and units that a task remembers, and bytes of the words; beyond either it forgets all and sends words anew, so that
-#: memory is bounded (about 60 MB in step 1, a fifth of it in step 3).
-REMEMBERED, REMEMBERED_BYTES = 250_000, 10 << 20
+#: memory is bounded (about 90 MB in step 1, a fifth of it in step 3).
+REMEMBERED, REMEMBERED_BYTES = 400_000, 20 << 20
 #: Documents, about, of the sample whose repeated words are folded ahead, the most of these words, and the bytes of the
 #: longest; they bound what is sent to the tasks (some MB).
 SAMPLE, SENT, SENT_BYTES = 10_000, 100_000, 64
@@ -341,14 +341,14 @@ def _narrowed(batches: Iterator[pa.RecordBatch], drop: list[str]) -> Iterator[pa
         yield batch.drop_columns(drop)
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, streams: tuple[str, ...] = ("ids", "decoded"), ahead: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, streams: tuple[str, ...] = ("ids", "decoded"), ahead: bool = True, remembered: int | None = None) -> DataFrame:
     """docs (text, any others) with, in place of text: ids (the tokens as little-endian unsigned 32-bit words), decoded
     (the bytes that they stand for; only those named in streams), n_tokens, ids_sha256 and decoded_sha256.
 
     Each match of pattern is encoded by itself, as the rank file's own library does, without special tokens. A null text
     is empty: no tokens and no bytes. Columns by the names of the results are replaced. A word of many thousand bytes is
     folded in quadratic time. ahead=False leaves the words of the sample to the tasks: more work for them, but one plan with
-    the literal tables less for the driver to hold.
+    the literal tables less for the driver to hold. remembered: words that a task remembers, in place of REMEMBERED.
     """
     results = ["ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"]
     docs = docs.drop(*results, "words__", "numbers__", "ids__").withColumn("text", F.col("text").cast("string"))
@@ -362,7 +362,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, streams: tu
     pieces = pa.array(tokens, pa.binary())
     none = Ahead([], np.zeros(0, np.uint32), np.zeros(0, np.int64))
     held = docs.sparkSession.sparkContext.broadcast(folded_ahead(docs, ranks_path, pattern) if ahead else none)
-    split = in_arrow(docs, lambda b, most=REMEMBERED: _split(b, pattern, names, most, held.value.words), f"{kinds}words__ array<array<int>>, numbers__ binary")
+    split = in_arrow(docs, lambda b, most=remembered or REMEMBERED: _split(b, pattern, names, most, held.value.words), f"{kinds}words__ array<array<int>>, numbers__ binary")
     coded = split.withColumn("ids__", F.when(F.col("words__").isNotNull(), words_encoded(F.col("words__"), ranks_path).cast("array<array<int>>")))
     drop = [x for x in ("ids", "decoded") if x not in streams]
     schema = kinds + "".join(f"{x} binary, " for x in ("ids", "decoded") if x in streams) + "n_tokens long, ids_sha256 string, decoded_sha256 string"
