@@ -58,7 +58,7 @@ _PLACES = f"'x': {_row(0)} / {_row(2)}, 'y': {_row(1)} / {_row(2)}"
 _WEIGHED = " + ".join(f"case when floor(p.y) + {dy} between 0 and 7 and floor(p.x) + {dx} between 0 and 7 then (1 - abs(p.y - floor(p.y) - {dy})) * (1 - abs(p.x - floor(p.x) - {dx})) * {_AT.format(f'(floor(p.y) + {dy}) * 8 + floor(p.x) + {dx}')} else 0.0e0 end" for dy in (0, 1) for dx in (0, 1))
 
 
-@query(f"select vec_id, list_transform(list_transform(range(64), lambda k: {{{_PLACES}}}), lambda p: round({_WEIGHED}, 6)) as tile from tiles", "tiles")
+@query(f"select vec_id, list_transform(list_transform(range(64), lambda k: {{{_PLACES}}}), lambda p: round({_WEIGHED}, 6) + 0.0e0) as tile from tiles", "tiles")
 def perspective_tiles(tiles):
     return _tile(tiles, warps.perspective(F.col("embedding"), 8, 8, _CORNERS))
 
