@@ -21,7 +21,7 @@ _AT = "cast(embedding[cast({} as bigint) + 1] as double)"
     'y': greatest(0.0e0, least(7.0e0, (k // 12 + 0.5e0) * 8 / 12 - 0.5e0)), 'x': greatest(0.0e0, least(7.0e0, (k % 12 + 0.5e0) * 8 / 12 - 0.5e0))}}),
   lambda p: round(
     ({_AT.format('floor(p.y) * 8 + floor(p.x)')} * (1 - p.x + floor(p.x)) + {_AT.format('floor(p.y) * 8 + least(floor(p.x) + 1, 7)')} * (p.x - floor(p.x))) * (1 - p.y + floor(p.y))
-    + ({_AT.format('least(floor(p.y) + 1, 7) * 8 + floor(p.x)')} * (1 - p.x + floor(p.x)) + {_AT.format('least(floor(p.y) + 1, 7) * 8 + least(floor(p.x) + 1, 7)')} * (p.x - floor(p.x))) * (p.y - floor(p.y)), 6)) as tile
+    + ({_AT.format('least(floor(p.y) + 1, 7) * 8 + floor(p.x)')} * (1 - p.x + floor(p.x)) + {_AT.format('least(floor(p.y) + 1, 7) * 8 + least(floor(p.x) + 1, 7)')} * (p.x - floor(p.x))) * (p.y - floor(p.y)), 6) + 0.0e0) as tile
 from tiles""", "tiles")
 def resample_bilinear(tiles):
     return _tile(tiles, warps.sampled(F.col("embedding"), warps.resize_sources(8, 8, 12, 12)))
