@@ -30,7 +30,7 @@ def resample_bilinear(tiles):
 @query(f"""select vec_id, list_transform(list_transform(range(64), lambda k: {{
     'y': floor(4 + (k // 8 - 3.5e0) * cos(radians(30.0e0)) + (k % 8 - 3.5e0) * sin(radians(30.0e0))),
     'x': floor(4 - (k // 8 - 3.5e0) * sin(radians(30.0e0)) + (k % 8 - 3.5e0) * cos(radians(30.0e0)))}}),
-  lambda p: case when p.y between 0 and 7 and p.x between 0 and 7 then round({_AT.format('p.y * 8 + p.x')}, 6) else 0.0e0 end) as tile
+  lambda p: case when p.y between 0 and 7 and p.x between 0 and 7 then round({_AT.format('p.y * 8 + p.x')}, 6) + 0.0e0 else 0.0e0 end) as tile
 from tiles""", "tiles")
 def rotate_tiles(tiles):
     return _tile(tiles, warps.sampled(F.col("embedding"), warps.rotation_sources(8, 8, 30)))
