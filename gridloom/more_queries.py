@@ -104,7 +104,7 @@ def split_bands(tiles):
 @query("""with k as (select cast(ceil(sqrt(max(vec_id) + 1)) as bigint) as c, max(vec_id) + 1 as n from tiles),
 p as (select vec_id // c as gy, vec_id % c as gx, (n + c - 1) // c as ny, c as nx, embedding from tiles, k),
 s as (select *, 8 - 2 - case when gy = ny - 1 then 3 else 2 end as h, 8 - 1 - case when gx = nx - 1 then 2 else 1 end as w from p)
-select gy * 4 as y0, gx * 6 as x0, cast(h as bigint) as h, cast(w as bigint) as w, list_transform(range(h * w), lambda i: round(cast(embedding[cast((i // w + 2) * 8 + i % w + 1 + 1 as bigint)] as double), 6)) as tile from s""", "tiles")
+select gy * 4 as y0, gx * 6 as x0, cast(h as bigint) as h, cast(w as bigint) as w, list_transform(range(h * w), lambda i: round(cast(embedding[cast((i // w + 2) * 8 + i % w + 1 + 1 as bigint)] as double), 6) + 0.0e0) as tile from s""", "tiles")
 def unpatchify_tiles(tiles):
     n = (tiles.agg(F.max("vec_id")).first()[0] or 0) + 1
     columns = -int(-(n**0.5) // 1)
