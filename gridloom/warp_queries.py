@@ -177,7 +177,7 @@ def clahe_colours(tiles):
 
 
 @query("""select vec_id, list_transform(range(64), lambda k: case when ('0x' || substr(md5(cast(vec_id as varchar) || '-9-' || cast(k as varchar)), 1, 8))::bigint / 4294967296.0e0 < 0.05e0
-  then 0.0e0 else round(cast(embedding[k + 1] as double), 6) end) as tile from tiles""", "tiles")
+  then 0.0e0 else round(cast(embedding[k + 1] as double), 6) + 0.0e0 end) as tile from tiles""", "tiles")
 def random_pixels(tiles):
     from .operators.tiles import random_pixels as inner
 
