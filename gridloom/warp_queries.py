@@ -92,7 +92,7 @@ _SAMPLE = " + ".join(f"{_AT.format(f'(y0 + least(floor(p.y) + {dy}, h - 1)) * 8
 
 @query(f"""with {_CROP} select vec_id, list_transform(list_transform(range(36), lambda k: {{
     'y': least(greatest((k // 6 + 0.5e0) * h / 6 - 0.5e0, 0), h - 1), 'x': least(greatest((k % 6 + 0.5e0) * w / 6 - 0.5e0, 0), w - 1)}}),
-  lambda p: round({_SAMPLE}, 6)) as tile from c""", "tiles")
+  lambda p: round({_SAMPLE}, 6) + 0.0e0) as tile from c""", "tiles")
 def random_resized_crop(tiles):
     return _tile(tiles, warps.random_resized_crop(F.col("embedding"), 8, 8, 6, 6, F.col("vec_id"), 21))
 
