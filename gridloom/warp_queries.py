@@ -81,7 +81,7 @@ c as (select *, floor(uy * (9 - h)) as y0, floor(ux * (9 - w)) as x0 from s)"""
 
 
 @query(f"""with {_CROP} select vec_id, cast(h as bigint) as h, cast(w as bigint) as w, list_transform(range(36),
-  lambda k: round({_AT.format('(y0 + floor((k // 6) * h / 6)) * 8 + x0 + floor((k % 6) * w / 6)')}, 6)) as tile from c""", "tiles")
+  lambda k: round({_AT.format('(y0 + floor((k // 6) * h / 6)) * 8 + x0 + floor((k % 6) * w / 6)')}, 6) + 0.0e0) as tile from c""", "tiles")
 def random_resized_crop_labels(tiles):
     cut = warps.random_resized_crop(F.col("embedding"), 8, 8, 6, 6, F.col("vec_id"), 21, label=True)
     return _tile(tiles, cut).join(_crop_sides(tiles), "vec_id").select("vec_id", "h", "w", "tile")
