@@ -2,6 +2,7 @@
 
 Theta joins plan as nested loops; here both sides are dealt to the grid cells that they touch, joined on the cell, and a
 pair is kept only in the cell of its intersection's lower corner, so no pair comes twice and nothing is broadcast blindly.
+Where many rows have one box, copy_join() and the aggregates over classes meet each distinct pair of boxes once only.
 Cells come in levels, each of twice the side of the one below: a box lies in the few cells of the level of its own size, and
 meets smaller boxes there, which are dealt to the coarser levels that the other side has. So one wide box makes no million
 cells, and a pair meets at the level of its larger box only.
@@ -76,6 +77,37 @@ def box_join(left: DataFrame, right: DataFrame, lbox: tuple[str, str, str, str],
     return out.drop(*keys)
 
 
+def spread(pairs: DataFrame, left: DataFrame, right: DataFrame, lkeys: list[str], rkeys: list[str], *, rows: int = 2048) -> DataFrame:
+    """Pairs of classes (lkeys, rkeys, any others) with every row of left that has the lkeys and every row of right that has the
+    rkeys. A class of left is dealt to parts of about so many rows, each a group of the join, so that no task gets all pairs of
+    a large class; right should be the smaller side. Names of the three tables but the keys have to differ."""
+    sizes = left.groupBy(*lkeys).agg(F.ceil(F.count("*") / rows).cast("int").alias("_parts"))
+    own = left.join(sizes, lkeys).withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.col("_parts")).cast("int")).drop("_parts")
+    other = pairs.join(right, rkeys).join(sizes, lkeys)
+    other = other.select("*", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")).drop("_parts")
+    return own.hint("merge").join(other, [*lkeys, "_part"]).drop("_part")
+
+
+def copy_join(left: DataFrame, right: DataFrame, lbox: tuple[str, str, str, str], rbox: tuple[str, str, str, str], *, predicate: str = "intersects", cell: float = 100.0) -> DataFrame:
+    """The rows of box_join(), where many rows may have the same box: distinct boxes are compared, and their rows follow by
+    equality, so that what is compared grows with the distinct boxes and the rest with the result."""
+    pairs = box_join(left.select(*dict.fromkeys(lbox)).distinct(), right.select(*dict.fromkeys(rbox)).distinct(), lbox, rbox, predicate=predicate, cell=cell)
+    return spread(pairs, left, right, list(dict.fromkeys(lbox)), list(dict.fromkeys(rbox)))
+
+
+def met_lists(left: DataFrame, right: DataFrame, key: str, value: str, lbox: tuple[str, str, str, str], rbox: tuple[str, str, str, str], out: str, *, cell: float = 100.0) -> DataFrame:
+    """(key, out): for each key of left the sorted values of the rows of right that its boxes meet, once for each of its rows;
+    keys that meet nothing are left out. Keys of the same boxes share one list, which is put together once."""
+    own, others = list(dict.fromkeys(lbox)), list(dict.fromkeys(rbox))
+    held = left.where(" and ".join(f"{c} is not null" for c in own)).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*own))).alias("_boxes"))
+    kinds = held.select("_boxes").distinct()
+    boxed = kinds.select("_boxes", F.explode("_boxes").alias("_box")).select("_boxes", *[F.col(f"_box.{c}").alias(c) for c in own])
+    pairs = box_join(boxed.select(*own).distinct(), right.select(*others).distinct(), lbox, rbox, cell=cell)
+    met = boxed.join(pairs, own).join(right.select(value, *others), others)
+    lists = met.groupBy("_boxes").agg(F.sort_array(F.collect_list(value)).alias(out))
+    return held.join(lists, "_boxes").select(key, out)
+
+
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     """Columns renamed with a prefix, for self joins."""
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
