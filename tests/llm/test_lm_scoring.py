@@ -1,14 +1,19 @@
 """Language-model scores against a suffix tree of plain dictionaries."""
 
+import dataclasses
 import math
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge import docs
 from pyspark.sql import functions as F
 
+from gridloom.llm import lm_scoring
+from gridloom.llm.filters import bits_for
 from gridloom.llm.lm_scoring import DISCOUNT, GAIN, NEXT, lm_scores, score, train
 
 END = None
@@ -132,3 +137,51 @@ def test_no_training_text(spark):
     tree = train(docs(spark).limit(0))
     out = score(docs(spark), tree).collect()
     assert len(out) == 10 and all(r["score"] == r["base_score"] == 0 and r["n_known"] == 0 for r in out)
+
+
+def test_scores_do_not_depend_on_chunks_and_buckets(spark):
+    rows = prose(7, 120) + [(3, "word1 word2 word3", None, None), (3, "word1 word2 word3", None, None), (None, "word5 word6", None, None), (900, None, None, None)]
+    tree = train(docs(spark, rows), least=4, frequent=3)
+    plain = lambda df: np.array(sorted(map(tuple, df.fillna(-1).collect())))
+    want = plain(score(docs(spark, rows), tree))
+    got = plain(score(docs(spark, rows).repartition(5, "doc_id"), dataclasses.replace(tree, buckets=7), held=100))
+    assert len(want) == len(rows) and np.allclose(got, want, rtol=1e-9, atol=1e-9)
+    alone = score(docs(spark, rows[:1]).limit(1), tree)  # a chunk of one text
+    assert np.allclose(plain(alone), want[want[:, 0] == rows[0][0]], rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 3])
+def test_counted_pairs_come_back_from_few_bytes(depth):
+    random = np.random.default_rng(depth)
+    words = np.minimum(random.zipf(1.3, 400_000), 60_000).astype(np.uint64)
+    grams = [keys for keys, _ in lm_scoring._grams(words, np.array([0, len(words)]), max(depth, 1))]
+    context, suffix = (grams[-1][:-1], grams[-1][1:]) if depth else (np.zeros(len(words) - 1, np.uint64), words[1:])
+    odd = random.random(len(suffix)) < 0.01
+    suffix = np.where(odd, suffix * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1 << 63), suffix)
+    pairs = lm_scoring._Counts(5, depth)
+    for k in range(0, len(suffix), 90_000):
+        pairs.add(context[k : k + 90_000], suffix[k : k + 90_000])
+    sent = list(pairs.whole())
+    got = [lm_scoring._pairs_unpacked(x, depth) for batch in sent for x in batch.column("rows").to_pylist()]
+    found = Counter()
+    for c, s, n in got:
+        found.update(dict(zip(zip(c.tolist(), s.tolist(), strict=True), n.tolist(), strict=True)))
+    assert found == Counter(zip(context.tolist(), suffix.tolist(), strict=True))
+    data = b"".join(x for batch in sent for x in batch.column("rows").to_pylist())
+    assert len(pa.compress(data, codec="lz4", asbytes=True)) < 7.5 * len(found)  # 24 bytes as they are
+
+
+def test_keys_asked_take_few_bytes():
+    """What a chunk sends goes with a few bytes for each key in a text, in one array for each bucket."""
+    n = 3000
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n), pa.int64()), "text": [" ".join(f"w{(7 * i + k) % 500}" for k in range(40)) for i in range(n)]})
+    send = lambda x: SimpleNamespace(value=x)
+    none = (np.zeros(1, np.uint64), np.zeros(1, np.uint64))
+    full = np.full(bits_for(1) // 8, 255, np.uint8)  # a filter that may hold every key
+    empty = np.zeros(0)
+    out = [x for b in lm_scoring._looked_up(iter([batch]), 2, 4, 10**6, send(none), send((empty, empty, empty)), send((empty, empty)), send(full)) for x in b.to_pylist()]
+    asked = [x for x in out if x["kind"] == lm_scoring._ASKED]
+    grams = n * (41 + 40 + 39)
+    assert sum(int(lm_scoring._unpacked(x["rows"], np.uint64, np.int64, np.int64)[2].sum()) for x in asked) == grams
+    assert sorted(x["bucket"] for x in asked) == [0, 1, 2, 3] and len(out) == 5
+    assert sum(len(x["rows"]) for x in out) < 4 * grams  # 16 and more as rows of a table
